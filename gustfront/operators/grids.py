@@ -115,19 +115,19 @@ def scaled_cells(cells: DataFrame) -> DataFrame:
 # --- model input geometry ------------------------------------------------------------------------
 
 
-def crop_boxes(georefs: DataFrame, height: int | Column, width: int | Column, box_km: float = 120.0) -> DataFrame:
+def crop_boxes(georefs: DataFrame, height: int | Column, width: int | Column, box_km: float = 120.0, keep: list[str] | None = None) -> DataFrame:
     """Crop origin, side and in-bounds share per scan from ``georefs(scan_id, a, e, c, f, lat, lon)``."""
     h = F.lit(height) if isinstance(height, int) else height
     w = F.lit(width) if isinstance(width, int) else width
     boxed = georefs.withColumn("npix", box_pixels(F.col("lat"), F.col("a"), box_km)).select(
-        "scan_id", "npix",
+        "scan_id", *(keep or []), "npix",
         (F.rint(pixel_row(F.col("lat"), F.col("e"), F.col("f"))).cast("int") - F.floor(F.col("npix") / 2).cast("int")).alias("r0"),
         (F.rint(pixel_col(F.col("lon"), F.col("a"), F.col("c"))).cast("int") - F.floor(F.col("npix") / 2).cast("int")).alias("c0"),
-        h.alias("h"), w.alias("w"),
+        h.alias("_h"), w.alias("_w"),
     )
-    rows = F.greatest(F.lit(0), F.least("h", F.col("r0") + F.col("npix")) - F.greatest(F.lit(0), "r0"))
-    cols = F.greatest(F.lit(0), F.least("w", F.col("c0") + F.col("npix")) - F.greatest(F.lit(0), "c0"))
-    return boxed.withColumn("in_bounds", rows * cols / (F.col("npix") * F.col("npix")).cast("double")).drop("h", "w")
+    rows = F.greatest(F.lit(0), F.least("_h", F.col("r0") + F.col("npix")) - F.greatest(F.lit(0), "r0"))
+    cols = F.greatest(F.lit(0), F.least("_w", F.col("c0") + F.col("npix")) - F.greatest(F.lit(0), "c0"))
+    return boxed.withColumn("in_bounds", rows * cols / (F.col("npix") * F.col("npix")).cast("double")).drop("_h", "_w")
 
 
 def crop_cells(cells: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ CUBE = 32
 _X_BITS = 20
 
 
-def build_palette(scale: DataFrame, radar_type: str, by: list[str] | None = None) -> DataFrame:
+def build_palette(scale: DataFrame, radar_type: str, by: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
     """Colours of the middle row of a scale picture with values linear in x.
 
     ``x / width`` never reaches 1, so the top of the range is never produced.
@@ -28,7 +28,7 @@ def build_palette(scale: DataFrame, radar_type: str, by: list[str] | None = None
         joined = scale.withColumn("h", scale.select(height).scalar()).withColumn("w", scale.select(width).scalar())
     middle = joined.where(F.col("row_no") == F.floor(F.col("h") / 2))
     return middle.select(
-        *by, F.lit(radar_type).alias("radar_type"), F.col("col_no").alias("x"), "r", "g", "b",
+        *by, *(extra or []), F.lit(radar_type).alias("radar_type"), F.col("col_no").alias("x"), "r", "g", "b",
         (F.lit(low) + F.lit(high - low) * (F.col("col_no") / F.col("w"))).alias("value"),
     )
 
