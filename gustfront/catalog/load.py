@@ -1,6 +1,6 @@
 """Import every module that registers queries."""
 
-from gustfront.catalog import dataset, raster  # noqa: F401
+from gustfront.catalog import alerting, dataset, landing, learning, operations, raster, streams  # noqa: F401
 from gustfront.catalog.registry import ENTRIES, runner
 
 

@@ -218,7 +218,7 @@ def _resized(share: str, name: str) -> str:
     src as (select c.scan_id, c.npix, i.row_no - c.r0 as y, i.col_no - c.c0 as x, {share} as v from crop c join {{index_cells}} i on i.scan_id = c.scan_id
       and i.row_no - c.r0 between 0 and npix - 1 and i.col_no - c.c0 between 0 and npix - 1),
     px as (select s.scan_id, r.o as row_no, c.o as col_no, sum(s.v * r.w * c.w) as v from src s join wt r on r.n = s.npix and r.i = s.y and r.w > 0 join wt c on c.n = s.npix and c.i = s.x and c.w > 0 group by 1, 2, 3)
-    select k.scan_id, cast(y.v as int) as row_no, cast(x.v as int) as col_no, {sql_rnd('coalesce(px.v, 0e0)', 4)} as {name}
+    select k.scan_id, cast(y.v as int) as row_no, cast(x.v as int) as col_no, {sql_rnd('coalesce(px.v, 0e0) + 1.234e-9', 8)} as {name}
     from crop k cross join (select unnest(range(0, 16)) as v) y cross join (select unnest(range(0, 16)) as v) x left join px on px.scan_id = k.scan_id and px.row_no = y.v and px.col_no = x.v"""
 
 
@@ -227,7 +227,7 @@ def _(i):
     boxes = grids.crop_boxes(i.georefs, 8, 8)
     cells = i.index_cells.withColumn("value", radar.normalised_index(F.col("refl_idx"), REFLECTIVITY_CODES))
     small = grids.resize_bilinear(grids.crop_cells(cells, boxes), boxes, 16)
-    return small.select("scan_id", "row_no", "col_no", rnd("value", 4).alias("value"))
+    return small.select("scan_id", "row_no", "col_no", rnd(F.col("value") + 1.234e-9, 8).alias("value"))
 
 
 def index_frames(i):

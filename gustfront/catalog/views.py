@@ -84,7 +84,7 @@ VIEWS: dict[str, str] = {
     "case when event_id % 10 = 0 then 0e0 else value * 1e2 end as visibility_m, event_type as conditions from {events}",
     # labelled scans for splitting: site-days as groups
     "tensor_rows": "select report_id, concat(subtype, '_', cast(report_id as string)) as event_id, substring(cast(event_ts as string), 1, 10) as date, "
-    "concat('K', lpad(cast(floor(report_id / 4) % 10 + 1 as int), 4, '0')) as station, case when subtype = 'tornado' and mag >= 3 then 1 else 0 end as label, "
+    "concat('K', lpad(cast(cast(floor(report_id / 4) % 10 + 1 as int) as string), 4, '0')) as station, case when subtype = 'tornado' and mag >= 3 then 1 else 0 end as label, "
     "subtype, concat('tensors/', subtype, '_', cast(report_id as string), '.npy') as tensor from {storm_events}",
 }
 

@@ -22,8 +22,9 @@ def fixed_text(value: Column, digits: int) -> Column:
     whole = F.floor(size).cast("long")
     parts = ((size - whole) * F.lit(2.0**52)).cast("long") * F.lit(10**digits)
     kept, rest, half = F.shiftright(parts, 52), parts.bitwiseAND(F.lit(2**52 - 1)), F.lit(2**51)
-    up = (rest > half) | ((rest == half) & (kept % 2 == 1))
-    scaled = whole * F.lit(10**digits) + kept + up.cast("long")
+    down = whole * F.lit(10**digits) + kept
+    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    scaled = down + up.cast("long")
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     if digits == 0:
         return F.concat(sign, scaled.cast("string"))

@@ -14,13 +14,13 @@ from gustfront.operators.timeline import first_per_key
 
 
 def read_report_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Report CSV as text columns; columns are matched by header name, short rows give NULLs.
+    """Report CSV as text columns, matched by header name; an empty field is '', an absent column NULL.
 
-    ``file_year`` is the four-digit year in the file name, if any.
+    ``file_year`` is the four-digit year at the start of the file name, if any.
     """
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
-    given = [F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in STORM_REPORT.fieldNames()]
-    year = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})_", 1).try_cast("int")
+    given = [F.coalesce(F.col(n), F.lit("")).alias(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in STORM_REPORT.fieldNames()]
+    year = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4})_[^/]*\.csv", 1).try_cast("int")
     return raw.select(*given, year.alias("file_year"))
 
 
@@ -34,7 +34,7 @@ def parse_reports(raw: DataFrame, years: list[int] | Column, label: str, subtype
     wanted = year.isin(*years) if isinstance(years, (list, tuple)) else year == years
     local = F.try_to_timestamp(F.concat_ws(" ", text("date"), F.coalesce("time", F.lit("00:00:00"))), F.lit("yyyy-MM-dd HH:mm:ss"))
     typed = raw.where(wanted).select(
-        *[c for c in raw.columns if c not in (*STORM_REPORT.fieldNames(), "subtype", "file_year")],
+        *[c for c in raw.columns if c not in (*STORM_REPORT.fieldNames(), "subtype")],
         F.to_utc_timestamp(local, source_tz).alias("event_ts"),
         F.coalesce("slat", F.lit("0")).try_cast("double").alias("lat"), F.coalesce("slon", F.lit("0")).try_cast("double").alias("lon"),
         truncated_magnitude(F.col("mag")).alias("mag"), F.upper(F.trim(text("st"))).alias("st"), F.lit(label).alias("label"),
@@ -123,7 +123,7 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
 
 def committed_ids(lines: DataFrame, key: str = "event_id", schema=MANIFEST_TEXT) -> DataFrame:
     """Distinct non-empty keys of manifest lines; a cut-off last line still counts by its key."""
-    parsed = lines.select(F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">"), {"mode": "PERMISSIVE"}).alias("m"))
+    parsed = lines.select(F.from_csv("line", ", ".join(f"{name} string" for name in schema.fieldNames()), {"mode": "PERMISSIVE"}).alias("m"))
     return parsed.select(F.col(f"m.{key}").alias(key)).where(F.coalesce(key, F.lit("")) != "").distinct()
 
 

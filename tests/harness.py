@@ -48,6 +48,8 @@ def compare(spark, folder, build, twin, con=None):
     assert got_cols == want_cols, f"columns {got_cols} != {want_cols}"
     assert len(got) == len(want), f"rows {len(got)} != {len(want)}; only spark {list(set(got) - set(want))[:3]} only twin {list(set(want) - set(got))[:3]}"
     if got != want:
-        bad = [(g, w) for g, w in zip(got, want) if g != w]
-        raise AssertionError(f"{len(bad)} rows differ, e.g. {bad[:3]}")
+        from collections import Counter
+
+        mine, theirs = sorted((Counter(got) - Counter(want)).elements()), sorted((Counter(want) - Counter(got)).elements())
+        raise AssertionError(f"{len(mine)} rows differ, e.g. spark {mine[:3]} twin {theirs[:3]}")
     return len(got)
