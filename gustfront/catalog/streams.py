@@ -46,11 +46,13 @@ def _(i):
     return replay("polls", halves(i.alerts, "cycle_ts"), lambda s: suppression.allowed_active(s, F.col("cycle_ts")).select("feed_pos", "alert_id"))
 
 
-@query("t02_alert_dedupe_stream", "select distinct alert_id from {alerts}")
+@query("t02_alert_dedupe_stream", "select 'urn:' || cast(feed_pos as string) as alert_id from {alerts}")
 def _(i):
+    # every alert stays active for a second poll, and the final day's polls arrive once more
+    named = i.alerts.select(F.concat(F.lit("urn:"), F.col("feed_pos").cast("string")).alias("alert_id"), "cycle_ts")
+    polls = named.unionByName(named.withColumn("cycle_ts", F.col("cycle_ts") + F.expr("interval 5 minutes")))
     last = i.alerts.select(F.max("cycle_ts") - F.expr("interval 24 hours")).scalar()
-    again = i.alerts.where(F.col("cycle_ts") > last)  # the final day's polls arrive a second time
-    return replay("dedupe", [i.alerts, again], lambda s: feeds.dedupe_alerts(s).select("alert_id"))
+    return replay("dedupe", [polls, named.where(F.col("cycle_ts") > last)], lambda s: feeds.dedupe_alerts(s).select("alert_id"))
 
 
 @query("t03_suppression_stream", REPLAY + " select scope, alert_id, feed_pos, outcome from run where n > 0 and outcome <> 'duplicate'")

@@ -15,14 +15,17 @@ from gustfront.sinks.tables import write_snapshot
 
 
 class SuppressionProcessor(StatefulProcessor):
-    """The policy's memory of one scope: ids seen (expiring), last send per type, last send of all."""
+    """The policy's memory of one scope: ids seen, last send per type, last send of all.
+
+    Ids older than the ledger span are removed by poll time, not wall clock, so a replay of old
+    polls decides as the live run did; the sweep runs when poll time enters a new hour.
+    """
 
     def __init__(self, policy: Policy = Policy()):
         self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        keep = self.policy.keep_seconds * 1000
-        self.seen = handle.getMapState("seen", "alert_id string", "at bigint", keep)
+        self.seen = handle.getMapState("seen", "alert_id string", "at bigint")
         self.types = handle.getMapState("types", "event string", "at bigint")
         self.head = handle.getValueState("head", "last bigint, cycle bigint, sent int")
 
@@ -30,14 +33,15 @@ class SuppressionProcessor(StatefulProcessor):
         """One micro-batch of one scope. A poll lists the scope's active alerts, so this is small."""
         polls = pd.concat(list(rows), ignore_index=True).sort_values(["cycle_us", "feed_pos"])
         state = ScopeState()
+        if self.head.exists():
+            state.last, state.cycle, state.sent_in_cycle = self.head.get()
+        self.sweep(state.cycle, int(polls["cycle_us"].iloc[0]))
         for (alert_id,) in {(a,) for a in polls["alert_id"]}:
             if self.seen.containsKey((alert_id,)):
                 state.seen[alert_id] = self.seen.getValue((alert_id,))[0]
         known = dict(state.seen)
         state.by_type = {k[0]: v[0] for k, v in self.types.iterator()}
         before = dict(state.by_type)
-        if self.head.exists():
-            state.last, state.cycle, state.sent_in_cycle = self.head.get()
         out = []
         for alert_id, event, now, pos, delivered in zip(polls["alert_id"], polls["event"], polls["cycle_us"].tolist(), polls["feed_pos"].tolist(), polls["delivered"].tolist()):
             state.enter(now, self.policy)
@@ -53,6 +57,13 @@ class SuppressionProcessor(StatefulProcessor):
         self.head.update((state.last, state.cycle, state.sent_in_cycle))
         yield pd.DataFrame(out, columns=["scope", "alert_id", "cycle_us", "feed_pos", "outcome"])
 
+    def sweep(self, previous: int | None, now: int) -> None:
+        if previous is None or previous // 3_600_000_000 == now // 3_600_000_000:
+            return
+        cutoff = now - self.policy.keep_seconds * 1_000_000
+        for alert_id in [key for key, at in self.seen.iterator() if at[0] < cutoff]:
+            self.seen.removeKey(alert_id)
+
     def close(self) -> None:
         pass
 
@@ -65,7 +76,7 @@ def suppress_stream(alerts: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """
     slim = alerts.select(F.col("scope").cast("string").alias("scope"), "alert_id", "event", F.unix_micros("cycle_ts").alias("cycle_us"), F.col("feed_pos").cast("long").alias("feed_pos"), "delivered")
     decided = slim.groupBy("scope").transformWithStateInPandas(
-        statefulProcessor=SuppressionProcessor(policy), outputStructType=DECISIONS, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=SuppressionProcessor(policy), outputStructType=DECISIONS, outputMode="Append", timeMode="None"
     )
     return decided.withColumn("cycle_ts", F.timestamp_micros("cycle_us")).drop("cycle_us")
 
