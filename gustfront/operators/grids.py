@@ -26,13 +26,16 @@ def grid_statistics(cells: DataFrame) -> DataFrame:
 
 
 def compare_grids(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Error metrics of two grids per scan; ``same_shape`` is false (and metrics NULL) otherwise."""
+    """Error metrics of two grids per scan; shapes must agree, else ``same_shape`` is false and metrics NULL.
+
+    The correlation of a constant grid is NaN.
+    """
     keys = ["scan_id", "row_no", "col_no"]
     both = left.select(*keys, F.col("value").alias("a")).join(right.select(*keys, F.col("value").alias("b")), keys, "full")
     diff = F.abs(F.col("a") - F.col("b"))
     out = both.groupBy("scan_id").agg(
         (F.count_if(F.col("a").isNull() | F.col("b").isNull()) == 0).alias("same_shape"), F.avg(diff).alias("mae"), F.max(diff).alias("max_error"),
-        F.sqrt(F.avg(diff * diff)).alias("rmse"), percent(F.count_if(diff == 0), F.count("*")).alias("exact_matches"), F.corr("a", "b").alias("correlation"),
+        F.sqrt(F.avg(diff * diff)).alias("rmse"), percent(F.count_if(diff == 0), F.count("*")).alias("exact_matches"), F.coalesce(F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0)), F.lit(float("nan"))).alias("correlation"),
     )
     metrics = ["mae", "max_error", "rmse", "exact_matches", "correlation"]
     return out.select("scan_id", "same_shape", *[F.when(F.col("same_shape"), F.col(m)).alias(m) for m in metrics])

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from gustfront.constants import VALUE_RANGE
 from gustfront.functions.numbers import round_even
-from gustfront.session import fits
+from gustfront.session import deal_out, fits
 
-PALETTE_ROWS = 20_000
-CUBE = 32
+PALETTE_ROWS = 4_000
+CUBE = 16
 _X_BITS = 20
 
 
@@ -39,7 +39,7 @@ def duplicate_colours(palette: DataFrame) -> DataFrame:
 
 
 def _cube(channel: Column) -> Column:
-    return F.floor(channel / CUBE).cast("int")
+    return F.shiftright(channel, CUBE.bit_length() - 1)
 
 
 def _cube_id(r: Column, g: Column, b: Column) -> Column:
@@ -51,7 +51,7 @@ def cube_candidates(palette: DataFrame) -> DataFrame:
     """For each colour cube, the palette entries that can be nearest to some colour inside it.
 
     An entry is kept when its smallest distance to the cube does not exceed the best guaranteed
-    (largest) distance of any entry. The table has at most 512 cubes.
+    (largest) distance of any entry. The table has at most 4096 cubes.
     """
     first = palette.groupBy("r", "g", "b").agg(F.min("x").alias("x"), F.min_by("value", "x").alias("value"))
     cubes = first.withColumn("cube", F.explode(F.sequence(F.lit(0), F.lit((256 // CUBE) ** 3 - 1))))
@@ -73,22 +73,24 @@ def _squared(entry, r: Column, g: Column, b: Column) -> Column:
     return (dr * dr + dg * dg + db * db).cast("long")
 
 
-def palette_lookup(pixels: DataFrame, palette: DataFrame, palette_rows: int = PALETTE_ROWS) -> DataFrame:
+def palette_lookup(pixels: DataFrame, palette: DataFrame, palette_rows: int = PALETTE_ROWS, few_colours: bool = False) -> DataFrame:
     """Add ``value``, ``palette_x`` and ``colour_d2`` of the nearest palette colour to every pixel.
 
     With a palette of proven size the candidates of each cube travel as one broadcast array and
-    pixels are only mapped. Otherwise distinct colours are reduced first and joined back.
-    Equal distances go to the smallest x.
+    pixels are only mapped. Otherwise, or for frames drawn in ``few_colours``, distinct colours
+    (at most 2**24) are reduced first and joined back, where the engine broadcasts a small result
+    and splits hot colours of a large one. Equal distances go to the smallest x.
     """
-    candidates = cube_candidates(palette)
-    if fits(palette, palette_rows):
+    if not few_colours and fits(palette, palette_rows):
+        candidates = cube_candidates(palette)
         table = candidates.groupBy("cube").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "value"))).alias("near"))
         found = pixels.withColumn("cube", _cube_id(F.col("r"), F.col("g"), F.col("b"))).join(F.broadcast(table), "cube")
-        best = F.array_min(
-            F.transform("near", lambda p: F.struct(_squared(p, F.col("r"), F.col("g"), F.col("b")).alias("d2"), p["x"].alias("x"), p["value"].alias("value")))
-        )
+        # squared distance and place in the x-ordered list share one integer
+        code = F.array_min(F.transform("near", lambda p, n: _squared(p, F.col("r"), F.col("g"), F.col("b")) * (1 << _X_BITS) + n))
+        found = found.withColumn("code", code)
+        best = F.get("near", (F.col("code") % (1 << _X_BITS)).cast("int"))
         found = found.withColumn("best", best)
-        return found.select(*pixels.columns, F.col("best.value").alias("value"), F.col("best.x").alias("palette_x"), F.col("best.d2").alias("colour_d2"))
+        return found.select(*pixels.columns, F.col("best.value").alias("value"), F.col("best.x").alias("palette_x"), F.shiftright("code", _X_BITS).alias("colour_d2"))
     return pixels.join(nearest_colours(pixels.select("r", "g", "b").distinct(), palette), ["r", "g", "b"]).select(
         *pixels.columns, "value", "palette_x", "colour_d2"
     )
@@ -109,7 +111,7 @@ def nearest_colours(colours: DataFrame, palette: DataFrame) -> DataFrame:
     )
 
 
-def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "reflectivity", bins: int = 256) -> DataFrame:
+def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "reflectivity", bins: int = 1024) -> DataFrame:
     """Add the colour whose scale value is closest to the (clamped) cell value; first x wins ties.
 
     The one-dimensional form of the cube table: the range is cut into bins, and a bin keeps the
@@ -131,7 +133,7 @@ def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "ref
     best = F.array_min(
         F.transform("entries", lambda p: F.struct(F.abs(p["value"] - clamped).alias("d"), p["x"].alias("x"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b")))
     )
-    shaped = cells.withColumn("slot", slot)
+    shaped = deal_out(cells).withColumn("slot", slot)
     shaped = shaped.join(F.broadcast(table), "slot") if fits(palette, PALETTE_ROWS) else shaped.join(table, "slot")
     return shaped.withColumn("best", best).select(*cells.columns, "best.r", "best.g", "best.b")
 
@@ -144,9 +146,9 @@ def stride_sample(frames: DataFrame, step: int) -> DataFrame:
     return kept.withColumn("row_no", F.floor(F.col("row_no") / step).cast("int")).withColumn("col_no", F.floor(F.col("col_no") / step).cast("int"))
 
 
-def convert_frames(pixels: DataFrame, palette: DataFrame, sample_rate: int = 1) -> DataFrame:
+def convert_frames(pixels: DataFrame, palette: DataFrame, sample_rate: int = 1, few_colours: bool = False) -> DataFrame:
     """Pixels to grid cells: stride first, then lookup, values to two decimals."""
-    found = palette_lookup(stride_sample(pixels, sample_rate), palette)
+    found = palette_lookup(stride_sample(pixels, sample_rate), palette, few_colours=few_colours)
     return found.select("scan_id", "row_no", "col_no", round_even(F.col("value"), 2).alias("value"))
 
 

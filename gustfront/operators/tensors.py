@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gustfront.constants import BOX_KM, REFLECTIVITY_CODES, TENSOR_SIDE, VELOCITY_CODES
 from gustfront.operators.grids import crop_boxes
+from gustfront.session import deal_out
 
 
 @lru_cache(maxsize=512)
@@ -52,7 +53,7 @@ def build_tensors(frames: DataFrame, box_km: float = BOX_KM, out: int = TENSOR_S
     floats), ``in_bounds`` and ``has_velocity``.
     """
     kind = dict(frames.dtypes)["scan_id"]
-    boxed = crop_boxes(frames, F.col("height"), F.col("width"), box_km, keep=["height", "width", "refl", "vel"])
+    boxed = crop_boxes(deal_out(frames), F.col("height"), F.col("width"), box_km, keep=["height", "width", "refl", "vel"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

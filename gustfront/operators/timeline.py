@@ -84,19 +84,32 @@ def recent_sends(
 ) -> DataFrame:
     """For each distinct request, earliest and latest ``sent`` row inside the look-back (cutoff included).
 
-    Ledger rows are repeated for the two slots they can serve, and a RANGE frame runs per slot.
+    Sent rows are repeated for the two slots they can serve. A request stands once at its own time,
+    to see the last send before it, and once at its cutoff, to see the first send after that; both
+    are running values, so a busy slot costs one sort rather than one scan per row.
     """
     by = by or []
-    slot = lambda c: F.floor(F.unix_micros(c) / (window_seconds * 1_000_000)).cast("long")
+    width = window_seconds * 1_000_000
+    slot = lambda c: F.floor(F.unix_micros(c) / width).cast("long")
+    none = F.lit(None).cast("long")
     sent = ledger.where(F.col("outcome") == "sent").select(*by, F.col("sent_at")).distinct()
     sent = sent.withColumn("_slot", F.explode(F.array(slot("sent_at"), slot("sent_at") + 1)))
-    asked = requests.select(*by, F.col(at)).distinct().withColumn("_slot", slot(at))
-    line = sent.select(*by, "_slot", F.unix_micros("sent_at").alias("_us"), F.unix_micros("sent_at").alias("_sent"), F.lit(None).cast("timestamp").alias(at))
-    line = line.unionByName(asked.select(*by, "_slot", F.unix_micros(at).alias("_us"), F.lit(None).cast("long").alias("_sent"), at))
-    frame = Window.partitionBy(*by, "_slot").orderBy("_us").rangeBetween(-window_seconds * 1_000_000, 0)
-    seen = line.select("*", F.min("_sent").over(frame).alias("_first"), F.max("_sent").over(frame).alias("_last")).where(F.col(at).isNotNull())
-    return seen.select(
-        *by, at, F.timestamp_micros("_first").alias("first_sent"), F.timestamp_micros("_last").alias("latest_sent"), F.col("_last").isNotNull().alias("recent")
+    asked = requests.select(*by, F.unix_micros(at).alias("_at"), slot(at).alias("_slot")).distinct()
+    us = F.unix_micros("sent_at")
+    line = sent.select(*by, "_slot", us.alias("_us"), us.alias("_sent"), none.alias("_at"), F.lit(0).alias("_side"))
+    line = line.unionByName(asked.select(*by, "_slot", F.col("_at").alias("_us"), none.alias("_sent"), "_at", F.lit(1).alias("_side")))
+    line = line.unionByName(asked.select(*by, "_slot", (F.col("_at") - width).alias("_us"), none.alias("_sent"), "_at", F.lit(2).alias("_side")))
+    group = Window.partitionBy(*by, "_slot")
+    upward = group.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    downward = group.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
+    seen = line.select(*by, "_at", "_side", F.max("_sent").over(upward).alias("_last"), F.min("_sent").over(downward).alias("_first"))
+    both = seen.where("_side > 0").groupBy(*by, "_at").agg(
+        F.max(F.when((F.col("_side") == 1) & (F.col("_last") >= F.col("_at") - width), F.col("_last"))).alias("_last"),
+        F.max(F.when((F.col("_side") == 2) & (F.col("_first") <= F.col("_at")), F.col("_first"))).alias("_first"),
+    )
+    return both.select(
+        *by, F.timestamp_micros("_at").alias(at), F.timestamp_micros("_first").alias("first_sent"), F.timestamp_micros("_last").alias("latest_sent"),
+        F.col("_last").isNotNull().alias("recent"),
     )
 
 

@@ -11,6 +11,7 @@ from gustfront.functions.numbers import truncated_magnitude
 from gustfront.functions.radar import in_bbox, off_null_island, strong_enough
 from gustfront.schemas import MANIFEST_TEXT, STATION_COLLECTION, STORM_REPORT, TENSOR_MANIFEST_TEXT
 from gustfront.operators.timeline import first_per_key
+from gustfront.session import deal_out
 
 
 def read_report_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -33,7 +34,7 @@ def parse_reports(raw: DataFrame, years: list[int] | Column, label: str, subtype
     year = F.trim("yr").try_cast("int")
     wanted = year.isin(*years) if isinstance(years, (list, tuple)) else year == years
     local = F.try_to_timestamp(F.concat_ws(" ", text("date"), F.coalesce("time", F.lit("00:00:00"))), F.lit("yyyy-MM-dd HH:mm:ss"))
-    typed = raw.where(wanted).select(
+    typed = deal_out(raw.where(wanted)).select(
         *[c for c in raw.columns if c not in (*STORM_REPORT.fieldNames(), "subtype")],
         F.to_utc_timestamp(local, source_tz).alias("event_ts"),
         F.coalesce("slat", F.lit("0")).try_cast("double").alias("lat"), F.coalesce("slon", F.lit("0")).try_cast("double").alias("lon"),
@@ -103,15 +104,16 @@ def warning_events(vertices: DataFrame, years: list[int] | None = None) -> DataF
 def parse_listings(pages: DataFrame) -> DataFrame:
     """Scan files named in directory-listing pages ``(site, product, html)``.
 
-    Names with impossible times are skipped; repeats of a time collapse.
+    Names with impossible times are skipped; repeats of a time collapse. Site, product and time make
+    up the file name, so whole rows are deduplicated.
     """
     names = F.regexp_extract_all("html", F.lit(r"([A-Za-z0-9]+_[A-Z0-9]{3}_\d{12})\.png"), F.lit(1))
-    found = pages.select("site", "product", F.explode(names).alias("name"))
+    found = deal_out(pages).select("site", "product", F.explode(names).alias("name"))
     mine = found.where(F.substring_index("name", "_", 2) == F.concat_ws("_", "site", "product"))
     ts = F.try_to_timestamp(F.substring_index("name", "_", -1), F.lit("yyyyMMddHHmm"))
     return mine.select(
         F.concat(F.lit("K"), F.col("site")).alias("station"), "product", ts.alias("scan_ts"), F.concat("name", F.lit(".png")).alias("file")
-    ).where("scan_ts is not null").dropDuplicates(["station", "product", "scan_ts"])
+    ).where("scan_ts is not null").distinct()
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:

@@ -31,7 +31,7 @@ def convert_images(images: DataFrame, palettes: dict[str, DataFrame], sample_rat
     out = None
     for kind, palette in palettes.items():
         pixels = image_pixels(typed.where(F.col("radar_type") == kind), "origin").withColumnRenamed("origin", "scan_id")
-        grids = grid_documents(convert_frames(pixels, palette, sample_rate), kind, sample_rate, file_name(F.col("scan_id")))
+        grids = grid_documents(convert_frames(pixels, palette, sample_rate, few_colours=True), kind, sample_rate, file_name(F.col("scan_id")))
         out = grids if out is None else out.unionByName(grids)
     return out
 
