@@ -245,7 +245,7 @@ def _(i):
     bodies = [F.lit("Weather Report"), F.concat(F.lit("Station: "), "station"), wind, pressure, F.lit("End")]
     parts = F.array(*[F.struct(F.lit(n).alias("ordinal"), b.alias("body")) for n, b in enumerate(bodies)])
     sections = o.select("obs_id", F.explode(parts).alias("s")).select("obs_id", "s.*")
-    return service.assemble_report(sections, ["obs_id"]).withColumn("report", F.md5("report"))
+    return service.assemble_report(sections, ["obs_id"], len(bodies)).withColumn("report", F.md5("report"))
 
 
 @query("k10_retention", f"select event_id from {{events}} where ts >= {AS_OF} - interval '14' day")

@@ -36,12 +36,16 @@ def closest_scans(
 ) -> DataFrame:
     """The ``k`` scans of the event's site closest in time within [-before, +after] minutes.
 
-    With ``identity`` (the event id) only the first event, by ``key``, that has scans keeps the id.
+    With ``identity`` (the event id) only the first event, by ``key``, that has scans keeps the id;
+    reports of one id and instant see the same scans, so they collapse before any join.
 
     Events are repeated for the one or two time slots their window touches and meet scans on
     (site, slot), so a busy site is split over time. Ties go to the earlier scan.
     """
     slot = (before_min + after_min) * 60
+    if identity is not None:
+        first = F.min_by(F.struct(*events.columns), key).alias("first")
+        events = events.groupBy(F.col(identity).alias("_id"), F.col("station").alias("_s"), F.col("event_ts").alias("_ts")).agg(first).select("first.*")
     spread = events.withColumn(
         "slot", F.explode(F.sequence(_slot(F.col("event_ts"), slot, -before_min * 60), _slot(F.col("event_ts"), slot, after_min * 60)))
     )

@@ -111,7 +111,7 @@ def nearest_colours(colours: DataFrame, palette: DataFrame) -> DataFrame:
     )
 
 
-def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "reflectivity", bins: int = 1024) -> DataFrame:
+def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "reflectivity", bins: int = 1024, palette_rows: int = PALETTE_ROWS) -> DataFrame:
     """Add the colour whose scale value is closest to the (clamped) cell value; first x wins ties.
 
     The one-dimensional form of the cube table: the range is cut into bins, and a bin keeps the
@@ -129,12 +129,17 @@ def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "ref
     ranged = spread.withColumn("near", near).withColumn("far", far)
     limit = ranged.groupBy("slot").agg(F.min("far").alias("limit"))
     kept = ranged.join(limit, "slot").where(F.col("near") <= F.col("limit") + 1e-9)
+    if not fits(palette, palette_rows):
+        # distinct values meet the candidates of their bin row by row and are joined back
+        keyed = cells.withColumn("_v", clamped)
+        values = keyed.select(F.col("_v"), slot.alias("slot")).distinct().join(kept.withColumnRenamed("value", "p_value"), "slot")
+        nearest = values.groupBy("_v").agg(F.min(F.struct(F.abs(F.col("p_value") - F.col("_v")).alias("d"), "x", "r", "g", "b")).alias("best"))
+        return keyed.join(nearest, "_v").select(*cells.columns, "best.r", "best.g", "best.b")
     table = kept.groupBy("slot").agg(F.collect_list(F.struct("value", "x", "r", "g", "b")).alias("entries"))
     best = F.array_min(
         F.transform("entries", lambda p: F.struct(F.abs(p["value"] - clamped).alias("d"), p["x"].alias("x"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b")))
     )
-    shaped = deal_out(cells).withColumn("slot", slot)
-    shaped = shaped.join(F.broadcast(table), "slot") if fits(palette, PALETTE_ROWS) else shaped.join(table, "slot")
+    shaped = deal_out(cells).withColumn("slot", slot).join(F.broadcast(table), "slot")
     return shaped.withColumn("best", best).select(*cells.columns, "best.r", "best.g", "best.b")
 
 

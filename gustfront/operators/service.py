@@ -100,10 +100,13 @@ def batch_summary(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     return log.groupBy(*(by or [])).agg(F.count("*").alias("total_images"), F.sum("secs").alias("total_time"), F.avg("secs").alias("avg_time"))
 
 
-def assemble_report(sections: DataFrame, keys: list[str]) -> DataFrame:
-    """Report text per key from its sections in ordinal order; a report has a handful of sections."""
-    parts = F.array_sort(F.collect_list(F.struct("ordinal", "body")))
-    return sections.where(F.col("body").isNotNull()).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["body"]), "\n").alias("report"))
+def assemble_report(sections: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    """Report text per key from ``sections(ordinal, body)`` in ordinal order; absent sections leave nothing.
+
+    ``slots`` is the number of sections a report can have, so each is one plain aggregate.
+    """
+    bodies = [F.max(F.when(F.col("ordinal") == n, F.col("body"))) for n in range(slots)]
+    return sections.groupBy(*keys).agg(F.concat_ws("\n", *bodies).alias("report"))
 
 
 def expired_before(files: DataFrame, modified: str, as_of: Column, days: int) -> DataFrame:

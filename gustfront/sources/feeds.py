@@ -70,7 +70,7 @@ def readable(documents: DataFrame, schema: T.StructType, text: str = "body") ->
 def read_status(spark: SparkSession, path: str, schema: T.StructType = SCORE_STATUS) -> DataFrame:
     """Status files, one JSON document each; a missing or broken file has no row."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], schema).drop("_corrupt_record")
     return readable(text.withColumnRenamed("value", "body"), schema).select("doc.*").drop("_corrupt_record")

@@ -56,7 +56,7 @@ def parse_world(files: DataFrame, text: str = "value") -> DataFrame:
 
 def read_georefs(spark: SparkSession, folder: str) -> DataFrame:
     """Georeference per station from ``{station}.wld`` files."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.wld").text(folder)
+    text = spark.read.text(folder, wholetext=True, pathGlobFilter="*.wld")
     named = text.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.wld$", "").alias("station"), "value")
     return parse_world(named).drop("value")
 
@@ -99,7 +99,7 @@ def index_pixels(pixels: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def read_grids(spark: SparkSession, path: str) -> DataFrame:
     """Value-grid documents, with the document size for validation."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return parse_grids(text.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body")))
 
 

@@ -118,7 +118,7 @@ def parse_listings(pages: DataFrame) -> DataFrame:
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Saved listing pages below ``.../{site}/{product}/``, one page per file."""
-    pages = spark.read.option("wholetext", True).text(path)
+    pages = spark.read.text(path, wholetext=True)
     part = lambda n: F.element_at(F.split(F.col("_metadata.file_path"), "/"), n)
     return parse_listings(pages.select(part(-3).alias("site"), part(-2).alias("product"), F.col("value").alias("html")))
 

@@ -187,11 +187,12 @@ def test_palette_lookup_brute_force(spark, rows, few):
     assert got == {n: int(x) for n, x in enumerate(d2.argmin(axis=1))} and got[0] == 7
 
 
-def test_value_to_colour_brute_force(spark):
+@pytest.mark.parametrize("rows", [4000, 0])
+def test_value_to_colour_brute_force(spark, rows):
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.uniform(-60, 110, 500), [-20.0, 70.0, 25.0]])
     pal = [(x, x, 0, 255 - x, -20 + 90 * (x / 200)) for x in range(200)]
-    got = palette.value_to_colour(spark.createDataFrame([(n, float(v)) for n, v in enumerate(values)], "id int, value double"), spark.createDataFrame(pal, "x int, r int, g int, b int, value double"))
+    got = palette.value_to_colour(spark.createDataFrame([(n, float(v)) for n, v in enumerate(values)], "id int, value double"), spark.createDataFrame(pal, "x int, r int, g int, b int, value double"), palette_rows=rows)
     scale = np.array([p[4] for p in pal])
     for r in got.collect():
         assert r.r == int(np.abs(scale - min(70, max(-20, values[r.id]))).argmin())
