@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustfront.constants import VALUE_RANGE
@@ -47,25 +47,31 @@ def _cube_id(r: Column, g: Column, b: Column) -> Column:
     return (_cube(r) * side + _cube(g)) * side + _cube(b)
 
 
+def _can_be_nearest(entries: DataFrame, side: int) -> DataFrame:
+    """Cut each cube (corner ``lr, lg, lb``) into cubes of ``side``, four per axis, and keep per cube
+    the entries whose smallest distance to it is within the best guaranteed (largest) distance of any."""
+    part = F.col("part")
+    cut = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    cut = cut.withColumn("lr", F.col("lr") + F.shiftright(part, 4) * side).withColumn("lg", F.col("lg") + F.shiftright(part, 2) % 4 * side).withColumn("lb", F.col("lb") + part % 4 * side)
+    nearest = farthest = F.lit(0)
+    for c in "rgb":
+        low, high = F.col(f"l{c}"), F.col(f"l{c}") + (side - 1)
+        inside, outside = F.greatest(low - F.col(c), F.col(c) - high, F.lit(0)), F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - high))
+        nearest, farthest = nearest + inside * inside, farthest + outside * outside
+    bounded = cut.withColumn("near", nearest).withColumn("limit", F.min(farthest).over(Window.partitionBy("lr", "lg", "lb")))
+    return bounded.where("near <= limit").drop("part", "near", "limit")
+
+
 def cube_candidates(palette: DataFrame) -> DataFrame:
-    """For each colour cube, the palette entries that can be nearest to some colour inside it.
+    """For each of 4096 colour cubes, the palette entries that can be nearest to some colour inside it.
 
-    An entry is kept when its smallest distance to the cube does not exceed the best guaranteed
-    (largest) distance of any entry. The table has at most 4096 cubes.
+    Two rounds of cutting (64 cubes, then 64 in each) keep the work far below palette times cubes;
+    what a large cube rules out is ruled out for its parts.
     """
     first = palette.groupBy("r", "g", "b").agg(F.min("x").alias("x"), F.min_by("value", "x").alias("value"))
-    cubes = first.withColumn("cube", F.explode(F.sequence(F.lit(0), F.lit((256 // CUBE) ** 3 - 1))))
-    side = 256 // CUBE
-    low = [F.floor(F.col("cube") / (side * side)) * CUBE, (F.floor(F.col("cube") / side) % side) * CUBE, (F.col("cube") % side) * CUBE]
-    nearest = farthest = F.lit(0)
-    for lo, name in zip(low, ("r", "g", "b")):
-        c = F.col(name)
-        inside = F.greatest(lo - c, c - (lo + CUBE - 1), F.lit(0))
-        outside = F.greatest(F.abs(c - lo), F.abs(c - (lo + CUBE - 1)))
-        nearest, farthest = nearest + inside * inside, farthest + outside * outside
-    ranged = cubes.select("cube", "x", "r", "g", "b", "value", nearest.cast("long").alias("near"), farthest.cast("long").alias("far"))
-    limit = ranged.groupBy("cube").agg(F.min("far").alias("limit"))
-    return ranged.join(limit, "cube").where("near <= limit").select("cube", "x", "r", "g", "b", "value")
+    whole = first.withColumn("lr", F.lit(0)).withColumn("lg", F.lit(0)).withColumn("lb", F.lit(0))
+    kept = _can_be_nearest(_can_be_nearest(whole, 4 * CUBE), CUBE)
+    return kept.select(_cube_id(F.col("lr"), F.col("lg"), F.col("lb")).alias("cube"), "x", "r", "g", "b", "value")
 
 
 def _squared(entry, r: Column, g: Column, b: Column) -> Column:
