@@ -57,6 +57,16 @@ def _(i):
     return kept.select("report_id", stamp("event_ts").alias("event_ts"))
 
 
+@query(
+    "j02_collectable_events",
+    f"""select report_id, subtype from {{storm_events}} where subtype <> 'warning_no_torn' union all select w.report_id, w.subtype from {{storm_events}} w where w.subtype = 'warning_no_torn' and not exists (
+      select 1 from {{storm_events}} t where t.subtype = 'tornado' and t.mag >= 3 and abs(epoch_us(w.event_ts) - epoch_us(t.event_ts)) <= 2700000000
+      and {sql_km('w.lat', 'w.lon', 't.lat', 't.lon')} <= 30)""",
+)
+def _(i):
+    return dataset.collectable_events(i.storm_events, exclusion_min_mag=3).select("report_id", "subtype")
+
+
 LISTED = """listed as (select station, product, date_trunc('minute', scan_ts) as scan_ts, min(scan_id) as scan_id from {scans} group by 1, 2, 3)"""
 CHOSEN = f"""chosen as (select * from (select r.report_id, r.station, r.km, l.scan_id, l.scan_ts, e.event_ts, e.subtype, e.mag, e.lat, e.lon,
   row_number() over (partition by r.report_id order by abs(epoch_us(l.scan_ts) - epoch_us(e.event_ts)), l.scan_ts) as n

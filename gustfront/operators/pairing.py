@@ -123,7 +123,7 @@ def newest_pair(reflectivity: DataFrame, velocity: DataFrame, as_of: Column, tol
     return paired.withColumn("reason", F.coalesce(reason, F.lit("paired")))
 
 
-def last_known(requests: DataFrame, facts: DataFrame, request_ts: str, fact_ts: str, fact_id: str, slot_seconds: int = 3600) -> DataFrame:
+def last_known(requests: DataFrame, facts: DataFrame, request_ts: str, fact_ts: str, fact_id: str, slot_seconds: int = 600) -> DataFrame:
     """For each distinct request time, the latest fact at or before it (one global timeline).
 
     Both sides shrink to distinct times first. Time is cut into slots; a slot's opening value comes

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gustfront.constants import CAPTURE_INTERVAL_SECONDS, COOL_OFF_SECONDS, DAILY_CAP_SECONDS
 from gustfront.session import materialise
 
-HOUR = 3600
+SLOT_SECONDS = 600
 
 
 def along_time(
@@ -23,7 +23,7 @@ def along_time(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
-    slot_seconds: int = HOUR,
+    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
     """Add running sums, last non-null values (current row included) and previous-row values.
 
@@ -84,32 +84,31 @@ def recent_sends(
 ) -> DataFrame:
     """For each distinct request, earliest and latest ``sent`` row inside the look-back (cutoff included).
 
-    Sent rows are repeated for the two slots they can serve. A request stands once at its own time,
-    to see the last send before it, and once at its cutoff, to see the first send after that; both
-    are running values, so a busy slot costs one sort rather than one scan per row.
+    A request stands at its own time to see the last send before it, and, on the reversed timeline,
+    at its cutoff to see the first send after that. Both are last-known values over short slots, so
+    neither a busy type nor a busy day ends up in one group.
     """
     by = by or []
     width = window_seconds * 1_000_000
-    slot = lambda c: F.floor(F.unix_micros(c) / width).cast("long")
     none = F.lit(None).cast("long")
-    sent = ledger.where(F.col("outcome") == "sent").select(*by, F.col("sent_at")).distinct()
-    sent = sent.withColumn("_slot", F.explode(F.array(slot("sent_at"), slot("sent_at") + 1)))
-    asked = requests.select(*by, F.unix_micros(at).alias("_at"), slot(at).alias("_slot")).distinct()
     us = F.unix_micros("sent_at")
-    line = sent.select(*by, "_slot", us.alias("_us"), us.alias("_sent"), none.alias("_at"), F.lit(0).alias("_side"))
-    line = line.unionByName(asked.select(*by, "_slot", F.col("_at").alias("_us"), none.alias("_sent"), "_at", F.lit(1).alias("_side")))
-    line = line.unionByName(asked.select(*by, "_slot", (F.col("_at") - width).alias("_us"), none.alias("_sent"), "_at", F.lit(2).alias("_side")))
-    group = Window.partitionBy(*by, "_slot")
-    upward = group.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    downward = group.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
-    seen = line.select(*by, "_at", "_side", F.max("_sent").over(upward).alias("_last"), F.min("_sent").over(downward).alias("_first"))
-    both = seen.where("_side > 0").groupBy(*by, "_at").agg(
-        F.max(F.when((F.col("_side") == 1) & (F.col("_last") >= F.col("_at") - width), F.col("_last"))).alias("_last"),
-        F.max(F.when((F.col("_side") == 2) & (F.col("_first") <= F.col("_at")), F.col("_first"))).alias("_first"),
-    )
+    sent = ledger.where(F.col("outcome") == "sent").select(*by, us.alias("_sent")).distinct()
+    asked = requests.select(*by, F.unix_micros(at).alias("_at")).distinct()
+
+    def seen(sent_at: Column, asked_at: Column, name: str) -> DataFrame:
+        facts = sent.select(*by, F.timestamp_micros(sent_at).alias("_t"), F.lit(0).alias("_side"), "_sent", none.alias("_at"))
+        asks = asked.select(*by, F.timestamp_micros(asked_at).alias("_t"), F.lit(1).alias("_side"), none.alias("_sent"), "_at")
+        line = along_time(facts.unionByName(asks), by, "_t", "_side", lasts={name: F.col("_sent")})
+        return line.where("_side = 1").select(*by, "_at", name)
+
+    before = seen(F.col("_sent"), F.col("_at"), "_last")
+    after = seen(-F.col("_sent"), width - F.col("_at"), "_first")
+    both = before.join(after, [*by, "_at"])
+    last = F.when(F.col("_last") >= F.col("_at") - width, F.col("_last"))
+    first = F.when(F.col("_first") <= F.col("_at"), F.col("_first"))
     return both.select(
-        *by, F.timestamp_micros("_at").alias(at), F.timestamp_micros("_first").alias("first_sent"), F.timestamp_micros("_last").alias("latest_sent"),
-        F.col("_last").isNotNull().alias("recent"),
+        *by, F.timestamp_micros("_at").alias(at), F.timestamp_micros(first).alias("first_sent"), F.timestamp_micros(last).alias("latest_sent"),
+        last.isNotNull().alias("recent"),
     )
 
 
