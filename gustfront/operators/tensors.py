@@ -7,7 +7,6 @@ small matrix products per raster inside Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,6 @@ from gustfront.operators.grids import crop_boxes
 from gustfront.session import deal_out
 
 
-@lru_cache(maxsize=512)
 def weight_matrix(n: int, out: int) -> np.ndarray:
     """``out`` x ``n`` triangle-filter weights; rows sum to one."""
     scale = n / out
@@ -56,10 +54,14 @@ def build_tensors(frames: DataFrame, box_km: float = BOX_KM, out: int = TENSOR_S
     boxed = crop_boxes(deal_out(frames), F.col("height"), F.col("width"), box_km, keep=["height", "width", "refl", "vel"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                weights = weight_matrix(int(row.npix), out)
+                side = int(row.npix)
+                if side not in known:
+                    known[side] = weight_matrix(side, out)
+                weights = known[side]
                 planes = []
                 for values, codes in ((row.refl, REFLECTIVITY_CODES), (row.vel, VELOCITY_CODES)):
                     if values is None:

@@ -195,3 +195,17 @@ def test_frame_stream_from_pictures(spark, tmp_path):
     assert np.allclose(grid[0].data, np.round(-20 + 90 * picks[::2, ::2] / 25, 2)) and grid[0].metadata.sampled_dimensions.width == 6
     log = spark.read.parquet(str(tmp_path / "log")).collect()
     assert [(r.success, r.filename, r.error) for r in log] == [(True, "radar_base_reflectivity_7.png", None)]
+
+
+def test_worker_code_needs_no_installed_package(tmp_path):
+    """Processors and batch functions unpickle in a process that cannot import the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    path = tmp_path / "f.pkl"
+    path.write_bytes(cloudpickle.dumps((stateful.SuppressionProcessor(), stateful.EdgeProcessor(), suppression.ScopeState())))
+    code = f"import pickle; s = pickle.load(open({str(path)!r}, 'rb'))[2]; print(s.decide('a', 'e', 1, True, __import__('types').SimpleNamespace(cycle_cap=5, cap_seconds=1, cool_off_seconds=1, bypass=())))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "sent", done.stderr
