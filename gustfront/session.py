@@ -35,11 +35,14 @@ def use_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where no folder is set at all (local tests) is a temporary one made and recorded.
+    Where none is set, a local master (tests) gets a temporary one; a cluster is refused, since its
+    executors would each write to a disk of their own.
     """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
