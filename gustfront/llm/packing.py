@@ -37,7 +37,7 @@ CACHED_WORDS = 400_000
 
 # Letters and numbers of Latin-1; texts with other characters take the slower general splitter.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-_SPACE = r" \t\n\r\x0b\x0c\x1c-\x1f\x85\xa0"
+_SPACE = r" \t\n\r\x0b\x0c\x85\xa0"
 _PLAIN = re.compile("[\x00-\xff]*")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
