@@ -4,7 +4,8 @@
 fails its check is dropped without a retry. All scans are linear in the text.
 
 **Bootstrap.** Tokens that hold a digit or ``@`` and lie outside the base spans are candidates. Seeds and candidates are instances;
-the words around them induce lexical patterns: two words before, two after, one on either side, each with the token's shape class.
+the words around them induce lexical patterns: two words before, two after, one on either side, each with the token's shape
+class, and two before with one after for any shape.
 Spark scores the bipartite graph of patterns and instances in rounds: a pattern's confidence is the smoothed mean of its distinct
 instances' scores, an instance's score the noisy-or over its supported patterns (seeds stay at 1). Patterns with enough
 distinct seeds and high confidence discover the candidates they surround; these spans are added under the kind ``id``.
@@ -142,6 +143,8 @@ def patterns_of(text: str, start: int, end: int) -> list[int]:
         named.append(f"a\t{after[0]}\t{after[1]}\t{kind}")
     if before and after:
         named.append(f"m\t{before[-1]}\t{after[0]}\t{kind}")
+    if len(before) == 2 and after:
+        named.append(f"w\t{before[0]}\t{before[1]}\t{after[0]}")
     return [_hash(x) for x in named]
 
 
