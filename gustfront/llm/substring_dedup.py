@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,10 +154,11 @@ def bucketed_texts(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
 
     def step(batch: pa.RecordBatch) -> dict:
-        words = [split_words(t) for t in texts_as_bytes(batch["text"])]
+        texts = texts_as_bytes(batch["text"])
+        words = [split_words(t) for t in texts]
         whole = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-        has = batch["anchors"].is_valid()
-        return {"rid": batch["rid"], "doc_id": batch["doc_id"], "n_words": pa.array(map(len, words), pa.int64()), "whole": whole, "text": pc.if_else(has, batch["text"], None), "anchors": batch["anchors"]}
+        needed = pa.array([t if has else None for t, has in zip(texts, batch["anchors"].is_valid().to_pylist(), strict=True)], pa.binary())
+        return {"rid": batch["rid"], "doc_id": batch["doc_id"], "n_words": pa.array(map(len, words), pa.int64()), "whole": whole, "text": needed.cast(pa.string()), "anchors": batch["anchors"]}
 
     every = map_batches(rows.join(repeated_anchors(rows), "rid", "left").select("rid", "doc_id", "text", "anchors"), step, "rid long, doc_id long, n_words long, whole string, text string, anchors array<bigint>")
     name = f"gustfront_substring_{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from gustfront.llm import exact_dedup, line_dedup, simhash, substring_dedup
+from gustfront.llm import common, exact_dedup, line_dedup, simhash, substring_dedup
 from tests.llm.data import awkward_texts, frame, prose, saved
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -138,6 +138,7 @@ def passages(seed):
 @pytest.mark.parametrize("seed,many", [(1, 2000), (2, 1), (3, 3)])
 def test_substring_dedup(spark, tmp_path, monkeypatch, seed, many):
     monkeypatch.setattr(substring_dedup, "MANY_RUNS", many)
+    monkeypatch.setattr(common.bounded, "__defaults__", (2000 * seed,))  # sliced batches
     monkeypatch.setattr(substring_dedup, "LONGEST_RUN", 7 if seed == 3 else 1 << 10)
     df = saved(spark, tmp_path / "d", frame(spark, passages(seed)))
     rows = listed(df)
