@@ -124,13 +124,13 @@ def _(i):
 
 @query(
     "w05_cool_off_until",
-    f"""with q as (select distinct cycle_ts as t from {{alerts}}), s as (select distinct sent_at from {{ledger}} where outcome = 'sent' and event_type = 'Tornado Warning'),
+    f"""with q as (select distinct cycle_ts as t from {{alerts}}), s as (select distinct sent_at from {{ledger}} where outcome = 'sent'),
     j as (select q.t, max(s.sent_at) as l from q left join s on s.sent_at <= q.t and s.sent_at >= q.t - interval '30' minute group by 1)
     select cast(epoch_us(t) as bigint) as at_us, {sql_stamp('l')} as latest_sent, {sql_stamp("l + interval '30' minute")} as cool_off_until from j""",
 )
 def _(i):
     asked = i.alerts.select(F.col("cycle_ts").alias("at"))
-    got = timeline.cool_off_until(asked, i.ledger.where("event_type = 'Tornado Warning'"))
+    got = timeline.cool_off_until(asked, i.ledger)
     return got.select(F.unix_micros("at").alias("at_us"), stamp("latest_sent").alias("latest_sent"), stamp("cool_off_until").alias("cool_off_until"))
 
 

@@ -41,7 +41,7 @@ def _(i):
 
 @query("j01_nearest_station_large_site_table", f"with {NEAREST} select report_id, station, {sql_rnd('km')} as dist_km from near")
 def _(i):
-    near = proximity.nearest_station(i.storm_events, i.stations, site_rows=0)
+    near = proximity.nearest_station(i.storm_events, i.stations, row_by_row=True)
     return near.select("report_id", "station", rnd("dist_km").alias("dist_km"))
 
 

@@ -81,11 +81,14 @@ def _(i):
     return reports.committed_ids(lines)
 
 
-@query("s07_valid_frames", "select page_id, octet_length(encode(left(html, 150 + cast(page_id % 4 as int) * 40))) + 4 as length from {pages} where page_id % 3 <> 0 and octet_length(encode(left(html, 150 + cast(page_id % 4 as int) * 40))) + 4 > 200")
+# a page's bytes stand for the picture; every seventh is a stub of one byte
+_BODY = "case when page_id % 7 = 0 then 'x' else html end"
+
+
+@query("s07_valid_frames", f"select page_id, octet_length(encode({_BODY})) + 4 as length from {{pages}} where page_id % 3 <> 0 and octet_length(encode({_BODY})) + 4 > 200")
 def _(i):
-    body = F.encode(F.expr("left(html, 150 + cast(page_id % 4 as int) * 40)"), "utf-8")
     head = F.when(F.col("page_id") % 3 == 0, F.lit(bytearray(b"GIF8"))).otherwise(F.lit(bytearray(b"\x89PNG")))
-    files = i.pages.select("page_id", F.concat(head, body).alias("content")).withColumn("length", F.octet_length("content"))
+    files = i.pages.select("page_id", F.concat(head, F.encode(F.expr(_BODY), "utf-8")).alias("content")).withColumn("length", F.octet_length("content"))
     return frames.valid_frames(files).select("page_id", F.col("length").cast("long").alias("length"))
 
 
@@ -188,7 +191,7 @@ def _(i):
     half = rows.where(F.crc32("event_id") % 2 == 0)
     for part in (half, rows, rows):  # a broken-off run, its resumption, and a run with nothing to do
         tables.append_events(part, path, partition="class")
-    return i.spark.read.parquet(path).select(*rows.columns)
+    return tables.read_events(i.spark, path).select(*rows.columns)
 
 
 @query("k02_grid_sink", f"with {FOUND} select scan_id, 'reflectivity' as radar_type, count(*) as cells, {sql_rnd('sum(round_even(value * 100, 0) / 1e2)', 4)} as total from found group by 1")
@@ -209,7 +212,7 @@ def _(i):
     tables.write_tensors(rows.where("scan_id % 3 = 0"), path)
     tables.write_tensors(rows, path)
     total = F.aggregate("tensor", F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return i.spark.read.parquet(path).select("scan_id", "label", F.size("tensor").alias("size"), rnd(total, 4).alias("total"))
+    return tables.read_events(i.spark, path).select("scan_id", "label", F.size("tensor").alias("size"), rnd(total, 4).alias("total"))
 
 
 @query("k04_versioned_snapshot", "select service_id, total + 1 as total from {service_status} where service_id % 2 = 0")
@@ -229,19 +232,32 @@ def _(i):
     return i.spark.read.parquet(path).select("alert_id", stamp("sent_at").alias("sent_at"), "outcome")
 
 
+@query("k05_ledger_after_72_hours", f"select alert_id, {sql_stamp("sent_at + interval '72' hour")} as sent_at from {{ledger}} where sent_at >= (select max(sent_at) - interval '48' hour from {{ledger}})")
+def _(i):
+    path = scratch_path(i.spark, "ledger")
+    now = i.ledger.select(F.max("sent_at")).scalar()
+    later = i.ledger.withColumn("sent_at", F.col("sent_at") + F.expr("interval 72 hours"))
+    tables.save_ledger(i.ledger, path, now)
+    tables.save_ledger(i.ledger.unionByName(later), path, now + F.expr("interval 72 hours"))  # all that was there has expired
+    return i.spark.read.parquet(path).select("alert_id", stamp("sent_at").alias("sent_at"))
+
+
 @query("k06_training_export", "select row_number() over (order by label, vec_id) - 1 as id, vec_id, label from {embeddings}")
 def _(i):
     path = scratch_path(i.spark, "training")
-    tables.write_training_set(i.embeddings.select("label", "vec_id", F.col("embedding").alias("data")), path, ["label", "vec_id"])
+    tables.write_training_set(i.embeddings.select("label", "vec_id", F.col("embedding").alias("data")), path, ["label"], "vec_id")
     return i.spark.read.parquet(path).select("id", "vec_id", "label")
 
 
-@query("k07_text_reports", "select station as region, cast(obs_ts as date)::string as cycle, count(*) as lines from {observations} group by 1, 2")
+@query("k07_text_reports", "select station as region, cast(obs_ts as date)::string as cycle, count(*) as lines, md5(string_agg('Observation ' || cast(obs_id as string) || ' of ' || station, '|' order by obs_id)) as text from {observations} group by 1, 2")
 def _(i):
     path = scratch_path(i.spark, "text")
-    rows = i.observations.select(F.col("station").alias("region"), F.date_format("obs_ts", "yyyy-MM-dd").alias("cycle"), F.concat(F.lit("Observation "), F.col("obs_id").cast("string")).alias("report"))
+    line = F.concat(F.lit("Observation "), F.col("obs_id").cast("string"), F.lit(" of "), "station")
+    rows = i.observations.select(F.col("station").alias("region"), F.date_format("obs_ts", "yyyy-MM-dd").alias("cycle"), line.alias("report"))
     tables.write_reports(rows, path, "region", "cycle")
-    return i.spark.read.text(path).groupBy("region", F.col("cycle").cast("string").alias("cycle")).agg(F.count("*").alias("lines"))
+    back = i.spark.read.text(path).select("region", F.col("cycle").cast("string").alias("cycle"), "value", F.split("value", " ")[1].cast("long").alias("n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda e: e["value"])
+    return back.groupBy("region", "cycle").agg(F.count("*").alias("lines"), F.md5(F.array_join(lines, "|")).alias("text"))
 
 
 @query("k08_batch_summary", f"select file_id % 7 as host, count(*) as total_images, {sql_rnd('sum(secs)')} as total_time, {sql_rnd('avg(secs)')} as avg_time from {{conversions}} group by 1")

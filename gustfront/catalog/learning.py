@@ -157,17 +157,11 @@ def _(i):
     return sampling.latest_file(files, ["folder"], "filename", "done_ts").withColumn("done_ts", stamp("done_ts"))
 
 
-@query("l06_oldest_first_queue", "select file_id, row_number() over (order by done_ts, filename) as place from {conversions} qualify place <= 50")
+@query("l06_oldest_first_queue", "select file_id, row_number() over (order by done_ts, filename) as place from {conversions}")
 def _(i):
-    from pyspark.sql import Window
+    return sampling.oldest_first(i.conversions, "done_ts", "filename").select("file_id", "place")
 
-    queue = sampling.oldest_first(i.conversions, "done_ts", "filename").limit(50)
-    return queue.select("file_id", F.row_number().over(Window.orderBy("done_ts", "filename")).cast("long").alias("place"))
 
-
-@query("l06_newest_first_log", "select file_id, row_number() over (order by done_ts desc, file_id desc) as place from {conversions} qualify place <= 50")
+@query("l06_newest_first_log", "select file_id, row_number() over (order by done_ts desc, file_id desc) as place from {conversions}")
 def _(i):
-    from pyspark.sql import Window
-
-    log = sampling.newest_first(i.conversions, "done_ts", "file_id").limit(50)
-    return log.select("file_id", F.row_number().over(Window.orderBy(F.desc("done_ts"), F.desc("file_id"))).cast("long").alias("place"))
+    return sampling.newest_first(i.conversions, "done_ts", "file_id").select("file_id", "place")

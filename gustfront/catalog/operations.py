@@ -217,10 +217,15 @@ def _(i):
 
 @query(
     "h09_html_escape",
-    "select page_id, md5(replace(replace(replace(replace(replace(left(html, 4000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) as escaped from {pages}",
+    "select page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) as escaped from {pages}",
 )
 def _(i):
-    return i.pages.select("page_id", F.md5(text.html_escaped(F.col("html"), 4000)).alias("escaped"))
+    return i.pages.select("page_id", F.md5(text.html_escaped(F.col("html"))).alias("escaped"))
+
+
+@query("h09_truncated_copy", "select page_id, md5(left(html, 4000)) as copy from {pages}")
+def _(i):
+    return i.pages.select("page_id", F.md5(text.short_copy(F.col("html"), 4000)).alias("copy"))
 
 
 @query(

@@ -22,7 +22,7 @@ def _(i):
 
 @query("j10_palette_lookup_large_palette", f"with {FOUND} select scan_id, row_no, col_no, x as palette_x, cast(d2 as bigint) as colour_d2, {sql_rnd('value')} as value from found")
 def _(i):
-    got = palette.palette_lookup(i.pixels, i.palette, palette_rows=0)
+    got = palette.palette_lookup(i.pixels, i.palette, by_colour=True)
     return got.select("scan_id", "row_no", "col_no", "palette_x", "colour_d2", rnd("value").alias("value"))
 
 

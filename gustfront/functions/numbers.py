@@ -16,21 +16,24 @@ def fixed_text(value: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, rounding the exact binary value half to even.
 
     Java's formatter rounds the printed decimal instead and differs on values such as 6.55.
-    The fraction is held as an integer count of 2**-52, so no step here loses bits for |x| >= 1.
+    The fraction is a count of 2**-48 and what lies below that, so no bit is lost for up to four
+    decimals. Whole part and decimals stay apart, so nothing overflows below 2**63.
     """
+    unit = 10**digits
     size = F.abs(value)
     whole = F.floor(size).cast("long")
-    parts = ((size - whole) * F.lit(2.0**52)).cast("long") * F.lit(10**digits)
-    kept, rest, half = F.shiftright(parts, 52), parts.bitwiseAND(F.lit(2**52 - 1)), F.lit(2**51)
-    down = whole * F.lit(10**digits) + kept
-    up = (rest > half) | ((rest == half) & (down % 2 == 1))
-    scaled = down + up.cast("long")
+    fine = (size - whole) * F.lit(2.0**48)
+    count = F.floor(fine).cast("long")
+    parts, below = count * F.lit(unit), (fine - count) * F.lit(float(unit))
+    kept, missing = F.shiftright(parts, 48), F.lit(2**47) - parts.bitwiseAND(F.lit(2**48 - 1))
+    odd = (kept if digits else whole) % 2 == 1
+    up = (below > missing) | ((below == missing) & odd)
+    scaled = kept + up.cast("long")
+    full = (scaled >= unit).cast("long")
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     if digits == 0:
-        return F.concat(sign, scaled.cast("string"))
-    tail = F.lpad((scaled % F.lit(10**digits)).cast("string"), digits, "0")
-    head = ((scaled - scaled % F.lit(10**digits)) / F.lit(10**digits)).cast("long")
-    return F.concat(sign, head.cast("string"), F.lit("."), tail)
+        return F.concat(sign, (whole + scaled).cast("string"))
+    return F.concat(sign, (whole + full).cast("string"), F.lit("."), F.lpad((scaled - full * unit).cast("string"), digits, "0"))
 
 
 def logistic_score(logit: Column) -> Column:

@@ -146,9 +146,14 @@ def short_body(event, expires, state, score, threshold) -> Column:
     return F.when(event == "Tornado Warning", tornado).otherwise(other)
 
 
-def html_escaped(text: Column, limit: int | None = None) -> Column:
+def short_copy(text: Column, limit: int) -> Column:
+    """The first characters of a text, not escaped."""
+    return F.substring(text, 1, limit)
+
+
+def html_escaped(text: Column) -> Column:
     """Escape markup, ampersand first."""
-    kept = text if limit is None else F.substring(text, 1, limit)
+    kept = text
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         kept = F.replace(kept, F.lit(raw), F.lit(safe))
     return kept

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from gustfront.functions.numbers import logistic_score
 from gustfront.operators.sampling import seeded_order
-from gustfront.session import fits
-
-COARSE, FINE = 1 << 10, 1 << 20
+from gustfront.operators.timeline import ranged
 
 
 def split_by_group(
@@ -32,7 +30,11 @@ def split_by_group(
     ranked = hashed.withColumn("place", place).join(offsets, ["positive", "bucket"]).withColumn("rank", F.col("place") + F.col("offset"))
     tests, vals = F.floor(F.col("total") * test_frac), F.floor(F.col("total") * val_frac)
     split = F.when(F.col("rank") < tests, "test").when(F.col("rank") < tests + vals, "val").otherwise("train")
-    return rows.join(ranked.select(*keys, split.alias("split")), list(keys))
+    chosen = ranked.select(*[F.col(k).alias(f"_{k}") for k in keys], split.alias("split"))
+    meets = F.lit(True)
+    for k in keys:  # rows without a date or station form groups of their own
+        meets = meets & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(chosen, meets).drop(*[f"_{k}" for k in keys])
 
 
 def split_summary(split_rows: DataFrame, label: str = "label") -> DataFrame:
@@ -61,43 +63,46 @@ def fingerprint(rows: DataFrame, key: str) -> DataFrame:
     return facts.select("n", F.substring(F.sha2(F.concat_ws(":", "n", "x1", "x2"), 256), 1, 16).alias("fingerprint"))
 
 
-def exact_fingerprint(rows: DataFrame, key: str, max_rows: int = 100_000) -> DataFrame:
-    """First 16 hex digits of sha256 over the sorted keys run together.
+def exact_fingerprint(rows: DataFrame, key: str, parts: int = 4096) -> DataFrame:
+    """16 hex digits that fix the exact list of keys, repeats included, at any size.
 
-    The digest is sequential by definition, so it is offered for lists of proven size only.
+    Layout: keys are dealt into ``parts`` buckets by the first 13 hex digits of their md5 (modulo ``parts``); a
+    bucket's digest is the sha256 of its sorted keys, each followed by its number of repeats; the
+    fingerprint is the sha256 of the digests in bucket order, empty ones as empty text. With ``parts=1`` and distinct
+    keys without repeats this is one digest over the whole sorted list. Repeats collapse before anything is
+    collected, and ``parts`` grows with the list that one task may hold.
     """
-    if not fits(rows.select(key), max_rows):
-        raise ValueError(f"more than {max_rows} keys: use fingerprint()")
-    listed = rows.agg(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "").alias("all"), F.count("*").alias("n"))
-    return listed.select("n", F.substring(F.sha2(F.col("all"), 256), 1, 16).alias("fingerprint"))
+    text = F.col(key).cast("string")
+    counted = rows.groupBy(text.alias("k")).agg(F.count("*").alias("n"))
+    bucket = F.pmod(F.conv(F.substring(F.md5("k"), 1, 13), 16, 10).cast("long"), F.lit(parts)).cast("int")
+    listed = counted.groupBy(F.coalesce(bucket, F.lit(0)).alias("bucket")).agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit("")).alias("k"), "n"))).alias("all")
+    )
+    digests = listed.select("bucket", "n", F.sha2(F.array_join(F.transform("all", lambda e: F.concat(e["k"], F.when(e["n"] > 1, F.concat(F.lit("*"), e["n"].cast("string"))).otherwise(""))), ""), 256).alias("d"))
+    if parts == 1:
+        return digests.select("n", F.substring("d", 1, 16).alias("fingerprint"))
+    ordered = digests.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "d"))).alias("all"))  # one digest per bucket
+    joined = F.array_join(F.transform("all", lambda e: F.concat(e["bucket"].cast("string"), F.lit(":"), e["d"])), ";")
+    return ordered.select(F.coalesce("n", F.lit(0)).alias("n"), F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
 
 
 def score_steps(predictions: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row per distinct score with counts at or above it: (score, pos, neg, tp, fp, p, n).
 
-    Ties collapse first. Running counts use two levels of fixed score cells (1/1024, then 1/2**20),
-    so ordering happens inside narrow cells only.
+    Ties collapse first. Distinct scores are range-partitioned, so raw rare-event scores spread as evenly as any;
+    running counts are a window inside each range plus the sums of the ranges above.
     """
     counts = predictions.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
-    cells = counts.withColumn("c1", F.floor(F.col("score") * COARSE)).withColumn("c2", F.floor(F.col("score") * FINE))
-    above = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    run = lambda c, w: F.coalesce(F.sum(c).over(above(w)), F.lit(0))
-    fine = cells.groupBy("c1", "c2").agg(F.sum("pos").alias("fp1"), F.sum("neg").alias("fn1"))
-    coarse = fine.groupBy("c1").agg(F.sum("fp1").alias("cp"), F.sum("fn1").alias("cn"))
-    top, everything = Window.orderBy(F.desc("c1")), Window.partitionBy()
-    coarse = coarse.select(
-        "c1", run("cp", top).alias("cp_above"), run("cn", top).alias("cn_above"), F.sum("cp").over(everything).alias("p"), F.sum("cn").over(everything).alias("n")
-    )
-    mid = Window.partitionBy("c1").orderBy(F.desc("c2"))
-    fine = fine.select("c1", "c2", run("fp1", mid).alias("fp_above"), run("fn1", mid).alias("fn_above"))
-    opening = fine.join(coarse, "c1").select(
-        "c1", "c2", (F.col("fp_above") + F.col("cp_above")).alias("op"), (F.col("fn_above") + F.col("cn_above")).alias("on"), "p", "n"
-    )
-    inner = Window.partitionBy("c1", "c2").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    local = cells.select("c1", "c2", "score", "pos", "neg", F.sum("pos").over(inner).alias("ip"), F.sum("neg").over(inner).alias("in"))
-    return local.join(opening, ["c1", "c2"]).select(
+    parts = ranged(counts, F.desc("score"), name="scores")
+    sums = parts.groupBy("_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    above, everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # one row per range
+    carried = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    opening = sums.select("_part", carried("_p").alias("op"), carried("_n").alias("on"), F.sum("_p").over(everything).alias("p"), F.sum("_n").over(everything).alias("n"))
+    inside = Window.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.select("_part", "score", "pos", "neg", F.sum("pos").over(inside).alias("ip"), F.sum("neg").over(inside).alias("in"))
+    return local.join(opening, "_part").select(
         "score", "pos", "neg", (F.col("ip") + F.col("op")).alias("tp"), (F.col("in") + F.col("on")).alias("fp"), "p", "n"
     )
 
@@ -109,7 +114,7 @@ def ranking_metrics(predictions: DataFrame, label: str = "label", score: str = "
     precision = F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")
     ap = F.sum(F.col("pos") * precision) / F.nullif(F.max("p"), F.lit(0))
     wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0))
-    auc = wins / F.nullif(F.max("p") * F.max("n"), F.lit(0))
+    auc = wins / F.nullif(F.max("p").cast("double") * F.max("n"), F.lit(0.0))
     nan = F.lit(float("nan"))
     return steps.agg(
         (F.max("p") + F.max("n")).alias("n"), F.when(both, ap).otherwise(nan).alias("average_precision"), F.when(both, auc).otherwise(nan).alias("roc_auc"),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from gustfront.constants import VALUE_RANGE
 from gustfront.functions.numbers import round_even
-from gustfront.session import deal_out, fits
+from gustfront.operators.timeline import neighbours
+from gustfront.session import deal_out
 
-PALETTE_ROWS = 4_000
 CUBE = 16
-_X_BITS = 20
+_PLACE_BITS = 31
 
 
 def build_palette(scale: DataFrame, radar_type: str, by: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
@@ -79,24 +79,24 @@ def _squared(entry, r: Column, g: Column, b: Column) -> Column:
     return (dr * dr + dg * dg + db * db).cast("long")
 
 
-def palette_lookup(pixels: DataFrame, palette: DataFrame, palette_rows: int = PALETTE_ROWS, few_colours: bool = False) -> DataFrame:
+def palette_lookup(pixels: DataFrame, palette: DataFrame, by_colour: bool = False) -> DataFrame:
     """Add ``value``, ``palette_x`` and ``colour_d2`` of the nearest palette colour to every pixel.
 
-    With a palette of proven size the candidates of each cube travel as one broadcast array and
-    pixels are only mapped. Otherwise, or for frames drawn in ``few_colours``, distinct colours
-    (at most 2**24) are reduced first and joined back, where the engine broadcasts a small result
-    and splits hot colours of a large one. Equal distances go to the smallest x.
+    The candidates of each cube are one array, joined on the cube without a hint: while statistics say
+    the table is small the engine broadcasts it and pixels are only mapped. ``by_colour`` reduces
+    pixels to distinct colours (at most 2**24) first and joins the answers back, for frames drawn in
+    few colours. Equal distances go to the smallest x.
     """
-    if not few_colours and fits(palette, palette_rows):
+    if not by_colour:
         candidates = cube_candidates(palette)
         table = candidates.groupBy("cube").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "value"))).alias("near"))
-        found = pixels.withColumn("cube", _cube_id(F.col("r"), F.col("g"), F.col("b"))).join(F.broadcast(table), "cube")
+        found = pixels.withColumn("cube", _cube_id(F.col("r"), F.col("g"), F.col("b"))).join(table, "cube")
         # squared distance and place in the x-ordered list share one integer
-        code = F.array_min(F.transform("near", lambda p, n: _squared(p, F.col("r"), F.col("g"), F.col("b")) * (1 << _X_BITS) + n))
+        code = F.array_min(F.transform("near", lambda p, n: _squared(p, F.col("r"), F.col("g"), F.col("b")) * (1 << _PLACE_BITS) + n))
         found = found.withColumn("code", code)
-        best = F.get("near", (F.col("code") % (1 << _X_BITS)).cast("int"))
+        best = F.get("near", (F.col("code") % (1 << _PLACE_BITS)).cast("int"))
         found = found.withColumn("best", best)
-        return found.select(*pixels.columns, F.col("best.value").alias("value"), F.col("best.x").alias("palette_x"), F.shiftright("code", _X_BITS).alias("colour_d2"))
+        return found.select(*pixels.columns, F.col("best.value").alias("value"), F.col("best.x").alias("palette_x"), F.shiftright("code", _PLACE_BITS).alias("colour_d2"))
     return pixels.join(nearest_colours(pixels.select("r", "g", "b").distinct(), palette), ["r", "g", "b"]).select(
         *pixels.columns, "value", "palette_x", "colour_d2"
     )
@@ -109,43 +109,38 @@ def nearest_colours(colours: DataFrame, palette: DataFrame) -> DataFrame:
     d2 = F.lit(0)
     for c in "rgb":
         d2 = d2 + (F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}"))
-    code = d2.cast("long") * (1 << _X_BITS) + F.col("x")
-    best = joined.withColumn("code", code).groupBy("r", "g", "b").agg(F.min("code").alias("code"), F.min_by("value", "code").alias("value"))
-    return best.select(
-        "r", "g", "b", "value", (F.col("code") % (1 << _X_BITS)).cast("int").alias("palette_x"),
-        F.shiftright("code", _X_BITS).alias("colour_d2"),
-    )
+    best = joined.groupBy("r", "g", "b").agg(F.min(F.struct(d2.cast("long").alias("d2"), "x", "value")).alias("best"))
+    return best.select("r", "g", "b", "best.value", F.col("best.x").alias("palette_x"), F.col("best.d2").alias("colour_d2"))
 
 
-def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "reflectivity", bins: int = 1024, palette_rows: int = PALETTE_ROWS) -> DataFrame:
+def value_to_colour(cells: DataFrame, palette: DataFrame, radar_type: str = "reflectivity", bins: int = 1024, by_value: bool = False) -> DataFrame:
     """Add the colour whose scale value is closest to the (clamped) cell value; first x wins ties.
 
-    The one-dimensional form of the cube table: the range is cut into bins, and a bin keeps the
-    entries that can be closest to some value inside it.
+    Every palette value owns the stretch up to the middle between it and its neighbours, found by
+    range-partitioned order, and is listed only for the bins that its stretch touches: the table has about as
+    many rows as palette values and bins together. Cells meet it on the bin without a hint.
+    ``by_value`` reduces cells to distinct values first and joins the answers back.
     """
     low, high = VALUE_RANGE[radar_type]
     width = (high - low) / bins
     clamped = F.least(F.lit(high), F.greatest(F.lit(low), F.col("value")))
-    slot = F.least(F.lit(bins - 1), F.floor((clamped - low) / width)).cast("int")
+    bin_of = lambda v: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((v - low) / width))).cast("int")
     first = palette.groupBy("value").agg(F.min_by(F.struct("x", "r", "g", "b"), "x").alias("p")).select("value", "p.*")
-    spread = first.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    lo, hi = F.lit(low) + F.col("slot") * width, F.lit(low) + (F.col("slot") + 1) * width
-    near = F.greatest(lo - F.col("value"), F.col("value") - hi, F.lit(0.0))
-    far = F.greatest(F.abs(F.col("value") - lo), F.abs(F.col("value") - hi))
-    ranged = spread.withColumn("near", near).withColumn("far", far)
-    limit = ranged.groupBy("slot").agg(F.min("far").alias("limit"))
-    kept = ranged.join(limit, "slot").where(F.col("near") <= F.col("limit") + 1e-9)
-    if not fits(palette, palette_rows):
-        # distinct values meet the candidates of their bin row by row and are joined back
+    sided = neighbours(first, "value")
+    # one bin more on either side absorbs rounding of the middles
+    start = F.coalesce(bin_of((F.col("before") + F.col("value")) / 2) - 1, F.lit(0))
+    end = F.coalesce(bin_of((F.col("after") + F.col("value")) / 2) + 1, F.lit(bins - 1))
+    kept = sided.withColumn("slot", F.explode(F.sequence(F.greatest(start, F.lit(0)), F.least(end, F.lit(bins - 1))))).drop("before", "after")
+    if by_value:
         keyed = cells.withColumn("_v", clamped)
-        values = keyed.select(F.col("_v"), slot.alias("slot")).distinct().join(kept.withColumnRenamed("value", "p_value"), "slot")
+        values = keyed.select(F.col("_v"), bin_of(clamped).alias("slot")).distinct().join(kept.withColumnRenamed("value", "p_value"), "slot")
         nearest = values.groupBy("_v").agg(F.min(F.struct(F.abs(F.col("p_value") - F.col("_v")).alias("d"), "x", "r", "g", "b")).alias("best"))
         return keyed.join(nearest, "_v").select(*cells.columns, "best.r", "best.g", "best.b")
     table = kept.groupBy("slot").agg(F.collect_list(F.struct("value", "x", "r", "g", "b")).alias("entries"))
     best = F.array_min(
         F.transform("entries", lambda p: F.struct(F.abs(p["value"] - clamped).alias("d"), p["x"].alias("x"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b")))
     )
-    shaped = deal_out(cells).withColumn("slot", slot).join(F.broadcast(table), "slot")
+    shaped = deal_out(cells).withColumn("slot", bin_of(clamped)).join(table, "slot")
     return shaped.withColumn("best", best).select(*cells.columns, "best.r", "best.g", "best.b")
 
 
@@ -159,7 +154,7 @@ def stride_sample(frames: DataFrame, step: int) -> DataFrame:
 
 def convert_frames(pixels: DataFrame, palette: DataFrame, sample_rate: int = 1, few_colours: bool = False) -> DataFrame:
     """Pixels to grid cells: stride first, then lookup, values to two decimals."""
-    found = palette_lookup(stride_sample(pixels, sample_rate), palette, few_colours=few_colours)
+    found = palette_lookup(stride_sample(pixels, sample_rate), palette, by_colour=few_colours)
     return found.select("scan_id", "row_no", "col_no", round_even(F.col("value"), 2).alias("value"))
 
 

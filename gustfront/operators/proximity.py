@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from gustfront.constants import EXCLUDE_KM, EXCLUDE_MIN, MAX_RANGE_KM
 from gustfront.functions.geo import haversine_km, lat_cell, lat_cells_within, lon_cell, lon_cells_within, unit_vector
-from gustfront.session import deal_out, fits
+from gustfront.session import deal_out
 
 SITE_CELL = 1.5
-SITE_TABLE_ROWS = 20_000
 
 
 def _site_cells(stations: DataFrame, max_km: float) -> DataFrame:
@@ -23,24 +22,25 @@ def _site_cells(stations: DataFrame, max_km: float) -> DataFrame:
 
 
 def nearest_station(
-    events: DataFrame, stations: DataFrame, max_km: float = MAX_RANGE_KM, key: str = "report_id", site_rows: int = SITE_TABLE_ROWS
+    events: DataFrame, stations: DataFrame, max_km: float = MAX_RANGE_KM, key: str = "report_id", row_by_row: bool = False
 ) -> DataFrame:
     """Add ``station`` and ``dist_km`` of the closest site; events out of range are dropped.
 
-    A site table of proven size becomes one candidate array per cell, and the events side is only
-    mapped: no shuffle of events. A larger table joins row by row on the cell and is reduced per
-    event, which lets the engine shuffle and split hot cells. Ties go to the smaller site id.
+    Sites become one candidate array per cell, joined on the cell without a hint: the engine
+    broadcasts the table while its statistics say it is small, and otherwise shuffles both sides and
+    splits hot cells. ``row_by_row`` joins single sites instead and reduces per event, for site lists so
+    dense that a cell's array would be large. Ties go to the smaller site id.
     """
     located = deal_out(events).withColumn("cell_y", lat_cell(F.col("lat"), SITE_CELL)).withColumn("cell_x", lon_cell(F.col("lon"), SITE_CELL))
     sites = _site_cells(stations, max_km)
-    if fits(stations, site_rows):
+    if not row_by_row:
         # chord length orders sites as great-circle distance does, at a fraction of the arithmetic
         sx, sy, sz = unit_vector(F.col("s_lat"), F.col("s_lon"))
         site = F.struct(sx.alias("x"), sy.alias("y"), sz.alias("z"), "station", "s_lat", "s_lon")
         table = sites.groupBy("cell_y", "cell_x").agg(F.sort_array(F.collect_list(F.struct("station", site.alias("at")))).alias("sites"))
         table = table.select("cell_y", "cell_x", F.transform("sites", lambda s: s["at"]).alias("sites"))
         x, y, z = unit_vector(F.col("lat"), F.col("lon"))
-        placed = located.withColumn("_x", x).withColumn("_y", y).withColumn("_z", z).join(F.broadcast(table), ["cell_y", "cell_x"])
+        placed = located.withColumn("_x", x).withColumn("_y", y).withColumn("_z", z).join(table, ["cell_y", "cell_x"])
         chords = F.transform(
             "sites",
             lambda s: (s["x"] - F.col("_x")) * (s["x"] - F.col("_x")) + (s["y"] - F.col("_y")) * (s["y"] - F.col("_y")) + (s["z"] - F.col("_z")) * (s["z"] - F.col("_z")),

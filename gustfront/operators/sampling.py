@@ -11,14 +11,14 @@ from gustfront.operators.timeline import global_rank
 def stride_cap(df: DataFrame, cap: int | None, order: list[str], key: str) -> DataFrame:
     """Every (n div cap)-th row of an ordered list, at most ``cap``; 0 or None keeps all.
 
-    Only the ordering columns are ranked; the chosen keys (at most ``cap``) select the rows.
+    ``key`` breaks ties of the order. Whole rows are ranked, so rows that share a key keep places of their own.
     """
     if not cap:
         return df
-    ranked = global_rank(df.select(*dict.fromkeys([*order, key])), order)
+    ranked = global_rank(df, list(dict.fromkeys([*order, key])))
     step = ranked.select(F.greatest(F.lit(1), F.floor(F.count("*") / cap)).cast("long").alias("step")).scalar()
     chosen = ranked.withColumn("_step", step).where((F.col("rank") % F.col("_step") == 0) & (F.col("rank") < F.col("_step") * cap))
-    return df.join(chosen.select(key), key, "left_semi")
+    return chosen.select(*df.columns)
 
 
 def positives_and_negatives(positives: DataFrame, negatives: dict[str, DataFrame], cap_pos: int | None, cap_neg: int | None, order: list[str], key: str) -> DataFrame:
@@ -45,11 +45,13 @@ def latest_file(files: DataFrame, by: list[str], name: str, modified: str) -> Da
 
 
 def oldest_first(files: DataFrame, modified: str, name: str) -> DataFrame:
-    return files.orderBy(F.asc(modified), F.asc(name))
+    """The whole queue with each file's ``place`` from 1."""
+    return global_rank(files, [modified, name], "place").withColumn("place", F.col("place") + 1)
 
 
 def newest_first(rows: DataFrame, at: str, tie: str) -> DataFrame:
-    return rows.orderBy(F.desc(at), F.desc(tie))
+    """The whole log with each row's ``place`` from 1, newest first."""
+    return global_rank(rows, [F.desc(at), F.desc(tie)], "place").withColumn("place", F.col("place") + 1)
 
 
 def colour_overlap(frame: DataFrame, scale: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def annotate_with_score(alerts: DataFrame, scores: DataFrame, threshold: float =
     """Add the score known at each alert's cycle, its age and the readout label."""
     facts = scores.select("score_id", "score_ts", "score", "status")
     known = last_known(alerts, facts, "cycle_ts", "score_ts", "score_id")
-    joined = alerts.join(known, "cycle_ts")
+    asked = known.withColumnRenamed("cycle_ts", "_asked")
+    joined = alerts.join(asked, F.col("cycle_ts") == F.col("_asked"), "left")  # an alert without a cycle time has no score
     usable = shown_score(F.col("fact.score"), F.col("fact.status"))
     age = F.when(usable.isNotNull(), seconds_between(F.col("fact.score_ts"), F.col("cycle_ts")))
     return joined.select(

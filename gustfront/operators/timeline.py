@@ -51,7 +51,10 @@ def along_time(
         *[F.last(e, ignorenulls=True).over(upto).alias(f"_il_{n}") for n, e in lasts.items()],
         *[F.lag(e).over(inside).alias(f"_ip_{n}") for n, e in previous.items()],
     )
-    joined = local.join(opening, [*keys, "_slot"])
+    meets = F.lit(True)
+    for name in (*keys, "_slot"):  # rows without a key or time stay
+        meets = meets & local[name].eqNullSafe(F.col(f"_o.{name}"))
+    joined = local.join(opening.alias("_o"), meets).drop(*[F.col(f"_o.{name}") for name in (*keys, "_slot")])
     return joined.select(
         *df.columns,
         *[(F.coalesce(f"_is_{n}", F.lit(0)) + F.col(f"_cs_{n}")).alias(n) for n in sums],
@@ -60,7 +63,26 @@ def along_time(
     )
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+def ranged(df: DataFrame, *order: str | Column, name: str = "ranged") -> DataFrame:
+    """``df`` range-partitioned by ``order`` and written once, with its range as ``_part``.
+
+    Ranges follow the data, so no value range or cell is hot; what happens inside a range is one window.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+
+
+def neighbours(df: DataFrame, column: str) -> DataFrame:
+    """Add the next smaller and next larger value of a column of distinct values as ``before`` and ``after``."""
+    parts = ranged(df, column, name="neighbours")
+    ends = parts.groupBy("_part").agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    across = Window.orderBy("_part")  # one row per range
+    ends = ends.select("_part", F.lag("_high").over(across).alias("_last"), F.lead("_low").over(across).alias("_next"))
+    inside = Window.partitionBy("_part").orderBy(column)
+    sided = parts.select("*", F.lag(column).over(inside).alias("_b"), F.lead(column).over(inside).alias("_a")).join(ends, "_part")
+    return sided.select(*df.columns, F.coalesce("_b", "_last").alias("before"), F.coalesce("_a", "_next").alias("after"))
+
+
+def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
     """Dense 0-based position in the total order, for any distribution of keys.
 
     Rows are range-partitioned on the whole sort key (so ties on its first column still split),

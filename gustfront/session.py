@@ -61,20 +61,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SPLIT_FLOOR = 4 * 1024 * 1024
+#: Inputs up to this size may be read as a single split; the bound does not depend on the cluster.
+ONE_SPLIT = 32 * 1024 * 1024
 
 
 def deal_out(df: DataFrame) -> DataFrame:
-    """Deal a tiny input out to all cores before costly per-row work.
+    """Deal an input of at most ``ONE_SPLIT`` bytes out to the cores before costly per-row work.
 
-    An input below 4 MB per core is read as fewer splits than there are cores. Anything larger is
-    left as it is read, so no shuffle is added at scale.
+    Larger inputs are left as they are read, whatever the number of cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_FLOOR else df
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= ONE_SPLIT else df

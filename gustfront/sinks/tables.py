@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,36 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+MARKER = "_SUCCESS"
+
+
+def committed_folders(spark: SparkSession, path: str, name: str) -> list[str]:
+    """Folders ``name=...`` below ``path`` whose commit marker exists, in order of name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    if not files.exists(root):
+        return []
+    found = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith(f"{name}=")]
+    return sorted(p.toString() for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, MARKER)))
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of all committed runs of ``append_events``; a run that broke off is not there at all."""
+    runs = committed_folders(spark, path, "run")
+    return spark.read.option("basePath", path).parquet(*runs).drop("run") if runs else None
+
+
 def append_events(rows: DataFrame, path: str, key: str = "event_id", partition: str | None = None) -> None:
-    """Append the rows of events that have none yet; all rows of a run become visible in one commit."""
-    done = read_or_none(rows.sparkSession, path)
+    """Append the rows of events that have none yet, all or nothing.
+
+    Every run writes a folder of its own, which counts once its commit marker is there. An event whose run
+    broke off has no row for readers, so the next run takes it up again.
+    """
+    done = read_events(rows.sparkSession, path)
     fresh = rows if done is None else not_yet_done(rows, done.select(key).distinct(), key)
-    writer = fresh.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    writer = fresh.write
+    (writer.partitionBy(partition) if partition else writer).parquet(f"{path}/run={uuid.uuid4().hex}")
 
 
 def grid_documents(cells: DataFrame, radar_type: str, sample_rate: int, source: str | Column = "frame") -> DataFrame:
@@ -60,25 +86,51 @@ def write_snapshot(df: DataFrame, path: str, version: int) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of a snapshot (the version is a partition, so older files are never opened)."""
-    versions = spark.read.parquet(path)
-    return versions.where(F.col("version") == versions.select(F.max("version")).scalar()).drop("version")
+    """Newest committed version of a snapshot; one still being written, or broken off, is not seen."""
+    versions = committed_folders(spark, path, "version")
+    if not versions:
+        raise FileNotFoundError(f"no committed version below {path}")
+    return spark.read.parquet(max(versions, key=lambda p: int(p.rsplit("=", 1)[1])))
 
 
 def save_ledger(rows: DataFrame, path: str, now: Column, hours: int = LEDGER_HOURS) -> None:
-    """Ledger rows of the last 48 hours, by send date; only dates present are replaced."""
-    kept = rows.where(F.col("sent_at") >= now - F.make_dt_interval(hours=F.lit(hours))).withColumn("sent_date", F.to_date("sent_at"))
+    """Replace the stored ledger by the rows of the last 48 hours, by send date.
+
+    Dates with rows are replaced; then the dates that have none left go, so nothing older than the span stays.
+    """
+    spark, oldest = rows.sparkSession, now - F.make_dt_interval(hours=F.lit(hours))
+    kept = rows.where(F.col("sent_at") >= oldest).withColumn("sent_date", F.to_date("sent_at"))
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sent_date").parquet(path)
+    stored = read_or_none(spark, path)
+    if stored is not None:  # one row per date in either
+        gone = stored.where(F.to_date("sent_date") <= F.to_date(oldest)).select(F.to_date("sent_date").alias("d")).distinct()
+        gone = gone.join(kept.select(F.col("sent_date").alias("d")).distinct(), "d", "left_anti")
+        _delete(spark, [f"{path}/sent_date={row[0]}" for row in gone.toLocalIterator()])
+
+
+def _delete(spark: SparkSession, paths) -> int:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        count += int(target.getFileSystem(conf).delete(target, True))
+    return count
 
 
-def training_samples(grids: DataFrame, order: list[str]) -> DataFrame:
-    """Grids numbered from 0 in input order; only the ordering columns are ranked."""
-    ids = global_rank(grids.select(*order), order, "id")
-    return grids.join(ids, order)
+def training_samples(grids: DataFrame, order: list[str], key: str | None = None) -> DataFrame:
+    """Grids numbered from 0 in input order.
+
+    With a unique ``key`` only it and the ordering columns are ranked and joined back; without one whole rows
+    are, so ties and repeated rows keep one number each.
+    """
+    if key is None:
+        return global_rank(grids, order, "id")
+    ids = global_rank(grids.select(*dict.fromkeys([*order, key])), [*order, key], "id")
+    return grids.join(ids.select(key, "id"), key)
 
 
-def write_training_set(grids: DataFrame, path: str, order: list[str]) -> None:
-    training_samples(grids, order).write.mode("overwrite").parquet(path)
+def write_training_set(grids: DataFrame, path: str, order: list[str], key: str | None = None) -> None:
+    training_samples(grids, order, key).write.mode("overwrite").parquet(path)
 
 
 def write_reports(reports: DataFrame, path: str, region: str, cycle: str) -> None:
@@ -95,11 +147,27 @@ def deletable_sources(frames: DataFrame, grids: DataFrame, key: str = "stem") ->
     return frames.join(grids.where("problem = 'valid'").select(key), key, "left_semi")
 
 
+def remove_verified(frames: DataFrame, grids: DataFrame, path_column: str, key: str = "stem", archive: str | None = None) -> int:
+    """Delete the source files whose grid was verified, or move them below ``archive``; returns how many went.
+
+    Paths are read through a bounded iterator. A repeated or resumed call finds nothing left to do for a
+    file that is gone.
+    """
+    spark = frames.sparkSession
+    chosen = (row[0] for row in deletable_sources(frames, grids, key).select(path_column).toLocalIterator())
+    if archive is None:
+        return _delete(spark, chosen)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, count = jvm.org.apache.hadoop.fs.Path(archive), 0
+    folder.getFileSystem(conf).mkdirs(folder)
+    for name in chosen:
+        source = jvm.org.apache.hadoop.fs.Path(name)
+        count += int(source.getFileSystem(conf).rename(source, jvm.org.apache.hadoop.fs.Path(folder, source.getName())))
+    return count
+
+
 def drop_old_dates(spark: SparkSession, path: str, date_column: str, as_of: str, days: int) -> None:
     """Rewrite retention: remove date partitions older than ``days`` before ``as_of`` (ISO date)."""
     table = spark.read.parquet(path)
     old = table.where(F.col(date_column) < F.date_sub(F.lit(as_of).cast("date"), days)).select(date_column).distinct()
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in old.toLocalIterator():
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{date_column}={row[0]}"), True)
+    _delete(spark, (f"{path}/{date_column}={row[0]}" for row in old.toLocalIterator()))

@@ -46,6 +46,15 @@ def test_fixed_text_on_random_values(spark):
         assert (r.t0, r.t1, r.t2) == (f"{r.v:.0f}", f"{r.v:.1f}", f"{r.v:.2f}")
 
 
+def test_fixed_text_below_one(spark):
+    steps = spark.range(-10_000, 10_001).select((F.col("id") / 10_000).alias("v"))
+    rng = random.Random(4)
+    more = [k / 2**e for e in (1, 3, 9, 14, 30, 60) for k in (1, 3, 5)] + [rng.random() * 10.0 ** -rng.randrange(8) for _ in range(2000)] + [0.00005, 0.00015, 5e-5 - 1e-20, 1e15 + 0.5, 2.0**60]
+    rows = steps.union(spark.createDataFrame([(v,) for v in more], "v double")).select("v", *[numbers.fixed_text(F.col("v"), d).alias(f"t{d}") for d in range(5)]).collect()
+    for r in rows:
+        assert [r[f"t{d}"] for d in range(5)] == [f"{r.v:.{d}f}" for d in range(5)], r.v
+
+
 def test_magnitude_truncates_toward_zero(spark):
     rows = spark.createDataFrame([("1.9",), ("-1.9",), ("",), (None,), ("EF2",)], "m string").select(numbers.truncated_magnitude(F.col("m")).alias("x")).collect()
     assert [r.x for r in rows] == [1, -1, -9, -9, None]
@@ -96,13 +105,13 @@ def test_accuracy_verdict_is_strict(spark):
 # --- joins ---
 
 
-@pytest.mark.parametrize("site_rows", [20_000, 0])
-def test_nearest_station_brute_force_and_ties(spark, site_rows):
+@pytest.mark.parametrize("row_by_row", [False, True])
+def test_nearest_station_brute_force_and_ties(spark, row_by_row):
     rng = random.Random(1)
     sites = [(f"S{n:03d}", rng.uniform(-80, 80), rng.uniform(-180, 180)) for n in range(300)] + [("ZTIE", 10.0, 20.0), ("ATIE", 10.0, 20.0)]
     events = [(n, rng.uniform(-80, 80), rng.uniform(-180, 180)) for n in range(600)] + [(900, 10.1, 20.1), (901, 70.0, 179.9), (902, 70.0, -179.9)]
     sites += [("DATE", 70.0, -179.95)]
-    got = proximity.nearest_station(spark.createDataFrame(events, "report_id long, lat double, lon double"), spark.createDataFrame(sites, "station string, lat double, lon double"), 800.0, site_rows=site_rows)
+    got = proximity.nearest_station(spark.createDataFrame(events, "report_id long, lat double, lon double"), spark.createDataFrame(sites, "station string, lat double, lon double"), 800.0, row_by_row=row_by_row)
     found = {r.report_id: (r.station, round(r.dist_km, 6)) for r in got.collect()}
     want = {}
     for n, lat, lon in events:
@@ -173,8 +182,8 @@ def test_reconcile_actions(spark):
 # --- palette ---
 
 
-@pytest.mark.parametrize("rows,few", [(4000, False), (0, False), (4000, True)])
-def test_palette_lookup_brute_force(spark, rows, few):
+@pytest.mark.parametrize("by_colour", [False, True])
+def test_palette_lookup_brute_force(spark, by_colour):
     rng = np.random.default_rng(4)
     scale = rng.integers(0, 256, (60, 3))
     scale[40] = scale[7]
@@ -182,17 +191,17 @@ def test_palette_lookup_brute_force(spark, rows, few):
     px[0] = scale[7]
     pal = spark.createDataFrame([(n, *map(int, c), float(n)) for n, c in enumerate(scale)], "x int, r int, g int, b int, value double")
     pix = spark.createDataFrame([(n, *map(int, c)) for n, c in enumerate(px)], "id int, r int, g int, b int")
-    got = {r.id: r.palette_x for r in palette.palette_lookup(pix, pal, rows, few).collect()}
+    got = {r.id: r.palette_x for r in palette.palette_lookup(pix, pal, by_colour).collect()}
     d2 = ((px[:, None, :] - scale[None, :, :]) ** 2).sum(axis=2)
     assert got == {n: int(x) for n, x in enumerate(d2.argmin(axis=1))} and got[0] == 7
 
 
-@pytest.mark.parametrize("rows", [4000, 0])
-def test_value_to_colour_brute_force(spark, rows):
+@pytest.mark.parametrize("by_value", [False, True])
+def test_value_to_colour_brute_force(spark, by_value):
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.uniform(-60, 110, 500), [-20.0, 70.0, 25.0]])
     pal = [(x, x, 0, 255 - x, -20 + 90 * (x / 200)) for x in range(200)]
-    got = palette.value_to_colour(spark.createDataFrame([(n, float(v)) for n, v in enumerate(values)], "id int, value double"), spark.createDataFrame(pal, "x int, r int, g int, b int, value double"), palette_rows=rows)
+    got = palette.value_to_colour(spark.createDataFrame([(n, float(v)) for n, v in enumerate(values)], "id int, value double"), spark.createDataFrame(pal, "x int, r int, g int, b int, value double"), by_value=by_value)
     scale = np.array([p[4] for p in pal])
     for r in got.collect():
         assert r.r == int(np.abs(scale - min(70, max(-20, values[r.id]))).argmin())
@@ -309,9 +318,11 @@ def test_fingerprints(spark):
 
     ids = [f"tensors/{n}.npy" for n in range(50)]
     df = spark.createDataFrame([(i,) for i in ids], "tensor string")
-    assert evaluation.exact_fingerprint(df, "tensor").first().fingerprint == hashlib.sha256("".join(sorted(ids)).encode()).hexdigest()[:16]
-    with pytest.raises(ValueError):
-        evaluation.exact_fingerprint(df, "tensor", max_rows=49)
+    assert evaluation.exact_fingerprint(df, "tensor", parts=1).first().fingerprint == hashlib.sha256("".join(sorted(ids)).encode()).hexdigest()[:16]
+    whole = evaluation.exact_fingerprint(df, "tensor").first()
+    assert whole.n == 50 and whole == evaluation.exact_fingerprint(df.repartition(7), "tensor").first()
+    for other in (df.where("tensor <> 'tensors/7.npy'"), df.union(df.limit(1)), df.union(spark.createDataFrame([(None,)], "tensor string"))):
+        assert evaluation.exact_fingerprint(other, "tensor").first().fingerprint != whole.fingerprint
     a, b = evaluation.fingerprint(df, "tensor").first(), evaluation.fingerprint(df.orderBy(F.desc("tensor")).repartition(5), "tensor").first()
     assert a == b and a != evaluation.fingerprint(df.where("tensor <> 'tensors/7.npy'"), "tensor").first()
 
