@@ -250,10 +250,11 @@ def _(i):
 
 @query(
     "p01_year_and_magnitude_filter",
-    "select report_id from {storm_events} where extract(year from event_ts) in (2024) and (subtype <> 'tornado' or mag >= 2)",
+    "select report_id from {storm_events} where extract(year from event_ts - interval '1' day * (400 * (report_id % 4))) in (2021, 2023) and (subtype <> 'tornado' or mag >= 2)",
 )
 def _(i):
-    return i.storm_events.where(F.year("event_ts").isin(2024) & strong_enough(F.col("subtype"), F.col("mag"), 2)).select("report_id")
+    aged = F.col("event_ts") - F.expr("interval '1' day * (400 * (report_id % 4))")  # four years of reports
+    return i.storm_events.where(F.year(aged).isin(2021, 2023) & strong_enough(F.col("subtype"), F.col("mag"), 2)).select("report_id")
 
 
 @query("p03_null_island_filter", "select report_id from {storm_events} where floor(lat) - 30 <> 0 and floor(lon) + 100 <> 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gustfront.catalog.registry import query, rnd, sql_rnd, sql_stamp, stamp
@@ -228,14 +229,29 @@ def _(i):
     return i.pages.select("page_id", F.md5(text.short_copy(F.col("html"), 4000)).alias("copy"))
 
 
+PERIODS = """list_transform(range(0, n_chars % 8), lambda k: chr(10) || 'Period ' || cast(k as string) || ':' || chr(10) || '  Temp: ' || cast(50 + k as string) || '°F' || chr(10)
+      || '  Wind: ' || case when k % 2 = 0 then '10 mph' else 'N/A' end || ' ' || case when k % 3 = 0 then 'NW' else '' end || chr(10) || '  ' || 'Sky ' || cast(doc_id % 5 as string))"""
+FORECAST_HEAD = f"chr(10) || '{text.RULE}' || chr(10) || 'FORECAST {text.DASH} Dallas' || chr(10) || '{text.RULE}'"
+
+
+def periods() -> Column:
+    """Forecast periods as a parsed feed gives them, none to seven per document."""
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(6)),
+        lambda k: F.struct(
+            F.concat(F.lit("Period "), k.cast("string")).alias("name"), (k + 50).alias("temperature"), F.lit(None).cast("string").alias("temperatureUnit"),
+            F.when(k % 2 == 0, "10 mph").alias("windSpeed"), F.when(k % 3 == 0, "NW").alias("windDirection"), F.concat(F.lit("Sky "), (F.col("doc_id") % 5).cast("string")).alias("shortForecast"),
+        ),
+    )
+    return F.slice(every, F.lit(1), (F.col("n_chars") % 8).cast("int"))
+
+
 @query(
     "l03_first_forecast_periods",
-    """select doc_id, case when n_chars % 8 > 0 then array_to_string(list_transform(range(0, least(5, n_chars % 8)), lambda k: 'P' || cast(k as string)), ',') else '' end as names from {documents}""",
+    f"select doc_id, {FORECAST_HEAD} || coalesce(list_aggregate(list_slice(list_transform({PERIODS}, lambda p: chr(10) || p), 1, 5), 'string_agg', ''), '') || chr(10) || chr(10) || '{text.RULE}' as section from {{documents}}",
 )
 def _(i):
-    n = (F.col("n_chars") % 8).cast("int")
-    names = F.transform(F.slice(F.sequence(F.lit(0), F.lit(7)), F.lit(1), n), lambda k: F.concat(F.lit("P"), k.cast("string")))
-    return i.documents.select("doc_id", F.array_join(F.slice(names, 1, 5), ",").alias("names"))
+    return i.documents.select("doc_id", text.forecast_section(periods(), "Dallas").alias("section"))
 
 
 @query(
