@@ -79,7 +79,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(name: str, base: int, size: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
-    if len(_powers.get(name, ())) < size:
+    if name not in _powers or len(_powers[name]) < size:
         grown = np.full(max(1 << 16, 2 * size), base, dtype=U64)
         grown[0] = 1
         _powers[name] = np.multiply.accumulate(grown)

@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import U64, bounded, map_batches, numbered, rolled, signed, stored, texts_as_bytes, word_hashes
+from gustfront.llm.common import U64, bounded, map_batches, mixed, numbered, rolled, signed, span_hashes, stored, texts_as_bytes
 
 WINDOW, GRAM = 20, 6
-LONGEST_RUN, MANY_RUNS = 1 << 10, 2000
+LONGEST_RUN, MANY_RUNS = 1 << 10, 500
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -57,27 +57,54 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(low[: len(low) - (width - reach)], low[width - reach :]) if width > reach else low
 
 
-def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes (in windows) of the runs of equal anchors, none longer than ``LONGEST_RUN``."""
-    if not len(marks):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(marks)]]))
-    if sizes.max() > LONGEST_RUN:
-        cut = [(s + k, min(LONGEST_RUN, n - k)) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) for k in range(0, n, LONGEST_RUN)]
-        starts, sizes = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
-    return starts, sizes
-
-
-def repeats_itself(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Runs whose anchor has several places in them, the only ones that can hold a window twice."""
-    if not len(starts):
-        return np.zeros(0, dtype=bool)
-    grams, marks = rolled(hashes, GRAM), anchors(hashes)
-    spans = sizes + WINDOW - GRAM
-    offsets = np.cumsum(spans) - spans
-    at = np.arange(spans.sum()) + np.repeat(starts - offsets, spans)
-    return np.add.reduceat(grams[at] == np.repeat(marks[starts], spans), offsets, dtype=np.int64) > 1
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Words:
+    """The words of several texts in one array of hashes, so that few array operations serve many texts."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join(texts)
+        edges = np.diff(np.concatenate([[True], _SPACE[np.frombuffer(data, dtype=np.uint8)], [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.hashes = span_hashes(data, starts, ends)
+        self.first = np.searchsorted(starts, begins)  # of each text, and one past the last
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+
+def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size in windows, anchor, whether the anchor has several places in it) of every run, none longer than ``LONGEST_RUN``.
+
+    Starts count from the first word of all texts. Only a run whose anchor has several places can hold a window twice.
+    """
+    marks, row = anchors(words.hashes), words.row
+    count = len(marks)
+    none = np.zeros(0, dtype=np.int64)
+    if not count:
+        return none, none, none.astype(U64), none.astype(bool)
+    inside = row[:count] == row[WINDOW - 1 :]
+    change = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (row[1:count] != row[: count - 1]) | (inside[1:] != inside[:-1])]))
+    sizes = np.diff(np.concatenate([change, [count]]))
+    starts, sizes = change[inside[change]], sizes[inside[change]]
+    # A place holds an anchor if one of the windows over it has its value; anchors follow each other as their runs do.
+    grams, width = rolled(words.hashes, GRAM), WINDOW - GRAM + 1
+    over = np.concatenate([np.zeros(width - 1, dtype=U64), np.where(inside, marks, U64(0)), np.zeros(width - 1, dtype=U64)])
+    reach = 1
+    while 2 * reach <= width:
+        over = np.maximum(over[:-reach], over[reach:])
+        reach *= 2
+    over = np.maximum(over[: len(over) - (width - reach)], over[width - reach :]) if width > reach else over
+    places = np.flatnonzero((over[: len(grams)] == grams) & (row[: len(grams)] == row[GRAM - 1 :]))
+    fresh = np.flatnonzero(np.concatenate([[True], (grams[places[1:]] != grams[places[:-1]]) | (row[places[1:]] != row[places[:-1]])])) if len(places) else none
+    several = np.diff(np.concatenate([fresh, [len(places)]])) > 1
+    if len(several) != len(starts):
+        several = np.ones(len(starts), dtype=bool)
+    if len(sizes) and sizes.max() > LONGEST_RUN:
+        cut = [(s + k, min(LONGEST_RUN, n - k), o) for s, n, o in zip(starts.tolist(), sizes.tolist(), several.tolist(), strict=True) for k in range(0, n, LONGEST_RUN)]
+        starts, sizes, several = np.array([c[0] for c in cut]), np.array([c[1] for c in cut]), np.array([c[2] for c in cut])
+    return starts, sizes, marks[starts], several
 
 
 class SuffixAutomaton:
@@ -135,14 +162,10 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(rid, anchors): each row's anchors that have two places or more in the corpus."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        rids, found = [], []
-        for rid, text in zip(batch["rid"].to_pylist(), texts_as_bytes(batch["text"]), strict=True):
-            hashes = word_hashes(split_words(text))
-            marks = anchors(hashes)
-            starts, sizes = runs(marks)
-            found.append(np.repeat(marks[starts], 1 + repeats_itself(hashes, starts, sizes)))
-            rids.append(np.full(len(found[-1]), rid, dtype=np.int64))
-        return {"anchor": signed(np.concatenate(found)), "rid": np.concatenate(rids)}
+        words = Words(texts_as_bytes(batch["text"]))
+        starts, _, marks, several = runs(words)
+        times = 1 + several
+        return {"anchor": signed(np.repeat(marks, times)), "rid": np.repeat(batch["rid"].to_numpy()[words.row[starts]], times)}
 
     seen = map_batches(rows.select("rid", "text"), step, "anchor long, rid long")
     often = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
@@ -170,28 +193,25 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     """anchor, content hash, doc_id, rid, start, size of every run whose anchor is repeated."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list[np.ndarray]] = {k: [np.zeros(0, dtype=np.int64)] for k in ("anchor", "content", "rid", "start", "size", "own", "row")}
-        for row, (rid, text, wanted) in enumerate(zip(batch["rid"].to_pylist(), texts_as_bytes(batch["text"]), batch["anchors"].to_pylist(), strict=True)):
-            hashes = word_hashes(split_words(text))
-            marks = signed(anchors(hashes))
-            starts, sizes = runs(marks)
-            keep = np.isin(marks[starts], np.array(wanted, dtype=np.int64))
-            starts, sizes = starts[keep], sizes[keep]
-            windows = rolled(hashes, WINDOW)
-            sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(windows * (np.arange(len(windows), dtype=U64) * U64(2) + U64(1)))])
-            plain = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(windows)])
-            ends = starts + sizes
-            # A run's content is the sum of window * (2 * place in the run + 1), wherever the run lies.
-            content = (sums[ends] - sums[starts]) - U64(2) * starts.astype(U64) * (plain[ends] - plain[starts])
-            out["anchor"].append(marks[starts])
-            out["content"].append(signed(content ^ (sizes.astype(U64) << U64(1))))
-            out["rid"].append(np.full(len(starts), rid, dtype=np.int64))
-            out["start"].append(starts)
-            out["size"].append(sizes)
-            out["own"].append(repeats_itself(hashes, starts, sizes))
-            out["row"].append(np.full(len(starts), row, dtype=np.int64))
-        flat = {k: np.concatenate(v).astype(np.int64) for k, v in out.items()}
-        return {"anchor": flat["anchor"], "content": flat["content"], "doc_id": batch["doc_id"].take(pa.array(flat["row"])), "rid": flat["rid"], "start": flat["start"].astype(np.int32), "size": flat["size"].astype(np.int32), "own": flat["own"].astype(bool)}
+        words = Words(texts_as_bytes(batch["text"]))
+        starts, sizes, marks, several = runs(words)
+        row, lists = words.row[starts], batch["anchors"]
+        # (text, anchor) pairs that are repeated, as one number each
+        salt = mixed(np.arange(1, batch.num_rows + 1, dtype=U64))
+        wanted = lists.flatten().to_numpy().view(U64) ^ np.repeat(salt, lists.value_lengths().to_numpy())
+        keep = np.isin(marks ^ salt[row], wanted)
+        starts, sizes, marks, several, row = starts[keep], sizes[keep], marks[keep], several[keep], row[keep]
+        # A run's content is the sum of window * (2 * place in the run + 1), wherever the run lies.
+        windows = rolled(words.hashes, WINDOW)
+        sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(windows * (np.arange(len(windows), dtype=U64) * U64(2) + U64(1)))])
+        plain = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(windows)])
+        ends = starts + sizes
+        content = (sums[ends] - sums[starts]) - U64(2) * starts.astype(U64) * (plain[ends] - plain[starts])
+        take = pa.array(row)
+        return {
+            "anchor": signed(marks), "content": signed(content ^ (sizes.astype(U64) << U64(1))), "doc_id": batch["doc_id"].take(take), "rid": batch["rid"].take(take),
+            "start": (starts - words.first[row]).astype(np.int32), "size": sizes.astype(np.int32), "own": several.astype(bool),
+        }
 
     return map_batches(texts.where("anchors is not null").select("rid", "doc_id", "text", "anchors"), step, "anchor long, content long, doc_id long, rid long, start int, size int, own boolean")
 
@@ -202,9 +222,10 @@ def words_of(pieces: DataFrame, texts: DataFrame) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("shard", "many", "doc_id", "rid", "start", "words")}
-        for rid, doc_id, text, pieces_ in zip(batch["rid"].to_pylist(), batch["doc_id"].to_pylist(), texts_as_bytes(batch["text"]), batch["pieces"].to_pylist(), strict=True):
-            hashes = word_hashes(split_words(text))
-            windows = signed(rolled(hashes, WINDOW))
+        words_ = Words(texts_as_bytes(batch["text"]))
+        every = signed(rolled(words_.hashes, WINDOW))
+        for at, end, rid, doc_id, pieces_ in zip(words_.first[:-1].tolist(), words_.first[1:].tolist(), batch["rid"].to_pylist(), batch["doc_id"].to_pylist(), batch["pieces"].to_pylist(), strict=True):
+            hashes, windows = words_.hashes[at:end], every[at:end]
             for p in pieces_:
                 cut = [(int(windows[k]), k, b"") for k in range(p["start"], p["start"] + p["size"])] if p["many"] else [(p["anchor"], p["start"], hashes[p["start"] : p["start"] + p["size"] + WINDOW - 1].tobytes())]
                 for shard, start, words in cut:
