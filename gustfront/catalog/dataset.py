@@ -125,6 +125,37 @@ def _(i):
     return got.select("station", stamp("scan_ts").alias("scan_ts"), stamp("pair_ts").alias("pair_ts"), "reason")
 
 
+@query(
+    "j05_newest_pair_of_every_site",
+    f"""with {LISTED}, lim as (select date_trunc('day', max(scan_ts)) as d from listed),
+    recent as (select l.* from listed l, lim where l.scan_ts >= d - interval '1' day and l.scan_ts < d + interval '1' day and l.station <> 'K0003'),
+    newest as (select station, max(scan_ts) as scan_ts from recent where product = 'N0B' group by 1),
+    p as (select n.station, n.scan_ts, v.scan_ts as pair_ts, row_number() over (partition by n.station order by abs(epoch_us(v.scan_ts) - epoch_us(n.scan_ts)), v.scan_ts) as k
+      from newest n left join recent v on v.station = n.station and v.product = 'N0S' and abs(epoch_us(v.scan_ts) - epoch_us(n.scan_ts)) <= 300000000)
+    select s.station, {sql_stamp('pair_ts')} as pair_ts, case when scan_ts is null then 'no recent reflectivity' when pair_ts is null then 'no velocity within 300s of ' || strftime(scan_ts, '%Y-%m-%dT%H:%M:%SZ') else 'paired' end as reason
+    from (select distinct station from {{stations}}) s left join (select * from p where k = 1) p on p.station = s.station""",
+)
+def _(i):
+    listed = pairing.minute_scans(i.scans)
+    as_of = listed.select(F.max("scan_ts")).scalar()
+    seen = listed.where("station <> 'K0003'")  # a site whose feed is down
+    got = pairing.newest_pair(seen.where("product = 'N0B'").drop("product"), seen.where("product = 'N0S'").drop("product"), as_of, stations=i.stations)
+    return got.select("station", stamp("pair_ts").alias("pair_ts"), "reason")
+
+
+@query(
+    "j09_array_comparison",
+    f"""with p as (select vec_id, embedding as a, case when vec_id % 3 = 0 then list_transform(embedding, lambda x: x + cast(0.5 as float)) when vec_id % 7 = 0 then list_slice(embedding, 1, 10) when vec_id % 11 <> 0 then embedding end as b from {{embeddings}}),
+    g as (select vec_id, a, b, case when len(a) = len(b) then list_transform(range(1, len(a) + 1), lambda k: abs(cast(a[k] as double) - cast(b[k] as double))) end as d from p)
+    select vec_id, coalesce(list_max(d) = 0, false) as equal, {sql_rnd('list_max(d)', 4)} as largest, {sql_rnd('list_sum(d) / len(d)', 4)} as mean from g""",
+)
+def _(i):
+    k, e = F.col("vec_id"), F.col("embedding")
+    other = F.when(k % 3 == 0, F.transform(e, lambda x: (x + F.lit(0.5).cast("float")).cast("float"))).when(k % 7 == 0, F.slice(e, 1, 10)).when(k % 11 != 0, e)
+    got = lookups.compare_arrays(i.embeddings.select("vec_id", e.alias("a"), other.alias("b")), "a", "b")
+    return got.select("vec_id", "equal", rnd("largest_difference", 4).alias("largest"), rnd("mean_difference", 4).alias("mean"))
+
+
 EVENT_ID = "subtype || '_' || strftime(event_ts, '%Y%m%d_%H%M') || '_' || station"
 MANIFEST = f"""ided as (select *, {EVENT_ID} as event_id from chosen),
  owner as (select event_id, min(report_id) as report_id from ided group by 1),

@@ -79,6 +79,25 @@ def _(i):
     return got.select("target", *[rnd(c).alias(c) for c in ("recall", "precision", "threshold")])
 
 
+def _ap(column: str) -> str:
+    return f"""(with c as (select {column} as s, count_if(label = 1) as pos, count_if(label <> 1) as neg from {{predictions}} group by 1),
+      u as (select pos, sum(pos) over (order by s desc) as tp, sum(neg) over (order by s desc) as fp, sum(pos) over () as p from c) select {sql_rnd('sum(pos * (tp / cast(tp + fp as double))) / max(p)')} from u)"""
+
+
+@query(
+    "a25_evaluation_report",
+    f"""select 'ranking' as section, m.name, 'average_precision' as measure, m.v as value from (select 'model' as name, {_ap('score')} as v union all select 'flipped', {_ap('1e0 - score')}
+      union all select 'majority', (select {sql_rnd('avg(cast(label as double))')} from {{predictions}})) m
+    union all select 'false_positives', subtype, 'rate', {sql_rnd('count_if(score >= 0.5) / cast(count(*) as double)')} from {{predictions}} where label = 0 group by subtype
+    union all select 'false_positives', subtype, 'negatives', cast(count(*) as double) from {{predictions}} where label = 0 group by subtype""",
+)
+def _(i):
+    scored = i.predictions.withColumn("flipped", F.lit(1.0) - F.col("score"))
+    report = evaluation.evaluation_report(scored, {"model": "score", "flipped": "flipped"})
+    shown = (F.col("measure") == "average_precision") | F.col("measure").isin("rate", "negatives")
+    return report.where(shown).withColumn("value", rnd("value"))
+
+
 @query(
     "a28_false_positives_by_subtype",
     f"select subtype, cast(count_if(score >= 0.5) as bigint) as false_positives, count(*) as negatives, {sql_rnd('count_if(score >= 0.5) / cast(count(*) as double)')} as rate from {{predictions}} where label = 0 group by 1",

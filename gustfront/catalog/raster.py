@@ -132,6 +132,21 @@ def _(i):
     return q.select("scan_id", *[rnd(c).alias(c) for c in ("range_coverage", "value_diversity", "weather_coverage", "overall_score")], "grade")
 
 
+@query(
+    "a07_metric_verdicts",
+    f"""with {NEIGHBOURS}, base as (select scan_id, (max(value) - min(value)) / 90e0 * 100 as range_coverage, count(distinct value) / least(1000, count(*)) * 100e0 as value_diversity,
+      count_if(value > 5) * 100e0 / count(*) as weather_coverage from {{cells}} group by 1), q as (select * from base join n1 using (scan_id) join n2 using (scan_id)),
+    u as (select scan_id, 'range_coverage' as metric, case when range_coverage > 50 then 'GOOD' else 'LIMITED' end as verdict from q
+      union all select scan_id, 'spatial_consistency', case when spatial_consistency > 70 then 'EXCELLENT' when spatial_consistency > 50 then 'GOOD' else 'WEAK' end from q
+      union all select scan_id, 'value_diversity', case when value_diversity > 30 then 'EXCELLENT' when value_diversity > 15 then 'GOOD' else 'LIMITED' end from q
+      union all select scan_id, 'weather_coverage', case when weather_coverage > 30 then 'SUBSTANTIAL' when weather_coverage > 10 then 'MODERATE' else 'LIGHT' end from q
+      union all select scan_id, 'gradient_quality', case when gradient_quality > 70 then 'SMOOTH' when gradient_quality > 50 then 'ACCEPTABLE' else 'NOISY' end from q)
+    select * from u""",
+)
+def _(i):
+    return grids.grid_verdicts(grids.grid_quality(i.cells)).select("scan_id", "metric", "verdict")
+
+
 @query("p10_severe_cells", "select scan_id, cast(case when scan_id % 2 = 0 then count_if(value * 5 > 50) else count_if(abs(value * 5) > 50) end as bigint) as severe_cells from {cells} group by scan_id")
 def _(i):
     kind = F.when(F.col("scan_id") % 2 == 0, "reflectivity").otherwise("velocity")
@@ -429,6 +444,18 @@ def _(i):
     return pixels.palette_match_rate(parts, i.palette, ["part"]).withColumn("match_rate", rnd("match_rate"))
 
 
+@query(
+    "a11_unmatched_colours",
+    f"""with c as (select distinct scan_id % 20 as part, r, g, b from {{pixels}} where not (abs(r - 247) < 30 and abs(g - 246) < 30 and abs(b - 213) < 30) and not (r > 245 and g > 245 and b > 245) and not (r < 50 and g < 50 and b < 50)),
+    k as (select * from (select *, row_number() over (partition by part order by r, g, b) as n from c) t where n <= 100),
+    d as (select k.part, k.r, k.g, k.b, min(sqrt({D2.replace('p.', 'k.')})) as d from k cross join {{palette}} s group by 1, 2, 3, 4)
+    select part, r, g, b, {sql_rnd('d')} as distance from (select *, row_number() over (partition by part order by r, g, b) as n from d where d >= 20) t where n <= 10""",
+)
+def _(i):
+    parts = i.pixels.withColumn("part", F.col("scan_id") % 20)
+    return pixels.unmatched_colours(parts, i.palette, ["part"]).select("part", "r", "g", "b", rnd("distance").alias("distance"))
+
+
 @query(
     "a13_mask_coverage",
     f"""with m as (select scan_id % 50 as part, count(*) as total, count_if(not (abs(r - 220) <= 35 and abs(g - 210) <= 35 and abs(b - 175) <= 35) and not (r >= 245 and g >= 245 and b >= 245) and not (r <= 60 and g <= 60 and b <= 60)) as included from {{pixels}} group by 1)

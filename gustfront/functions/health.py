@@ -64,3 +64,19 @@ def quality_composite(coverage, consistency, diversity, weather, smoothness) ->
     """
     weather_score = F.least(F.lit(100.0), weather / 0.30 * 100)
     return coverage * 0.15 + consistency * 0.35 + diversity * 0.20 + weather_score * 0.15 + smoothness * 0.15
+
+
+# Bounds above which a grid metric earns each label, and the label below them.
+METRIC_LADDERS = {
+    "range_coverage": ([(50, "GOOD")], "LIMITED"),
+    "spatial_consistency": ([(70, "EXCELLENT"), (50, "GOOD")], "WEAK"),
+    "value_diversity": ([(30, "EXCELLENT"), (15, "GOOD")], "LIMITED"),
+    "weather_coverage": ([(30, "SUBSTANTIAL"), (10, "MODERATE")], "LIGHT"),
+    "gradient_quality": ([(70, "SMOOTH"), (50, "ACCEPTABLE")], "NOISY"),
+}
+
+
+def metric_verdict(metric: str, value: Column) -> Column:
+    """Label of one grid metric, in percent; bounds must be exceeded."""
+    steps, last = METRIC_LADDERS[metric]
+    return ladder(value, steps, last, strict=True)

@@ -147,6 +147,34 @@ def false_positives(predictions: DataFrame, threshold: float = 0.5) -> DataFrame
     )
 
 
+def evaluation_report(predictions: DataFrame, models: dict[str, str], label: str = "label", threshold: float = 0.5, targets=(0.3, 0.5, 0.7, 0.9)) -> DataFrame:
+    """Rows (section, name, measure, value) of the whole evaluation.
+
+    ``models`` names score columns; the first is the model, the others its baselines. Ranking metrics come for each and
+    for the majority answer; precision at recall, thresholds and false positives per subtype for the model.
+    """
+
+    def rows(df: DataFrame, section: str, name, measures: dict) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("double").alias("value")) for m, v in measures.items()])
+        return df.select(F.lit(section).alias("section"), name.alias("name"), F.explode(each).alias("v")).select("section", "name", "v.*")
+
+    first = next(iter(models.values()))
+    parts = []
+    for name, column in models.items():
+        got = ranking_metrics(predictions, label, column)
+        parts.append(rows(got, "ranking", F.lit(name), {m: F.col(m) for m in ("n", "base_rate", "average_precision", "roc_auc")}))
+    always = base_rate(predictions, label)
+    parts.append(rows(always, "ranking", F.lit("majority"), {"average_precision": F.col("base_rate"), "roc_auc": F.lit(0.5)}))
+    at = precision_at_recall(predictions, targets, label, first)
+    parts.append(rows(at, "recall", F.col("target").cast("string"), {"precision": F.col("precision"), "recall": F.col("recall"), "threshold": F.col("threshold")}))
+    wrong = false_positives(predictions.withColumn("label", F.col(label)).withColumn("score", F.col(first)), threshold)
+    parts.append(rows(wrong, "false_positives", F.col("subtype"), {m: F.col(m) for m in ("false_positives", "negatives", "rate")}))
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    return report
+
+
 def base_rate(predictions: DataFrame, label: str = "label") -> DataFrame:
     """Share of positives: the average precision of always answering yes."""
     return predictions.agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("base_rate"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gustfront.constants import VALUE_RANGE
 from gustfront.functions.geo import box_pixels, pixel_col, pixel_row
-from gustfront.functions.health import quality_composite, quality_grade
+from gustfront.functions.health import METRIC_LADDERS, metric_verdict, quality_composite, quality_grade
 from gustfront.functions.numbers import min_max_scaled, percent
 from gustfront.functions.radar import intensity_band, is_severe
 
@@ -99,6 +99,12 @@ def grid_quality(cells: DataFrame, radar_type: str = "reflectivity") -> DataFram
     return rated.withColumn("overall_score", score).withColumn("grade", quality_grade(F.col("overall_score")))
 
 
+def grid_verdicts(quality: DataFrame) -> DataFrame:
+    """One row per scan and metric of ``grid_quality``: metric, value and its label."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), metric_verdict(m, F.col(m)).alias("verdict")) for m in METRIC_LADDERS])
+    return quality.select("scan_id", F.explode(each).alias("v")).select("scan_id", "v.*")
+
+
 def severe_count(cells: DataFrame, radar: Column) -> DataFrame:
     return cells.groupBy("scan_id").agg(F.count_if(is_severe(radar, F.col("value"))).alias("severe_cells"))
 

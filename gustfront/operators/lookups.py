@@ -93,3 +93,19 @@ def fill_capture_status(capture: DataFrame, processor: DataFrame, key: str) -> D
         F.when(silent, F.coalesce("last_file", "last_processed")).otherwise(F.col("last_file")).alias("last_file"),
         silent.alias("synthetic"),
     )
+
+
+def compare_arrays(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Add whether two number arrays are equal, and their largest and mean absolute difference.
+
+    Arrays of unequal length, or a missing one, are different without a measure; two empty ones are equal.
+    """
+    same_size = F.size(left) == F.size(right)
+    gaps = F.zip_with(left, right, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    total = F.aggregate("_gaps", F.lit(0.0), lambda acc, g: acc + g)
+    compared = pairs.withColumn("_gaps", F.when(same_size, gaps))
+    return compared.select(
+        *pairs.columns, F.coalesce(same_size & (F.coalesce(F.array_max("_gaps"), F.lit(0.0)) == 0), F.lit(False)).alias("equal"),
+        F.coalesce(F.array_max("_gaps"), F.when(same_size, F.lit(0.0))).alias("largest_difference"),
+        F.when(F.size("_gaps") > 0, total / F.size("_gaps")).when(same_size, F.lit(0.0)).alias("mean_difference"),
+    ).drop("_gaps")

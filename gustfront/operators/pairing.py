@@ -111,8 +111,11 @@ def pair_velocity(reflectivity: DataFrame, velocity: DataFrame, tolerance_min: i
     return nearest_in_time(reflectivity, velocity, ["station"], "scan_ts", "scan_ts", "scan_id", tolerance_min * 60)
 
 
-def newest_pair(reflectivity: DataFrame, velocity: DataFrame, as_of: Column, tolerance_seconds: int = LIVE_PAIR_SECONDS) -> DataFrame:
-    """Newest reflectivity scan per site over yesterday and today, with its velocity or the reason for none."""
+def newest_pair(reflectivity: DataFrame, velocity: DataFrame, as_of: Column, tolerance_seconds: int = LIVE_PAIR_SECONDS, stations: DataFrame | None = None) -> DataFrame:
+    """Newest reflectivity scan per site over yesterday and today, with its velocity or the reason for none.
+
+    With the site list, sites without any such scan come too, with their reason.
+    """
     midnight = F.date_trunc("day", as_of)
     recent = lambda df: df.where((F.col("scan_ts") >= midnight - F.expr("interval 1 day")) & (F.col("scan_ts") < midnight + F.expr("interval 1 day")))
     newest = recent(reflectivity).groupBy("station").agg(
@@ -120,7 +123,11 @@ def newest_pair(reflectivity: DataFrame, velocity: DataFrame, as_of: Column, tol
     )
     paired = nearest_in_time(newest, recent(velocity), ["station"], "scan_ts", "scan_ts", "scan_id", tolerance_seconds)
     reason = F.when(F.col("pair_id").isNull(), F.concat(F.lit(f"no velocity within {tolerance_seconds}s of "), F.date_format("scan_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
-    return paired.withColumn("reason", F.coalesce(reason, F.lit("paired")))
+    rated = paired.withColumn("reason", F.coalesce(reason, F.lit("paired")))
+    if stations is None:
+        return rated
+    every = stations.select("station").distinct().join(rated, "station", "left")
+    return every.withColumn("reason", F.coalesce("reason", F.lit("no recent reflectivity")))
 
 
 def last_known(requests: DataFrame, facts: DataFrame, request_ts: str, fact_ts: str, fact_id: str, slot_seconds: int = 600) -> DataFrame:

@@ -112,16 +112,20 @@ def pixel_breakdown(pixels: DataFrame, by: list[str] | None = None, overlapping:
     return rated.withColumn("verdict", ladder(F.col("weather_percent"), [(50, "HIGH"), (30, "MODERATE")], "LOW"))
 
 
-def palette_match_rate(pixels: DataFrame, palette: DataFrame, by: list[str] | None = None, first: int = 100, within: float = 20.0) -> DataFrame:
-    """Share of the first 100 weather-like colours (in colour order) that lie near the palette."""
-    by = by or []
+def _weather_colours(pixels: DataFrame, by: list[str], first: int) -> DataFrame:
+    """The first weather-like colours in colour order."""
     r, g, b = _rgb()
     ground = (F.abs(r - 247) < 30) & (F.abs(g - 246) < 30) & (F.abs(b - 213) < 30)
     colours = pixels.select(*by, "r", "g", "b").where(~ground & ~is_white(r, g, b, 245) & ~is_dark(r, g, b)).distinct()
     if by:
-        chosen = colours.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("r", "g", "b"))).where(F.col("_n") <= first).drop("_n")
-    else:
-        chosen = colours.orderBy("r", "g", "b").limit(first)
+        return colours.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("r", "g", "b"))).where(F.col("_n") <= first).drop("_n")
+    return colours.orderBy("r", "g", "b").limit(first)
+
+
+def palette_match_rate(pixels: DataFrame, palette: DataFrame, by: list[str] | None = None, first: int = 100, within: float = 20.0) -> DataFrame:
+    """Share of the first 100 weather-like colours (in colour order) that lie near the palette."""
+    by = by or []
+    chosen = _weather_colours(pixels, by, first)
     near = nearest_colours(chosen.select("r", "g", "b").distinct(), palette)
     rated = chosen.join(near, ["r", "g", "b"]).groupBy(*by).agg(
         F.count("*").alias("checked"), F.count_if(F.sqrt("colour_d2") < within).alias("matched")
@@ -130,6 +134,16 @@ def palette_match_rate(pixels: DataFrame, palette: DataFrame, by: list[str] | No
     return rated.withColumn("match_rate", rate).withColumn("verdict", ladder(rate, [(80, "GOOD"), (60, "MODERATE")], "POOR", strict=True))
 
 
+def unmatched_colours(pixels: DataFrame, palette: DataFrame, by: list[str] | None = None, first: int = 100, within: float = 20.0, show: int = 10) -> DataFrame:
+    """The first ten of those colours that lie far from the palette, with the closest entry and its distance."""
+    by = by or []
+    chosen = _weather_colours(pixels, by, first)
+    near = nearest_colours(chosen.select("r", "g", "b").distinct(), palette).where(F.sqrt("colour_d2") >= within)
+    far = chosen.join(near, ["r", "g", "b"]).select(*by, "r", "g", "b", "palette_x", F.sqrt("colour_d2").alias("distance"))
+    # at most ``first`` rows per group, and ``first`` in all without one
+    return far.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("r", "g", "b"))).where(F.col("_n") <= show).drop("_n")
+
+
 def mask_coverage(pixels: DataFrame, by: list[str] | None = None, tolerance: int = 25, dark: int = 50, white: int = 245) -> DataFrame:
     """Share of pixels a tuned mask keeps, with feedback on too strict or too loose settings."""
     kept = F.count_if(tunable_mask(*_rgb(), tolerance, dark, white))

@@ -69,8 +69,9 @@ class ScopeState:
         if cycle != self.cycle:
             self.cycle, self.sent_in_cycle = cycle, 0
             cutoff = cycle - policy.keep_seconds * 1_000_000
-            for alert_id in [a for a, at in self.seen.items() if at < cutoff]:
-                del self.seen[alert_id]
+            # ids are kept in the order in which they were handled, so the expired ones stand first
+            while self.seen and next(iter(self.seen.values())) < cutoff:
+                del self.seen[next(iter(self.seen))]
 
     def decide(self, alert_id: str, event: str, now: int, delivered: bool, policy: Policy) -> str | None:
         """Outcome of one alert, in the fixed order of the rules; None for one already handled."""

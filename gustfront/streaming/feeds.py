@@ -58,8 +58,12 @@ def pair_streams(reflectivity: DataFrame, velocity: DataFrame, tolerance_min: in
     """Nearest velocity scan per reflectivity scan over two streams; unmatched scans come out once it is too late for a match."""
     r = reflectivity.select("station", "scan_id", "scan_ts").withWatermark("scan_ts", late).alias("r")
     v = velocity.select(F.col("station").alias("v_station"), F.col("scan_id").alias("v_id"), F.col("scan_ts").alias("v_ts")).withWatermark("v_ts", late).alias("v")
-    reach = f"interval {tolerance_min} minutes"
-    near = F.expr(f"station = v_station and v_ts >= scan_ts - {reach} and v_ts <= scan_ts + {reach}")
+    reach, span = f"interval {tolerance_min} minutes", 2 * tolerance_min * 60
+    # a velocity scan stands in the one or two slots that its reach touches, so a busy site is spread over time
+    slot = lambda ts, shift: F.floor((F.unix_micros(ts) / 1_000_000 + shift) / span).cast("long")
+    r = r.withColumn("slot", slot(F.col("scan_ts"), 0))
+    v = v.withColumn("v_slot", F.explode(F.array_distinct(F.array(slot(F.col("v_ts"), -span // 2), slot(F.col("v_ts"), span // 2)))))
+    near = F.expr(f"station = v_station and slot = v_slot and v_ts >= scan_ts - {reach} and v_ts <= scan_ts + {reach}")
     joined = r.join(v, near, "leftOuter")
     diff = F.unix_micros("v_ts") - F.unix_micros("scan_ts")
     code = F.abs(diff) * 2 + F.when(diff > 0, 1).otherwise(0)
@@ -67,10 +71,18 @@ def pair_streams(reflectivity: DataFrame, velocity: DataFrame, tolerance_min: in
 
 
 def annotate_batch(score_snapshot: str, handle: Callable[[DataFrame, int], None], threshold: float = RISK_THRESHOLD) -> Callable[[DataFrame, int], None]:
-    """Batch function: join a micro-batch of alerts with the newest score snapshot, then hand it on."""
+    """Batch function: join a micro-batch of alerts with the newest score snapshot, then hand it on.
+
+    Of the score history only the last score before the batch and those inside its span are read.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         scores = read_snapshot(batch.sparkSession, score_snapshot)
+        span = batch.agg(F.min("cycle_ts").alias("first"), F.max("cycle_ts").alias("last")).first()
+        if span["first"] is not None:
+            before = scores.where(F.col("score_ts") <= F.lit(span["first"])).agg(F.max("score_ts")).first()[0]
+            scores = scores.where(F.col("score_ts") <= F.lit(span["last"]))
+            scores = scores if before is None else scores.where(F.col("score_ts") >= F.lit(before))
         handle(annotate_with_score(batch, scores, threshold), batch_id)
 
     return run

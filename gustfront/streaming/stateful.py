@@ -36,9 +36,8 @@ class SuppressionProcessor(StatefulProcessor):
         if self.head.exists():
             state.last, state.cycle, state.sent_in_cycle = self.head.get()
         self.sweep(state.cycle, int(polls["cycle_us"].iloc[0]))
-        for (alert_id,) in {(a,) for a in polls["alert_id"]}:
-            if self.seen.containsKey((alert_id,)):
-                state.seen[alert_id] = self.seen.getValue((alert_id,))[0]
+        held = {a: self.seen.getValue((a,))[0] for a in polls["alert_id"].unique() if self.seen.containsKey((a,))}
+        state.seen = dict(sorted(held.items(), key=lambda x: x[1]))
         known = dict(state.seen)
         state.by_type = {k[0]: v[0] for k, v in self.types.iterator()}
         before = dict(state.by_type)
