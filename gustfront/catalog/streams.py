@@ -153,10 +153,12 @@ def _(i):
 )
 def _(i):
     grids, log = scratch_path(i.spark, "stream-grids"), scratch_path(i.spark, "stream-log")
-    replay("frames", [pictures(i)], lambda s: s, frames.convert_batch({"reflectivity": i.palette}, grids, log, sample_rate=2, min_bytes=200))
+    made_of = pictures(i)
+    broken = made_of.limit(3).withColumn("origin", F.lit("/input/radar_base_reflectivity_x.png")).withColumn("height", F.lit(-1)).withColumn("data", F.lit(None).cast("binary"))
+    replay("frames", [made_of.unionByName(broken)], lambda s: s, frames.convert_batch({"reflectivity": i.palette}, grids, log, sample_rate=2, min_bytes=200))
     values = F.flatten("data")
     made = i.spark.read.parquet(grids).select(
         picture_id("scan_id").alias("scan_id"), F.size(values).cast("long").alias("cells"), rnd(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 4).alias("total")
     )
-    logged = i.spark.read.parquet(log).select(picture_id("filename").alias("scan_id"), "success")
+    logged = i.spark.read.parquet(log).where("success").select(picture_id("filename").alias("scan_id"), "success")
     return made.join(logged, "scan_id")

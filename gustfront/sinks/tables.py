@@ -57,17 +57,22 @@ def grid_documents(cells: DataFrame, radar_type: str, sample_rate: int, source:
 
     Assembly is two-level, row by row and then by scan, so a task holds one raster row list at a time.
     """
-    low, high = VALUE_RANGE[radar_type]
     lines = cells.groupBy("scan_id", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "value"))), lambda c: c["value"]).alias("line"))
     grids = lines.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda r: r["line"]).alias("data"))
     width, height = F.size(F.get("data", F.lit(0))), F.size("data")
+    meta = grid_metadata(radar_type, sample_rate, width * sample_rate, height * sample_rate, F.lit(source) if isinstance(source, str) else source)
+    return grids.select("scan_id", F.lit(radar_type).alias("radar_type"), meta.alias("metadata"), "data")
+
+
+def grid_metadata(radar_type: str, sample_rate: int, width: Column, height: Column, source: Column) -> Column:
+    """Metadata of a grid in ``data``, from the size of the picture that it was sampled from."""
+    low, high = VALUE_RANGE[radar_type]
     size = lambda w, h: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
-    meta = F.struct(
-        F.lit(radar_type).alias("radar_type"), size(width * sample_rate, height * sample_rate).alias("original_dimensions"), size(width, height).alias("sampled_dimensions"),
+    return F.struct(
+        F.lit(radar_type).alias("radar_type"), size(width, height).alias("original_dimensions"), size(F.size(F.get("data", F.lit(0))), F.size("data")).alias("sampled_dimensions"),
         F.lit(sample_rate).alias("sample_rate"), F.lit(UNITS[radar_type]).alias("units"), F.struct(F.lit(low).alias("min"), F.lit(high).alias("max")).alias("value_range"),
-        (F.lit(source) if isinstance(source, str) else source).alias("source_file"),
+        source.alias("source_file"),
     )
-    return grids.select("scan_id", F.lit(radar_type).alias("radar_type"), meta.alias("metadata"), "data")
 
 
 def write_grids(grids: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:

@@ -204,6 +204,7 @@ def test_frame_stream_from_pictures(spark, tmp_path):
     array = np.array([scale[x][1:] for x in picks.ravel()]).reshape(8, 12, 3)
     put(tmp_path, "in/radar_base_reflectivity_7.png", png(array))
     put(tmp_path, "in/notes_8.png", png(array))
+    put(tmp_path, "in/radar_base_velocity_9.png", png(array)[:60])
     stream = live_frames.stream_frames(spark, str(tmp_path / "in"))
     handle = live_frames.convert_batch({"reflectivity": pal, "velocity": pal}, str(tmp_path / "grids"), str(tmp_path / "log"), sample_rate=2, min_bytes=10)
     live.start(stream, str(tmp_path / "cp"), batch=handle).awaitTermination()
@@ -211,7 +212,7 @@ def test_frame_stream_from_pictures(spark, tmp_path):
     assert len(grid) == 1
     assert np.allclose(grid[0].data, np.round(-20 + 90 * picks[::2, ::2] / 25, 2)) and grid[0].metadata.sampled_dimensions.width == 6
     log = spark.read.parquet(str(tmp_path / "log")).collect()
-    assert [(r.success, r.filename, r.error) for r in log] == [(True, "radar_base_reflectivity_7.png", None)]
+    assert sorted((r.filename, r.success, r.error) for r in log) == [("radar_base_reflectivity_7.png", True, None), ("radar_base_velocity_9.png", False, "not a readable picture")]
 
 
 def test_worker_code_needs_no_installed_package(tmp_path):
