@@ -188,12 +188,15 @@ def _(i):
 
 @query(
     "t07_cycle_counters",
-    REPLAY + f""" select scope, {sql_stamp('cycle_ts')} as cycle_ts, cast(count_if(outcome = 'sent') as bigint) as sent, cast(count_if(outcome = 'suppressed_daily_cap') as bigint) as suppressed,
-    cast(count_if(outcome = 'deferred_cool_off') as bigint) as deferred_cool_off, cast(count_if(outcome = 'deferred_cycle_cap') as bigint) as deferred_cap from run where n > 0 and outcome <> 'duplicate' group by scope, run.cycle_ts""",
+    REPLAY + f""", c as (select scope, run.cycle_ts, cast(count_if(outcome = 'sent') as bigint) as sent, cast(count_if(outcome = 'suppressed_daily_cap') as bigint) as suppressed,
+    cast(count_if(outcome = 'deferred_cool_off') as bigint) as deferred_cool_off, cast(count_if(outcome = 'deferred_cycle_cap') as bigint) as deferred_cap from run where n > 0 and outcome <> 'duplicate' group by scope, run.cycle_ts),
+    t as (select *, cast(sum(sent) over w as bigint) as sent_total, max(case when sent > 0 then cycle_ts end) over w as last_sent from c window w as (partition by scope order by cycle_ts))
+    select scope, {sql_stamp('cycle_ts')} as cycle_ts, sent, suppressed, deferred_cool_off, deferred_cap, sent_total, {sql_stamp('last_sent')} as last_sent,
+      {sql_stamp("case when last_sent + interval '30' minute > cycle_ts then last_sent + interval '30' minute end")} as cool_off_until from t""",
 )
 def _(i):
     got = suppression.cycle_counters(suppression.replay_suppression(scoped_alerts(i)))
-    return got.withColumn("cycle_ts", stamp("cycle_ts"))
+    return got.withColumns({c: stamp(c) for c in ("cycle_ts", "last_sent", "cool_off_until")})
 
 
 @query(

@@ -12,7 +12,7 @@ from gustfront.catalog.dataset import LISTED, PAIRED
 from gustfront.catalog.registry import query, rnd, sql_rnd, sql_stamp, stamp
 from gustfront.operators import pairing, suppression
 from gustfront.session import scratch_path
-from gustfront.sinks.tables import write_snapshot
+from gustfront.sinks.tables import read_snapshot, write_snapshot
 from gustfront.sources.frames import image_pixels
 from gustfront.streaming import feeds, frames, stateful
 
@@ -68,6 +68,13 @@ def _(i):
     return i.spark.read.parquet(ledger).select("scope", "alert_id", "feed_pos", "outcome")
 
 
+@query("t07_totals_from_stream", REPLAY + f" select scope, count(*) as sent_total, {sql_stamp('max(run.cycle_ts)')} as last_sent from run where outcome = 'sent' group by scope")
+def _(i):
+    ledger, counters = scratch_path(i.spark, "stream-ledger"), scratch_path(i.spark, "stream-counters")
+    replay("totals", halves(scoped_alerts(i), "cycle_ts"), stateful.suppress_stream, stateful.record_cycles(ledger, counters))
+    return read_snapshot(i.spark, f"{counters}-totals").where("sent_total > 0").withColumn("last_sent", stamp("last_sent"))
+
+
 @query(
     "t04_stream_stream_pairing",
     f"with {LISTED}, {PAIRED} select scan_id, station, pair_id, {sql_stamp('pair_ts')} as pair_ts from paired where n = 1",

@@ -15,6 +15,7 @@ from gustfront.constants import (
 from gustfront.functions.health import seconds_between
 from gustfront.functions.text import model_state, shown_score
 from gustfront.operators.pairing import last_known
+from gustfront.operators.timeline import along_time
 
 
 def allowed_active(alerts: DataFrame, now: Column, events=ALLOWED_EVENTS) -> DataFrame:
@@ -142,8 +143,27 @@ def ledger_rows(decisions: DataFrame) -> DataFrame:
     return decisions.where(F.col("outcome").isin("sent", "suppressed_daily_cap"))
 
 
-def cycle_counters(decisions: DataFrame) -> DataFrame:
-    """Sent, suppressed and deferred per scope and cycle, with the end of the running cool-off."""
+def cycle_counters(decisions: DataFrame, before: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
+    """Sent, suppressed and deferred per scope and cycle, with the sends so far, the last one and the end of the running cool-off.
+
+    ``before`` carries on from earlier decisions: one row per scope with ``sent_total`` and ``last_sent``.
+    """
+    counts = _cycle_counts(decisions).withColumn("_tie", F.lit(0))
+    line = along_time(counts, ["scope"], "cycle_ts", "_tie", sums={"sent_total": F.col("sent")}, lasts={"last_sent": F.when(F.col("sent") > 0, F.col("cycle_ts"))}).drop("_tie")
+    if before is not None:
+        line = line.join(before.select("scope", F.col("sent_total").alias("_n"), F.col("last_sent").alias("_at")), "scope", "left")
+        line = line.withColumn("sent_total", F.col("sent_total") + F.coalesce("_n", F.lit(0))).withColumn("last_sent", F.coalesce("last_sent", "_at")).drop("_n", "_at")
+    end = F.col("last_sent") + F.make_dt_interval(secs=F.lit(policy.cool_off_seconds))
+    return line.withColumn("cool_off_until", F.when(end > F.col("cycle_ts"), end))
+
+
+def scope_totals(counters: DataFrame) -> DataFrame:
+    """The last counters of every scope, for the next call's ``before``."""
+    last = F.max_by(F.struct("sent_total", "last_sent"), "cycle_ts").alias("l")
+    return counters.groupBy("scope").agg(last).select("scope", "l.*")
+
+
+def _cycle_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("scope", "cycle_ts").agg(
         F.count_if(F.col("outcome") == "sent").alias("sent"), F.count_if(F.col("outcome") == "suppressed_daily_cap").alias("suppressed"),
         F.count_if(F.col("outcome") == "deferred_cool_off").alias("deferred_cool_off"), F.count_if(F.col("outcome") == "deferred_cycle_cap").alias("deferred_cap"),

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gustfront.operators.suppression import DECISIONS, Policy, ScopeState, cycle_counters, ledger_rows
-from gustfront.sinks.tables import write_snapshot
+from gustfront.operators.suppression import DECISIONS, Policy, ScopeState, cycle_counters, ledger_rows, scope_totals
+from gustfront.sinks.tables import committed_folders, write_snapshot
 
 
 class SuppressionProcessor(StatefulProcessor):
@@ -83,14 +83,24 @@ def suppress_stream(alerts: DataFrame, policy: Policy = Policy()) -> DataFrame:
 def record_cycles(ledger_path: str, counters_path: str) -> Callable[[DataFrame, int], None]:
     """Batch function: ledger rows and cycle counters of one micro-batch, keyed by its id.
 
-    A replayed batch overwrites its own folder, so nothing is counted twice.
+    Totals per scope are a snapshot of their own beside the counters, from which the next batch carries on. A
+    replayed batch starts from the totals before it and overwrites its own folders, so nothing is counted twice.
     """
+    totals_path = f"{counters_path}-totals"
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = [p for p in committed_folders(spark, totals_path, "version") if int(p.rsplit("=", 1)[1]) < batch_id]
+        before = spark.read.parquet(max(earlier, key=lambda p: int(p.rsplit("=", 1)[1]))) if earlier else None
         decided = batch.persist()
         try:
             ledger_rows(decided).write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
-            write_snapshot(cycle_counters(decided), counters_path, batch_id)
+            counters = cycle_counters(decided, before)
+            write_snapshot(counters, counters_path, batch_id)
+            totals = scope_totals(counters)
+            if before is not None:
+                totals = totals.unionByName(before.join(totals.select("scope"), "scope", "left_anti"))
+            write_snapshot(totals, totals_path, batch_id)
         finally:
             decided.unpersist()
 
