@@ -106,26 +106,33 @@ def recent_sends(
 ) -> DataFrame:
     """For each distinct request, earliest and latest ``sent`` row inside the look-back (cutoff included).
 
-    A request stands at its own time to see the last send before it, and, on the reversed timeline,
-    at its cutoff to see the first send after that. Both are last-known values over short slots, so
-    neither a busy type nor a busy day ends up in one group.
+    On one timeline a request stands twice: at its own time, behind the sends of that time, to see the last send before
+    it, and at its cutoff, ahead of them, to see the first send after it. One row per slot carries the last send
+    forward and the first one backward, so neither a busy type nor a busy day ends up in one group.
     """
     by = by or []
     width = window_seconds * 1_000_000
-    none = F.lit(None).cast("long")
-    us = F.unix_micros("sent_at")
-    sent = ledger.where(F.col("outcome") == "sent").select(*by, us.alias("_sent")).distinct()
-    asked = requests.select(*by, F.unix_micros(at).alias("_at")).distinct()
-
-    def seen(sent_at: Column, asked_at: Column, name: str) -> DataFrame:
-        facts = sent.select(*by, F.timestamp_micros(sent_at).alias("_t"), F.lit(0).alias("_side"), "_sent", none.alias("_at"))
-        asks = asked.select(*by, F.timestamp_micros(asked_at).alias("_t"), F.lit(1).alias("_side"), none.alias("_sent"), "_at")
-        line = along_time(facts.unionByName(asks), by, "_t", "_side", lasts={name: F.col("_sent")})
-        return line.where("_side = 1").select(*by, "_at", name)
-
-    before = seen(F.col("_sent"), F.col("_at"), "_last")
-    after = seen(-F.col("_sent"), width - F.col("_at"), "_first")
-    both = before.join(after, [*by, "_at"])
+    none, size = F.lit(None).cast("long"), SLOT_SECONDS * 1_000_000
+    event = lambda t, side, sent, at_: F.struct(t.alias("_t"), F.lit(side).alias("_side"), sent.alias("_sent"), at_.alias("_at"))
+    us, asked = F.unix_micros("sent_at"), F.unix_micros(at)
+    facts = ledger.where(F.col("outcome") == "sent").select(*by, F.array(event(us, 1, us, none)).alias("e"))
+    asks = requests.select(*by, F.array(event(asked, 2, none, asked), event(asked - width, 0, none, asked)).alias("e"))
+    # keys in a struct, so that null keys meet each other and one partitioning serves window and join
+    key = F.struct(*by) if by else F.struct(F.lit(0))
+    line = facts.unionByName(asks).select(key.alias("_b"), F.explode("e").alias("e")).select("_b", "e.*")
+    line = line.withColumn("_k", F.struct("_b", F.floor(F.col("_t") / size).cast("long").alias("_slot")))
+    by_slot = Window.partitionBy(F.col("_k._b")).orderBy("_k._slot")
+    opening = line.groupBy("_k").agg(F.max("_sent").alias("_l"), F.min("_sent").alias("_f")).select(
+        "_k", F.max("_l").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"), F.min("_f").over(by_slot.rowsBetween(1, Window.unboundedFollowing)).alias("_cf")
+    )
+    inside = Window.partitionBy("_k").orderBy("_t", "_side")
+    local = line.select(
+        "*", F.max("_sent").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_il"), F.min("_sent").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_if")
+    ).where("_side <> 1")
+    seen = local.join(opening, "_k").select(
+        "_b", "_at", F.when(F.col("_side") == 2, F.coalesce("_il", "_cl")).alias("_last"), F.when(F.col("_side") == 0, F.coalesce("_if", "_cf")).alias("_first")
+    )
+    both = seen.groupBy("_b", "_at").agg(F.max("_last").alias("_last"), F.min("_first").alias("_first")).select(*[F.col(f"_b.{n}").alias(n) for n in by], "_at", "_last", "_first")
     last = F.when(F.col("_last") >= F.col("_at") - width, F.col("_last"))
     first = F.when(F.col("_first") <= F.col("_at"), F.col("_first"))
     return both.select(

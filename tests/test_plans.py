@@ -44,3 +44,24 @@ def test_site_lookup_adds_no_shuffle_to_large_inputs(spark, monkeypatch):
 def test_large_sides_are_not_broadcast_by_hint(spark):
     text = plan(RUNS["j01_nearest_station_large_site_table"](spark, FOLDER))
     assert "ResolvedHint" not in text and "strategy=broadcast" not in text
+
+
+def exchanges(df):
+    return plan(df).count("Exchange hashpartitioning")
+
+
+def test_look_back_shuffles_five_times_at_most(spark):
+    asked = spark.createDataFrame([("a", "2024-01-01")], "event_type string, t string").selectExpr("event_type", "to_timestamp(t) as at")
+    ledger = asked.selectExpr("event_type", "at as sent_at", "'sent' as outcome")
+    from gustfront.operators import timeline
+
+    assert exchanges(timeline.recent_sends(asked, ledger, "at", ["event_type"])) <= 5
+
+
+def test_pixels_of_a_streamed_frame_are_not_shuffled(spark):
+    from gustfront.streaming import frames
+
+    images = spark.createDataFrame([("radar_base_velocity_1.png", 1, 1, 3, bytearray(3))], "origin string, height int, width int, nChannels int, data binary")
+    palette = spark.createDataFrame([(0, 1, 2, 3, 4.0)], "x int, r int, g int, b int, value double")
+    text = plan(frames.frame_grids(images, {"velocity": palette}, 1))
+    assert "row_no" not in text and text.count("MapInPandas") == 1
