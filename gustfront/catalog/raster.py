@@ -358,12 +358,12 @@ def _(i):
     return got.select("scans", rnd("avg_mae").alias("avg_mae"), rnd("avg_within_10").alias("avg_within_10"), accuracy_verdict(F.col("avg_within_10")).alias("verdict"))
 
 
-CLASS = """case when r between 200 and 240 and g between 190 and 230 and b between 150 and 200 then 'map background' when r > 240 and g > 240 and b > 240 then 'white/no data'
- when r < 50 and g < 50 and b < 50 then 'text/ui' when b > r and b > g and b > 100 then 'light precip' when g > r and g > b and g > 100 then 'moderate precip'
- when r > 150 and g > 100 and b < 100 then 'heavy precip' when r > 150 and b > 100 and g < 100 then 'severe weather' else 'other' end"""
-WORDS = """case when r < 60 and g < 60 and b < 60 then 'dark/black (ui)' when b > r + 30 and b > g + 30 and b > 150 then 'bright blue (light precip)' when b > r + 30 and b > g + 30 then 'blue (very light)'
- when g > r + 20 and g > b + 20 then 'green (moderate precip)' when r > 150 and g > 150 and b < 100 then 'yellow (heavy precip)' when r > 200 and g < 150 then 'red (severe)'
- when r > 150 and g < 150 then 'orange (heavy)' when r > 100 and b > 100 and g < 100 then 'purple (extreme)' when abs(r - g) < 20 and abs(g - b) < 20 then 'gray' else 'other' end"""
+CLASS = """case when r between 200 and 240 and g between 190 and 230 and b between 150 and 200 then 'ground' when r > 240 and g > 240 and b > 240 then 'blank'
+ when r < 50 and g < 50 and b < 50 then 'ink' when b > r and b > g and b > 100 then 'class 1' when g > r and g > b and g > 100 then 'class 2'
+ when r > 150 and g > 100 and b < 100 then 'class 3' when r > 150 and b > 100 and g < 100 then 'class 4' else 'other' end"""
+WORDS = """case when r < 60 and g < 60 and b < 60 then 'near black' when b > r + 30 and b > g + 30 and b > 150 then 'strong blue' when b > r + 30 and b > g + 30 then 'blue'
+ when g > r + 20 and g > b + 20 then 'green' when r > 150 and g > 150 and b < 100 then 'yellow' when r > 200 and g < 150 then 'red'
+ when r > 150 and g < 150 then 'orange' when r > 100 and b > 100 and g < 100 then 'purple' when abs(r - g) < 20 and abs(g - b) < 20 then 'gray' else 'other' end"""
 
 
 @query("h14_colour_ladders", f"select scan_id, row_no, col_no, {CLASS} as kind, {WORDS} as words from {{pixels}}")

@@ -29,30 +29,30 @@ def is_dark(r: Column, g: Column, b: Column, under: int = 50) -> Column:
 
 
 def colour_class(r: Column, g: Column, b: Column) -> Column:
-    """Likely meaning of a frame colour; the first rule that holds decides."""
+    """Likely meaning of a frame colour, classes 1 to 4 by rising intensity; the first rule that holds decides."""
     return (
-        F.when(r.between(200, 240) & g.between(190, 230) & b.between(150, 200), "map background")
-        .when(is_white(r, g, b), "white/no data")
-        .when(is_dark(r, g, b), "text/ui")
-        .when((b > r) & (b > g) & (b > 100), "light precip")
-        .when((g > r) & (g > b) & (g > 100), "moderate precip")
-        .when((r > 150) & (g > 100) & (b < 100), "heavy precip")
-        .when((r > 150) & (b > 100) & (g < 100), "severe weather")
+        F.when(r.between(200, 240) & g.between(190, 230) & b.between(150, 200), "ground")
+        .when(is_white(r, g, b), "blank")
+        .when(is_dark(r, g, b), "ink")
+        .when((b > r) & (b > g) & (b > 100), "class 1")
+        .when((g > r) & (g > b) & (g > 100), "class 2")
+        .when((r > 150) & (g > 100) & (b < 100), "class 3")
+        .when((r > 150) & (b > 100) & (g < 100), "class 4")
         .otherwise("other")
     )
 
 
 def colour_words(r: Column, g: Column, b: Column) -> Column:
-    """Human description of a scale colour, in plain integer arithmetic."""
+    """Name of a scale colour, in plain integer arithmetic."""
     return (
-        F.when(is_dark(r, g, b, 60), "dark/black (ui)")
-        .when((b > r + 30) & (b > g + 30) & (b > 150), "bright blue (light precip)")
-        .when((b > r + 30) & (b > g + 30), "blue (very light)")
-        .when((g > r + 20) & (g > b + 20), "green (moderate precip)")
-        .when((r > 150) & (g > 150) & (b < 100), "yellow (heavy precip)")
-        .when((r > 200) & (g < 150), "red (severe)")
-        .when((r > 150) & (g < 150), "orange (heavy)")
-        .when((r > 100) & (b > 100) & (g < 100), "purple (extreme)")
+        F.when(is_dark(r, g, b, 60), "near black")
+        .when((b > r + 30) & (b > g + 30) & (b > 150), "strong blue")
+        .when((b > r + 30) & (b > g + 30), "blue")
+        .when((g > r + 20) & (g > b + 20), "green")
+        .when((r > 150) & (g > 150) & (b < 100), "yellow")
+        .when((r > 200) & (g < 150), "red")
+        .when((r > 150) & (g < 150), "orange")
+        .when((r > 100) & (b > 100) & (g < 100), "purple")
         .when((F.abs(r - g) < 20) & (F.abs(g - b) < 20), "gray")
         .otherwise("other")
     )

@@ -63,7 +63,13 @@ def _score_text(score: Column) -> Column:
     return F.coalesce(fixed_text(score, 2), F.lit(DASH))
 
 
-# Wording of the notifications.
+# Wording of the notifications and of the report.
+READOUT_LINES = ("EXPERIMENTAL MODEL READOUT — informational only, NOT an alert.\n\nRadar-signature confidence: ", "\n  Score:     ", "\n  Threshold: ", "\n  Radar age: ", "\n  N0B/N0S Δ: ")
+OLD_SCAN_NOTE = ("Note: most recent radar scan available to the model is ", "s old (>{}s threshold). The model readout is suppressed.")
+FULL_LINES = (f" {DASH} National Weather Service\n", "\n\nArea:      ", "\nEffective: ", "\nExpires:   ", "\n\nINSTRUCTIONS (NWS):\n", "\n\nDESCRIPTION (NWS):\n", "\n\n" + "─" * 64 + "\n")
+SHORT_LINES = ("Tornado Warning until ", ". Model ", " until ", ". Heed NWS. Full details emailed.")
+CURRENT_LINES = (f"CURRENT WEATHER {DASH} ", "Observation: ", "Station: ", "Temperature: ", "Dewpoint: ", "Conditions: ")
+FORECAST_LINES = (f"FORECAST {DASH} ", ":\n  Temp: ", "\n  Wind: ")
 ELEVATED_TEXT = (
     "Score at or above threshold: radar features in this scan reach the model's tornadic-structure cutoff. "
     "This is NOT confirmation of a tornado on the ground — it is a single-frame radar-morphology score."
@@ -92,19 +98,14 @@ def tornado_readout(state, score, threshold, age, delta, max_age: int = MAX_SCOR
     seconds = lambda c: F.coalesce(F.concat(c.cast("string"), F.lit("s")), F.lit(DASH))
     reading = F.when(state == "elevated", ELEVATED_TEXT).when(state == "not elevated", NOT_ELEVATED_TEXT).otherwise(SUPPRESSED_TEXT)
     old_note = F.concat(
-        F.lit("Note: most recent radar scan available to the model is "), age.cast("string"),
-        F.lit(f"s old (>{max_age}s threshold). The model readout is suppressed."),
+        F.lit(OLD_SCAN_NOTE[0]), age.cast("string"), F.lit(OLD_SCAN_NOTE[1].format(max_age)),
     )
     note = F.when(
         state == "unavailable",
         F.concat(F.lit("\n"), F.when(score.isNotNull() & (age > max_age), old_note).otherwise(NO_SCORE_NOTE), F.lit("\n")),
     ).otherwise("")
-    return F.concat(
-        F.lit("EXPERIMENTAL MODEL READOUT — informational only, NOT an alert.\n\nRadar-signature confidence: "), F.upper(state),
-        F.lit("\n  Score:     "), _score_text(score), F.lit("\n  Threshold: "), fixed_text(threshold, 2),
-        F.lit("\n  Radar age: "), seconds(age), F.lit("\n  N0B/N0S Δ: "), seconds(delta),
-        F.lit("\n\n"), reading, F.lit("\n"), note,
-    )
+    shown = (F.upper(state), _score_text(score), fixed_text(threshold, 2), seconds(age), seconds(delta))
+    return F.concat(*[x for line, value in zip(READOUT_LINES, shown, strict=True) for x in (F.lit(line), value)], F.lit("\n\n"), reading, F.lit("\n"), note)
 
 
 def full_subject(event, area, state) -> Column:
@@ -115,12 +116,8 @@ def full_subject(event, area, state) -> Column:
 
 def full_body(event, area, headline, description, instruction, effective, expires, readout) -> Column:
     block = F.when(event == "Tornado Warning", readout).otherwise(NOT_APPLICABLE_TEXT)
-    return F.concat(
-        F.upper(event), F.lit(f" {DASH} National Weather Service\n"), F.coalesce(F.when(headline != "", headline), event),
-        F.lit("\n\nArea:      "), _or_dash(area), F.lit("\nEffective: "), _or_dash(effective), F.lit("\nExpires:   "), _or_dash(expires),
-        F.lit("\n\nINSTRUCTIONS (NWS):\n"), _or_dash(instruction), F.lit("\n\nDESCRIPTION (NWS):\n"), _or_dash(description),
-        F.lit("\n\n" + "─" * 64 + "\n"), block, F.lit("\n" + FOOTER_TEXT),
-    )
+    shown = (F.coalesce(F.when(headline != "", headline), event), *[_or_dash(c) for c in (area, effective, expires, instruction, description)], block)
+    return F.concat(F.upper(event), *[x for line, value in zip(FULL_LINES, shown, strict=True) for x in (F.lit(line), value)], F.lit("\n" + FOOTER_TEXT))
 
 
 _SHORT_STATE = {"elevated": "ELEVATED", "not elevated": "NOT ELEV"}
@@ -138,11 +135,10 @@ def short_subject(event, area, state) -> Column:
 
 def short_body(event, expires, state, score, threshold) -> Column:
     until = F.substring(F.coalesce(expires, F.lit("")), 1, 16)
-    tornado = F.concat(
-        F.lit("Tornado Warning until "), until, F.lit(". Model "), _short_state(state), F.lit(" ("), _score_text(score),
-        F.lit(" vs "), fixed_text(threshold, 2), F.lit("). Heed NWS. Full details emailed."),
-    )
-    other = F.concat(event, F.lit(" until "), until, F.lit(". Heed NWS. Full details emailed."))
+    first, model, between, end = map(F.lit, SHORT_LINES)
+    compared = F.concat(F.lit(" ("), _score_text(score), F.lit(" vs "), fixed_text(threshold, 2), F.lit(")"))
+    tornado = F.concat(first, until, model, _short_state(state), compared, end)
+    other = F.concat(event, between, until, end)
     return F.when(event == "Tornado Warning", tornado).otherwise(other)
 
 
@@ -231,12 +227,12 @@ def visibility_line(metres: Column) -> Column:
 def current_section(ts, station, temp, dew, humidity, wind, direction, conditions, pressure, visibility, place: str) -> Column:
     """Current-conditions section; absent readings leave no line."""
     lines = F.array(
-        F.lit(RULE), F.lit(f"CURRENT WEATHER {DASH} {place}"), F.lit(RULE),
-        F.concat(F.lit("Observation: "), F.date_format(ts, "yyyy-MM-dd hh:mm a"), F.lit(" UTC")),
-        F.concat(F.lit("Station: "), F.substring_index(station, "/", -1)),
-        F.concat(F.lit("Temperature: "), temperature_text(temp)), F.concat(F.lit("Dewpoint: "), temperature_text(dew)),
+        F.lit(RULE), F.lit(CURRENT_LINES[0] + place), F.lit(RULE),
+        F.concat(F.lit(CURRENT_LINES[1]), F.date_format(ts, "yyyy-MM-dd hh:mm a"), F.lit(" UTC")),
+        F.concat(F.lit(CURRENT_LINES[2]), F.substring_index(station, "/", -1)),
+        F.concat(F.lit(CURRENT_LINES[3]), temperature_text(temp)), F.concat(F.lit(CURRENT_LINES[4]), temperature_text(dew)),
         humidity_line(humidity), wind_line(wind, direction),
-        F.when(conditions != "", F.concat(F.lit("Conditions: "), conditions)), pressure_line(pressure), visibility_line(visibility), F.lit(RULE),
+        F.when(conditions != "", F.concat(F.lit(CURRENT_LINES[5]), conditions)), pressure_line(pressure), visibility_line(visibility), F.lit(RULE),
     )
     return F.array_join(F.array_compact(lines), "\n")
 
@@ -246,12 +242,12 @@ def forecast_section(periods: Column, place: str, first: int = 5) -> Column:
     blocks = F.transform(
         F.slice(periods, 1, first),
         lambda p: F.concat(
-            F.lit("\n"), F.coalesce(p["name"], F.lit("?")), F.lit(":\n  Temp: "), F.coalesce(p["temperature"].cast("string"), F.lit("None")),
-            F.lit("°"), F.coalesce(p["temperatureUnit"], F.lit("F")), F.lit("\n  Wind: "), F.coalesce(p["windSpeed"], F.lit("N/A")),
+            F.lit("\n"), F.coalesce(p["name"], F.lit("?")), F.lit(FORECAST_LINES[1]), F.coalesce(p["temperature"].cast("string"), F.lit("None")),
+            F.lit("°"), F.coalesce(p["temperatureUnit"], F.lit("F")), F.lit(FORECAST_LINES[2]), F.coalesce(p["windSpeed"], F.lit("N/A")),
             F.lit(" "), F.coalesce(p["windDirection"], F.lit("")), F.lit("\n  "), F.coalesce(p["shortForecast"], F.lit("")),
         ),
     )
-    head = F.array(F.lit("\n" + RULE), F.lit(f"FORECAST {DASH} {place}"), F.lit(RULE))
+    head = F.array(F.lit("\n" + RULE), F.lit(FORECAST_LINES[0] + place), F.lit(RULE))
     return F.array_join(F.concat(head, blocks, F.array(F.lit("\n" + RULE))), "\n")
 
 

@@ -9,6 +9,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
+# Fixed values from here on: field names of the external inputs, in their order.
 S, D, I, L = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType()
 
 # Report files are read as text; every cast happens afterwards and can fail per row.
