@@ -24,6 +24,14 @@ def minute_scans(scans: DataFrame) -> DataFrame:
     )
 
 
+def product_minutes(scans: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """``minute_scans`` of two products from one pass: both come out of one row per site and minute."""
+    ids = [F.min(F.when(F.col("product") == p, F.col("scan_id"))).alias(n) for p, n in ((first, "_first"), (second, "_second"))]
+    both = scans.withColumn("scan_ts", F.date_trunc("minute", "scan_ts")).groupBy("station", "scan_ts").agg(*ids)
+    one = lambda n: both.where(F.col(n).isNotNull()).select("station", F.col(n).alias("scan_id"), "scan_ts")
+    return one("_first"), one("_second")
+
+
 def closest_scans(
     events: DataFrame,
     scans: DataFrame,
@@ -33,6 +41,7 @@ def closest_scans(
     key: str = "report_id",
     same_day_only: bool = False,
     identity: str | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """The ``k`` scans of the event's site closest in time within [-before, +after] minutes.
 
@@ -40,7 +49,7 @@ def closest_scans(
     reports of one id and instant see the same scans, so they collapse before any join.
 
     Events are repeated for the one or two time slots their window touches and meet scans on
-    (site, slot), so a busy site is split over time. Ties go to the earlier scan.
+    (site, slot), so a busy site is split over time. Ties go to the earlier scan. ``carry`` names further scan columns.
     """
     slot = (before_min + after_min) * 60
     if identity is not None:
@@ -49,7 +58,7 @@ def closest_scans(
     spread = events.withColumn(
         "slot", F.explode(F.sequence(_slot(F.col("event_ts"), slot, -before_min * 60), _slot(F.col("event_ts"), slot, after_min * 60)))
     )
-    listed = scans.select("station", "scan_id", "scan_ts", _slot(F.col("scan_ts"), slot).alias("slot"))
+    listed = scans.select("station", "scan_id", "scan_ts", *carry, _slot(F.col("scan_ts"), slot).alias("slot"))
     gap = F.unix_micros("scan_ts") - F.unix_micros("event_ts")
     paired = spread.join(listed, ["station", "slot"]).where(gap.between(-before_min * 60_000_000, after_min * 60_000_000))
     if same_day_only:

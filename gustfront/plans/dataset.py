@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gustfront.constants import REFLECTIVITY_PRODUCT, VELOCITY_PRODUCT
 from gustfront.functions.radar import event_key
 from gustfront.operators.lookups import not_yet_done
-from gustfront.operators.pairing import closest_scans, minute_scans, pair_velocity
+from gustfront.operators.pairing import closest_scans, product_minutes, pair_velocity
 from gustfront.operators.proximity import exclude_near, nearest_station
 
 MANIFEST_COLUMNS = [
@@ -42,15 +42,13 @@ def collectable_events(events: DataFrame, exclusion_min_mag: int = 1) -> DataFra
 def build_manifest(events: DataFrame, stations: DataFrame, scans: DataFrame, done: DataFrame | None = None, k: int = 5) -> DataFrame:
     """Site, closest scans and velocity pair of each event; ids already in ``done`` are skipped.
 
-    Reports that share minute, type and site share an id; the first report with scans keeps it.
+    Reports that share minute, type and site share an id; the first report with scans keeps it. Scans collapse
+    once for both products and are paired scan to scan before any event is repeated for its scans.
     """
-    listed = minute_scans(scans)
-    product = F.col("product")
-    reflectivity = listed.where(product == REFLECTIVITY_PRODUCT).drop("product")
-    velocity = listed.where(product == VELOCITY_PRODUCT).drop("product")
+    paired = pair_velocity(*product_minutes(scans, REFLECTIVITY_PRODUCT, VELOCITY_PRODUCT))
     placed = nearest_station(events, stations)
     placed = placed.withColumn("event_id", event_key(F.col("subtype"), F.col("event_ts"), F.col("station")))
     if done is not None:
         placed = not_yet_done(placed, done)
-    chosen = closest_scans(placed, reflectivity, k, identity="event_id")
-    return pair_velocity(chosen, velocity).select(*manifest_row())
+    chosen = closest_scans(placed, paired, k, identity="event_id", carry=("pair_id",))
+    return chosen.select(*manifest_row())
