@@ -196,7 +196,8 @@ def test_line_dedup(spark, tmp_path):
                     continue
             kept.append(line)
         want.append((order(r), sum(bool(x.strip()) for x in lines), gone, "\n".join(kept)))
-    got = [(order(r), r["n_lines"], r["n_removed"], r["kept"]) for r in listed(line_dedup.remove_lines(df))]
+    texts_of = {r["doc_id"]: r["text"] or "" for r in listed(df)}
+    got = [(order(r), r["n_lines"], r["n_removed"], texts_of[r["doc_id"]] if r["kept"] is None else r["kept"]) for r in listed(line_dedup.remove_lines(df))]
     assert sorted(got) == sorted(want)
 
 
