@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,6 +58,15 @@ def bounded(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(start, size)
 
 
+def kept_in_worker(name: tuple, make: Callable):
+    """One value per name in a Python worker, shared by the tasks that it runs, as functions arrive anew with every task."""
+    home = sys.modules.setdefault("_gustfront_kept", types.ModuleType("_gustfront_kept"))
+    values = home.__dict__.setdefault("values", {})
+    if name not in values:
+        values[name] = make()
+    return values[name]
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text, empty for null."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()

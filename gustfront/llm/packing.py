@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import U64, map_batches, mixed, numbered, stored
+from gustfront.llm.common import U64, kept_in_worker, map_batches, mixed, numbered, stored
 
 LENGTH, END, DIMENSIONS, CELL_BITS = 1024, 0, 3, 10
 #: The special string of the byte-level vocabulary and its id.
@@ -58,9 +58,12 @@ class _Words(dict):
         return found
 
 
-@lru_cache(2)
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text to token ids as little-endian unsigned 16-bit numbers."""
+    return kept_in_worker(("byte encoder", path), lambda: _encoder(path))
+
+
+def _encoder(path: str) -> Callable[[str], bytes]:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

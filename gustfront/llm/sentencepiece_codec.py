@@ -17,7 +17,6 @@ so decoding gives every text back; texts of any length are encoded whole; repeat
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import map_batches, numbered
+from gustfront.llm.common import kept_in_worker, map_batches, numbered
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -119,9 +118,8 @@ class Codec(dict):
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept_in_worker(("sentencepiece", path), lambda: Codec(path))
 
 
 def model_path(path: str | None) -> str:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import map_batches, stored
+from gustfront.llm.common import kept_in_worker, map_batches, stored
 
 FIT_ROWS = 10_000
 LEXICON_SIZE, MIN_CONTEXTS, MIN_ODDS = 2048, 4, 2.5
@@ -55,7 +55,7 @@ class FuzzyLexicon:
 
     STATES, WORDS = 50_000, 200_000
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
         self.most: list[int] = [0]
@@ -137,6 +137,12 @@ class FuzzyLexicon:
         return found
 
 
+def lexicon_of(terms) -> FuzzyLexicon:
+    """The automaton of these terms, built once per Python worker."""
+    terms = tuple(sorted(terms))
+    return kept_in_worker(("lexicon", terms), lambda: FuzzyLexicon(terms))
+
+
 @dataclass
 class Model:
     terms: dict[str, float] = field(default_factory=dict)
@@ -257,7 +263,7 @@ def _windows(sample: DataFrame, terms: list[str]) -> DataFrame:
     """Texts of either class in which a word stands in the window of a hit."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        lexicon = FuzzyLexicon(terms)
+        lexicon = lexicon_of(terms)
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             words, hits = find_hits(text or "", lexicon)
@@ -271,7 +277,7 @@ def _windows(sample: DataFrame, terms: list[str]) -> DataFrame:
 
 def _cells(sample: DataFrame, model: Model) -> DataFrame:
     def step(batch: pa.RecordBatch) -> dict:
-        lexicon = FuzzyLexicon(sorted(model.terms))
+        lexicon = lexicon_of(model.terms)
         counts = Counter((*features(text or "", model, lexicon), toxic) for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True))
         rows = list(counts.items())
         return {"cell": pa.array([list(r[0][:4]) for r in rows], pa.list_(pa.float64())), "toxic": pa.array([r[0][4] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int64())}
@@ -332,12 +338,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """rid, doc_id, held_out, score, predicted for every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
 
-    kept: dict[str, FuzzyLexicon] = {}
-
     def step(batch: pa.RecordBatch) -> dict:
-        if "lexicon" not in kept:
-            kept["lexicon"] = FuzzyLexicon(sorted(model.terms))
-        scores = [probability(features(text or "", model, kept["lexicon"]), model) for text in batch["text"].to_pylist()]
+        lexicon = lexicon_of(model.terms)
+        scores = [probability(features(text or "", model, lexicon), model) for text in batch["text"].to_pylist()]
         return {"rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= CUT) for s in scores], pa.int32())}
 
     return map_batches(rows, step, "rid long, doc_id long, held_out boolean, score double, predicted int")
@@ -346,12 +349,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; scored in place, so that no text is shuffled."""
     model = fit(docs, labels)
-    kept: dict[str, FuzzyLexicon] = {}
-
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        if "lexicon" not in kept:
-            kept["lexicon"] = FuzzyLexicon(sorted(model.terms))
-        return pd.Series([probability(features(t or "", model, kept["lexicon"]), model) < CUT for t in texts], dtype=bool)
+        lexicon = lexicon_of(model.terms)
+        return pd.Series([probability(features(t or "", model, lexicon), model) < CUT for t in texts], dtype=bool)
 
     return docs.where(clean(F.col("text").cast("string")))
