@@ -33,7 +33,7 @@ LENGTH, END, DIMENSIONS, CELL_BITS = 1024, 0, 3, 10
 #: The special string of the byte-level vocabulary and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 VOCABULARY = 50257
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 # Letters and numbers of Latin-1; texts with other characters take the slower general splitter.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"

@@ -30,7 +30,7 @@ from gustfront.llm.common import kept_in_worker, map_batches, numbered
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHED_UNITS = 300_000
+CACHED_UNITS = 100_000
 
 
 class Codec(dict):
@@ -138,6 +138,21 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_batches(rows, step, "rid long, doc_id long, text string, ids binary")
 
 
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Per row: rid, doc_id, ids, and whether decoding them gives the text back; one pass, in one worker per task."""
+    path = model_path(path)
+
+    def step(batch: pa.RecordBatch) -> dict:
+        it, ids, same = codec(path), [], []
+        for text in batch["text"].to_pylist():
+            ids.append(it.encode(text or ""))
+            same.append(it.decode(ids[-1]) == (text or ""))
+        return {"rid": batch["rid"], "doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary()), "round_trip": pa.array(same, pa.bool_())}
+
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, step, "rid long, doc_id long, ids binary, round_trip boolean")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with the text its ids spell as ``decoded``."""
     path = model_path(path)

@@ -53,7 +53,7 @@ class FuzzyLexicon:
     A state is a set of (trie node, edits made); only sets that some word reaches are built.
     """
 
-    STATES, WORDS = 50_000, 200_000
+    STATES, WORDS = 20_000, 100_000
 
     def __init__(self, terms):
         self.children: list[dict[str, int]] = [{}]

@@ -46,7 +46,10 @@ def test_codec_is_the_best_segmentation_of_the_whole_text(docs):
     codec = sentencepiece_codec.codec(sentencepiece_codec.model_path(None))
     model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path(None))
     pieces = {p: (i, model.get_score(i)) for i, p in enumerate(codec.pieces) if p}
-    for r in listed(sentencepiece_codec.decode(sentencepiece_codec.encode(docs))):
+    checked = {(r["rid"], bytes(r["ids"])) for r in listed(sentencepiece_codec.encode_checked(docs)) if r["round_trip"]}
+    coded = listed(sentencepiece_codec.decode(sentencepiece_codec.encode(docs)))
+    assert checked == {(r["rid"], bytes(r["ids"])) for r in coded}
+    for r in coded:
         text = r["text"] or ""
         assert r["decoded"] == text
         if "▁" not in text:
