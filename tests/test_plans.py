@@ -34,7 +34,7 @@ def test_site_lookup_adds_no_shuffle_to_large_inputs(spark, monkeypatch):
     from gustfront import session
     from gustfront.operators import proximity
 
-    monkeypatch.setattr(session, "SPLIT_FLOOR", 0)
+    monkeypatch.setattr(session, "ONE_SPLIT", -1)
     orders = spark.read.parquet(f"{FOLDER}/orders.parquet").selectExpr("o_orderkey report_id", "30d lat", "-97d lon")
     sites = spark.read.parquet(f"{FOLDER}/supplier.parquet").selectExpr("concat('K', s_suppkey) station", "31d lat", "-97d lon")
     text = plan(proximity.nearest_station(orders, sites))
