@@ -3,7 +3,7 @@
 **Fit.** From labelled rows (at most ``FIT_ROWS`` of each class, those with the smallest hash of their id; this bound is the
 one sample taken) Spark counts in how many texts of either class each word occurs. Words with high log-odds that appear in
 several distinct contexts (word before, word after) form the lexicon; distinct contexts keep copies of one text from
-promoting its words. A second pass over the same rows reads the window around each hit: its words get log-odds of their own,
+promoting its words, and the number asked for rises with the texts read. A second pass over the same rows reads the window around each hit: its words get log-odds of their own,
 so that surroundings typical of quotation weaken a hit and those typical of abuse strengthen it, and hits between
 quotation marks are counted apart. A small logistic model over the document features (exact hits, misspelled hits, quoted
 hits, context) is fitted on counts per feature cell, weighted to the true shares of the classes.
@@ -53,7 +53,7 @@ class FuzzyLexicon:
     A state is a set of (trie node, edits made); only sets that some word reaches are built.
     """
 
-    STATES, WORDS = 20_000, 100_000
+    STATES, WORDS = 50_000, 100_000
 
     def __init__(self, terms):
         self.children: list[dict[str, int]] = [{}]
@@ -309,9 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         model.bias = 20.0 if sizes.get(1) else -20.0
         return model
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    likely = _word_counts(sample).where(F.col("toxic") >= MIN_CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
+    least = max(MIN_CONTEXTS, math.ceil(sizes[1] / 1000))  # chance words grow with the texts read
+    likely = _word_counts(sample).where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
     likely = {r["word"]: r["odds"] for r in likely.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(8 * LEXICON_SIZE).collect()}
-    support = _occurrences(sample, set(likely)).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_CONTEXTS)
+    support = _occurrences(sample, set(likely)).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     support = {r["word"]: r["n"] for r in support.collect()}  # words of ``likely`` only
     best = sorted(support, key=lambda w: (-likely[w] * math.sqrt(support[w]), w))[:LEXICON_SIZE]
     model.terms = {w: min(6.0, likely[w]) * min(1.0, math.log1p(support[w]) / math.log(20)) for w in best}
