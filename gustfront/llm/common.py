@@ -58,13 +58,17 @@ def bounded(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(start, size)
 
 
-def kept_in_worker(name: tuple, make: Callable):
-    """One value per name in a Python worker, shared by the tasks that it runs, as functions arrive anew with every task."""
+def kept_in_worker(kind: str, key, make: Callable):
+    """The value for ``key`` in a Python worker, shared by the tasks that it runs, as functions arrive anew with every task.
+
+    Of each kind only the last is kept, so that a worker's memory does not grow with the models that it has served.
+    """
     home = sys.modules.setdefault("_gustfront_kept", types.ModuleType("_gustfront_kept"))
     values = home.__dict__.setdefault("values", {})
-    if name not in values:
-        values[name] = make()
-    return values[name]
+    if kind not in values or values[kind][0] != key:
+        values.pop(kind, None)
+        values[kind] = (key, make())
+    return values[kind][1]
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

@@ -33,7 +33,7 @@ LENGTH, END, DIMENSIONS, CELL_BITS = 1024, 0, 3, 10
 #: The special string of the byte-level vocabulary and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 VOCABULARY = 50257
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 
 # Letters and numbers of Latin-1; texts with other characters take the slower general splitter.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -60,7 +60,7 @@ class _Words(dict):
 
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text to token ids as little-endian unsigned 16-bit numbers."""
-    return kept_in_worker(("byte encoder", path), lambda: _encoder(path))
+    return kept_in_worker("byte encoder", path, lambda: _encoder(path))
 
 
 def _encoder(path: str) -> Callable[[str], bytes]:

@@ -119,7 +119,7 @@ class Codec(dict):
 
 
 def codec(path: str) -> Codec:
-    return kept_in_worker(("sentencepiece", path), lambda: Codec(path))
+    return kept_in_worker("sentencepiece", path, lambda: Codec(path))
 
 
 def model_path(path: str | None) -> str:

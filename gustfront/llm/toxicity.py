@@ -24,15 +24,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import kept_in_worker, map_batches, stored
+from gustfront.llm.common import bounded, kept_in_worker, map_batches, stored
 
 FIT_ROWS = 10_000
 LEXICON_SIZE, MIN_CONTEXTS, MIN_ODDS = 2048, 4, 2.5
@@ -140,7 +140,7 @@ class FuzzyLexicon:
 def lexicon_of(terms) -> FuzzyLexicon:
     """The automaton of these terms, built once per Python worker."""
     terms = tuple(sorted(terms))
-    return kept_in_worker(("lexicon", terms), lambda: FuzzyLexicon(terms))
+    return kept_in_worker("lexicon", terms, lambda: FuzzyLexicon(terms))
 
 
 @dataclass
@@ -350,9 +350,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; scored in place, so that no text is shuffled."""
     model = fit(docs, labels)
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model.terms)
-        return pd.Series([probability(features(t or "", model, lexicon), model) < CUT for t in texts], dtype=bool)
+        for batch in batches:
+            for piece in bounded(batch):
+                texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
+                yield piece.filter(pa.array([probability(features(t or "", model, lexicon), model) < CUT for t in texts], pa.bool_()))
 
-    return docs.where(clean(F.col("text").cast("string")))
+    return docs.mapInArrow(clean, docs.schema)
