@@ -8,8 +8,8 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from gustfront.llm import common, exact_dedup, line_dedup, simhash, substring_dedup
-from tests.llm.data import awkward_texts, frame, prose, saved
+from gustfront.llm import common, exact_dedup, line_dedup, near_copies, simhash, substring_dedup
+from tests.llm.data import WORDS, awkward_texts, frame, prose, saved
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^ \t-\r]+")
@@ -209,3 +209,47 @@ def test_one_edit(a, b, near):
 def test_empty_tables(nothing):
     for run in (exact_dedup.exact_groups, simhash.near_groups, substring_dedup.remove_repeats, line_dedup.remove_lines, exact_dedup.drop_copies, simhash.drop_near_copies):
         assert run(nothing).collect() == []
+
+
+def plain_shingles(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_stage_drops_near_copies_of_080_and_more(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = awkward_texts()
+    for _ in range(40):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(100)]
+        for changes in (0, 1, 2, 3, 4):
+            copy = list(words)
+            for at in rng.sample(range(100), changes):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    start = [f"{rng.choice(WORDS)}{i}" for i in range(300)]
+    texts += [" ".join(start[i : i + 100]) for i in range(0, 150, 5)]  # a chain: only neighbours are near
+    df = saved(spark, tmp_path / "d", spark.createDataFrame([(None if i == 4 else i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for a, b in combinations(range(len(texts)), 2):
+        common_ = len(sets[a] & sets[b])
+        if 5 * common_ >= 4 * len(sets[a] | sets[b]):
+            root[find(b)] = find(a)
+            far += (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() > 4
+    least = {}
+    for i in range(len(texts)):
+        least[find(i)] = min(least.get(find(i), (True, len(texts))), (i == 4, i))
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns and far > 50
+    assert sorted((r["doc_id"] is None, r["text"] or "") for r in got.collect()) == sorted((i == 4, texts[i] or "") for _, i in least.values())
+    none = saved(spark, tmp_path / "n", df.limit(0))
+    assert near_copies.drop_near_copies(none).collect() == []
