@@ -22,18 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and a row id ``rid``.
+def numbered(df: DataFrame, *columns: str, rid: str | None = None) -> DataFrame:
+    """``columns`` and a row id ``rid``: the column of that name if one is given, else an id that holds for one pass only.
 
-    The id is a row's place in its split, so it is the same in every pass over one stored table. Other
-    columns go, so that none of them can clash with an operator's own names.
+    Other columns go, so that none of them can clash with an operator's own names.
     """
-    return df.select(F.monotonically_increasing_id().alias("rid"), *columns)
+    return df.select((F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"), *columns)
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """All columns and the row id of ``numbered`` under a name of the caller's."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """All columns of a stored Parquet table and a row id that is the same in every pass.
+
+    The id is the file's rank by name and the row's place in the file, so it does not depend on how files are split, which
+    follows the cores alive when a pass begins.
+    """
+    spark, path = df.sparkSession, f"{name}_path"
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    ranks = F.broadcast(spark.createDataFrame([(f, n << 40) for n, f in enumerate(files)], f"`{path}` string, `{name}` long"))
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(f"{name}_place"))
+    return placed.join(ranks, path).select(*df.columns, (F.col(name) + F.col(f"{name}_place")).alias(name))
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import bounded, map_batches, numbered, stored, texts_as_bytes
+from gustfront.llm.common import bounded, map_batches, numbered, stored, texts_as_bytes, with_row_id
 
 BITS = 64
 #: Bytes of distinct texts that one map task holds before it passes them on.
@@ -112,10 +112,10 @@ def chains(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, place int, sha string")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """Per row: rid, doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid=rid)
     held = stored(entries(rows), "dedup-entries")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = held.agg(F.sum("size")).first()[0] or 0
@@ -135,6 +135,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row keeps; all columns stay."""
-    stay = exact_groups(docs).where("kept").select(F.col("rid").alias("__stays"))
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
+    named = with_row_id(docs, "__row")
+    stay = exact_groups(named, "__row").where("kept").select(F.col("rid").alias("__stays"))
     return named.join(stay, F.col("__row") == F.col("__stays"), "left_semi").select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import U64, map_batches, mixed, numbered, signed, stored
+from gustfront.llm.common import U64, map_batches, mixed, numbered, signed, stored, with_row_id
 
 SHORTEST = 12
 _ODD = 0x9E3779B97F4A7C15
@@ -205,7 +205,7 @@ def neighbours_removed(texts: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """Per row: rid, doc_id, n_lines (not blank), n_removed, kept (the text of the lines that stay; null if all stay), kept_sha256."""
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = numbered(with_row_id(docs, "__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid="__row")
     every = stored(lines_of(rows), "lines")
     place = F.struct("doc_id", "rid", "no")
     firsts = every.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import map_batches, numbered, stored
+from gustfront.llm.common import map_batches, numbered, stored, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -216,9 +216,9 @@ def _ordered(base: str, found: list) -> str:
     return ",".join(f"{(*KINDS, FOUND)[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """Per row: rid, doc_id, counts per kind, base (spans joined), base_sha256, spans (base and discovered, joined)."""
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid=rid)
     held = stored(extracted(rows), "pii")
     every = held.select("rid", "doc_id", "base").join(discovered(held), "rid", "left")
 
@@ -250,8 +250,8 @@ def masked(text: str, spans: str) -> str:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked; all columns stay, null texts stay null, ``n_chars`` follows the text if there."""
-    found = find_personal_data(docs).where("spans <> ''").select(F.col("rid").alias("__found"), F.col("spans").alias("__spans"))
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
+    named = with_row_id(docs, "__row")
+    found = find_personal_data(named, "__row").where("spans <> ''").select(F.col("rid").alias("__found"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import U64, map_batches, mixed, numbered, signed, stored, texts_as_bytes
+from gustfront.llm.common import U64, map_batches, mixed, numbered, signed, stored, texts_as_bytes, with_row_id
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 MASKS = tuple(sum(1 << b for b in range(t, 64, 3)) for t in range(3))
@@ -139,9 +139,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """Per row: rid, doc_id, fp (signed 64 bits), fingerprint (hex), component_id."""
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid=rid)
     held = stored(fingerprints(rows), "fingerprints")
     nodes = stored(held.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("stays")), "nodes")
     roots = components(links(nodes, nodes.count()))
@@ -153,6 +153,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns stay."""
-    stay = near_groups(docs).where("kept").select(F.col("rid").alias("__stays"))
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
+    named = with_row_id(docs, "__row")
+    stay = near_groups(named, "__row").where("kept").select(F.col("rid").alias("__stays"))
     return named.join(stay, F.col("__row") == F.col("__stays"), "left_semi").select(*docs.columns)
