@@ -3,8 +3,9 @@
 **Base.** Four kinds, found in every whole text, leftmost and non-overlapping per kind (see the fixed patterns below); a match that
 fails its check is dropped without a retry. All scans are linear in the text.
 
-**Bootstrap.** Tokens that hold a digit or ``@`` and lie outside the base spans are candidates. Seeds and candidates are instances;
-the words around them induce lexical patterns: two words before, two after, one on either side, each with the token's shape
+**Bootstrap.** Tokens of any length that hold a digit or ``@`` and lie outside the base spans are candidates, and so are such pieces of
+unspaced strings between delimiters. Seeds and candidates are instances;
+the whole words around them induce lexical patterns: two words before, two after, one on either side, each with the token's shape
 class, and two before with one after for any shape.
 Spark scores the bipartite graph of patterns and instances in rounds: a pattern's confidence is the smoothed mean of its distinct
 instances' scores, an instance's score the noisy-or over its supported patterns (seeds stay at 1). Patterns with enough
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,6 +44,9 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"\S+")
+#: What stands between the delimiters of an unspaced string.
+_PIECE = re.compile(r"""[^=&;,|?/:#"'`<>()\[\]{}]+""")
 _EDGE = "\"'`.,;:!?()[]{}<>|*"
 
 
@@ -121,21 +126,71 @@ def shape(token: str) -> str:
     return "".join(out[:16])
 
 
-def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    before = text[max(0, start - 80) : start].lower().split()
-    after = text[end : end + 80].lower().split()
-    clean = lambda w: re.sub("[0-9]+", "9", w.strip(_EDGE))
-    return [clean(w) for w in before[-2:]], [clean(w) for w in after[:2]]
+class Words:
+    """The words around spans of a text: first the pieces of a span's own run of characters without white space, then whole runs.
+
+    Runs are cut at the edges of ``spans`` and, where these lie inside, at delimiters. Words are found by position, so a text is
+    read once whatever its spans.
+    """
+
+    def __init__(self, text: str, spans: list[tuple[int, int]]):
+        self.text, self.cleaned = text, {}
+        self.starts, self.ends, self.runs, self.firsts = [], [], [], []
+        edges, at = sorted({x for span in spans for x in span}), 0
+        for m in _RUN.finditer(text):
+            start, end = m.span()
+            while at < len(edges) and edges[at] <= start:
+                at += 1
+            inner = at
+            while inner < len(edges) and edges[inner] < end:
+                inner += 1
+            if inner == at:
+                self.runs.append((start, end))
+                self.firsts.append(len(self.starts))
+                self.starts.append(start)
+                self.ends.append(end)
+                continue
+            cuts = [start, *edges[at:inner], end]
+            core = (start + len(m[0]) - len(m[0].lstrip(_EDGE)), start + len(m[0].rstrip(_EDGE)))
+            split = any(core[0] < c < core[1] for c in cuts[1:-1])
+            self.runs.append((start, end))
+            self.firsts.append(len(self.starts))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                pieces = [(a, b)]
+                if split:
+                    pieces = [(x.start() + a, x.end() + a) for x in _PIECE.finditer(text[a:b])]
+                self.starts += [x for x, _ in pieces]
+                self.ends += [x for _, x in pieces]
+
+        self.firsts.append(len(self.starts))
+
+    def _word(self, start: int, end: int) -> str:
+        if (start, end) not in self.cleaned:
+            self.cleaned[start, end] = re.sub("[0-9]+", "9", self.text[start:end].lower().strip(_EDGE))
+        return self.cleaned[start, end]
+
+    def near(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """The two words before and after."""
+        run = bisect_right(self.runs, (start, len(self.text))) - 1
+        low = max(self.firsts[run], bisect_right(self.ends, start) - 2)
+        before = list(zip(self.starts[low : bisect_right(self.ends, start)], self.ends[low : bisect_right(self.ends, start)], strict=True))
+        before = self.runs[max(0, run - 2 + len(before)) : run] + before
+        run = bisect_left(self.runs, (end, 0)) - 1
+        low = bisect_left(self.starts, end)
+        high = min(self.firsts[run + 1], low + 2)
+        after = list(zip(self.starts[low:high], self.ends[low:high], strict=True))
+        after += self.runs[run + 1 : run + 3 - len(after)]
+        return [self._word(*w) for w in before], [self._word(*w) for w in after]
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def patterns_of(text: str, start: int, end: int) -> list[int]:
+def patterns_of(words: Words, start: int, end: int) -> list[int]:
     """The lexical patterns around a span."""
-    before, after = _near(text, start, end)
-    kind = shape(text[start:end])
+    before, after = words.near(start, end)
+    kind = shape(words.text[start:end])
     named = []
     if len(before) == 2:
         named.append(f"b\t{before[0]}\t{before[1]}\t{kind}")
@@ -149,21 +204,37 @@ def patterns_of(text: str, start: int, end: int) -> list[int]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit or ``@`` outside the given spans, without outer punctuation."""
+    """Tokens with a digit or ``@`` outside the given spans, without outer punctuation, whatever their length; and the pieces of
+    unspaced strings between delimiters (values of ``key=value`` lists, query strings, JSON), also beside a given span."""
     if not (_DIGIT.search(text) or "@" in text):
         return
     taken = sorted((s, e) for s, e, _ in spans)
-    at = 0
-    for m in re.finditer(r"\S+", text):
+    at = reach = 0
+
+    def free(start: int, end: int) -> bool:
+        nonlocal at, reach
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][1])
+            at += 1
+        return reach <= start
+
+    for m in _RUN.finditer(text):
         token = m[0]
-        if not ("@" in token or _DIGIT.search(token)) or len(token) > 64:
+        if not ("@" in token or _DIGIT.search(token)):
             continue
         lead = len(token) - len(token.lstrip(_EDGE))
-        start, end = m.start() + lead, m.start() + len(token.rstrip(_EDGE))
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if end - start >= 6 and not any(s < end for s, _ in taken[at : at + 1]):
-            yield start, end
+        whole = (m.start() + lead, m.start() + len(token.rstrip(_EDGE)))
+        parts = []
+        for piece in _PIECE.finditer(token):
+            part = piece[0]
+            if "@" in part or _DIGIT.search(part):
+                start, end = piece.start() + len(part) - len(part.lstrip(_EDGE)), piece.start() + len(part.rstrip(_EDGE))
+                start, end = start + m.start(), end + m.start()
+                if start < end and (start, end) != whole and free(start, end):
+                    parts.append((start, end))
+        if whole[0] < whole[1] and free(*whole):
+            yield whole
+        yield from parts
 
 
 def extracted(rows: DataFrame) -> DataFrame:
@@ -177,7 +248,8 @@ def extracted(rows: DataFrame) -> DataFrame:
             spans = base_spans(text)
             base.append(joined(spans))
             places = [(s, e, True) for s, e, _ in spans] + [(s, e, False) for s, e in candidates(text, spans)]
-            instances.append([{"start": s, "end": e, "seed": seed, "value": _hash(text[s:e].lower()), "patterns": patterns_of(text, s, e)} for s, e, seed in places])
+            words = Words(text, [(s, e) for s, e, _ in places]) if places else None
+            instances.append([{"start": s, "end": e, "seed": seed, "value": _hash(text[s:e].lower()), "patterns": patterns_of(words, s, e)} for s, e, seed in places])
         return {"rid": batch["rid"], "doc_id": batch["doc_id"], "base": pa.array(base, pa.string()), "instances": pa.array(instances, pa.list_(item))}
 
     return map_batches(rows, step, "rid long, doc_id long, base string, instances array<struct<start:int,end:int,seed:boolean,value:bigint,patterns:array<bigint>>>")

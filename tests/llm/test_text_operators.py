@@ -365,3 +365,25 @@ def test_empty_tables(spark, nothing, tmp_path):
 def test_all_null_texts(spark, tmp_path):
     df = saved(spark, tmp_path / "n", spark.createDataFrame([(None,) * 9] * 3, SCHEMA))
     assert packing.pack(df).count() == 3 and pii.find_personal_data(df).count() == 3 and frame(spark).count() > 0
+
+
+def test_discovery_has_no_length_limits(spark, tmp_path):
+    rng = random.Random(13)
+    key = "".join(rng.choice("abcdef0123456789") for _ in range(200))
+    far = "w" * 120
+    texts = [f"{prose(rng, 5)} reach me {'at'} u{i}x@mail.example.com or call {prose(rng, 4)}" for i in range(30)]
+    texts += [f"a b mail {far} u{i}x@mail.example.com {far} ok" for i in range(30)]
+    texts += [f"user=n;contact=u{i}x@mail.example.com;next=b" for i in range(30)]
+    texts += [f"so reach me at {key} or call", "so reach me at 7 or call", f"x y mail {far} q7@intranet {far} ok", "user=n;contact=q7@intranet;next=b"]
+    df = saved(spark, tmp_path / "d", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in listed(pii.mask_personal_data(df))}
+    assert got[90] == "so reach me at <id> or call" and got[91] == "so reach me at <id> or call"
+    assert got[92] == f"x y mail {far} <id> {far} ok" and got[93] == "user=n;contact=<id>;next=b"
+
+
+def test_words_of_long_runs_stay_linear():
+    for text in ("1.2.3.4/" * 40_000, "a=1;" * 80_000, "a@b.c," * 60_000, "1.2.3.4." * 40_000, "1" * 300_000):
+        spans = pii.base_spans(text)
+        places = [(s, e) for s, e, _ in spans] + list(pii.candidates(text, spans))
+        words = pii.Words(text, places)
+        assert all(len(pii.patterns_of(words, s, e)) <= 4 for s, e in places[:: max(1, len(places) // 1000)])
