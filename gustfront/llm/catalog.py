@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustfront.llm import exact_dedup, line_dedup, packing, pii, sentencepiece_codec, simhash, substring_dedup, token_rollup, topk, toxicity
+from gustfront.llm import exact_dedup, fill_in_middle, filter_audit, html_extraction, line_dedup, packing, pii, sentencepiece_codec, simhash, substring_dedup, token_rollup, topk, toxicity
 from gustfront.llm.common import table
 from gustfront.session import scratch_path
 
@@ -54,6 +54,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +78,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,4 +110,39 @@ ORACLE = {
         select w.doc_id, cast(len(ws) as bigint) as n_words, len(ws) - coalesce(stay, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from w left join j on w.doc_id = j.doc_id
     """,
+    "op11_filter_audit": r"""
+        with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as x from documents),
+        w as (select *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by x) as least from t),
+        f as (select doc_id, part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+                     100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x),
+                     regexp_matches(x, '[#$%&*|]'), coalesce(doc_id > least, false)] as fails from w),
+        l as (select doc_id, coalesce(max(case when quality = 1 then 1 end), 0) as good, coalesce(max(case when toxic = 1 then 1 end), 0) as toxic from labels group by doc_id),
+        h as (select part, fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from f left join l using (doc_id) group by part, fails),
+        c as (select unnest(range(1, 6)) as i),
+        o as (select [a.i, b.i, d.i, e.i, g.i] as ord from c a, c b, c d, c e, c g
+              where len(list_distinct([a.i, b.i, d.i, e.i, g.i])) = 5),
+        s as (select part, ord, cast(step as integer) as step, n, good, toxic, fails[ord[step]] as hit,
+                     len(list_filter(list_slice(ord, 1, step - 1), lambda k: fails[k])) > 0 as gone,
+                     len(list_filter(fails, lambda k: k)) as many
+              from h, o, (select unnest(range(1, 6)) as step)),
+        r as (select part, ord, step, coalesce(sum(n) filter (not gone and not hit), 0) as kept, coalesce(sum(n) filter (not gone and hit), 0) as removed,
+                     coalesce(sum(n) filter (gone and hit), 0) as redundant, coalesce(sum(n) filter (hit and many = 1), 0) as unique_fails,
+                     coalesce(sum(good) filter (not gone and hit), 0) as good_lost, coalesce(sum(toxic) filter (not gone and hit), 0) as toxic_lost
+              from s group by part, ord, step)
+        select part, list_aggregate(list_transform(ord, lambda k: substr('ABCDE', k, 1)), 'string_agg', '') as filter_order, step,
+               cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+               cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+               cast(sum(removed) over (partition by part, ord[step]) as bigint) as shapley from r
+    """,
+    "op13_fill_in_middle": r"""
+        with t as (select doc_id, coalesce(text, '') as x, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        u as (select doc_id, x, regexp_extract_all(x, '[^\n]*\n|[^\n]+') as ls, list_transform(range(0, 4), lambda k: cast('0x' || substr(h, 8 * k + 1, 8) as bigint)) as d from t),
+        k as (select *, len(ls) as n, least(d[1] % (len(ls) + 1), d[2] % (len(ls) + 1)) as lo, greatest(d[1] % (len(ls) + 1), d[2] % (len(ls) + 1)) as hi,
+                     case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') then 'plain' when d[4] % 100 < 50 then 'spm' else 'psm' end as form from u),
+        c as (select doc_id, x, cast(n as bigint) as n, form, coalesce(array_to_string(ls[1:lo], ''), '') as p,
+                     coalesce(array_to_string(ls[lo + 1:hi], ''), '') as m, coalesce(array_to_string(ls[hi + 1:n], ''), '') as s from k)
+        select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+               sha256(case form when 'plain' then x when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+               sha256(x) as restored_sha256 from c
+    """,
 }
