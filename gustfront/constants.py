@@ -53,6 +53,7 @@ DAILY_CAP_SECONDS = 86400
 COOL_OFF_SECONDS = 1800
 PER_CYCLE_CAP = 5
 LEDGER_HOURS = 48
+ALERT_POLL_SECONDS = 300
 MAX_SCORE_AGE_SECONDS = 1800
 RISK_THRESHOLD = 0.8
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from gustfront.functions.health import seconds_between
 from gustfront.functions.text import model_state, shown_score
 from gustfront.operators.pairing import last_known
 from gustfront.operators.timeline import along_time
+from gustfront.session import materialise, scratch_path
 
 
 def allowed_active(alerts: DataFrame, now: Column, events=ALLOWED_EVENTS) -> DataFrame:
@@ -95,47 +97,150 @@ class ScopeState:
 DECISIONS = "scope string, alert_id string, cycle_us bigint, feed_pos bigint, outcome string"
 
 
-def _segments(slim: DataFrame) -> DataFrame:
-    """Number the stretches of a scope that are separated by more than 48 quiet hours.
+#: Polls of one scope that a chunk of its replay holds, about: seconds of work, so that a round's fixed cost is small beside it.
+CHUNK_POLLS = 500_000
+EMPTY_STATE = "[[], [], null]"
+_KEYS = ["scope", "segment", "chunk"]
+_REPLAYED = "scope string, segment bigint, chunk bigint, alert_id string, cycle_us bigint, feed_pos bigint, outcome string, exit string"
+_BEFORE_ALL = -(1 << 62)
 
-    Nothing survives such a gap, so stretches replay independently. Only scope-days are ordered.
+
+def state_text(state: ScopeState, policy: Policy) -> str:
+    """What of a state can still matter after its last cycle, in one fixed form, so that equal texts decide alike."""
+    if state.cycle is None:
+        return EMPTY_STATE
+    now = state.cycle
+    oldest = lambda seconds: now - seconds * 1_000_000
+    seen = sorted([at, a] for a, at in state.seen.items() if at >= oldest(policy.keep_seconds))
+    types = sorted([e, at] for e, at in state.by_type.items() if at >= oldest(policy.cap_seconds))
+    last = state.last if state.last is not None and state.last >= oldest(policy.cool_off_seconds) else None
+    return json.dumps([seen, types, last])
+
+
+def state_from(text: str) -> ScopeState:
+    seen, types, last = json.loads(text)
+    return ScopeState({a: at for at, a in seen}, dict(types), last)
+
+
+def _slim(alerts: DataFrame) -> DataFrame:
+    return alerts.select(
+        F.col("scope").cast("string").alias("scope"), "alert_id", "event", F.unix_micros("cycle_ts").alias("cycle_us"), F.col("feed_pos").cast("long").alias("feed_pos"), "delivered",
+        F.floor(F.unix_micros("cycle_ts") / F.lit(3_600_000_000)).cast("long").alias("hour"),
+    )
+
+
+def _chunks(slim: DataFrame, policy: Policy, chunk_polls: int) -> DataFrame:
+    """Segment and chunk of every scope-hour. Only scope-hours are ordered.
+
+    Segments are stretches of a scope separated by so many quiet hours that nothing survives the gap. A long segment is cut
+    into chunks at full hours; an hour is never cut.
     """
-    days = slim.select("scope", "day").distinct()
-    order = Window.partitionBy("scope").orderBy("day")
-    fresh = (F.col("day") - F.lag("day").over(order) >= 3).cast("int")
-    return days.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("segment", F.sum("fresh").over(order)).drop("fresh")
+    hours = slim.groupBy("scope", "hour").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("scope").orderBy("hour")
+    longest = max(policy.keep_seconds, policy.cap_seconds, policy.cool_off_seconds)
+    fresh = (F.col("hour") - F.lag("hour").over(order) >= longest // 3600 + 2).cast("int")
+    cut = hours.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("segment", F.sum("fresh").over(order))
+    inside = Window.partitionBy("scope", "segment").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    filled = cut.withColumn("filled", F.floor(F.coalesce(F.sum("n").over(inside), F.lit(0)) / chunk_polls))
+    number = F.dense_rank().over(Window.partitionBy("scope", "segment").orderBy("filled")) - 1
+    return filled.select("scope", "hour", "segment", number.cast("long").alias("chunk"))
 
 
-def replay_suppression(alerts: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Run the policy over recorded polls: ``alerts(scope, alert_id, event, cycle_ts, feed_pos, delivered)``.
+def _replayed(polls: DataFrame, policy: Policy) -> DataFrame:
+    """Decisions of every chunk, from its ``entry`` row's state or an empty one, and one row with the state it ends in.
 
-    Returns one row per decision; repeats of handled alerts give none. Rules depend on earlier sends
-    of the scope, so a scope's stretch is read in order by one task; it is streamed from the sorted
-    shuffle in Arrow batches and only 48 hours of ids are held.
+    A chunk is streamed from the sorted shuffle in Arrow batches; its entry row sorts before its polls.
     """
-    slim = alerts.select(
-        F.col("scope").cast("string").alias("scope"), "alert_id", "event", F.unix_micros("cycle_ts").alias("cycle_us"), "feed_pos", "delivered",
-        F.floor(F.unix_micros("cycle_ts") / F.lit(86_400_000_000)).cast("long").alias("day"),
-    )
-    cut = slim.join(_segments(slim), ["scope", "day"]).drop("day")
-    ordered = cut.repartition("scope", "segment").sortWithinPartitions("scope", "segment", "cycle_us", "feed_pos")
+    ordered = polls.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "cycle_us", "feed_pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, current = ScopeState(), None
+        end = lambda: [(*current, None, None, None, None, state_text(state, policy))] if current else []
+        columns = ["scope", "segment", "chunk", "alert_id", "event", "cycle_us", "feed_pos", "delivered", "entry"]
         for batch in batches:
             out = []
-            rows = zip(batch["scope"], batch["segment"], batch["alert_id"], batch["event"], batch["cycle_us"].tolist(), batch["feed_pos"].tolist(), batch["delivered"].tolist())
-            for scope, segment, alert_id, event, now, pos, delivered in rows:
-                if (scope, segment) != current:
-                    state, current = ScopeState(), (scope, segment)
+            for scope, segment, chunk, alert_id, event, now, pos, delivered, entry in zip(*(batch[c].tolist() for c in columns)):
+                if (scope, segment, chunk) != current:
+                    out += end()
+                    state, current = ScopeState(), (scope, segment, chunk)
+                if now == _BEFORE_ALL:
+                    state = state_from(entry)
+                    continue
                 state.enter(now, policy)
                 outcome = state.decide(alert_id, event, now, delivered, policy)
                 if outcome:
-                    out.append((scope, alert_id, now, pos, outcome))
-            yield pd.DataFrame(out, columns=["scope", "alert_id", "cycle_us", "feed_pos", "outcome"])
+                    out.append((scope, segment, chunk, alert_id, now, pos, outcome, None))
+            yield _frame(out)
+        yield _frame(end())
+
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["scope", "segment", "chunk", "alert_id", "cycle_us", "feed_pos", "outcome", "exit"])
+        return made.astype({"cycle_us": "Int64", "feed_pos": "Int64"})
+
+    return ordered.mapInPandas(run, _REPLAYED)
+
+
+def replay_in_rounds(alerts: DataFrame, policy: Policy = Policy(), chunk_polls: int = CHUNK_POLLS) -> tuple[DataFrame, list[int]]:
+    """The decisions of ``replay_suppression`` and the number of chunks replayed in each round.
 
-    decided = ordered.mapInPandas(run, DECISIONS)
-    return decided.withColumn("cycle_ts", F.timestamp_micros("cycle_us")).drop("cycle_us")
+    Rules of a scope depend on its earlier sends, so a long segment is replayed speculatively: all its chunks at once from an
+    empty state, then, again at once, each chunk whose predecessor ended in another state than the chunk began with, until none
+    is left. A chunk is right once all before it are, so there are at most as many rounds as a segment has chunks, and
+    few where types or ids pause now and then. States and decisions stay in tables of the shared folder; the
+    driver sees counts only.
+    """
+    spark = alerts.sparkSession
+    slim = _slim(alerts)
+    chunks = materialise(_chunks(slim, policy, chunk_polls), "replay-chunks")
+    placed = slim.join(chunks, ["scope", "hour"]).drop("hour").withColumn("entry", F.lit(None).cast("string"))
+    long = chunks.where("chunk > 0").select("scope", "segment").distinct()
+    if long.isEmpty():
+        return _replayed(placed, policy), [chunks.select(*_KEYS).distinct().count()]
+    polls = materialise(placed.join(long, ["scope", "segment"], "left_semi"), "replay-polls")
+    known = chunks.join(long, ["scope", "segment"], "left_semi").select(*_KEYS).distinct()
+    done, entered = scratch_path(spark, "replay-rounds"), scratch_path(spark, "replay-entries")
+    entry_schema = "scope string, segment bigint, chunk bigint, entry string"
+
+    def written(df: DataFrame, path: str, number: int) -> None:
+        df.write.parquet(f"{path}/round={number}")
+
+    def newest(path: str, schema: str, value: str) -> DataFrame:
+        rows = spark.read.schema(f"{schema}, round int").option("basePath", path).parquet(path)
+        return rows.where(F.col(value).isNotNull()).groupBy(*_KEYS).agg(F.max_by(value, "round").alias(value))
+
+    written(_replayed(polls, policy), done, 1)
+    written(known.withColumn("entry", F.lit(EMPTY_STATE)), entered, 1)
+    rounds = [known.count()]
+    while True:
+        exits = newest(done, _REPLAYED, "exit").select("scope", "segment", (F.col("chunk") + 1).alias("chunk"), "exit")
+        stale = exits.join(newest(entered, entry_schema, "entry"), _KEYS).where("exit <> entry").select(*_KEYS, F.col("exit").alias("entry"))
+        number = len(rounds) + 1
+        written(stale, entered, number)
+        again = spark.read.schema(entry_schema).parquet(f"{entered}/round={number}")
+        count = again.count()
+        if not count:
+            break
+        rounds.append(count)
+        given = {c: F.col(c) for c in (*_KEYS, "entry")} | {"cycle_us": F.lit(_BEFORE_ALL), "feed_pos": F.lit(0)}
+        first = again.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in polls.dtypes))
+        written(_replayed(polls.join(again.select(*_KEYS), _KEYS, "left_semi").unionByName(first), policy), done, number)
+    last = spark.read.schema(f"{entry_schema}, round int").option("basePath", entered).parquet(entered).groupBy(*_KEYS).agg(F.max("round").alias("round"))
+    final = spark.read.schema(f"{_REPLAYED}, round int").option("basePath", done).parquet(done).join(last, [*_KEYS, "round"]).select(*_names(_REPLAYED))
+    return final.unionByName(_replayed(placed.join(long, ["scope", "segment"], "left_anti"), policy)), rounds
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def replay_suppression(alerts: DataFrame, policy: Policy = Policy(), chunk_polls: int = CHUNK_POLLS) -> DataFrame:
+    """Run the policy over recorded polls: ``alerts(scope, alert_id, event, cycle_ts, feed_pos, delivered)``.
+
+    Returns one row per decision; repeats of handled alerts give none. A busy scope is replayed in chunks on all cores
+    (``replay_in_rounds``), and a task holds 48 hours of ids. Polls without scope or time take no part.
+    """
+    decided, _ = replay_in_rounds(alerts, policy, chunk_polls)
+    return decided.where("outcome is not null").select("scope", "alert_id", F.timestamp_micros("cycle_us").alias("cycle_ts"), "feed_pos", "outcome")
 
 
 def ledger_rows(decisions: DataFrame) -> DataFrame:

@@ -108,7 +108,8 @@ def recent_sends(
 
     On one timeline a request stands twice: at its own time, behind the sends of that time, to see the last send before
     it, and at its cutoff, ahead of them, to see the first send after it. One row per slot carries the last send
-    forward and the first one backward, so neither a busy type nor a busy day ends up in one group.
+    forward and the first one backward, so neither a busy type nor a busy day ends up in one group; slots themselves
+    grow with the span of time only. Both directions run in their own order, as running aggregates.
     """
     by = by or []
     width = window_seconds * 1_000_000
@@ -121,13 +122,13 @@ def recent_sends(
     key = F.struct(*by) if by else F.struct(F.lit(0))
     line = facts.unionByName(asks).select(key.alias("_b"), F.explode("e").alias("e")).select("_b", "e.*")
     line = line.withColumn("_k", F.struct("_b", F.floor(F.col("_t") / size).cast("long").alias("_slot")))
-    by_slot = Window.partitionBy(F.col("_k._b")).orderBy("_k._slot")
+    slots, before = Window.partitionBy(F.col("_k._b")), (Window.unboundedPreceding, -1)
     opening = line.groupBy("_k").agg(F.max("_sent").alias("_l"), F.min("_sent").alias("_f")).select(
-        "_k", F.max("_l").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"), F.min("_f").over(by_slot.rowsBetween(1, Window.unboundedFollowing)).alias("_cf")
+        "_k", F.max("_l").over(slots.orderBy("_k._slot").rowsBetween(*before)).alias("_cl"), F.min("_f").over(slots.orderBy(F.desc("_k._slot")).rowsBetween(*before)).alias("_cf")
     )
-    inside = Window.partitionBy("_k").orderBy("_t", "_side")
+    inside, until = Window.partitionBy("_k"), (Window.unboundedPreceding, 0)
     local = line.select(
-        "*", F.max("_sent").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_il"), F.min("_sent").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_if")
+        "*", F.max("_sent").over(inside.orderBy("_t", "_side").rowsBetween(*until)).alias("_il"), F.min("_sent").over(inside.orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(*until)).alias("_if")
     ).where("_side <> 1")
     seen = local.join(opening, "_k").select(
         "_b", "_at", F.when(F.col("_side") == 2, F.coalesce("_il", "_cl")).alias("_last"), F.when(F.col("_side") == 0, F.coalesce("_if", "_cf")).alias("_first")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -10,73 +11,212 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from gustfront.constants import ALERT_POLL_SECONDS
 from gustfront.operators.suppression import DECISIONS, Policy, ScopeState, cycle_counters, ledger_rows, scope_totals
 from gustfront.sinks.tables import committed_folders, write_snapshot
 
 
+HOUR = 3_600_000_000
+
+
 class SuppressionProcessor(StatefulProcessor):
     """The policy's memory of one scope: ids seen, last send per type, last send of all.
 
-    Ids older than the ledger span are removed by poll time, not wall clock, so a replay of old
-    polls decides as the live run did; the sweep runs when poll time enters a new hour.
+    Ids older than the ledger span go by poll time, not wall clock, so a replay of old polls decides as the live run
+    did. Every handled id is also noted under the hour it was handled in; when an hour has left the span, the ids
+    noted there are removed, so no sweep reads the ids that stay.
     """
 
     def __init__(self, policy: Policy = Policy()):
         self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", "alert_id string", "at bigint")
+        self.noted = handle.getMapState("noted", "hour bigint, part int", "ids array<string>")
+        self.hours = handle.getMapState("hours", "hour bigint", "parts int")
         self.types = handle.getMapState("types", "event string", "at bigint")
         self.head = handle.getValueState("head", "last bigint, cycle bigint, sent int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        """One micro-batch of one scope. A poll lists the scope's active alerts, so this is small."""
+        """One micro-batch of one scope, bounded by the files of a trigger."""
         polls = pd.concat(list(rows), ignore_index=True).sort_values(["cycle_us", "feed_pos"])
-        state = ScopeState()
-        if self.head.exists():
-            state.last, state.cycle, state.sent_in_cycle = self.head.get()
-        self.sweep(state.cycle, int(polls["cycle_us"].iloc[0]))
-        held = {a: self.seen.getValue((a,))[0] for a in polls["alert_id"].unique() if self.seen.containsKey((a,))}
-        state.seen = dict(sorted(held.items(), key=lambda x: x[1]))
-        known = dict(state.seen)
-        state.by_type = {k[0]: v[0] for k, v in self.types.iterator()}
-        before = dict(state.by_type)
+        state = self.load(polls["alert_id"].unique())
+        known, before = dict(state.seen), dict(state.by_type)
         out = []
         for alert_id, event, now, pos, delivered in zip(polls["alert_id"], polls["event"], polls["cycle_us"].tolist(), polls["feed_pos"].tolist(), polls["delivered"].tolist()):
             state.enter(now, self.policy)
             outcome = state.decide(alert_id, event, now, delivered, self.policy)
             if outcome:
                 out.append((key[0], alert_id, now, pos, outcome))
+        self.store(state, known, before)
+        yield _decisions(out)
+
+    def load(self, ids: Iterable[str]) -> ScopeState:
+        """The state as far as decisions about ``ids`` need it."""
+        state = ScopeState()
+        if self.head.exists():
+            state.last, state.cycle, state.sent_in_cycle = self.head.get()
+        held = {a: self.seen.getValue((a,))[0] for a in ids if a is not None and self.seen.containsKey((a,))}
+        state.seen = dict(sorted(held.items(), key=lambda x: x[1]))
+        state.by_type = {k[0]: v[0] for k, v in self.types.iterator()}
+        return state
+
+    def store(self, state: ScopeState, known: dict[str, int], before: dict[str, int]) -> None:
+        fresh: dict[int, list[str]] = {}
         for alert_id, at in state.seen.items():
             if known.get(alert_id) != at:
                 self.seen.updateValue((alert_id,), (at,))
+                fresh.setdefault(at // HOUR, []).append(alert_id)
+        for hour, ids in fresh.items():
+            part = self.hours.getValue((hour,))[0] if self.hours.containsKey((hour,)) else 0
+            self.noted.updateValue((hour, part), (ids,))
+            self.hours.updateValue((hour,), (part + 1,))
         for event, at in state.by_type.items():
             if before.get(event) != at:
                 self.types.updateValue((event,), (at,))
         self.head.update((state.last, state.cycle, state.sent_in_cycle))
-        yield pd.DataFrame(out, columns=["scope", "alert_id", "cycle_us", "feed_pos", "outcome"])
+        if state.cycle is not None:
+            self.forget(state.cycle - self.policy.keep_seconds * 1_000_000)
 
-    def sweep(self, previous: int | None, now: int) -> None:
-        if previous is None or previous // 3_600_000_000 == now // 3_600_000_000:
-            return
-        cutoff = now - self.policy.keep_seconds * 1_000_000
-        for alert_id in [key for key, at in self.seen.iterator() if at[0] < cutoff]:
-            self.seen.removeKey(alert_id)
+    def forget(self, cutoff: int) -> None:
+        """Remove the ids handled before ``cutoff`` of hours that have wholly passed it."""
+        for (hour,), (parts,) in list(self.hours.iterator()):  # one entry per hour of the span
+            if (hour + 1) * HOUR > cutoff:
+                continue
+            for part in range(parts):
+                for alert_id in self.noted.getValue((hour, part))[0]:
+                    if self.seen.containsKey((alert_id,)) and self.seen.getValue((alert_id,))[0] < cutoff:
+                        self.seen.removeKey((alert_id,))
+                self.noted.removeKey((hour, part))
+            self.hours.removeKey((hour,))
 
     def close(self) -> None:
         pass
 
 
+def _decisions(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["scope", "alert_id", "cycle_us", "feed_pos", "outcome"])
+
+
+class PendingProcessor(SuppressionProcessor):
+    """The policy over a feed that names an alert once: what is deferred or not delivered waits in state.
+
+    A waiting alert is offered again at the first poll time at which its outcome can differ: the next one after the cycle
+    cap or a send of its type, the first one after the cool-off. An event-time timer stands at the earliest of
+    these, so a scope that receives nothing more is still served. An alert stops waiting when it expires. Polls are taken
+    to happen at whole multiples of ``poll_seconds``, and offers of one poll are decided in feed order, as in a feed that
+    repeats its alerts. A row that names a waiting alert again replaces it, which is how a delivery that failed is retried.
+    """
+
+    FAR = 1 << 62
+
+    def __init__(self, policy: Policy = Policy(), poll_seconds: int = ALERT_POLL_SECONDS):
+        super().__init__(policy)
+        self.poll = poll_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getMapState("waiting", "alert_id string", "event string, feed_pos bigint, delivered boolean, expires bigint, due bigint, outcome string")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        polls = pd.concat(list(rows), ignore_index=True).sort_values(["cycle_us", "feed_pos"])
+        columns = ("cycle_us", "feed_pos", "alert_id", "event", "delivered", "expires_us")
+        arrived = [x for x in zip(*(polls[c].tolist() for c in columns)) if x[5] == x[5] and x[5] is not None]
+        yield self.work(key[0], arrived, int(polls["cycle_us"].max()))
+
+    def handleExpiredTimer(self, key: Any, timer_values: Any, expired: Any) -> Iterator[pd.DataFrame]:
+        yield self.work(key[0], [], timer_values.getCurrentWatermarkInMs() * 1000)
+
+    def after(self, at: int) -> int:
+        """The first poll time later than ``at``."""
+        return (at // self.poll + 1) * self.poll
+
+    def work(self, scope: str, arrived: list[tuple], until: int) -> pd.DataFrame:
+        """Decide arrivals and waiting alerts in the order of polls and feed, up to and including ``until``."""
+        was = {k[0]: tuple(v) for k, v in self.waiting.iterator()}
+        waiting = {a: list(v) for a, v in was.items()}
+        state = self.load({x[2] for x in arrived} | set(waiting))
+        known, before = dict(state.seen), dict(state.by_type)
+        out, at = [], 0
+        while True:
+            now = min([w[4] for w in waiting.values()] + ([arrived[at][0]] if at < len(arrived) else []), default=self.FAR)
+            if now > until:
+                break
+            while at < len(arrived) and arrived[at][0] == now:
+                _, pos, alert_id, event, delivered, expires = arrived[at]
+                if alert_id:
+                    waiting[alert_id] = [event, pos, bool(delivered), int(expires), now, None]
+                at += 1
+            state.enter(now, self.policy)
+            offers = [(w[1], a) for a, w in waiting.items() if w[4] <= now]
+            heapq.heapify(offers)
+            while offers:
+                pos, alert_id = heapq.heappop(offers)
+                event, _, delivered, expires, _, earlier = waiting[alert_id]
+                outcome = state.decide(alert_id, event, now, delivered, self.policy) if expires > now else None
+                if outcome and outcome != earlier:
+                    out.append((scope, alert_id, now, pos, outcome))
+                if outcome in (None, "sent", "suppressed_daily_cap"):
+                    del waiting[alert_id]
+                else:
+                    due = self.after(now) if outcome == "deferred_cycle_cap" else self.after(state.last + self.policy.cool_off_seconds * 1_000_000) if outcome == "deferred_cool_off" else expires
+                    waiting[alert_id][4:] = [due, outcome]
+                if outcome == "sent":  # alerts of the type that wait are capped now: later ones at this poll, earlier ones at the next
+                    for other, w in waiting.items():
+                        if w[0] == event and w[4] > now:
+                            if w[1] > pos:
+                                w[4] = now
+                                heapq.heappush(offers, (w[1], other))
+                            else:
+                                w[4] = min(w[4], self.after(now))
+        self.store(state, known, before)
+        for alert_id in was.keys() - waiting.keys():
+            self.waiting.removeKey((alert_id,))
+        for alert_id, w in waiting.items():
+            if was.get(alert_id) != tuple(w):
+                self.waiting.updateValue((alert_id,), tuple(w))
+        self.set_timer(min((w[4] for w in waiting.values()), default=None))
+        return _decisions(out)
+
+    def set_timer(self, due: int | None) -> None:
+        wanted = None if due is None else -(-due // 1000)
+        standing = self.timer.get()[0] if self.timer.exists() else None
+        if standing == wanted:
+            return
+        if standing in list(self.handle.listTimers()):
+            self.handle.deleteTimer(standing)
+        if wanted is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(wanted)
+            self.timer.update((wanted,))
+
+
 def suppress_stream(alerts: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Decisions over a stream of ``alerts(scope, alert_id, event, cycle_ts, feed_pos, delivered)``.
 
-    Polls must arrive in order per scope, as files of one landing folder do. Deferred alerts are
-    offered again by the next poll, which repeats whatever is still active.
+    Polls must arrive in order per scope, as files of one landing folder do. The feed repeats whatever is still
+    active, so deferred alerts come again with the next poll; ``suppress_pending_stream`` serves a feed that does not.
     """
-    slim = alerts.select(F.col("scope").cast("string").alias("scope"), "alert_id", "event", F.unix_micros("cycle_ts").alias("cycle_us"), F.col("feed_pos").cast("long").alias("feed_pos"), "delivered")
-    decided = slim.groupBy("scope").transformWithStateInPandas(
-        statefulProcessor=SuppressionProcessor(policy), outputStructType=DECISIONS, outputMode="Append", timeMode="None"
-    )
+    return _stream(alerts, SuppressionProcessor(policy), "None")
+
+
+def suppress_pending_stream(alerts: DataFrame, policy: Policy = Policy(), poll_seconds: int = ALERT_POLL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """As ``suppress_stream``, over a feed that names each alert once, with its ``expires``.
+
+    Deferred alerts and failed deliveries wait in state and are offered again by event-time timers. Decisions
+    are given when an alert's outcome changes. Rows more than ``late`` behind the newest poll of all scopes are dropped.
+    An alert without ``expires`` is not taken up, as at the gate.
+    """
+    return _stream(alerts.withWatermark("cycle_ts", late), PendingProcessor(policy, poll_seconds), "EventTime")
+
+
+def _stream(alerts: DataFrame, processor: SuppressionProcessor, time_mode: str) -> DataFrame:
+    extra = [F.unix_micros("expires").alias("expires_us"), "cycle_ts"] if time_mode == "EventTime" else []
+    slim = alerts.where("cycle_ts is not null").select(F.col("scope").cast("string").alias("scope"), "alert_id", "event", F.unix_micros("cycle_ts").alias("cycle_us"), F.col("feed_pos").cast("long").alias("feed_pos"), "delivered", *extra)
+    decided = slim.groupBy("scope").transformWithStateInPandas(statefulProcessor=processor, outputStructType=DECISIONS, outputMode="Append", timeMode=time_mode)
     return decided.withColumn("cycle_ts", F.timestamp_micros("cycle_us")).drop("cycle_us")
 
 

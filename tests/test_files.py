@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import struct
 import zlib
 from datetime import datetime, timedelta
@@ -196,6 +197,56 @@ def test_streamed_suppression_equals_batch(spark, tmp_path):
     assert pick(spark.read.parquet(str(tmp_path / "out"))) == pick(suppression.replay_suppression(alerts_of(spark, rows), policy))
 
 
+def test_alerts_named_once_wait_for_their_turn(spark, tmp_path):
+    """A feed that names an alert once decides as one that repeats it, through a restart."""
+    policy = suppression.Policy(cap_seconds=4 * 3600, cool_off_seconds=1500, cycle_cap=2, keep_seconds=10 * 3600)
+    rng, poll = random.Random(11), 5
+    once = []
+    for n in range(260):
+        start = poll * rng.randrange(0, 600)
+        event = rng.choice(["Tornado Warning", "Flood Warning", "High Wind Warning", "Ice Storm Warning", "A", "B", "C"])
+        once.append((f"s{n % 3}", f"a{n}", event, start, n, rng.random() > 0.15, start + rng.choice([3, 20, 60, 300])))
+    repeated = [(s, a, e, at(t), p, d) for s, a, e, start, p, d, end in once for t in range(start, end, poll)]
+    want = suppression.ledger_rows(suppression.replay_suppression(alerts_of(spark, repeated), policy))
+    live.prepare(spark, 4)
+    schema = "scope string, alert_id string, event string, cycle_ts timestamp, feed_pos long, delivered boolean, expires timestamp"
+    rows = [(s, a, e, at(start), p, d, at(end)) for s, a, e, start, p, d, end in once]
+    marks = [("mark", None, None, at(t), 0, True, at(t + 1)) for t in (1400, 9000)]
+    for lo, hi, last in ((0, 1000, []), (1000, 2000, []), (2000, 4000, marks[:1]), (4000, 9999, marks[1:])):
+        part = [r for r in rows if at(lo) <= r[3] < at(hi)] + last
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.stream_files(spark, str(tmp_path / "in"), schema)
+        live.start(stateful.suppress_pending_stream(stream, policy, poll * 60), str(tmp_path / "cp"), path=str(tmp_path / "out")).awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    pick = lambda df: sorted((r.scope, r.alert_id, r.cycle_ts, r.feed_pos, r.outcome) for r in df.collect())
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert pick(suppression.ledger_rows(got)) == pick(want) and want.count() > 100
+    named = spark.createDataFrame(rows, schema).select("alert_id", F.col("cycle_ts").alias("named"))
+    assert got.join(named, "alert_id").where("outcome = 'sent' and cycle_ts > named").count() > 10
+
+
+def test_ids_are_forgotten_by_the_hour():
+    class Map(dict):
+        containsKey, removeKey, updateValue, getValue = dict.__contains__, dict.__delitem__, dict.__setitem__, dict.__getitem__
+        iterator = lambda self: iter(self.items())
+
+    class Value(list):
+        exists, get = lambda self: bool(self), lambda self: self[0]
+        update = lambda self, v: self.__setitem__(slice(None), [v])
+
+    class Handle:
+        getMapState, getValueState = staticmethod(lambda *a: Map()), staticmethod(lambda *a: Value())
+
+    import pandas as pd
+
+    p = stateful.SuppressionProcessor(suppression.Policy(cap_seconds=0, cool_off_seconds=-1))
+    p.init(Handle())
+    for minute in range(0, 6000, 20):
+        rows = pd.DataFrame({"alert_id": [f"a{minute}", f"b{minute}"], "event": ["E", "F"], "cycle_us": [minute * 60_000_000] * 2, "feed_pos": [0, 1], "delivered": [True, True]})
+        assert list(next(iter(p.handleInputRows(("s",), iter([rows]), None)))["outcome"]) == ["sent", "sent"]
+    assert len(p.seen) <= 2 * 3 * 50 and len(p.hours) <= 50 and len(p.noted) <= 150
+
+
 def test_frame_stream_from_pictures(spark, tmp_path):
     scale = [(x, 10 * x, 255 - 10 * x, 5 * x) for x in range(25)]
     pal = spark.createDataFrame([(x, r, g, b, -20 + 90 * x / 25) for x, r, g, b in scale], "x int, r int, g int, b int, value double")
@@ -223,7 +274,7 @@ def test_worker_code_needs_no_installed_package(tmp_path):
     from pyspark import cloudpickle
 
     path = tmp_path / "f.pkl"
-    path.write_bytes(cloudpickle.dumps((stateful.SuppressionProcessor(), stateful.EdgeProcessor(), suppression.ScopeState())))
+    path.write_bytes(cloudpickle.dumps((stateful.SuppressionProcessor(), stateful.EdgeProcessor(), suppression.ScopeState(), stateful.PendingProcessor())))
     code = f"import pickle; s = pickle.load(open({str(path)!r}, 'rb'))[2]; print(s.decide('a', 'e', 1, True, __import__('types').SimpleNamespace(cycle_cap=5, cap_seconds=1, cool_off_seconds=1, bypass=())))"
     done = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "sent", done.stderr

@@ -408,10 +408,10 @@ def naive_replay(rows, policy):
     return out
 
 
-def random_polls(seed, scope, cycles=150):
+def random_polls(seed, scope, cycles=150, gaps=(5, 5, 30, 200, 5000)):
     rng, rows, now = random.Random(seed), [], 0
     for _ in range(cycles):
-        now += rng.choice([5, 5, 30, 200, 5000])
+        now += rng.choice(gaps)
         for pos in range(rng.randrange(0, 9)):
             rows.append((scope, f"{scope}{rng.randrange(60)}", rng.choice(["Tornado Warning", "Flood Warning", "High Wind Warning", "Ice Storm Warning", "A", "B", "C", "D"]), at(now), pos, rng.random() > 0.1))
     return rows
@@ -425,6 +425,40 @@ def test_replay_equals_naive_policy(spark):
     assert mine == sorted(r for p in parts for r in naive_replay(p, policy))
 
 
+@pytest.mark.parametrize("chunk_polls", [3, 10**9])
+def test_busy_scope_is_replayed_in_chunks(spark, chunk_polls):
+    policy = suppression.Policy(cap_seconds=4 * 3600, cool_off_seconds=600, cycle_cap=2)
+    parts = [random_polls(7, "hot", 50, (5, 5, 30, 90)), random_polls(8, "calm", 40), random_polls(9, "warm", 20, (5, 30))]
+    decided, rounds = suppression.replay_in_rounds(alerts_of(spark, [r for p in parts for r in p]), policy, chunk_polls)
+    mine = sorted((r.scope, r.alert_id, r.cycle_us, r.outcome) for r in decided.where("outcome is not null").collect())
+    micros = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert mine == sorted((s, a, micros(t), o) for p in parts for s, a, t, _, o in naive_replay(p, policy))
+    assert (len(rounds) > 1 and rounds == sorted(rounds, reverse=True)) if chunk_polls < 10**9 else len(rounds) == 1
+
+
+def test_state_text_drops_what_no_longer_matters():
+    policy = suppression.Policy(cap_seconds=100, cool_off_seconds=10, keep_seconds=200)
+    s = 1_000_000
+    late = suppression.ScopeState({"old": 0, "b": 250 * s, "a": 250 * s}, {"E": 199 * s, "F": 200 * s}, 289 * s, 300 * s, 4)
+    assert suppression.state_text(late, policy) == '[[[250000000, "a"], [250000000, "b"]], [["F", 200000000]], null]'
+    back = suppression.state_from(suppression.state_text(late, policy))
+    assert back.seen == {"a": 250 * s, "b": 250 * s} and back.by_type == {"F": 200 * s} and back.last is None and back.cycle is None
+    assert suppression.state_text(suppression.ScopeState(), policy) == suppression.EMPTY_STATE
+
+
+def test_recent_sends_in_one_busy_slot_and_many_slots(spark):
+    rng = random.Random(4)
+    sends = sorted({rng.choice([rng.randrange(0, 500), rng.randrange(0, 400_000)]) for _ in range(400)})
+    asks = sorted({rng.choice([rng.randrange(0, 500), rng.randrange(0, 500_000)]) for _ in range(400)} | {s + 86400 for s in sends[:20]})
+    ledger = spark.createDataFrame([(None if n % 3 else "T", s, "sent") for n, s in enumerate(sends)] + [("T", 7, "suppressed_daily_cap")], "event_type string, s long, outcome string").withColumn("sent_at", F.timestamp_seconds("s"))
+    asked = spark.createDataFrame([(k, a) for a in asks for k in (None, "T")], "event_type string, a long").withColumn("at", F.timestamp_seconds("a"))
+    got = {(r.event_type, r.a): (r.f, r.l, r.recent) for r in timeline.recent_sends(asked, ledger, "at", ["event_type"]).select("event_type", F.unix_seconds("at").alias("a"), F.unix_seconds("first_sent").alias("f"), F.unix_seconds("latest_sent").alias("l"), "recent").collect()}
+    assert len(got) == 2 * len(asks)
+    for (k, a), found in got.items():
+        own = [s for n, s in enumerate(sends) if (None if n % 3 else "T") == k and a - 86400 <= s <= a]
+        assert found == ((own[0], own[-1], True) if own else (None, None, False))
+
+
 def test_haversine_symmetry(spark):
     a = one(spark, haversine_km(F.lit(35.0), F.lit(-97.0), F.lit(36.0), F.lit(-98.0)))
     assert a == pytest.approx(km(35, -97, 36, -98)) and one(spark, haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(math.pi * 6371)
