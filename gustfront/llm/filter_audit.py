@@ -4,10 +4,10 @@ Filters, as failure conditions: A fewer than 100 words; B under 80 % distinct wo
 D holds one of ``#$%&*|``; E equals the text of a smaller doc_id anywhere in the table.
 
 1. One pass turns every row into (doc_id, part, mask of A to D, 128-bit digest), written as a table.
-2. Text space is cut into ranges by adaptive prefixes: starting from the empty prefix, a prefix that holds more bytes of
-   distinct text than a bucket may is split by its next byte; its edge is compressed first (to the longest common prefix
-   of its least and greatest text), so that a crowd of texts with a long common head is cut where it differs. Only the
-   byte counts of the children of overfull prefixes reach the driver: at most 257 per bucket of capacity.
+2. Text space is cut into ranges by adaptive prefixes: the heads of the distinct texts are range-partitioned, and a range
+   begins at the shortest prefix that tells its least head from the greatest one before it. A range that holds over
+   twice a bucket's bytes, such as a crowd of texts with one long head, is cut again on heads 16 times as long.
+   Of each range only its ends and bytes reach the driver.
 3. Every map task inserts its texts into a radix trie whose terminals hold the smallest id and the number of rows, and
    passes each distinct text on once. The owner of a range merges these in one trie per bucket, compared byte by
    byte, and lists the terminals of several rows. So a text with very many copies reaches its owner once a map task.
@@ -47,7 +47,7 @@ HELD_BYTES = 64 << 20
 #: Bytes that a trie's node takes besides its label, about.
 NODE_BYTES = 300
 #: Bytes of text heads looked at first when prefixes are chosen, and the factor by which a crowd's are lengthened.
-HEAD_BYTES, HEAD_GROWTH = 256, 16
+HEAD_BYTES, HEAD_GROWTH, MOST_HEAD_BYTES = 256, 16, 1 << 28
 
 
 def own_failures(data: bytes, points: int) -> int:
@@ -135,73 +135,49 @@ def profile(rows: DataFrame) -> DataFrame:
     return map_batches(rows, step, "doc_id long, part string, mask int, d1 long, d2 long")
 
 
-def heads(rows: DataFrame, size: int, below: list[bytes]) -> DataFrame:
-    """The first ``size`` bytes of every distinct text that begins with one of the prefixes ``below``."""
-    distinct = (
+def heads(rows: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` bytes of every distinct text, with the bytes that its node takes."""
+    return (
         rows.select(F.expr(f"left(cast(text as binary), {size})").alias("head"), (F.octet_length("text") + NODE_BYTES).cast("long").alias("bytes"), F.xxhash64("text").alias("h"))
-        .groupBy("h", "head").agg(F.max("bytes").alias("bytes"))
+        .groupBy("h", "head").agg(F.max("bytes").alias("bytes")).select("head", "bytes")
     )
 
-    def step(batch: pa.RecordBatch) -> dict:
-        head = batch["head"].to_pylist()
-        at = [bisect_right(below, x) - 1 for x in head]
-        mask = pa.array([n >= 0 and x.startswith(below[n]) for n, x in zip(at, head, strict=True)])
-        return {"head": batch["head"].filter(mask), "bytes": batch["bytes"].filter(mask)}
-
-    return map_batches(distinct.select("head", "bytes"), step, "head binary, bytes long")
 
-
-def children(found: DataFrame, nodes: list[bytes], capacity: int) -> list:
-    """Byte counts below each node by next byte (-1: the text ends there), with least and greatest head where overfull."""
+def within(found: DataFrame, size: int, crowds: list[tuple[bytes, bytes]]) -> DataFrame:
+    """The heads whose first ``size`` bytes lie in one of the ``crowds`` (least and greatest head)."""
+    lows = [low for low, _ in crowds]
 
     def step(batch: pa.RecordBatch) -> dict:
-        sums: dict[tuple[int, int], list] = {}
-        for head, size in zip(batch["head"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
-            n = bisect_right(nodes, head) - 1
-            if n >= 0 and head.startswith(nodes[n]):
-                key = n, (head[len(nodes[n])] if len(head) > len(nodes[n]) else -1)
-                seen = sums.setdefault(key, [0, head, head])
-                seen[0] += size
-                seen[1], seen[2] = min(seen[1], head), max(seen[2], head)
-        return {
-            "node": pa.array([k[0] for k in sums], pa.int32()), "byte": pa.array([k[1] for k in sums], pa.int32()), "bytes": pa.array([v[0] for v in sums.values()], pa.int64()),
-            "low": pa.array([v[1] for v in sums.values()], pa.binary()), "high": pa.array([v[2] for v in sums.values()], pa.binary()),
-        }
-
-    partial = map_batches(found, step, "node int, byte int, bytes long, low binary, high binary")
-    whole = partial.groupBy("node", "byte").agg(F.sum("bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    over = F.col("bytes") > capacity
-    return whole.select("node", "byte", "bytes", F.when(over, F.col("low")).alias("low"), F.when(over, F.col("high")).alias("high")).orderBy("node", "byte").collect()
+        short = [x[:size] for x in batch["head"].to_pylist()]
+        at = [bisect_right(lows, x) - 1 for x in short]
+        mask = pa.array([n >= 0 and x <= crowds[n][1] for n, x in zip(at, short, strict=True)], pa.bool_())
+        return {"head": batch["head"].filter(mask), "bytes": batch["bytes"].filter(mask)}
+
+    return map_batches(found, step, "head binary, bytes long")
 
 
 def adaptive_prefixes(rows: DataFrame, parts: int) -> list[bytes]:
     """Sorted first prefixes of the ranges; range n holds the texts from prefix n up to, not including, prefix n + 1."""
-    total = rows.agg(F.sum(F.octet_length("text") + NODE_BYTES)).first()[0] or 0
-    capacity = max(16 << 10, total // (8 * parts))
-    starts, size, nodes = {b""}, HEAD_BYTES, [b""]
-    while nodes:
-        found, longer = stored(heads(rows, size, nodes), "audit-heads"), set()
-        while nodes:
-            nodes.sort()
-            grown = []
-            held, last = 0, -1
-            for r in children(found, nodes, capacity):
-                if r["node"] != last:
-                    held, last = 0, r["node"]
-                start = nodes[r["node"]] + (bytes([r["byte"]]) if r["byte"] >= 0 else b"")
-                if held and held + r["bytes"] > capacity:
-                    starts.add(start)
-                    held = 0
-                held += r["bytes"]
-                if r["bytes"] > capacity and r["byte"] >= 0:
-                    edge = r["low"][: shared_length(r["low"], r["high"])]
-                    if len(edge) < size and r["low"] != r["high"]:
-                        grown.append(edge)
-                    elif len(edge) == size:
-                        longer.add(edge)
-            nodes = grown
-        nodes, size = sorted(longer), size * HEAD_GROWTH
-    return sorted(starts)
+    starts, size, count, capacity = {b""}, HEAD_BYTES, 8 * parts, 0
+    crowds: list[tuple[bytes, bytes]] = []
+    while True:
+        found = heads(rows, size)
+        found = stored(within(found, size // HEAD_GROWTH, crowds) if crowds else found, "audit-heads")
+        cut = found.repartitionByRange(count, "head").select("head", "bytes", F.spark_partition_id().alias("range"))
+        ranges = cut.groupBy("range").agg(F.min("head").alias("low"), F.max("head").alias("high"), F.sum("bytes").alias("bytes")).collect()
+        ranges.sort(key=lambda r: r["low"])
+        if not capacity:
+            capacity = max(16 << 10, sum(r["bytes"] for r in ranges) // count)
+        held = 0
+        for before, r in zip([None, *ranges], ranges):
+            held += r["bytes"]
+            if before and held > capacity:  # small neighbours stay together
+                starts.add(r["low"][: shared_length(before["high"], r["low"]) + 1])
+                held = r["bytes"]
+        crowds = [(r["low"], r["high"]) for r in ranges if r["bytes"] > 2 * capacity and (r["low"] != r["high"] or len(r["low"]) == size)]
+        if not crowds or size >= MOST_HEAD_BYTES:
+            return sorted(starts)
+        size *= HEAD_GROWTH
 
 
 def _batches(found: Iterator[tuple], columns: list[tuple[str, pa.DataType]], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
