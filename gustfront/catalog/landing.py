@@ -229,7 +229,7 @@ def _(i):
     now = i.ledger.select(F.max("sent_at")).scalar()
     tables.save_ledger(i.ledger, path, now)
     tables.save_ledger(i.ledger, path, now)  # rewriting the same dates changes nothing
-    return i.spark.read.parquet(path).select("alert_id", stamp("sent_at").alias("sent_at"), "outcome")
+    return tables.load_ledger(i.spark, path).select("alert_id", stamp("sent_at").alias("sent_at"), "outcome")
 
 
 @query("k05_ledger_after_72_hours", f"select alert_id, {sql_stamp("sent_at + interval '72' hour")} as sent_at from {{ledger}} where sent_at >= (select max(sent_at) - interval '48' hour from {{ledger}})")
@@ -239,7 +239,7 @@ def _(i):
     later = i.ledger.withColumn("sent_at", F.col("sent_at") + F.expr("interval 72 hours"))
     tables.save_ledger(i.ledger, path, now)
     tables.save_ledger(i.ledger.unionByName(later), path, now + F.expr("interval 72 hours"))  # all that was there has expired
-    return i.spark.read.parquet(path).select("alert_id", stamp("sent_at").alias("sent_at"))
+    return tables.load_ledger(i.spark, path).select("alert_id", stamp("sent_at").alias("sent_at"))
 
 
 @query("k06_training_export", "select row_number() over (order by label, vec_id) - 1 as id, vec_id, label from {embeddings}")

@@ -7,14 +7,15 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.catalog.alerting import ALLOWED, KNOWN, REPLAY, scoped_alerts
+from gustfront.catalog.alerting import ALLOWED, KNOWN, REPLAY, SCOPED, scoped_alerts
 from gustfront.catalog.dataset import LISTED, PAIRED
 from gustfront.catalog.registry import query, rnd, sql_rnd, sql_stamp, stamp
+from gustfront.constants import ALLOWED_EVENTS
 from gustfront.operators import pairing, suppression
 from gustfront.session import scratch_path
 from gustfront.sinks.tables import read_snapshot, write_snapshot
 from gustfront.sources.frames import image_pixels
-from gustfront.streaming import feeds, frames, stateful
+from gustfront.streaming import feeds, frames, settled, stateful
 
 
 def replay(name: str, slices: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], batch=None) -> DataFrame | None:
@@ -61,6 +62,31 @@ def _(i):
     return got.select("scope", "alert_id", "feed_pos", "outcome")
 
 
+POLL = 900
+ONCE = f"""once as (select cast(e.user_id % 40 as string) as scope, 'f' || cast(a.feed_pos as string) as alert_id, a.event, to_timestamp(ceil(epoch(a.cycle_ts) / {POLL}) * {POLL})::timestamp as start, a.expires, a.feed_pos, a.feed_pos % 6 <> 0 as delivered
+    from {{alerts}} a join {{events}} e on e.event_id = a.feed_pos where {ALLOWED}),
+  sc as (select scope, alert_id, event, t as cycle_ts, feed_pos, delivered, row_number() over (partition by scope order by t, feed_pos) as n
+    from (select *, unnest(generate_series(start, expires - interval '1' microsecond, interval '{POLL}' second)) as t from once where expires > start))"""
+
+
+@query("t09_alerts_named_once", REPLAY.replace(SCOPED, ONCE) + " select scope, alert_id, feed_pos, outcome from run where n > 0 and outcome in ('sent', 'suppressed_daily_cap')")
+def _(i):
+    # the feed names an alert at its first poll only; what waits is offered again as if it had been repeated until it expires
+    poll = F.timestamp_seconds(F.ceil(F.unix_micros("cycle_ts") / F.lit(POLL * 1e6)) * POLL)
+    joined = i.alerts.join(i.events.select(F.col("event_id").alias("feed_pos"), "user_id"), "feed_pos").where(F.col("event").isin(*ALLOWED_EVENTS))
+    once = joined.select(
+        (F.col("user_id") % 40).cast("string").alias("scope"), F.concat(F.lit("f"), F.col("feed_pos").cast("string")).alias("alert_id"), "event", poll.alias("cycle_ts"), "feed_pos",
+        (F.col("feed_pos") % 6 != 0).alias("delivered"), "expires",
+    ).where("expires > cycle_ts")
+    # a later poll of another scope lets the watermark pass the last alert
+    mark = once.agg(F.max("expires").alias("last")).select(
+        F.lit("END").alias("scope"), F.lit(None).cast("string").alias("alert_id"), F.lit(None).cast("string").alias("event"), (F.col("last") + F.expr("interval 1 day")).alias("cycle_ts"), F.lit(-1).cast("long").alias("feed_pos"),
+        F.lit(True).alias("delivered"), (F.col("last") + F.expr("interval 2 days")).alias("expires"),
+    )
+    got = replay("pending", [*halves(once, "cycle_ts"), mark], lambda s: stateful.suppress_pending_stream(s, poll_seconds=POLL))
+    return suppression.ledger_rows(got).select("scope", "alert_id", "feed_pos", "outcome")
+
+
 @query("t07_ledger_from_stream", REPLAY + " select scope, alert_id, feed_pos, outcome from run where n > 0 and outcome in ('sent', 'suppressed_daily_cap')")
 def _(i):
     ledger, counters = scratch_path(i.spark, "stream-ledger"), scratch_path(i.spark, "stream-counters")
@@ -101,6 +127,23 @@ def _(i):
     return replay("late", slices, lambda s: feeds.with_lookback(s).dropDuplicatesWithinWatermark(["scan_id"]).select("scan_id"))
 
 
+@query("t05_settled_files", "select vec_id, label, 0::bigint as files_left from {embeddings}")
+def _(i):
+    spark, (landing, checkpoint, out) = i.spark, (scratch_path(i.spark, f"settled-{part}") for part in ("in", "cp", "out"))
+    i.embeddings.select("vec_id", "label").repartition(12).write.parquet(landing)
+
+    def take(batch: DataFrame, number: int) -> None:
+        paths = [r[0] for r in batch.select("path").collect()]  # at most the files of a trigger
+        if paths:
+            spark.read.parquet(*paths).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            settled.remove_files(batch)
+
+    for as_of in (0.0, 1e11):  # nothing is settled yet; then all is, and comes in bounded batches after a restart
+        feeds.drain(settled.stream_settled(spark, landing, checkpoint, ["part-*.parquet"], files_per_trigger=5, as_of=as_of), checkpoint, take)
+    left = settled.SettledReader({"path": landing, "pattern": "part-*.parquet", "asof": "1e11"}).listed(settled.START, None)
+    return spark.read.parquet(out).select("vec_id", "label", F.lit(len(left)).cast("long").alias("files_left"))
+
+
 @query("t06_alerts_with_latest_score", f"with {KNOWN} select feed_pos, shown as score, age as score_age, state as model_state from z")
 def _(i):
     snapshot, out = scratch_path(i.spark, "scores"), scratch_path(i.spark, "annotated")

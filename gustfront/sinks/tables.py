@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustfront.constants import LEDGER_HOURS, UNITS, VALUE_RANGE
-from gustfront.operators.lookups import not_yet_done
 from gustfront.operators.timeline import global_rank
-
-
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+from gustfront.sinks.log import TransactionLog
 
 
 MARKER = "_SUCCESS"
@@ -36,20 +26,15 @@ def committed_folders(spark: SparkSession, path: str, name: str) -> list[str]:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of all committed runs of ``append_events``; a run that broke off is not there at all."""
-    runs = committed_folders(spark, path, "run")
-    return spark.read.option("basePath", path).parquet(*runs).drop("run") if runs else None
+    return TransactionLog(spark, path).read()
 
 
-def append_events(rows: DataFrame, path: str, key: str = "event_id", partition: str | None = None) -> None:
-    """Append the rows of events that have none yet, all or nothing.
+def append_events(rows: DataFrame, path: str, key: str = "event_id", partition: str | None = None) -> list[str]:
+    """Append the rows of events that have none yet, all or nothing, also beside other writers.
 
-    Every run writes a folder of its own, which counts once its commit marker is there. An event whose run
-    broke off has no row for readers, so the next run takes it up again.
+    An event whose run broke off has no row for readers, so the next run takes it up again. Returns the runs that were opened.
     """
-    done = read_events(rows.sparkSession, path)
-    fresh = rows if done is None else not_yet_done(rows, done.select(key).distinct(), key)
-    writer = fresh.write
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{path}/run={uuid.uuid4().hex}")
+    return TransactionLog(rows.sparkSession, path).append_new(rows, key, partition)
 
 
 def grid_documents(cells: DataFrame, radar_type: str, sample_rate: int, source: str | Column = "frame") -> DataFrame:
@@ -99,18 +84,12 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_ledger(rows: DataFrame, path: str, now: Column, hours: int = LEDGER_HOURS) -> None:
-    """Replace the stored ledger by the rows of the last 48 hours, by send date.
+    """Replace the stored ledger by the rows of the last 48 hours, in one commit; readers see the old or the new one."""
+    TransactionLog(rows.sparkSession, path).replace(rows.where(F.col("sent_at") >= now - F.make_dt_interval(hours=F.lit(hours))))
 
-    Dates with rows are replaced; then the dates that have none left go, so nothing older than the span stays.
-    """
-    spark, oldest = rows.sparkSession, now - F.make_dt_interval(hours=F.lit(hours))
-    kept = rows.where(F.col("sent_at") >= oldest).withColumn("sent_date", F.to_date("sent_at"))
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sent_date").parquet(path)
-    stored = read_or_none(spark, path)
-    if stored is not None:  # one row per date in either
-        gone = stored.where(F.to_date("sent_date") <= F.to_date(oldest)).select(F.to_date("sent_date").alias("d")).distinct()
-        gone = gone.join(kept.select(F.col("sent_date").alias("d")).distinct(), "d", "left_anti")
-        _delete(spark, [f"{path}/sent_date={row[0]}" for row in gone.toLocalIterator()])
+
+def load_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    return TransactionLog(spark, path).read()
 
 
 def _delete(spark: SparkSession, paths) -> int:
@@ -152,25 +131,6 @@ def deletable_sources(frames: DataFrame, grids: DataFrame, key: str = "stem") ->
     return frames.join(grids.where("problem = 'valid'").select(key), key, "left_semi")
 
 
-def remove_verified(frames: DataFrame, grids: DataFrame, path_column: str, key: str = "stem", archive: str | None = None) -> int:
-    """Delete the source files whose grid was verified, or move them below ``archive``; returns how many went.
-
-    Paths are read through a bounded iterator. A repeated or resumed call finds nothing left to do for a
-    file that is gone.
-    """
-    spark = frames.sparkSession
-    chosen = (row[0] for row in deletable_sources(frames, grids, key).select(path_column).toLocalIterator())
-    if archive is None:
-        return _delete(spark, chosen)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder, count = jvm.org.apache.hadoop.fs.Path(archive), 0
-    folder.getFileSystem(conf).mkdirs(folder)
-    for name in chosen:
-        source = jvm.org.apache.hadoop.fs.Path(name)
-        count += int(source.getFileSystem(conf).rename(source, jvm.org.apache.hadoop.fs.Path(folder, source.getName())))
-    return count
-
-
 def drop_old_dates(spark: SparkSession, path: str, date_column: str, as_of: str, days: int) -> None:
     """Rewrite retention: remove date partitions older than ``days`` before ``as_of`` (ISO date)."""
     table = spark.read.parquet(path)

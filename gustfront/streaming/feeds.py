@@ -26,13 +26,15 @@ def prepare(spark: SparkSession, state_partitions: int | None = None) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_trigger: int | None = None, **options: str) -> DataFrame:
-    """New files of a landing folder, oldest first; each poll of a feed is one file."""
-    reader = spark.readStream.schema(schema).format(fmt)
+#: Files of one trigger unless the caller says otherwise: it bounds what a stateful task holds of one key.
+FILES_PER_TRIGGER = 1000
+
+
+def stream_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_trigger: int = FILES_PER_TRIGGER, **options: str) -> DataFrame:
+    """New files of a landing folder, oldest first, a bounded number per trigger; each poll of a feed is one file."""
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger)
     for name, value in options.items():
         reader = reader.option(name, value)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path)
 
 
@@ -44,6 +46,16 @@ def start(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None
     return writer.start()
 
 
+def drain(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], every: str = "100 milliseconds") -> None:
+    """Run a query, batch after bounded batch, until its source has no more, then stop it."""
+    query = start(df, checkpoint, batch, every=every)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+        query.awaitTermination()
+
+
 def dedupe_alerts(alerts: DataFrame, ts: str = "cycle_ts", key: str = "alert_id", hours: int = LEDGER_HOURS) -> DataFrame:
     """First sight of each alert id across polls, remembered for the watermark's span."""
     return alerts.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark([key])

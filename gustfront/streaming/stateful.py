@@ -126,8 +126,9 @@ class PendingProcessor(SuppressionProcessor):
         arrived = [x for x in zip(*(polls[c].tolist() for c in columns)) if x[5] == x[5] and x[5] is not None]
         yield self.work(key[0], arrived, int(polls["cycle_us"].max()))
 
-    def handleExpiredTimer(self, key: Any, timer_values: Any, expired: Any) -> Iterator[pd.DataFrame]:
-        yield self.work(key[0], [], timer_values.getCurrentWatermarkInMs() * 1000)
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.timer.clear()  # the engine has taken the timer away
+        yield self.work(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def after(self, at: int) -> int:
         """The first poll time later than ``at``."""

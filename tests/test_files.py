@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from gustfront.operators import suppression
 from gustfront.schemas import SCORE_STATUS, TENSOR_MANIFEST_TEXT
 from gustfront.session import materialise
-from gustfront.sinks import tables
+from gustfront.sinks import log, tables
 from gustfront.sources import feeds, frames, reports
 from gustfront.streaming import feeds as live
 from gustfront.streaming import frames as live_frames
-from gustfront.streaming import stateful
+from gustfront.streaming import settled, stateful
 from tests.test_rules import alerts_of, at, random_polls
 
 
@@ -149,8 +149,7 @@ def test_sinks(spark, tmp_path):
     tables.append_events(rows.where("event_id = 'a'"), str(tmp_path / "m"))
     tables.append_events(rows, str(tmp_path / "m"))
     tables.append_events(rows, str(tmp_path / "m"))
-    rows.withColumn("event_id", F.lit("c")).write.parquet(str(tmp_path / "m" / "run=broken"))
-    (tmp_path / "m" / "run=broken" / "_SUCCESS").unlink()  # half a run: its event must come in again
+    rows.withColumn("event_id", F.lit("c")).write.parquet(str(tmp_path / "m" / "__run=broken"))  # never committed: its event must come in again
     assert sorted(r.n for r in tables.read_events(spark, str(tmp_path / "m")).collect()) == [1, 2, 3]
     tables.append_events(rows.withColumn("event_id", F.lit("c")), str(tmp_path / "m"))
     assert sorted(r.n for r in tables.read_events(spark, str(tmp_path / "m")).collect()) == [1, 1, 2, 2, 3, 3]
@@ -163,13 +162,15 @@ def test_sinks(spark, tmp_path):
     ledger = lambda day: spark.createDataFrame([(f"2024-01-{day:02d} 10:00:00",), (f"2024-01-{day - 1:02d} 12:00:00",)], "t string").select(F.to_timestamp("t").alias("sent_at"))
     for day in (2, 20):
         tables.save_ledger(ledger(day), str(tmp_path / "l"), F.to_timestamp(F.lit(f"2024-01-{day:02d} 10:00:00")))
-    assert {str(r.sent_at)[:10] for r in spark.read.parquet(str(tmp_path / "l")).collect()} == {"2024-01-19", "2024-01-20"}
+    assert {str(r.sent_at)[:10] for r in tables.load_ledger(spark, str(tmp_path / "l")).collect()} == {"2024-01-19", "2024-01-20"}
     for name in "ab":
         (tmp_path / f"{name}.png").write_text(name)
     listed = spark.createDataFrame([(n, str(tmp_path / f"{n}.png")) for n in "ab"], "stem string, path string")
     verified = spark.createDataFrame([("a", "valid"), ("b", "empty")], "stem string, problem string")
-    assert tables.remove_verified(listed, verified, "path", archive=str(tmp_path / "old")) == 1 and (tmp_path / "old" / "a.png").exists()
-    assert tables.remove_verified(listed, verified.withColumn("problem", F.lit("valid")), "path") == 1 and not (tmp_path / "b.png").exists()
+    gone = settled.remove_verified(listed, verified, "path", archive=str(tmp_path / "old"), root=str(tmp_path))
+    assert gone == 1 and (tmp_path / "old" / "a.png").exists() and (tmp_path / "b.png").exists()
+    every = verified.withColumn("problem", F.lit("valid"))
+    assert settled.remove_verified(listed, every, "path") == 1 and not (tmp_path / "b.png").exists() and settled.remove_verified(listed, every, "path") == 0
     dated = rows.withColumn("d", F.expr("date'2024-01-01' + n * 10"))
     dated.write.partitionBy("d").parquet(str(tmp_path / "d"))
     tables.drop_old_dates(spark, str(tmp_path / "d"), "d", "2024-02-10", 14)
@@ -266,6 +267,103 @@ def test_frame_stream_from_pictures(spark, tmp_path):
     assert sorted((r.filename, r.success, r.error) for r in log) == [("radar_base_reflectivity_7.png", True, None), ("radar_base_velocity_9.png", False, "not a readable picture")]
 
 
+def test_two_writers_leave_each_event_once(spark, tmp_path, monkeypatch):
+    rows = lambda *ids: spark.createDataFrame([(i, w) for i, w in ids], "event_id string, w string")
+    path = str(tmp_path / "t")
+    mine = log.TransactionLog(spark, path)
+    plain, raced = log.TransactionLog.try_commit, []
+
+    def late(self, number, add, remove, schema=None):
+        if not raced:  # another writer commits between our snapshot and our commit
+            raced.append(number)
+            log.TransactionLog(spark, path).append_new(rows(("b", "other"), ("c", "other")), "event_id")
+        return plain(self, number, add, remove, schema)
+
+    monkeypatch.setattr(log.TransactionLog, "try_commit", late)
+    mine.append_new(rows(("a", "me"), ("b", "me"), ("d", "me"), ("d", "me2")), "event_id")
+    assert sorted((r.event_id, r.w) for r in mine.read().collect()) == [("a", "me"), ("b", "other"), ("c", "other"), ("d", "me"), ("d", "me2")]
+    assert mine.snapshot()[0] == 2 and not plain(mine, 2, {"x": None}, []) and mine.vacuum() == 0
+
+
+def test_log_reads_snapshots_replaces_and_compacts(spark, tmp_path):
+    table = log.TransactionLog(spark, str(tmp_path / "t"))
+    assert table.read() is None and table.snapshot() == (0, {}) and table.compact("k") == 0
+    opened = []
+    for run in range(12):
+        opened.append(len(table.append_new(spark.range(run * 100, run * 100 + 100).select(F.col("id").alias("k"), F.lit(run).alias("run")), "k")))
+    assert sum(opened) <= 2  # new keys open hardly any earlier run, however many there are
+    again = spark.range(0, 1200).select(F.col("id").alias("k"), F.lit(99).alias("run"))
+    assert len(table.append_new(again, "k")) == 12 and table.read().count() == 1200 and table.snapshot()[0] == 12
+    before = table.read()
+    assert table.compact("k") == 12 and table.read().count() == 1200 == before.count() and len(table.snapshot()[1]) == 1
+    assert len(table.append_new(spark.range(500, 501).select(F.col("id").alias("k"), F.lit(1).alias("run")), "k")) == 1 and table.vacuum() >= 12
+    table.replace(spark.range(3).select(F.col("id").alias("k"), F.lit(0).alias("run")))
+    assert table.read().count() == 3
+    (tmp_path / "t/_log" / f"{table.snapshot()[0] + 1:020d}.json").write_text('{"add": {"data-x"')  # a writer died in its commit
+    assert table.read().count() == 3
+    table.append_new(spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("run")), "k")
+    assert sorted(r.k for r in table.read().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_key_filters_never_deny_a_key(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("k"))
+    summary = log.summary_of(keys, "k")
+    bits = log.filter_bits(summary)
+    places = lambda df: log.bit_places(np.array([r.h for r in log._hashed(df, "k").collect()]), len(bits))
+    assert bits[places(keys)].all() and summary["rows"] == 5000 and len(bits) == summary["bits"]
+    others = spark.range(5000, 10000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("k"))
+    assert bits[places(others)].all(axis=1).mean() < 0.02
+
+
+def test_settled_files_come_once_in_bounded_batches(spark, tmp_path):
+    put(tmp_path, "in/x_other.txt", b"no")
+    for n in range(7):
+        put(tmp_path, f"in/x_{n}.png", b"p" * n)
+        os.utime(tmp_path / f"in/x_{n}.png", (1000 + 10 * (n // 2), 1000 + 10 * (n // 2)))
+    seen = []
+    note = lambda batch, n: seen.append([r.path.rsplit("/", 1)[1] for r in batch.orderBy("modificationTime", "path").collect()])
+    read = lambda as_of: settled.stream_settled(spark, str(tmp_path / "in"), str(tmp_path / "cp"), ["x_*.png"], 600, 3, as_of)
+    live.drain(read(1600), str(tmp_path / "cp"), note)
+    assert [s for s in seen if s] == []  # the oldest is just 600 seconds old: not settled
+    live.drain(read(1621), str(tmp_path / "cp"), note)
+    assert [s for s in seen if s] == [["x_0.png", "x_1.png", "x_2.png"], ["x_3.png", "x_4.png", "x_5.png"]]
+    put(tmp_path, "in/x_7.png", b"late")
+    os.utime(tmp_path / "in/x_7.png", (1100, 1100))
+    live.drain(read(9999), str(tmp_path / "cp"), note)  # after a restart it goes on where it was
+    assert [s for s in seen if s][2:] == [["x_6.png", "x_7.png"]]
+
+
+def test_frame_cycle_removes_only_verified_sources(spark, tmp_path):
+    pal = spark.createDataFrame([(x, 10 * x, 255 - 10 * x, 5 * x, -20 + 90 * x / 25) for x in range(25)], "x int, r int, g int, b int, value double")
+    array = np.zeros((8, 12, 3), dtype=np.uint8) + np.array([10, 245, 5], dtype=np.uint8)
+    names = {"radar_base_reflectivity_1.png": png(array), "radar_base_velocity_2.png": png(array), "radar_base_velocity_3.png": png(array)[:-40], "radar_base_velocity_4.png": b"no picture" * 50, "notes_5.png": png(array)}
+    for name, data in names.items():
+        put(tmp_path, f"in/day1/{name}", data)
+        os.utime(tmp_path / "in/day1" / name, (1000, 1000))
+    put(tmp_path, "in/day1/radar_base_velocity_6.png", png(array))  # still being written
+    handle = settled.frame_cycle({"reflectivity": pal, "velocity": pal}, str(tmp_path / "grids"), str(tmp_path / "log"), str(tmp_path / "old"), str(tmp_path / "in"), sample_rate=2, min_bytes=10)
+    for _ in range(2):
+        stream = settled.stream_settled(spark, str(tmp_path / "in/day1"), str(tmp_path / "cp"), ["radar_base_reflectivity_*.png", "radar_base_velocity_*.png"])
+        live.drain(stream, str(tmp_path / "cp"), handle)
+    assert sorted(os.listdir(tmp_path / "in/day1")) == ["notes_5.png", "radar_base_velocity_3.png", "radar_base_velocity_4.png", "radar_base_velocity_6.png"]
+    assert sorted(os.listdir(tmp_path / "old/day1")) == ["radar_base_reflectivity_1.png", "radar_base_velocity_2.png"]
+    log = {r.filename: (r.success, r.error) for r in spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "log")).collect()}
+    assert log == {
+        "radar_base_reflectivity_1.png": (True, None), "radar_base_velocity_2.png": (True, None), "radar_base_velocity_3.png": (False, "not a readable picture"),
+        "radar_base_velocity_4.png": (False, "not a png"),
+    }
+    assert spark.read.parquet(str(tmp_path / "grids")).count() == 2
+
+
+def test_many_files_go_in_tasks(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for n in range(3000):
+        (tmp_path / "many" / f"{n}.png").touch()
+    listed = spark.range(3000).select(F.concat(F.lit(f"file:{tmp_path}/many/"), F.col("id").cast("string"), F.lit(".png")).alias("path"))
+    assert settled.remove_files(listed, archive=str(tmp_path / "old"), root=f"file://{tmp_path}") == 3000
+    assert len(os.listdir(tmp_path / "old/many")) == 3000 and settled.remove_files(listed) == 0
+
+
 def test_worker_code_needs_no_installed_package(tmp_path):
     """Processors and batch functions unpickle in a process that cannot import the package."""
     import subprocess
