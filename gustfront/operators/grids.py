@@ -6,6 +6,10 @@ aggregates that keep distinct values (median, distinct count) stay within the pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,40 +65,127 @@ def value_histogram(cells: DataFrame, bins: int = 50) -> DataFrame:
     return full.select("scan_id", "bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _axis(cells: DataFrame, along: str, across: str, near: float, smooth: float) -> DataFrame:
-    """First and second difference counts along one axis; lines, not scans, are the window groups."""
-    line = Window.partitionBy("scan_id", across).orderBy(along)
-    one, two = F.lag("value").over(line), F.lag("value", 2).over(line)
-    is_next, is_third = F.lag(along).over(line) == F.col(along) - 1, F.lag(along, 2).over(line) == F.col(along) - 2
-    diffs = cells.select(
-        "scan_id",
-        F.when(is_next, F.abs(F.col("value") - one)).alias("d1"),
-        F.when(is_next & is_third, F.abs(F.col("value") - 2 * one + two)).alias("d2"),
-    )
-    return diffs.groupBy("scan_id").agg(
-        F.count_if(F.col("d1") < near).alias("near"), F.count("d1").alias("pairs"), F.count_if(F.col("d2") < smooth).alias("smooth"), F.count("d2").alias("triples")
-    )
+_FACTS = ("n", "known", "weather", "near", "pairs", "smooth", "triples")
+
+
+def raster_facts(cells: DataFrame, weather: Column, near: float = 5.0, smooth: float = 3.0) -> DataFrame:
+    """Per scan: cells, values, extremes, distinct values, weather cells and small first and second differences along both axes.
+
+    Cells are exchanged once, by scan, and stream through in raster order. Only the last two lines of a scan are held (the halo
+    that the next line's differences reach into), beside its distinct values, so memory does not depend on the raster's height.
+    Differences exist between cells that are neighbours and both have a value.
+    """
+    slim = cells.select("scan_id", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), F.col("value").cast("double").alias("value"), F.coalesce(weather, F.lit(False)).alias("weather"))
+    ordered = slim.repartition("scan_id").sortWithinPartitions("scan_id", "row_no", "col_no")
+    kind = dict(cells.dtypes)["scan_id"]
+    schema = f"scan_id {kind}, low double, high double, kinds bigint, " + ", ".join(f"{f} bigint" for f in _FACTS)
+    types = [pa.float64(), pa.float64(), pa.int64()] + [pa.int64()] * len(_FACTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_scan = OpenScan()
+        names = ["scan_id", "low", "high", "kinds", *_FACTS]
+        scan_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scan_type = batch.column(0).type
+            done = open_scan.take(batch, near, smooth)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), [scan_type, *types])], names=names)
+        done = open_scan.close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), [scan_type, *types])], names=names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+class OpenScan:
+    """Sums of the scan that is streaming through, and its last two lines."""
+
+    def __init__(self):
+        self.sums, self.values, self.low, self.high, self.id = None, set(), None, None, None
+        self.lines = None  # rows, columns and values of the halo
+
+    def take(self, batch: pa.RecordBatch, near: float, smooth: float) -> list[tuple]:
+        """Add a batch of ordered cells; the facts of the scans that it ends."""
+        ids = batch.column(0)
+        codes = ids.dictionary_encode(null_encoding="encode")
+        scan = codes.indices.to_numpy(zero_copy_only=False)
+        change = np.flatnonzero(np.concatenate([[True], scan[1:] != scan[:-1]]))
+        ordinal = np.repeat(np.arange(len(change)), np.diff(np.concatenate([change, [len(scan)]])))
+        row, col = (batch.column(n).to_numpy(zero_copy_only=False) for n in (1, 2))
+        known = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        value = batch.column(3).fill_null(0.0).to_numpy(zero_copy_only=False)
+        firsts = [ids[int(k)].as_py() for k in change]
+        same = self.sums is not None and firsts[0] == self.id
+        out = [] if same or self.sums is None else self.close()
+        count = len(change)
+        halo = self.lines if same else None
+        if halo is not None:
+            row, col, value, known = (np.concatenate([a, b]) for a, b in zip(halo, (row, col, value, known)))
+            ordinal = np.concatenate([np.zeros(len(halo[0]), dtype=ordinal.dtype), ordinal])
+        old = 0 if halo is None else len(halo[0])
+        width, height = int(col.max()) + 3, int(row.max()) + 3
+        key = (ordinal * height + row) * width + col
+
+        def before(step: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Value of the cell ``step`` places back in raster order, and whether it is there."""
+            at = np.minimum(np.searchsorted(key, key - step), len(key) - 1)
+            return value[at], (key[at] == key - step) & known[at] & known & edge
+
+        new = np.arange(len(key)) >= old
+        per = {f: np.zeros(count, dtype=np.int64) for f in _FACTS}
+        for step, place in ((1, col), (width, row)):
+            one, has_one = before(step, (place >= 1) & new)
+            two, has_two = before(2 * step, (place >= 2) & new)
+            has_two &= has_one
+            for name, hit in (("pairs", has_one), ("near", has_one & (np.abs(value - one) < near)), ("triples", has_two), ("smooth", has_two & (np.abs(value - 2 * one + two) < smooth))):
+                per[name] += np.bincount(ordinal[hit], minlength=count)
+        fresh, sound = ordinal[old:], known[old:]
+        per["n"] += np.bincount(fresh, minlength=count)
+        per["known"] += np.bincount(fresh[sound], minlength=count)
+        per["weather"] += np.bincount(fresh[batch.column(4).to_numpy(zero_copy_only=False).astype(bool)], minlength=count)
+        own, real = fresh[sound], value[old:][sound]
+        cuts = np.searchsorted(own, np.arange(count + 1))
+        for k in range(count):
+            if k:
+                out += self.close()
+            if self.sums is None:
+                self.sums, self.id = dict.fromkeys(_FACTS, 0), firsts[k]
+            for f in _FACTS:
+                self.sums[f] += int(per[f][k])
+            found = np.unique(real[cuts[k] : cuts[k + 1]])
+            if len(found):
+                self.values.update(found.tolist())
+                self.low = float(found[0]) if self.low is None else min(self.low, float(found[0]))
+                self.high = float(found[-1]) if self.high is None else max(self.high, float(found[-1]))
+        stay = (ordinal == count - 1) & (row >= row[-1] - 2)
+        self.lines = row[stay], col[stay], value[stay], known[stay]
+        return out
+
+    def close(self) -> list[tuple]:
+        if self.sums is None:
+            return []
+        facts = (self.id, self.low, self.high, len(self.values), *self.sums.values())
+        self.__init__()
+        return [facts]
 
 
 def neighbour_differences(cells: DataFrame, near: float = 5.0, smooth: float = 3.0) -> DataFrame:
     """Spatial consistency (small first differences) and smoothness (small second differences), percent."""
-    both = _axis(cells, "col_no", "row_no", near, smooth).unionByName(_axis(cells, "row_no", "col_no", near, smooth))
-    total = both.groupBy("scan_id").agg(*[F.sum(c).alias(c) for c in ("near", "pairs", "smooth", "triples")])
-    return total.select(
+    return raster_facts(cells, F.lit(False), near, smooth).select(
         "scan_id", percent(F.col("near"), F.col("pairs")).alias("spatial_consistency"), percent(F.col("smooth"), F.col("triples")).alias("gradient_quality")
     )
 
 
 def grid_quality(cells: DataFrame, radar_type: str = "reflectivity") -> DataFrame:
-    """Five quality metrics per scan with the weighted score and its grade."""
+    """Five quality metrics per scan with the weighted score and its grade, from one pass over the raster."""
     low, high = VALUE_RANGE[radar_type]
     weather = F.col("value") > 5.0 if radar_type == "reflectivity" else F.abs("value") > 2.0
-    base = cells.groupBy("scan_id").agg(
-        ((F.max("value") - F.min("value")) / (high - low) * 100).alias("range_coverage"),
-        (F.count_distinct("value") / F.least(F.lit(1000), F.count("value")) * 100).alias("value_diversity"),
-        percent(F.count_if(weather), F.count("value")).alias("weather_coverage"),
+    rated = raster_facts(cells, weather).select(
+        "scan_id", ((F.col("high") - F.col("low")) / (high - low) * 100).alias("range_coverage"), (F.col("kinds") / F.least(F.lit(1000), F.col("known")) * 100).alias("value_diversity"),
+        percent(F.col("weather"), F.col("known")).alias("weather_coverage"), percent(F.col("near"), F.col("pairs")).alias("spatial_consistency"), percent(F.col("smooth"), F.col("triples")).alias("gradient_quality"),
     )
-    rated = base.join(neighbour_differences(cells), "scan_id")
     score = quality_composite(*[F.col(c) for c in ("range_coverage", "spatial_consistency", "value_diversity", "weather_coverage", "gradient_quality")])
     return rated.withColumn("overall_score", score).withColumn("grade", quality_grade(F.col("overall_score")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -11,12 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gustfront.constants import ALERT_POLL_SECONDS
+from gustfront.constants import ALERT_POLL_SECONDS, MAX_SCORE_AGE_SECONDS, RISK_THRESHOLD
+from gustfront.functions.health import seconds_between
+from gustfront.functions.text import model_state, shown_score
 from gustfront.operators.suppression import DECISIONS, Policy, ScopeState, cycle_counters, ledger_rows, scope_totals
 from gustfront.sinks.tables import committed_folders, write_snapshot
 
 
 HOUR = 3_600_000_000
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 class SuppressionProcessor(StatefulProcessor):
@@ -277,3 +281,87 @@ def health_edges(samples: DataFrame) -> DataFrame:
     return slim.groupBy("source").transformWithStateInPandas(
         statefulProcessor=EdgeProcessor(), outputStructType="source string, sample_id bigint, at_us bigint, notice string", outputMode="Append", timeMode="None"
     )
+
+
+class AsOfProcessor(StatefulProcessor):
+    """The last score at or before each alert, given once no earlier score can come any more.
+
+    Alerts wait until the watermark of both streams has passed their time; so an answer is final, and a score that comes later
+    than allowed changes none. Of the scores only the last one before the watermark and those after it are kept.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, row string")
+        self.scores = handle.getListState("scores", "at bigint, id bigint, score double, status string")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:  # in pieces, whatever their order
+            told = part.loc[part["row"].isna(), ["at_us", "score_id", "score", "status"]]
+            if len(told):
+                self.scores.appendList([(int(at), int(id_), None if pd.isna(score) else float(score), None if pd.isna(status) else status) for at, id_, score, status in told.itertuples(index=False)])
+            asked = part.loc[part["row"].notna(), ["at_us", "row"]]
+            if len(asked):
+                self.waiting.appendList([(int(at), row) for at, row in asked.itertuples(index=False)])
+        yield self.answer(timer_values.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        yield self.answer(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def answer(self, passed: int) -> pd.DataFrame:
+        """Answer the alerts before ``passed``; rows at the watermark itself may still come."""
+        waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
+        known = sorted(map(tuple, self.scores.get() if self.scores.exists() else []), key=lambda k: k[:2])
+        times = [k[:2] for k in known]
+        ready = bisect.bisect_left(waiting, (passed,))
+        out = []
+        for at, row in waiting[:ready]:
+            n = bisect.bisect_right(times, (at, self.LAST)) - 1
+            out.append((row, *known[n]) if n >= 0 else (row, None, None, None, None))
+        if ready:
+            self.waiting.clear()
+            if waiting[ready:]:
+                self.waiting.put(waiting[ready:])
+        old = max(0, bisect.bisect_left(times, (passed,)) - 1)
+        if old:
+            self.scores.put(known[old:])
+        due = -(-waiting[ready][0] // 1000) + 1 if waiting[ready:] else None
+        standing = self.timer.get()[0] if self.timer.exists() else None
+        if due is not None and standing != due:
+            if standing in list(self.handle.listTimers()):
+                self.handle.deleteTimer(standing)
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+        made = pd.DataFrame(out, columns=["row", "score_us", "score_id", "score", "status"])
+        return made.astype({"score_us": "Int64", "score_id": "Int64", "score": "float64"})
+
+    LAST = (1 << 63) - 1
+
+    def close(self) -> None:
+        pass
+
+
+def as_of_scores(alerts: DataFrame, scores: DataFrame, threshold: float = RISK_THRESHOLD, late: str = "10 minutes", buckets: int = 8) -> DataFrame:
+    """``alerts`` (cycle_ts, feed_pos, ...) with the score known at their cycle, over two streams.
+
+    Alerts are dealt into ``buckets``; the few scores (score_id, score_ts, score, status) go to every bucket. An alert comes out when both
+    streams have passed its time by ``late``, which is also how late a row of either may be.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    asked = alerts.withWatermark("cycle_ts", late).where("cycle_ts is not null").select(
+        F.col("cycle_ts").alias("at"), F.pmod(F.xxhash64("feed_pos"), F.lit(buckets)).cast("int").alias("bucket"), F.unix_micros("cycle_ts").alias("at_us"), F.to_json(F.struct(*alerts.columns), {"timestampFormat": STAMP}).alias("row"),
+        none("bigint").alias("score_id"), none("double").alias("score"), none("string").alias("status"),
+    )
+    told = scores.withWatermark("score_ts", late).where("score_ts is not null").select(
+        F.col("score_ts").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.unix_micros("score_ts").alias("at_us"), none("string").alias("row"),
+        F.col("score_id").cast("bigint").alias("score_id"), F.col("score").cast("double").alias("score"), F.col("status").cast("string").alias("status"),
+    )
+    met = asked.union(told).groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=AsOfProcessor(), outputStructType="row string, score_us bigint, score_id bigint, score double, status string", outputMode="Append", timeMode="EventTime"
+    )
+    back = met.select(F.from_json("row", alerts.schema, {"timestampFormat": STAMP}).alias("a"), F.timestamp_micros("score_us").alias("score_ts"), "score", "status")
+    usable = shown_score(F.col("score"), F.col("status"))
+    age = F.when(usable.isNotNull(), seconds_between(F.col("score_ts"), F.col("a.cycle_ts")))
+    return back.select("a.*", usable.alias("score"), age.alias("score_age"), model_state(F.col("score"), F.col("status"), age, threshold, MAX_SCORE_AGE_SECONDS).alias("model_state"))

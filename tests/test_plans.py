@@ -65,3 +65,12 @@ def test_pixels_of_a_streamed_frame_are_not_shuffled(spark):
     palette = spark.createDataFrame([(0, 1, 2, 3, 4.0)], "x int, r int, g int, b int, value double")
     text = plan(frames.frame_grids(images, {"velocity": palette}, 1))
     assert "row_no" not in text and text.count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("name", ["a07_a08_grid_quality", "a07_metric_verdicts", "w02_w03_neighbour_differences"])
+def test_rasters_are_exchanged_once(spark, name):
+    assert exchanges(RUNS[name](spark, FOLDER)) == 1
+
+
+def test_differences_need_no_window(spark):
+    assert "Window" not in plan(RUNS["w02_w03_neighbour_differences"](spark, FOLDER))

@@ -459,6 +459,34 @@ def test_recent_sends_in_one_busy_slot_and_many_slots(spark):
         assert found == ((own[0], own[-1], True) if own else (None, None, False))
 
 
+@pytest.mark.parametrize("size", [7, 64, 100_000])
+def test_raster_facts_whatever_the_batches(size):
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    cells = [(s, r, c, rng.choice([None, 0.0, 1.0, 4.0, 9.5]) if s != "b" else 2.0) for s in ("a", "b", "c", None) for r in range(6) for c in range(5) if rng.random() < 0.9]
+    cells.sort(key=lambda x: (x[0] is not None, x[0] or "", x[1], x[2]))
+    held, got = grids.OpenScan(), []
+    for k in range(0, len(cells), size):
+        part = cells[k : k + size]
+        got += held.take(pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), *(pa.array([x[n] for x in part], pa.int64()) for n in (1, 2)), pa.array([x[3] for x in part], pa.float64()), pa.array([x[3] == 9.5 for x in part])], names=["s", "r", "c", "v", "w"]), 5.0, 3.0)
+    got += held.close()
+    want = []
+    for s in (None, "a", "b", "c"):
+        at = {(r, c): v for t, r, c, v in cells if t == s}
+        near = pairs = smooth = triples = 0
+        for (r, c), v in at.items():
+            for dr, dc in ((0, 1), (1, 0)):
+                one, two = at.get((r - dr, c - dc)), at.get((r - 2 * dr, c - 2 * dc))
+                if v is not None and one is not None:
+                    pairs, near = pairs + 1, near + (abs(v - one) < 5)
+                    if two is not None:
+                        triples, smooth = triples + 1, smooth + (abs(v - 2 * one + two) < 3)
+        known = [v for v in at.values() if v is not None]
+        want.append((s, min(known), max(known), len(set(known)), len(at), len(known), known.count(9.5), near, pairs, smooth, triples))
+    assert got == want
+
+
 def test_haversine_symmetry(spark):
     a = one(spark, haversine_km(F.lit(35.0), F.lit(-97.0), F.lit(36.0), F.lit(-98.0)))
     assert a == pytest.approx(km(35, -97, 36, -98)) and one(spark, haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(math.pi * 6371)
