@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gustfront.catalog.registry import query, rnd, sql_rnd, sql_stamp, stamp
-from gustfront.operators import evaluation, sampling
+from gustfront.operators import evaluation, merkle, sampling
 
 SPLIT = """g as (select date, station, max(label) as positive, md5('42:' || date || '|' || station) as h from {tensor_rows} group by 1, 2),
  k as (select *, row_number() over (partition by positive order by h) - 1 as rank, count(*) over (partition by positive) as total from g),
@@ -46,6 +46,21 @@ def _(i):
     return evaluation.fingerprint(i.documents.select(F.concat_ws("/", "source", "doc_id").alias("tensor")), "tensor")
 
 
+@query(
+    "a20_merkle_differences",
+    """with k as (select source || '/' || cast(doc_id as string) as t, doc_id from {documents}),
+    a as (select (cast('0x' || substring(md5(t), 1, 13) as bigint) >> 40) as leaf, count(*) as n from k group by 1),
+    gone as (select (cast('0x' || substring(md5(t), 1, 13) as bigint) >> 40) as leaf, count(*) as n from k where doc_id % 90 = 0 group by 1)
+    select a.leaf, cast(a.n as bigint) as left_n, cast(a.n - gone.n as bigint) as right_n from a join gone on a.leaf = gone.leaf""",
+)
+def _(i):
+    # the second table is brought up to date after rows have gone
+    rows = i.documents.select("doc_id", F.concat_ws("/", "source", "doc_id").alias("tensor"))
+    leaves = merkle.merkle_leaves(rows, "tensor")
+    gone = F.col("doc_id") % 90 == 0
+    return merkle.differing_ranges(leaves, merkle.updated_leaves(leaves, rows.where(~gone), rows.where(gone), "tensor"))
+
+
 STEPS = """st as (select score, count_if(label = 1) as pos, count_if(label <> 1) as neg from {predictions} group by 1),
  cu as (select *, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp, sum(pos) over () as p, sum(neg) over () as n from st)"""
 

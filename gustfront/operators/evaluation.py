@@ -63,29 +63,6 @@ def fingerprint(rows: DataFrame, key: str) -> DataFrame:
     return facts.select("n", F.substring(F.sha2(F.concat_ws(":", "n", "x1", "x2"), 256), 1, 16).alias("fingerprint"))
 
 
-def exact_fingerprint(rows: DataFrame, key: str, parts: int = 4096) -> DataFrame:
-    """16 hex digits that fix the exact list of keys, repeats included, at any size.
-
-    Layout: keys are dealt into ``parts`` buckets by the first 13 hex digits of their md5 (modulo ``parts``); a
-    bucket's digest is the sha256 of its sorted keys, each followed by its number of repeats; the
-    fingerprint is the sha256 of the digests in bucket order, empty ones as empty text. With ``parts=1`` and distinct
-    keys without repeats this is one digest over the whole sorted list. Repeats collapse before anything is
-    collected, and ``parts`` grows with the list that one task may hold.
-    """
-    text = F.col(key).cast("string")
-    counted = rows.groupBy(text.alias("k")).agg(F.count("*").alias("n"))
-    bucket = F.pmod(F.conv(F.substring(F.md5("k"), 1, 13), 16, 10).cast("long"), F.lit(parts)).cast("int")
-    listed = counted.groupBy(F.coalesce(bucket, F.lit(0)).alias("bucket")).agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit("")).alias("k"), "n"))).alias("all")
-    )
-    digests = listed.select("bucket", "n", F.sha2(F.array_join(F.transform("all", lambda e: F.concat(e["k"], F.when(e["n"] > 1, F.concat(F.lit("*"), e["n"].cast("string"))).otherwise(""))), ""), 256).alias("d"))
-    if parts == 1:
-        return digests.select("n", F.substring("d", 1, 16).alias("fingerprint"))
-    ordered = digests.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "d"))).alias("all"))  # one digest per bucket
-    joined = F.array_join(F.transform("all", lambda e: F.concat(e["bucket"].cast("string"), F.lit(":"), e["d"])), ";")
-    return ordered.select(F.coalesce("n", F.lit(0)).alias("n"), F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
-
-
 def score_steps(predictions: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row per distinct score with counts at or above it: (score, pos, neg, tp, fp, p, n).
 

@@ -5,8 +5,11 @@ A pixel is (scan_id, row_no, col_no, r, g, b). Channel sums are integers, so no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from gustfront.functions.colour import colour_class, colour_words, is_dark, is_w
 from gustfront.functions.health import ladder, masked_composite, masked_grade
 from gustfront.functions.numbers import percent
 from gustfront.operators.palette import nearest_colours
+from gustfront.session import materialise
 
 _KEYS = ["scan_id", "row_no", "col_no"]
 
@@ -73,9 +77,63 @@ def _top_colours(pixels: DataFrame, by: list[str], k: int) -> DataFrame:
         totals = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.count("*").alias("colours"))
         ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
         return ranked.join(totals, by)
-    top = counts.orderBy(*order).limit(k)
+    return _heavy_colours(pixels, k)
+
+
+#: Colours that a task reports in the first pass.
+REPORTED, MOST_REPORTED = 4096, 65_536
+
+
+def _heavy_colours(pixels: DataFrame, k: int) -> DataFrame:
+    """The exact top of all colours in two passes, without exchanging every colour's count.
+
+    In the first pass each task counts its colours and reports only its most frequent ones and the count of the first that
+    it left out. A colour's count lies between the sum of its reports and that sum plus what tasks that did not report it may
+    have left out. Those that can reach the top are counted exactly in the second pass. If too many could, tasks report more.
+    Distinct colours are counted with bitmaps, 4 kB for every 32,768 colours.
+    """
+    packed = pixels.where("r is not null and g is not null and b is not null").select((F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long").alias("c"))
+    sums = packed.groupBy(F.bitmap_bucket_number("c").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"), F.count(F.lit(1)).alias("n"))
+    whole = sums.agg(F.sum(F.bitmap_count("bits")).alias("colours"), F.sum("n").alias("total")).first()
+    most = REPORTED
+    while True:
+        bounds = _bounded(packed, most)
+        floor = bounds.orderBy(F.desc("low")).limit(k).agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("n")).first()
+        least = floor["low"] if floor["n"] == k else 0
+        chosen = [r["c"] for r in bounds.where(F.col("high") >= F.lit(least)).select("c").limit(most + 1).collect()]
+        unseen = bounds.agg(F.max("left_out").alias("x")).first()["x"] or 0  # what a colour that nobody reported may have
+        if len(chosen) <= most and unseen < max(1, least):
+            break
+        most *= 4
+        if most > MOST_REPORTED:  # counts so even that nearly every colour can reach the top
+            chosen = None
+            break
+    exact = _counted(pixels.where("r is not null and g is not null and b is not null" if chosen is None else (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long").isin(chosen)), [])
+    order = [F.desc("n"), "r", "g", "b"]
+    top = exact.orderBy(*order).limit(k)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return ranked.withColumn("total", counts.select(F.sum("n")).scalar()).withColumn("colours", counts.select(F.count("*")).scalar())
+    return ranked.withColumn("total", F.lit(whole["total"]).cast("long")).withColumn("colours", F.lit(whole["colours"]).cast("long"))
+
+
+def _bounded(packed: DataFrame, most: int) -> DataFrame:
+    """(c, low, high, left_out) of every reported colour: bounds of its count, and what all tasks together may have left out of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        colours, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for batch in batches:  # at most all 2**24 colours
+            c, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            both, place = np.unique(np.concatenate([colours, c]), return_inverse=True)
+            colours, counts = both, np.bincount(place, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+        best = np.argsort(-counts, kind="stable")[: most + 1]
+        rest = int(counts[best[most]]) if len(best) > most else 0
+        best = best[:most]
+        # the row of colour -1 tells what this task left out
+        yield pa.RecordBatch.from_pydict({"c": pa.array(np.append(colours[best], -1), pa.int64()), "n": pa.array(np.append(counts[best], 0), pa.int64()), "rest": pa.array(np.full(len(best) + 1, rest), pa.int64())})
+
+    reports = packed.mapInArrow(run, "c long, n long, rest long").groupBy("c").agg(F.sum("n").alias("low"), F.sum("rest").alias("own"))
+    reports = materialise(reports, "colour-bounds")
+    left_out = F.coalesce(reports.where("c = -1").select("own").scalar(), F.lit(0))
+    return reports.where("c >= 0").select("c", "low", (F.col("low") + left_out - F.col("own")).alias("high"), left_out.alias("left_out"))
 
 
 def colour_census(pixels: DataFrame, by: list[str] | None = None, k: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from gustfront.constants import REFLECTIVITY_CODES
 from gustfront.functions import health, numbers, radar, text
 from gustfront.functions.geo import haversine_km
-from gustfront.operators import evaluation, grids, lookups, pairing, palette, pixels, proximity, sampling, suppression, tensors, timeline
+from gustfront.operators import evaluation, grids, lookups, merkle, pairing, palette, pixels, proximity, sampling, suppression, tensors, timeline
 
 T0 = datetime(2024, 5, 1, 12, 0)
 
@@ -318,11 +319,11 @@ def test_fingerprints(spark):
 
     ids = [f"tensors/{n}.npy" for n in range(50)]
     df = spark.createDataFrame([(i,) for i in ids], "tensor string")
-    assert evaluation.exact_fingerprint(df, "tensor", parts=1).first().fingerprint == hashlib.sha256("".join(sorted(ids)).encode()).hexdigest()[:16]
-    whole = evaluation.exact_fingerprint(df, "tensor").first()
-    assert whole.n == 50 and whole == evaluation.exact_fingerprint(df.repartition(7), "tensor").first()
+    assert merkle.exact_fingerprint(df, "tensor", parts=1).first().fingerprint == hashlib.sha256("".join(sorted(ids)).encode()).hexdigest()[:16]
+    whole = merkle.exact_fingerprint(df, "tensor").first()
+    assert whole.n == 50 and whole == merkle.exact_fingerprint(df.repartition(7), "tensor").first()
     for other in (df.where("tensor <> 'tensors/7.npy'"), df.union(df.limit(1)), df.union(spark.createDataFrame([(None,)], "tensor string"))):
-        assert evaluation.exact_fingerprint(other, "tensor").first().fingerprint != whole.fingerprint
+        assert merkle.exact_fingerprint(other, "tensor").first().fingerprint != whole.fingerprint
     a, b = evaluation.fingerprint(df, "tensor").first(), evaluation.fingerprint(df.orderBy(F.desc("tensor")).repartition(5), "tensor").first()
     assert a == b and a != evaluation.fingerprint(df.where("tensor <> 'tensors/7.npy'"), "tensor").first()
 
@@ -487,6 +488,39 @@ def test_raster_facts_whatever_the_batches(size):
     assert got == want
 
 
+def test_merkle_tree_updates_and_names_differences(spark):
+    keys = [f"k{n}" for n in range(300)] + ["k7", "k7", None, ""]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string")
+    other = spark.createDataFrame([(k,) for k in keys if k != "k50"] + [("new",), ("k7",)], "k string")
+    changed = spark.createDataFrame([("k50",), ("new",), ("k7",)], "k string")
+    leaves, others = merkle.merkle_leaves(rows, "k").cache(), merkle.merkle_leaves(other, "k").cache()
+    want = {r.leaf for r in changed.select(merkle.range_of(F.col("k")).alias("leaf")).collect()}
+    found = merkle.differing_ranges(leaves, others).collect()
+    assert {r.leaf for r in found} == want and sorted(r.right_n - r.left_n for r in found) == [-1, 1, 1]
+    again = merkle.updated_leaves(leaves, other, changed, "k")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, others.collect()))
+    root = lambda x: merkle.tree_fingerprint(merkle.merkle_tree(x)).first()
+    assert root(again) == root(others) and root(leaves).n == 304 and root(leaves).fingerprint != root(others).fingerprint
+    assert root(merkle.merkle_leaves(rows.repartition(5), "k")) == root(leaves)
+    nulls = [merkle.merkle_leaves(spark.createDataFrame([(k,)], "k string"), "k").first().digest for k in (None, "")]
+    assert nulls[0] != nulls[1] and merkle.merkle_tree(merkle.merkle_leaves(rows.limit(0), "k")).count() == 0
+    tree = merkle.merkle_tree(leaves, 12)
+    assert {r.level for r in tree.select("level").distinct().collect()} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("most", [4, 64])
+def test_heavy_colours_in_two_passes(spark, most, monkeypatch):
+    monkeypatch.setattr(pixels, "REPORTED", most)
+    rng = random.Random(most)
+    colours = [(rng.randrange(4), rng.randrange(5), min(4, int(rng.expovariate(1)))) for _ in range(4000)] + [(9, 9, 9)] * 700
+    rng.shuffle(colours)
+    df = spark.createDataFrame(colours, "r int, g int, b int").repartition(7)
+    counts = sorted(((-n, *c) for c, n in Counter(colours).items()))[:20]
+    got = pixels._top_colours(df, [], 20).orderBy("rank").collect()
+    assert [(-r.n, r.r, r.g, r.b) for r in got] == counts and {(r.total, r.colours) for r in got} == {(4700, len(set(colours)))}
+    assert pixels._top_colours(df.limit(0), [], 20).collect() == []
+
+
 def test_haversine_symmetry(spark):
     a = one(spark, haversine_km(F.lit(35.0), F.lit(-97.0), F.lit(36.0), F.lit(-98.0)))
     assert a == pytest.approx(km(35, -97, 36, -98)) and one(spark, haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(math.pi * 6371)
