@@ -226,18 +226,70 @@ def test_alerts_named_once_wait_for_their_turn(spark, tmp_path):
     assert got.join(named, "alert_id").where("outcome = 'sent' and cycle_ts > named").count() > 10
 
 
-def test_ids_are_forgotten_by_the_hour():
-    class Map(dict):
-        containsKey, removeKey, updateValue, getValue = dict.__contains__, dict.__delitem__, dict.__setitem__, dict.__getitem__
-        iterator = lambda self: iter(self.items())
+class MapState(dict):
+    containsKey, removeKey, updateValue, getValue = dict.__contains__, dict.__delitem__, dict.__setitem__, dict.__getitem__
+
+    def iterator(self):
+        return iter(self.items())
+
+
+class ValueState(list):
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self[0] if len(self) == 1 else list(self)
+
+    def update(self, value):
+        self[:] = [value]
+
+    put = lambda self, values: self.__setitem__(slice(None), values)
+    appendList = list.extend
+
+
+class ListState(ValueState):
+    def get(self):
+        return list(self)
+
+
+class Handle:
+    """State and timers of one key, without an engine."""
 
-    class Value(list):
-        exists, get = lambda self: bool(self), lambda self: self[0]
-        update = lambda self, v: self.__setitem__(slice(None), [v])
+    def __init__(self):
+        self.timers = []
+        self.registerTimer, self.deleteTimer = self.timers.append, self.timers.remove
 
-    class Handle:
-        getMapState, getValueState = staticmethod(lambda *a: Map()), staticmethod(lambda *a: Value())
+    getMapState = staticmethod(lambda *a: MapState())
+    getValueState = staticmethod(lambda *a: ValueState())
+    getListState = staticmethod(lambda *a: ListState())
 
+    def listTimers(self):
+        return iter(self.timers)
+
+
+def test_answers_wait_for_the_watermark_and_stay(tmp_path):
+    import pandas as pd
+    from types import SimpleNamespace as At
+
+    p = stateful.AsOfProcessor()
+    p.init(Handle())
+    columns = ["at_us", "row", "score_id", "score", "status"]
+    alert = lambda at, row: (at * 1000, row, None, None, None)
+    score = lambda at, id_, value: (at * 1000, None, id_, value, "running")
+
+    def feed(passed, *rows):
+        made = next(iter(p.handleInputRows((0,), iter([pd.DataFrame([r], columns=columns) for r in rows]), At(getCurrentWatermarkInMs=lambda: passed))))
+        return [(r.row, None if pd.isna(r.score_id) else int(r.score_id)) for r in made.itertuples()]
+
+    assert feed(0, alert(50, "a"), score(40, 1, 0.5), alert(30, "b"), alert(70, "c")) == []
+    assert feed(60, score(45, 2, 0.6), score(65, 3, None)) == [("b", None), ("a", 2)]  # both before 60, and all that was known by then
+    assert p.handle.timers == [71] and [s[1] for s in p.scores] == [2, 3]
+    assert feed(70, score(68, 4, 0.7)) == []  # a row at the watermark may still come
+    later = next(iter(p.handleExpiredTimer((0,), At(getCurrentWatermarkInMs=lambda: 71), None)))
+    assert later["row"].tolist() == ["c"] and later["score_id"].tolist() == [4] and not p.waiting
+
+
+def test_ids_are_forgotten_by_the_hour():
     import pandas as pd
 
     p = stateful.SuppressionProcessor(suppression.Policy(cap_seconds=0, cool_off_seconds=-1))
