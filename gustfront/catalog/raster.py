@@ -265,6 +265,21 @@ def _(i):
     return built.select("scan_id", F.size("tensor").alias("size"), "has_velocity", rnd("in_bounds").alias("in_bounds"))
 
 
+@query("f02_tensor_values", f"with {BOX} select scan_id, 256 + case when scan_id % 4 <> 0 then 256 else 0 end as near_cells from crop")
+def _(i):
+    # every value of the array form beside the long form, whose values h19_bilinear_resize checks; single precision allows 2e-6
+    boxes = grids.crop_boxes(i.georefs, 8, 8)
+    built = tensors.build_tensors(index_frames(i), out=16)
+    flat = built.select("scan_id", F.posexplode("tensor").alias("at", "t")).select("scan_id", F.floor(F.col("at") / 256).alias("plane"), F.floor(F.col("at") % 256 / 16).cast("int").alias("row_no"), (F.col("at") % 16).cast("int").alias("col_no"), "t")
+    every = None
+    for plane, (column, codes) in enumerate((("refl_idx", REFLECTIVITY_CODES), ("vel_idx", VELOCITY_CODES))):
+        cells = i.index_cells.withColumn("value", radar.normalised_index(F.col(column), codes))
+        part = grids.resize_bilinear(grids.crop_cells(cells, boxes), boxes, 16).select("scan_id", F.lit(plane).cast("long").alias("plane"), "row_no", "col_no", "value")
+        every = part if every is None else every.unionByName(part)
+    both = flat.join(every, ["scan_id", "plane", "row_no", "col_no"]).where("plane = 0 or scan_id % 4 <> 0")
+    return both.groupBy("scan_id").agg(F.count_if(F.abs(F.col("t") - F.col("value")) < 2e-6).cast("int").alias("near_cells"))
+
+
 @query(
     "h20_two_channel_stack",
     f"""select vec_id, len(embedding) * 2 as size, {sql_rnd("list_sum(embedding) + case when vec_id % 3 = 0 then 0 else list_sum(embedding) end", 4)} as total from {{embeddings}}""",

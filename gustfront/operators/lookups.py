@@ -14,7 +14,7 @@ def not_yet_done(rows: DataFrame, done: DataFrame, key: str = "event_id") -> Dat
 
 
 def lookup_or_drop(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Inner lookup; rows without an entry are dropped."""
+    """Inner lookup; rows without an entry are dropped. A key stands once in ``dimension``, or its rows come out once per entry."""
     return rows.join(dimension, key)
 
 
@@ -27,9 +27,9 @@ def reconcile(rows: DataFrame, artifacts: DataFrame, manifest: DataFrame, georef
     """Decide per expected tensor: reused, healed_orphan, healed_corrupt, new or skipped_no_georef.
 
     ``artifacts(tensor, loadable)`` lists what is stored, ``manifest(tensor)`` what is committed,
-    ``georefs(station)`` the sites that can be cropped.
+    ``georefs(station)`` the sites that can be cropped. A tensor that is listed twice is loadable if one of its artifacts is.
     """
-    have = artifacts.select("tensor", "loadable")
+    have = artifacts.groupBy("tensor").agg(F.bool_or("loadable").alias("loadable"))
     listed = manifest.select("tensor").distinct().withColumn("listed", F.lit(True))
     sites = georefs.select("station").distinct().withColumn("georef", F.lit(True))
     joined = rows.join(sites, "station", "left").join(have, "tensor", "left").join(listed, "tensor", "left")

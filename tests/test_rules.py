@@ -174,7 +174,7 @@ def test_last_known_across_slots(spark):
 
 def test_reconcile_actions(spark):
     rows = spark.createDataFrame([(t, "K1") for t in "abcde"] + [("f", "K2")], "tensor string, station string")
-    stored = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False), ("f", True)], "tensor string, loadable boolean")
+    stored = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", True), ("c", False), ("d", False), ("f", True)], "tensor string, loadable boolean")
     listed = spark.createDataFrame([("a",), ("d",), ("f",)], "tensor string")
     got = {r.tensor: r.action for r in lookups.reconcile(rows, stored, listed, spark.createDataFrame([("K1",)], "station string")).collect()}
     assert got == {"a": "reused", "b": "healed_orphan", "c": "healed_corrupt", "d": "healed_corrupt", "e": "new", "f": "skipped_no_georef"}
