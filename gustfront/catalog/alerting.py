@@ -186,6 +186,23 @@ def _(i):
     return suppression.replay_suppression(scoped_alerts(i)).select("scope", "alert_id", "feed_pos", "outcome")
 
 
+@query(
+    "t09_full_ledger",
+    REPLAY + f", {KNOWN}" + f""", d as (select run.scope, run.n, run.alert_id, run.feed_pos, run.cycle_ts as at, run.outcome, sc.event from run join sc on sc.scope = run.scope and sc.n = run.n where run.n > 0)
+    select d.scope, d.alert_id, d.event as event_type, {sql_stamp('d.at')} as sent_at, d.outcome, z.state as model_state, z.shown as score,
+      cast(case when d.outcome = 'sent' then (d.feed_pos % 3 <> 0)::int + (d.feed_pos % 2 <> 0)::int else 0 end as int) as ok, cast(case when d.outcome = 'sent' then (d.feed_pos % 3 = 0)::int + (d.feed_pos % 2 = 0)::int else 0 end as int) as failed,
+      case when d.outcome <> 'sent' then 'daily cap: last sent ' || strftime((select min(p.at) from d p where p.scope = d.scope and p.event = d.event and p.outcome = 'sent' and p.at <= d.at and p.at >= d.at - interval '24' hour), '%Y-%m-%dT%H:%M:%SZ') end as reason
+    from d join z on z.feed_pos = d.feed_pos where d.outcome in ('sent', 'suppressed_daily_cap')""",
+)
+def _(i):
+    # from the feed to the ledger: gate, policy, score, recipients and reason
+    result = lambda name, n: F.struct(F.lit(name).alias("to"), F.when(F.col("feed_pos") % n == 0, "refused").alias("err"))
+    polls = scoped_alerts(i).withColumn("results", F.array(result("a@x", 3), result("b@x", 2)))
+    polls = polls.withColumn("delivered", suppression.any_delivered("results"))
+    rows = suppression.full_ledger(suppression.replay_suppression(polls), polls, i.scores)
+    return rows.select("scope", "alert_id", "event_type", stamp("sent_at").alias("sent_at"), "outcome", "model_state", "score", F.size("recipients_ok").alias("ok"), F.size("recipients_failed").alias("failed"), "reason")
+
+
 @query(
     "t07_cycle_counters",
     REPLAY + f""", c as (select scope, run.cycle_ts, cast(count_if(outcome = 'sent') as bigint) as sent, cast(count_if(outcome = 'suppressed_daily_cap') as bigint) as suppressed,

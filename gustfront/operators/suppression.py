@@ -14,9 +14,9 @@ from gustfront.constants import (
     ALLOWED_EVENTS, COOL_OFF_BYPASS, COOL_OFF_SECONDS, DAILY_CAP_SECONDS, LEDGER_HOURS, MAX_SCORE_AGE_SECONDS, PER_CYCLE_CAP, RISK_THRESHOLD,
 )
 from gustfront.functions.health import seconds_between
-from gustfront.functions.text import model_state, shown_score
+from gustfront.functions.text import model_state, shown_score, utc_text
 from gustfront.operators.pairing import last_known
-from gustfront.operators.timeline import along_time
+from gustfront.operators.timeline import along_time, recent_sends
 from gustfront.session import materialise, scratch_path
 
 
@@ -248,6 +248,26 @@ def ledger_rows(decisions: DataFrame) -> DataFrame:
     return decisions.where(F.col("outcome").isin("sent", "suppressed_daily_cap"))
 
 
+def full_ledger(decisions: DataFrame, alerts: DataFrame, scores: DataFrame, results: str = "results", policy: Policy = Policy(), threshold: float = RISK_THRESHOLD) -> DataFrame:
+    """The ledger that a cycle leaves: type, time, outcome, model readout, recipients and reason of every decision that enters it.
+
+    ``alerts`` are the polls that were decided, with ``results`` (an array of to, err). A suppressed alert has no recipients and names the send
+    that capped it: the first one of its type and scope inside the cap's span.
+    """
+    keys = ["scope", "alert_id", "cycle_ts", "feed_pos"]
+    polls = alerts.select(F.col("scope").cast("string").alias("scope"), *keys[1:], F.col("event").alias("event_type"), F.col(results).alias("_results")).dropDuplicates(keys)
+    kept = ledger_rows(decisions).join(polls, keys)
+    sends = kept.select("scope", "event_type", F.col("cycle_ts").alias("sent_at"), "outcome")
+    asked = kept.where("outcome <> 'sent'").select("scope", "event_type", F.col("cycle_ts").alias("at"))
+    capped = recent_sends(asked, sends, "at", ["scope", "event_type"], policy.cap_seconds).select("scope", F.col("event_type").alias("_type"), F.col("at").alias("_at"), "first_sent")
+    named = annotate_with_score(kept, scores, threshold).join(capped.withColumnRenamed("scope", "_scope"), (F.col("scope") == F.col("_scope")) & F.col("event_type").eqNullSafe(F.col("_type")) & (F.col("cycle_ts") == F.col("_at")), "left")
+    sent = F.col("outcome") == "sent"
+    none = F.filter("_results", lambda r: F.lit(False))
+    split = split_recipients(named.withColumn("_results", F.when(sent, F.col("_results")).otherwise(none)), "_results")
+    reason = F.when(~sent, F.concat(F.lit("daily cap: last sent "), utc_text(F.col("first_sent"))))
+    return split.select("scope", "alert_id", "event_type", F.col("cycle_ts").alias("sent_at"), "outcome", "model_state", "score", F.lit(threshold).alias("threshold"), "recipients_ok", "recipients_failed", reason.alias("reason"))
+
+
 def cycle_counters(decisions: DataFrame, before: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
     """Sent, suppressed and deferred per scope and cycle, with the sends so far, the last one and the end of the running cool-off.
 
