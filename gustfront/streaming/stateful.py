@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from gustfront.constants import ALERT_POLL_SECONDS, MAX_SCORE_AGE_SECONDS, RISK_THRESHOLD
 from gustfront.functions.health import seconds_between
@@ -225,6 +226,49 @@ def _stream(alerts: DataFrame, processor: SuppressionProcessor, time_mode: str)
     return decided.withColumn("cycle_ts", F.timestamp_micros("cycle_us")).drop("cycle_us")
 
 
+def observed(decisions: DataFrame, name: str = "cycle") -> DataFrame:
+    """``decisions`` of a stream with the status of every micro-batch measured while it is written; no second pass is made."""
+    outcome, sent_at = F.col("outcome"), F.when(F.col("outcome") == "sent", F.col("cycle_ts"))
+    return decisions.observe(
+        name, F.count_if(outcome == "sent").alias("sent"), F.count_if(outcome == "suppressed_daily_cap").alias("suppressed"), F.count_if(outcome.startswith("deferred")).alias("deferred"),
+        F.count_if(outcome == "delivery_failed").alias("failed"), F.unix_micros(F.max(sent_at)).alias("last_sent_us"), F.unix_micros(F.max("cycle_ts")).alias("last_poll_us"),
+    )
+
+
+class StatusListener(StreamingQueryListener):
+    """Writes the status snapshot of each micro-batch from its observed metrics, under the batch's number.
+
+    Totals carry on from the snapshot before. A replayed batch writes its own snapshot again, so nothing counts twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "cycle", policy: Policy = Policy()):
+        self.spark, self.path, self.name, self.policy = spark, path, name, policy
+
+    def onQueryStarted(self, event: Any) -> None:
+        pass
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
+
+    def onQueryProgress(self, event: Any) -> None:
+        metrics = event.progress.observedMetrics.get(self.name)
+        if metrics is not None:
+            self.write(event.progress.batchId, metrics.asDict())
+
+    def write(self, batch: int, metrics: dict) -> None:
+        earlier = [p for p in committed_folders(self.spark, self.path, "version") if int(p.rsplit("=", 1)[1]) < batch]
+        before = self.spark.read.parquet(max(earlier, key=lambda p: int(p.rsplit("=", 1)[1]))).first() if earlier else None
+        last = max((x for x in (metrics["last_sent_us"], before and before["last_sent_us"]) if x is not None), default=None)
+        poll = max((x for x in (metrics["last_poll_us"], before and before["last_poll_us"]) if x is not None), default=None)
+        until = last + self.policy.cool_off_seconds * 1_000_000 if last is not None else None
+        row = (batch, *(metrics[c] for c in ("sent", "suppressed", "deferred", "failed")), metrics["sent"] + (before["sent_total"] if before else 0), last, poll, until if until and poll and until > poll else None)
+        status = self.spark.createDataFrame([row], "batch long, sent long, suppressed long, deferred long, failed long, sent_total long, last_sent_us long, last_poll_us long, cool_off_until_us long")
+        write_snapshot(status, self.path, batch)
+
+
 def record_cycles(ledger_path: str, counters_path: str) -> Callable[[DataFrame, int], None]:
     """Batch function: ledger rows and cycle counters of one micro-batch, keyed by its id.
 

@@ -226,6 +226,31 @@ def test_alerts_named_once_wait_for_their_turn(spark, tmp_path):
     assert got.join(named, "alert_id").where("outcome = 'sent' and cycle_ts > named").count() > 10
 
 
+def test_status_from_observed_metrics(spark, tmp_path):
+    rows = sorted((r for n in range(2) for r in random_polls(n, f"s{n}", 40, (5, 30))), key=lambda r: r[3])
+    live.prepare(spark, 4)
+    listener = stateful.StatusListener(spark, str(tmp_path / "status"))
+    spark.streams.addListener(listener)
+    half = rows[len(rows) // 2][3]
+    try:
+        for part in ([r for r in rows if r[3] < half], [r for r in rows if r[3] >= half]):
+            alerts_of(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = live.stream_files(spark, str(tmp_path / "in"), alerts_of(spark, rows).schema)
+            live.start(stateful.observed(stateful.suppress_stream(stream)), str(tmp_path / "cp"), path=str(tmp_path / "out")).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30000)
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    decided = spark.read.parquet(str(tmp_path / "out"))
+    sent = decided.where("outcome = 'sent'")
+    status = tables.read_snapshot(spark, str(tmp_path / "status")).first()
+    assert status.sent_total == sent.count() > 0 and status.last_sent_us == sent.agg(F.unix_micros(F.max("cycle_ts"))).first()[0]
+    second = decided.where(F.col("cycle_ts") >= F.lit(half))
+    assert (status.sent, status.suppressed, status.deferred) == tuple(second.agg(F.count_if(F.expr("outcome = 'sent'")), F.count_if(F.expr("outcome = 'suppressed_daily_cap'")), F.count_if(F.expr("outcome like 'deferred%'"))).first())
+    listener.write(status.batch, {"sent": status.sent, "suppressed": 0, "deferred": 0, "failed": 0, "last_sent_us": None, "last_poll_us": None})  # the batch once more
+    assert tables.read_snapshot(spark, str(tmp_path / "status")).first().sent_total == status.sent_total
+
+
 class MapState(dict):
     containsKey, removeKey, updateValue, getValue = dict.__contains__, dict.__delitem__, dict.__setitem__, dict.__getitem__
 
