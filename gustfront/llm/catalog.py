@@ -87,12 +87,12 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 ORACLE = {
     "op3_exact_top_k": """
-        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
-                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
-              from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e))
+        with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+              from v q join v c on q.vec_id % 50 = 0 and c.r <> q.r and len(c.e) = len(q.e))
         select query_id, cast(rank as integer) as rank, vec_id, score
-        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+        from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 5
     """,
     "op7_exact_dedup": f"""
         with t as (select doc_id, {_LOWER} as x from documents),

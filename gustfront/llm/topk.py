@@ -8,9 +8,9 @@ dimensions at a time. After each step a candidate's score lies within partial +-
 below it are dropped and the surviving columns are compacted. The k best of every block meet in a small ranking per query.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; vectors are
-compared with those of equal length only; a row is an id with its vector, so exact repeats count once, and rows of one
-id with other vectors are candidates of their own; ties go to the smaller id, then the vector; scores beyond 64 bits are
-held at the end of the range; an empty table gives no rows; other columns are ignored.
+compared with those of equal length only; every row but the query's own is a candidate, so repeats of a row and other rows of the
+query's id count each, and each of several query rows with one id is answered; ties go to the smaller id, then the row read
+first; scores beyond 64 bits are held at the end of the range; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gustfront.llm.common import stored
+
 K, SCALE, STEP, BLOCK, GROUP = 5, 256, 8, 2048, 2048
 _TOP = np.iinfo(np.int64).max
 
@@ -72,42 +74,33 @@ def _search(k: int, scale: float):
     def search(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for dims, asked in queries.groupby(queries["vector"].map(len)):
-            held = block[block["vector"].map(len) == dims].drop_duplicates(["vec_id", "code"]).sort_values(["vec_id", "code"]) if len(block) else block
+            held = block[block["vector"].map(len) == dims].sort_values(["vec_id", "rid"]) if len(block) else block
             if not len(held):
                 continue
-            ids, codes = held["vec_id"].to_numpy(), held["code"].to_numpy()
+            ids, rows = held["vec_id"].to_numpy(), held["rid"].to_numpy()
             columns = np.ascontiguousarray(_matrix(held["vector"], scale).T)
-            for (query_id, code), (where, scores) in zip(asked[["vec_id", "code"]].itertuples(index=False), best_in_block(_matrix(asked["vector"], scale), columns, k + 1), strict=True):
-                order = np.lexsort((codes[where], ids[where], [-s for s in scores] if scores.dtype == object else -scores))
-                own = 0
-                for j in order[: k + 1]:
-                    if ids[where[j]] == query_id and codes[where[j]] == code:
-                        continue
-                    own += 1
-                    if own <= k:
-                        score = scores[j]
-                        out.append((query_id, code, ids[where[j]], codes[where[j]], int(max(-_TOP - 1, min(_TOP, score)))))
-        return pd.DataFrame(out, columns=["query_id", "query_code", "vec_id", "code", "score"])
+            for (query_id, rid), (where, scores) in zip(asked[["vec_id", "rid"]].itertuples(index=False), best_in_block(_matrix(asked["vector"], scale), columns, k + 1), strict=True):
+                order = np.lexsort((rows[where], ids[where], [-s for s in scores] if scores.dtype == object else -scores))
+                best = [j for j in order[: k + 1] if rows[where[j]] != rid][:k]
+                out += [(query_id, rid, ids[where[j]], rows[where[j]], int(max(-_TOP - 1, min(_TOP, scores[j])))) for j in best]
+        return pd.DataFrame(out, columns=["query_id", "query_rid", "vec_id", "rid", "score"])
 
     return search
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, scale: float = SCALE) -> DataFrame:
     """Per query row its ``k`` largest integer inner products: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
     sound = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector")).where(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
     )
-    coded = sound.withColumn("code", F.xxhash64("vector"))
-    asked = coded.where(is_query)
-    count = coded.count()
-    blocks = max(1, math.ceil(count / BLOCK))
-    # Vectors are dealt out evenly by hash; a query group visits all blocks, as it must.
-    held = coded.withColumn("block", F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int"))
-    groups = max(1, math.ceil(asked.count() / GROUP))
-    dealt = asked.dropDuplicates(["vec_id", "code"]).withColumn("grp", F.pmod(F.xxhash64("code", "vec_id"), F.lit(groups)).cast("int"))
+    rows = stored(sound.withColumn("rid", F.monotonically_increasing_id()), "vectors")  # queries and candidates name rows alike
+    asked = rows.where(is_query)
+    blocks, groups = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(asked.count() / GROUP))
+    # Rows are dealt out evenly by hash; a query group visits all blocks, as it must.
+    held = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
+    dealt = asked.withColumn("grp", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(groups)).cast("int"))
     pairs = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     copies = held.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = pairs.groupBy("grp", "block").cogroup(copies.groupBy("grp", "block")).applyInPandas(_search(k, scale), "query_id long, query_code long, vec_id long, code long, score long")
-    place = Window.partitionBy("query_id", "query_code").orderBy(F.desc("score"), "vec_id", "code")
+    found = pairs.groupBy("grp", "block").cogroup(copies.groupBy("grp", "block")).applyInPandas(_search(k, scale), "query_id long, query_rid long, vec_id long, rid long, score long")
+    place = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id", "rid")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
