@@ -30,26 +30,40 @@ def numbered(df: DataFrame, *columns: str, rid: str | None = None) -> DataFrame:
     return df.select((F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"), *columns)
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """All columns of a stored Parquet table and a row id that is the same in every pass.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of a stored Parquet table and a row id that is the same in every pass, with the id's column name.
 
     The id is the file's rank by name and the row's place in the file, so it does not depend on how files are split, which
     follows the cores alive when a pass begins.
     """
-    spark, path = df.sparkSession, f"{name}_path"
+    spark, name, path, place = df.sparkSession, *(free_name(df, n) for n in ("__row", "__row_path", "__row_place"))
     files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
     ranks = F.broadcast(spark.createDataFrame([(f, n << 40) for n, f in enumerate(files)], f"`{path}` string, `{name}` long"))
-    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(f"{name}_place"))
-    return placed.join(ranks, path).select(*df.columns, (F.col(name) + F.col(f"{name}_place")).alias(name))
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    return placed.join(ranks, path).select(*df.columns, (F.col(name) + F.col(place)).alias(name)), name
+
 
+def only_rows(named: DataFrame, row: str, stay: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``named`` whose id is in ``stay`` (one column)."""
+    stays = free_name(named, "__stays")
+    return named.join(stay.toDF(stays), F.col(row) == F.col(stays), "left_semi").select(*columns)
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """Apply ``step`` (batch to columns) to every Arrow batch."""
+
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str, limit: int | None = None) -> DataFrame:
+    """Apply ``step`` (batch to columns) to every Arrow batch, in slices of about ``limit`` bytes (else those of ``bounded``)."""
     names = StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in bounded(batch):
+            for piece in bounded(batch, limit) if limit else bounded(batch):
                 out = step(piece)
                 if out is not None and len(out[names[0]]):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
@@ -78,6 +92,26 @@ def kept_in_worker(kind: str, key, make: Callable):
     return values[kind][1]
 
 
+class Recent(dict):
+    """A bounded memory of ``make``'s values: what was asked for in this or the last generation of ``size`` keys stays."""
+
+    def __init__(self, make: Callable, size: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) >= self.longest:
+                return found
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text, empty for null."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()

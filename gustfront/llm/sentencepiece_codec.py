@@ -17,6 +17,7 @@ so decoding gives every text back; texts of any length are encoded whole; repeat
 from __future__ import annotations
 
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -26,31 +27,34 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import kept_in_worker, map_batches, numbered
+from gustfront.llm.common import Recent, kept_in_worker, map_batches, numbered
 
 SPACE = "▁"
+_SPELT = (-1, 1)
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHED_UNITS = 100_000
+#: Units of one generation of the cache; it holds two.
+CACHED_UNITS = 500_000
 
 
-class Codec(dict):
-    """Units to ids (little-endian unsigned 32 bits), found on first use."""
+class Codec:
+    """Ids (little-endian unsigned 32 bits) of texts; the ids of units are found on first use and remembered."""
 
     def __init__(self, path: str):
-        super().__init__()
+        self.units = Recent(self.solve, CACHED_UNITS)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.pieces, self.bytes_of, self.byte_id = [""] * size, {}, [None] * 256
+        self.shown: list[str | None] = [""] * size
+        self.bytes_of, self.byte_id = {}, [None] * 256
         self.automaton, least = ahocorasick.Automaton(), 0.0
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                self.bytes_of[i] = bytes([int(piece[1:-1], 16)])
+                self.shown[i], self.bytes_of[i] = None, bytes([int(piece[1:-1], 16)])
                 self.byte_id[int(piece[1:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"piece {i} holds a space mark after another character")
-                self.pieces[i] = piece
+                self.shown[i] = piece.replace(SPACE, " ")
                 score = model.get_score(i)
                 least = min(least, score)
                 self.automaton.add_word(piece, (i, len(piece), score))
@@ -61,60 +65,44 @@ class Codec(dict):
 
     def segment(self, unit: str) -> list[int]:
         """The best ids of one unit."""
-        n = len(unit)
-        best, back = [0.0] + [None] * n, [None] * (n + 1)
-        filled = 0
-
-        def fill(upto: int) -> int:
-            """Spell characters on which no piece ends."""
-            at = filled
-            while at < upto:
-                if best[at + 1] is None:
-                    best[at + 1], back[at + 1] = best[at] + self.spelt, (-1, 1)
-                at += 1
-            return at
-
+        n, spelt = len(unit), self.spelt
+        best, back = [0.0] * (n + 1), [None] * (n + 1)
+        at = 0  # places up to here have a score; a character on which no piece ends is spelt
         for end, (i, size, score) in self.automaton.iter(unit):
-            filled = fill(end) if filled < end else filled
-            total = best[end + 1 - size] + score
-            if best[end + 1] is None:
-                spelt = best[end] + self.spelt
-                best[end + 1], back[end + 1] = spelt, (-1, 1)
-            if total > best[end + 1] or (total == best[end + 1] and size > back[end + 1][1]):
-                best[end + 1], back[end + 1] = total, (i, size)
-        filled = fill(n)
+            end += 1
+            while at < end:
+                best[at + 1] = best[at] + spelt
+                at += 1
+            total = best[end - size] + score
+            if total > best[end] or (total == best[end] and size > (back[end] or _SPELT)[1]):
+                best[end], back[end] = total, (i, size)
         out: list[int] = []
         at = n
         while at:
-            i, size = back[at]
+            i, size = back[at] or _SPELT
             out += [i] if i >= 0 else [self.byte_id[b] for b in reversed(unit[at - 1].encode("utf-8", "surrogatepass"))]
             at -= size
         return out[::-1]
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) > CACHED_UNITS:
-            self.clear()
-        found = np.array(self.segment(unit), dtype="<u4").tobytes()
-        if len(unit) < 64:
-            self[unit] = found
-        return found
+    def solve(self, unit: str) -> bytes:
+        return struct.pack(f"<{len(found := self.segment(unit))}I", *found)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if SPACE not in text:
-            return b"".join([self[u] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))])
+            return b"".join([self.units[u] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))])
         literal = np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes()
         first, *more = (p.replace(" ", SPACE) for p in text.split(SPACE))
-        return literal.join(b"".join([self[u] for u in _UNIT.findall(p)]) for p in (SPACE + first, *more))
+        return literal.join(b"".join([self.units[u] for u in _UNIT.findall(p)]) for p in (SPACE + first, *more))
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, dtype="<u4").tolist()
-        pieces, spelt = self.pieces, self.bytes_of
-        if not any(i in spelt for i in set(numbers)):
-            text = "".join([pieces[i] for i in numbers]).replace(SPACE, " ")
-        else:
-            text = b"".join([spelt[i] if i in spelt else pieces[i].replace(SPACE, " ").encode() for i in numbers]).decode("utf-8", "replace")
+        try:
+            text = "".join(map(self.shown.__getitem__, numbers))
+        except TypeError:  # a byte piece has no text of its own
+            shown, spelt = self.shown, self.bytes_of
+            text = b"".join([spelt[i] if i in spelt else shown[i].encode() for i in numbers]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
