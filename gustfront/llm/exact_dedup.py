@@ -6,8 +6,9 @@ Texts are equal when they are identical after lower-casing A-Z only; null counts
 2. A directory of 2**depth cells over the leading key bits is doubled until each bucket holds at most the
    bucket capacity, as in extendible hashing: a bucket of small local depth owns many neighbouring cells.
 3. Owner tasks each take the buckets of one key range, sorted by key. Texts with one key form a chain and are
-   compared byte by byte, so two texts that share a key stay apart. Every map task first collapses the equal
-   texts it has seen, so that a text with very many copies reaches its owner once per map task.
+   compared byte by byte, so two texts that share a key stay apart; the row that stays and the group's size are reduced along
+   the chain. Every map task first collapses the equal texts it has seen in the same way, so that a text with very many
+   copies reaches its owner once per map task.
 4. The index is written as a table (key, place in the chain, digest, row that stays, group size) and joined to the entries.
 
 Defined cases: an empty table gives no rows; null and empty texts are one group; a null ``doc_id`` ranks
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import bounded, map_batches, numbered, stored, texts_as_bytes, with_row_id
+from gustfront.llm.common import bounded, map_batches, numbered, only_rows, stored, texts_as_bytes, with_row_id
 
 BITS = 64
 #: Bytes of distinct texts that one map task holds before it passes them on.
@@ -65,24 +66,45 @@ def entries(rows: DataFrame) -> DataFrame:
     return map_batches(rows, step, "rid long, doc_id long, key long, sha string, size long")
 
 
+def _later(a: tuple, b: tuple) -> tuple:
+    """The row of two, each (doc_id, rid), that stays: the larger id, a null one below all."""
+    return a if (a[0] is not None, a[0] or 0, a[1]) >= (b[0] is not None, b[0] or 0, b[1]) else b
+
+
+def _merged(chain: dict[bytes, list], text: bytes, row: tuple, count: int) -> bool:
+    """Take a text into a chain of [row that stays, rows, ...]; whether it is new there. Texts are compared byte by byte."""
+    seen = chain.get(text)
+    if seen is None:
+        chain[text] = [row, count]
+        return True
+    seen[0], seen[1] = _later(seen[0], row), seen[1] + count
+    return False
+
+
 def representatives(rows: DataFrame, directory: list[int], depth: int) -> DataFrame:
-    """Each task's distinct texts with the number of the bucket that owns them."""
+    """Each task's distinct texts: bucket that owns them, row that stays so far and number of rows."""
     shift = BITS - depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        seen: dict[bytes, list] = {}
         held = 0
 
         def flush() -> pa.RecordBatch:
-            cells = [(k + (1 << 63)) >> shift for k in seen.values()]
-            return pa.RecordBatch.from_arrays([pa.array([directory[c] for c in cells], pa.int32()), pa.array(list(seen.values()), pa.int64()), pa.array(list(seen), pa.binary())], names=["bucket", "key", "text"])
+            keys = [keyed(t)[0] for t in seen]
+            found = list(seen.values())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([directory[(k + (1 << 63)) >> shift] for k in keys], pa.int32()), pa.array(keys, pa.int64()), pa.array([r[0] for r, _ in found], pa.int64()),
+                    pa.array([r[1] for r, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array(list(seen), pa.binary()),
+                ],
+                names=["bucket", "key", "doc_id", "rid", "n", "text"],
+            )
 
         for batch in batches:
             for piece in bounded(batch):
-                for text in texts_as_bytes(piece["text"]):
-                    key, text = keyed(text)
-                    if text not in seen:
-                        seen[text] = key
+                for text, doc_id, rid in zip(texts_as_bytes(piece["text"]), piece["doc_id"].to_pylist(), piece["rid"].to_pylist(), strict=True):
+                    text = text.lower()
+                    if _merged(seen, text, (doc_id, rid), 1):
                         held += len(text)
                     if held > HELD_BYTES:
                         yield flush()
@@ -90,31 +112,46 @@ def representatives(rows: DataFrame, directory: list[int], depth: int) -> DataFr
         if seen:
             yield flush()
 
-    return rows.select("text").mapInArrow(run, "bucket int, key long, text binary")
+    return rows.select("rid", "doc_id", "text").mapInArrow(run, "bucket int, key long, doc_id long, rid long, n long, text binary")
 
 
 def chains(ordered: DataFrame) -> DataFrame:
-    """Walk rows ordered by key; one row per distinct text with its place in the chain of its key."""
+    """Walk rows ordered by key; one row per distinct text: its place in the chain of its key, the row that stays, the group's size."""
+    names = {"key": pa.int64(), "place": pa.int32(), "sha": pa.string(), "keep_id": pa.int64(), "keep_rid": pa.int64(), "group_size": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, chain = None, []
+        current, chain = None, {}
+        out: list[tuple] = []
+
+        def close() -> None:
+            out.extend((current, place, hashlib.sha256(text).hexdigest(), *row, count) for place, (text, (row, count)) in enumerate(chain.items()))
+
+        def emitted() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), names.values(), strict=True)], names=list(names))
+            out.clear()
+            return made
+
         for batch in batches:
-            out: list[tuple[int, int, str]] = []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if key != current:
-                    current, chain = key, []
-                if text not in chain:  # compares bytes along the chain
-                    out.append((key, len(chain), hashlib.sha256(text).hexdigest()))
-                    chain.append(text)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.string())], names=["key", "place", "sha"])
+            for piece in bounded(batch):
+                for key, text, doc_id, rid, n in zip(*(piece[c].to_pylist() for c in ("key", "text", "doc_id", "rid", "n")), strict=True):
+                    if key != current:
+                        close()
+                        current, chain = key, {}
+                    _merged(chain, text, (doc_id, rid), n)
+                if out:
+                    yield emitted()
+        close()
+        if out:
+            yield emitted()
 
-    return ordered.mapInArrow(run, "key long, place int, sha string")
+    return ordered.mapInArrow(run, "key long, place int, sha string, keep_id long, keep_rid long, group_size long")
 
 
 def exact_groups(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """Per row: rid, doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
+    if rid is None:
+        docs, rid = with_row_id(docs)  # both passes over the texts name rows alike
     rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid=rid)
     held = stored(entries(rows), "dedup-entries")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -122,19 +159,14 @@ def exact_groups(docs: DataFrame, rid: str | None = None) -> DataFrame:
     capacity = max(16 << 10, total // (8 * parts))
     depth = max(4, min(24, math.ceil(math.log2(max(1, total / capacity))) + 3))
     cell = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), BITS - depth)
-    distinct = held.groupBy("key", "sha").agg(F.max(F.struct("doc_id", "rid")).alias("stays"), F.count(F.lit(1)).alias("group_size"), F.max("size").alias("size"))
-    weights = {r["cell"]: r["w"] for r in distinct.groupBy(cell.alias("cell")).agg(F.sum("size").alias("w")).collect()}  # 2**depth cells at most
-    directory = build_directory(weights, depth, capacity)
+    weighed = held.groupBy("key", "sha").agg(F.max("size").alias("size")).groupBy(cell.alias("cell")).agg(F.sum("size").alias("w"))
+    directory = build_directory({r["cell"]: r["w"] for r in weighed.collect()}, depth, capacity)  # 2**depth cells at most
     owned = representatives(rows, directory, depth).repartition(parts, "bucket").sortWithinPartitions("bucket", "key")
-    index = stored(
-        chains(owned).join(distinct, ["key", "sha"]).select("key", "place", "sha", F.col("stays.doc_id").alias("keep_id"), F.col("stays.rid").alias("keep_rid"), "group_size"),
-        "dedup-index",
-    )
+    index = stored(chains(owned), "dedup-index")
     return held.join(index, ["key", "sha"]).select("rid", "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row keeps; all columns stay."""
-    named = with_row_id(docs, "__row")
-    stay = exact_groups(named, "__row").where("kept").select(F.col("rid").alias("__stays"))
-    return named.join(stay, F.col("__row") == F.col("__stays"), "left_semi").select(*docs.columns)
+    named, row = with_row_id(docs)
+    return only_rows(named, row, exact_groups(named, row).where("kept").select("rid"), docs.columns)
