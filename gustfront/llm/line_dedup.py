@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustfront.llm.common import U64, map_batches, mixed, numbered, signed, stored, with_row_id
+from gustfront.session import scratch_path
 
 SHORTEST = 12
 _ODD = 0x9E3779B97F4A7C15
@@ -140,7 +141,7 @@ def bucketed_texts(rows: DataFrame, gone: DataFrame, wanted: DataFrame) -> DataF
     schema = "rid long, doc_id long, n_lines long, whole string, text string, gone array<int>, wanted array<struct<no:int,hash:bigint,sides:int>>"
     every = map_batches(rows.join(notes, "rid", "left").select("rid", "doc_id", "text", "gone", "wanted"), step, schema)
     name = f"gustfront_lines_{uuid.uuid4().hex}"
-    every.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").saveAsTable(name)
+    every.write.option("path", scratch_path(spark, "line-texts")).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").saveAsTable(name)
     return spark.table(name)
 
 
@@ -205,7 +206,8 @@ def neighbours_removed(texts: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """Per row: rid, doc_id, n_lines (not blank), n_removed, kept (the text of the lines that stay; null if all stay), kept_sha256."""
-    rows = numbered(with_row_id(docs, "__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid="__row")
+    named, row = with_row_id(docs)
+    rows = numbered(named, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid=row)
     every = stored(lines_of(rows), "lines")
     place = F.struct("doc_id", "rid", "no")
     firsts = every.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

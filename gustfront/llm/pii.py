@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import map_batches, numbered, stored, with_row_id
+from gustfront.llm.common import free_name, map_batches, numbered, stored, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -322,15 +322,16 @@ def masked(text: str, spans: str) -> str:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked; all columns stay, null texts stay null, ``n_chars`` follows the text if there."""
-    named = with_row_id(docs, "__row")
-    found = find_personal_data(named, "__row").where("spans <> ''").select(F.col("rid").alias("__found"), F.col("spans").alias("__spans"))
+    named, row = with_row_id(docs)
+    rid, spans = free_name(named, "__found"), free_name(named, "__spans")
+    found = find_personal_data(named, row).where("spans <> ''").select(F.col("rid").alias(rid), F.col("spans").alias(spans))
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([masked(t, s) if t is not None and s else t for t, s in zip(texts, spans, strict=True)], dtype=object)
+    def mask(texts: pd.Series, found_: pd.Series) -> pd.Series:
+        return pd.Series([masked(t, s) if t is not None and s else t for t, s in zip(texts, found_, strict=True)], dtype=object)
 
-    changed = F.when(F.col("__spans").isNotNull(), mask(F.col("text").cast("string"), F.col("__spans"))).otherwise(F.col("text").cast("string"))
-    out = named.join(found, F.col("__row") == F.col("__found"), "left").withColumn("text", changed)
+    changed = F.when(F.col(spans).isNotNull(), mask(F.col("text").cast("string"), F.col(spans))).otherwise(F.col("text").cast("string"))
+    out = named.join(found, F.col(row) == F.col(rid), "left").withColumn("text", changed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

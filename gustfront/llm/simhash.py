@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import U64, map_batches, mixed, numbered, signed, stored, texts_as_bytes, with_row_id
+from gustfront.llm.common import U64, map_batches, mixed, numbered, signed, only_rows, stored, texts_as_bytes, with_row_id
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 MASKS = tuple(sum(1 << b for b in range(t, 64, 3)) for t in range(3))
@@ -153,6 +153,5 @@ def near_groups(docs: DataFrame, rid: str | None = None) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns stay."""
-    named = with_row_id(docs, "__row")
-    stay = near_groups(named, "__row").where("kept").select(F.col("rid").alias("__stays"))
-    return named.join(stay, F.col("__row") == F.col("__stays"), "left_semi").select(*docs.columns)
+    named, row = with_row_id(docs)
+    return only_rows(named, row, near_groups(named, row).where("kept").select("rid"), docs.columns)

@@ -54,9 +54,49 @@ def test_directory_splits_until_buckets_fit():
 
 
 def test_chain_keeps_texts_with_one_key_apart(spark):
-    rows = [(0, 7, b"a"), (0, 7, b"b"), (0, 7, b"a"), (0, 8, b"c")]
-    got = exact_dedup.chains(spark.createDataFrame(rows, "bucket int, key long, text binary").coalesce(1)).collect()
-    assert sorted((r["key"], r["place"]) for r in got) == [(7, 0), (7, 1), (8, 0)]
+    rows = [(0, 7, 1, 10, 2, b"a"), (0, 7, 5, 11, 1, b"b"), (0, 7, 3, 12, 4, b"a"), (0, 7, None, 99, 1, b"a"), (0, 8, None, 13, 1, b"c"), (0, 8, None, 14, 1, b"c")]
+    got = exact_dedup.chains(spark.createDataFrame(rows, "bucket int, key long, doc_id long, rid long, n long, text binary").coalesce(1)).collect()
+    assert sorted((r["key"], r["place"], r["keep_rid"], r["group_size"]) for r in got) == [(7, 0, 12, 7), (7, 1, 11, 1), (8, 0, 14, 2)]
+    assert {r["keep_rid"]: r["keep_id"] for r in got} == {12: 3, 11: 5, 14: None}
+
+
+def test_exact_rows_come_through_the_chains(spark, docs, monkeypatch):
+    """Two texts forced onto one key and digest entry stay apart only by the byte comparison; without the chains nothing is returned."""
+    monkeypatch.setattr(exact_dedup, "chains", lambda ordered: spark.createDataFrame([], "key long, place int, sha string, keep_id long, keep_rid long, group_size long"))
+    assert exact_dedup.exact_groups(docs).count() == 0
+
+
+CLASHING = ["__row", "__row_path", "__ROW_place", "__stays", "__found", "__spans", "rid", "key", "node", "root", "shingles"]
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_copies, near_copies.drop_near_copies, simhash.drop_near_copies, pii.mask_personal_data])
+def test_stages_take_columns_with_any_name(spark, tmp_path, stage):
+    texts = ["write to a.b@mail.example.com " + prose(random.Random(n % 3), 60) for n in range(6)]
+    df = spark.createDataFrame([(n, t, *["x"] * len(CLASHING)) for n, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    got = stage(saved(spark, tmp_path / "d", df))
+    assert got.columns == df.columns and got.count() == (6 if stage is pii.mask_personal_data else 3)
+    assert all(r["__row"] == "x" and r["__stays"] == "x" for r in got.collect())
+
+
+def test_windows_of_one_shard_are_spread_over_ranges(spark):
+    rows = [(5, n % 3 if n % 7 else None, n, n % 2) for n in range(2000)] + [(s, 1, s, 0) for s in range(10, 60)] + [(70, None, 1, 4), (70, None, 1, 3)]
+    df = spark.createDataFrame(rows, "shard long, doc_id long, rid long, start int")
+    got = sorted((r["rid"], r["start"]) for r in substring_dedup.not_first(df, 8).collect())
+    first = min(((d is not None, d or 0), r, s) for k, d, r, s in rows if k == 5)
+    assert got == sorted([(r, s) for k, d, r, s in rows if k == 5 and (r, s) != first[1:]] + [(1, 4)])
+
+
+def test_crowd_with_a_shared_core_is_not_listed_as_pairs(spark, tmp_path, monkeypatch):
+    asked = []
+    plain = near_copies.checked
+    monkeypatch.setattr(near_copies, "checked", lambda pairs, sets: (asked.append(pairs.count()), plain(pairs, sets))[1])
+    core = " ".join(f"c{n}" for n in range(130))
+    for size in (100, 300):
+        rng = random.Random(size)
+        texts = [core + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(70)) for _ in range(size)] + [core + " end"] * 2
+        df = saved(spark, tmp_path / f"d{size}", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert near_copies.drop_near_copies(df).count() == size + 1
+    assert sum(asked[2:]) < 4 * sum(asked[:2]) and sum(asked) < 5 * 400
 
 
 def plain_fingerprint(text):
@@ -139,6 +179,7 @@ def passages(seed):
 def test_substring_dedup(spark, tmp_path, monkeypatch, seed, many):
     monkeypatch.setattr(substring_dedup, "MANY_RUNS", many)
     monkeypatch.setattr(common.bounded, "__defaults__", (2000 * seed,))  # sliced batches
+    monkeypatch.setattr(substring_dedup, "SLICE", 2000 * seed)
     monkeypatch.setattr(substring_dedup, "LONGEST_RUN", 7 if seed == 3 else 1 << 10)
     df = saved(spark, tmp_path / "d", frame(spark, passages(seed)))
     rows = listed(df)

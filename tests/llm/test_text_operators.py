@@ -14,7 +14,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gustfront.llm import packing, pii, sentencepiece_codec, token_rollup, topk, toxicity
+from gustfront.llm import common, packing, pii, sentencepiece_codec, token_rollup, topk, toxicity
 from tests.llm.data import SCHEMA, awkward_texts, frame, prose, saved
 
 
@@ -45,7 +45,7 @@ def plain_viterbi(codec, text, pieces):
 def test_codec_is_the_best_segmentation_of_the_whole_text(docs):
     codec = sentencepiece_codec.codec(sentencepiece_codec.model_path(None))
     model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path(None))
-    pieces = {p: (i, model.get_score(i)) for i, p in enumerate(codec.pieces) if p}
+    pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
     checked = {(r["rid"], bytes(r["ids"])) for r in listed(sentencepiece_codec.encode_checked(docs)) if r["round_trip"]}
     coded = listed(sentencepiece_codec.decode(sentencepiece_codec.encode(docs)))
     assert checked == {(r["rid"], bytes(r["ids"])) for r in coded}
@@ -57,6 +57,14 @@ def test_codec_is_the_best_segmentation_of_the_whole_text(docs):
             assert np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() == want
 
 
+def test_cache_keeps_what_was_asked_for_lately():
+    made = []
+    cache = common.Recent(lambda k: made.append(k) or k.upper(), 3)
+    assert [cache[k] for k in "abcabcdab"] == list("ABCABCDAB") and made == list("abcd")  # two generations
+    assert [cache[k] for k in "efgh"] == list("EFGH") and cache["a" * 70] == "A" * 70 and "a" * 70 not in cache
+    assert len(cache) <= 3 and len(cache.older) <= 3
+
+
 # Packing ------------------------------------------------------------------------------------------------------------
 
 
@@ -274,11 +282,11 @@ def test_top_k(spark, tmp_path, monkeypatch, block, group):
     vectors += [(i, [float(x) for x in rng.integers(-1, 2, 20) / 256]) for i in range(150, 260)]  # many ties
     vectors += [(300, None), (301, [None] * 20), (302, [float("nan")] * 20), (303, [float("inf")] * 20), (304, []), (350, [0.5, 0.25]), (351, [1.0, 1.0]), (352, [1e17, 1.0]), (None, [1.0] * 20), (100, vectors[100][1]), (7, [0.0] * 20)]
     df = saved(spark, tmp_path / "v", spark.createDataFrame([(a, b, 1, 2) for a, b in vectors], "vec_id long, embedding array<double>, rank int, score int"))
-    sound = {(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    sound = [(n, i, tuple(int(np.floor(256 * x)) for x in v)) for n, (i, v) in enumerate(vectors) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, a in sound:
+    for m, q, a in sound:
         if q % 50 == 0:
-            found = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in sound if (i, b) != (q, a) and len(a) == len(b))[:5]
+            found = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for n, i, b in sound if n != m and len(a) == len(b))[:5]
             want += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
     got = topk.top_k(df, topk.F.col("vec_id") % 50 == 0).collect()
     assert sorted(map(tuple, got)) == sorted(want)
@@ -292,7 +300,7 @@ def test_top_k_of_nothing(spark):
 
 
 def test_rollup_of_documents(docs, tmp_path):
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoders = {v: packing.encoder(public_tokenizers.path(f"{v}.tiktoken")) for v in token_rollup.VERSIONS}
     last = {}
     for r in docs.collect():
         text = r["text"] or ""
@@ -300,11 +308,14 @@ def test_rollup_of_documents(docs, tmp_path):
             last[text] = r.asDict()
     want = {}
     for text, r in last.items():
-        old = want.get((r["source"], r["lang"]), (0, 0))
-        want[(r["source"], r["lang"])] = (old[0] + 1, old[1] + len(encode(text.strip())) // 2)
+        for version, encode in encoders.items():
+            old = want.get((r["source"], r["lang"], version), (0, 0))
+            want[(r["source"], r["lang"], version)] = (old[0] + 1, old[1] + len(encode(text.strip())) // 2)
     store = token_rollup.maintain(docs, str(tmp_path / "store"))
-    got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in listed(store.totals())}
-    assert got == want and set(store.committed()) == {"load", "retract-copies", "recount-trimmed"}
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["documents"], r["tokens"]) for r in listed(store.totals())}
+    assert got == want and len({k[2] for k in got}) == 2
+    assert set(store.committed()) == {f"{b}-{v}" for b in ("load", "retract-copies", "recount-trimmed") for v in token_rollup.VERSIONS}
+    assert sum(n for (_, _, v), (_, n) in got.items() if v == token_rollup.VERSIONS[0]) != sum(n for (_, _, v), (_, n) in got.items() if v == token_rollup.VERSIONS[1])
 
 
 def test_rollup_batches_are_idempotent(spark, tmp_path):
