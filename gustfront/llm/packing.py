@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -27,13 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import U64, kept_in_worker, map_batches, mixed, numbered, stored
+from gustfront.llm.common import U64, Recent, kept_in_worker, map_batches, mixed, numbered, stored
 
 LENGTH, END, DIMENSIONS, CELL_BITS = 1024, 0, 3, 10
 #: The special string of the byte-level vocabulary and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 VOCABULARY = 50257
-CACHED_WORDS = 150_000
+#: Words of one generation of the cache; it holds two.
+CACHED_WORDS = 200_000
 
 # Letters and numbers of Latin-1; texts with other characters take the slower general splitter.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -42,32 +44,16 @@ _PLAIN = re.compile("[\x00-\xff]*")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
-class _Words(dict):
-    """Ids, as bytes, of the pieces that no merge can cross."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        found = np.array(self.encode(word), dtype="<u2").tobytes()
-        if len(word) < 64:
-            self[word] = found
-        return found
-
-
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text to token ids as little-endian unsigned 16-bit numbers."""
-    return kept_in_worker("byte encoder", path, lambda: _encoder(path))
+    return kept_in_worker(f"byte encoder {path}", path, lambda: _encoder(path))
 
 
 def _encoder(path: str) -> Callable[[str], bytes]:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    words = _Words(bpe.encode_ordinary)
+    words = Recent(lambda word: struct.pack(f"<{len(found := bpe.encode_ordinary(word))}H", *found), CACHED_WORDS)
     special = np.array([SPECIAL_ID], dtype="<u2").tobytes()
 
     def plain(text: str) -> bytes:
