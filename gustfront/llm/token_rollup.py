@@ -78,33 +78,43 @@ def revisions(counts: DataFrame, new: Column) -> DataFrame:
     return counts.select(*GROUP, F.lit(0).alias("documents"), (new - F.coalesce("tokens", F.lit(0))).alias("tokens"))
 
 
-def counted(docs: DataFrame, path: str | None = None, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """Per document: doc_id, source, lang, tokenizer, tokens, tokens of the text without outer white space, text key."""
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Tokenizer versions that the rollup is kept for, in the order in which they came.
+VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
-    @F.pandas_udf("tokens long, trimmed long, key long")
+
+def counted(docs: DataFrame, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
+    """Per document and version: doc_id, source, lang, tokenizer, tokens, tokens of the text without outer white space, text key (128 bits)."""
+    paths = {v: public_tokenizers.path(f"{v}.tiktoken") for v in versions}
+
+    @F.pandas_udf("counts array<struct<tokenizer:string,tokens:bigint,trimmed:bigint>>, key string")
     def count(texts: pd.Series) -> pd.DataFrame:
-        encode, rows = encoder(path), []
+        encoders, rows = {v: encoder(p) for v, p in paths.items()}, []
         for text in texts:
             text = text or ""
-            whole = len(encode(text)) // 2
-            rows.append((whole, whole if text == text.strip() else len(encode(text.strip())) // 2, xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)))
-        return pd.DataFrame(rows, columns=["tokens", "trimmed", "key"], dtype="int64")
+            inner = text.strip()
+            whole = [(v, len(encode(text)) // 2, encode) for v, encode in encoders.items()]
+            rows.append(([{"tokenizer": v, "tokens": n, "trimmed": n if text == inner else len(encode(inner)) // 2} for v, n, encode in whole], xxhash.xxh3_128_hexdigest(text.encode())))
+        return pd.DataFrame(rows, columns=["counts", "key"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), count(F.col("text").cast("string")).alias("c"))
+    return found.select("doc_id", "source", "lang", "c.key", F.explode("c.counts").alias("v")).select("doc_id", "source", "lang", "v.tokenizer", "v.tokens", "v.trimmed", "key")
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), count(F.col("text").cast("string")).alias("c"))
-    return found.select("doc_id", *GROUP, "c.*")
 
+def maintain(docs: DataFrame, folder: str, versions: tuple[str, ...] = VERSIONS) -> RollupStore:
+    """A life of the rollup over ``docs``, for one tokenizer version after the other: all documents come in, all but the largest id of
+    equal texts are retracted, what stays is recounted without outer white space; a retraction arrives twice and counts once.
 
-def maintain(docs: DataFrame, folder: str, path: str | None = None) -> RollupStore:
-    """A life of the rollup over ``docs``: all documents come in, all but the largest id of equal texts are retracted, what stays
-    is recounted without outer white space; the retraction arrives twice and counts once."""
-    counts = stored(counted(docs, path), "token-counts")
+    Of rows that repeat the largest id and its text all stay.
+    """
+    counts = stored(counted(docs, versions), "token-counts")
     last = counts.groupBy("key").agg(F.max("doc_id").alias("last"))
-    copies = stored(counts.join(last, "key").where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", *GROUP, "tokens"), "token-copies")
-    stay = counts.join(last, "key").where(F.col("doc_id").eqNullSafe(F.col("last")) & (F.col("tokens") != F.col("trimmed")))
+    placed = stored(counts.join(last, "key").select("doc_id", *GROUP, "tokens", "trimmed", F.col("doc_id").eqNullSafe(F.col("last")).alias("stays")), "token-copies")
     store = RollupStore(docs.sparkSession, folder)
-    store.apply("load", inserts(counts))
-    store.apply("retract-copies", deletes(copies))
-    store.apply("recount-trimmed", revisions(stay, F.col("trimmed")))
-    store.apply("retract-copies", deletes(copies))
+    for version in versions:
+        own = F.col("tokenizer") == version
+        copies = placed.where(own & ~F.col("stays"))
+        store.apply(f"load-{version}", inserts(counts.where(own)))
+        store.apply(f"retract-copies-{version}", deletes(copies))
+        store.apply(f"recount-trimmed-{version}", revisions(placed.where(own & F.col("stays") & (F.col("tokens") != F.col("trimmed"))), F.col("trimmed")))
+        store.apply(f"retract-copies-{version}", deletes(copies))
     return store
