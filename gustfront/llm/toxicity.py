@@ -166,13 +166,13 @@ def find_hits(text: str, lexicon: FuzzyLexicon) -> tuple[list[str], list[Hit]]:
     found = {w: m for w in set(words) if (m := match(w))}
     if not found:
         return words, []
-    hits, quotes, at = [], 0, 0
+    hits, quotes, at, last = [], 0, 0, max(map(lowered.rfind, _QUOTES))
     for place, m in enumerate(WORD.finditer(lowered)):
         hit = found.get(m[0])
         if hit:
             quotes += sum(lowered.count(q, at, m.start()) for q in _QUOTES)
             at = m.start()
-            hits.append(Hit(place, hit[0], hit[1], quotes % 2 == 1 and any(q in lowered[m.end() : m.end() + 200] for q in _QUOTES)))
+            hits.append(Hit(place, hit[0], hit[1], quotes % 2 == 1 and last >= m.end()))
     return words, hits
 
 
