@@ -16,7 +16,7 @@ chosen by content, and each automaton is built and streamed in the task that own
    automaton; its matching statistic at each word (length of the longest suffix that occurred before) marks windows of
    ``WINDOW`` words that started earlier; then the run itself becomes part of the automaton.
 5. An anchor with very many distinct runs (a passage in much of the corpus) would make one shard large: its runs are cut into
-   single windows, each its own shard, whose first occurrence is found by a partial minimum and a join.
+   single windows, each its own shard; these are range-partitioned in corpus order, where all but the first of a shard follow one of it.
 6. Covered words of all windows are united per row and removed.
 
 Defined cases: null and empty texts have no words; texts of fewer than ``WINDOW`` words lose none; rows that share a ``doc_id`` are ordered
@@ -31,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustfront.llm.common import U64, bounded, map_batches, mixed, numbered, rolled, signed, span_hashes, stored, texts_as_bytes
+from gustfront.llm.common import U64, bounded, map_batches, mixed, numbered, rolled, signed, span_hashes, stored, texts_as_bytes, with_row_id
+from gustfront.session import scratch_path
 
 WINDOW, GRAM = 20, 6
 LONGEST_RUN, MANY_RUNS = 1 << 10, 500
+#: Bytes of text whose words and runs are held as arrays at once; the arrays take about thirty times as much.
+SLICE = 1 << 20
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -167,7 +171,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         times = 1 + several
         return {"anchor": signed(np.repeat(marks, times)), "rid": np.repeat(batch["rid"].to_numpy()[words.row[starts]], times)}
 
-    seen = map_batches(rows.select("rid", "text"), step, "anchor long, rid long")
+    seen = map_batches(rows.select("rid", "text"), step, "anchor long, rid long", SLICE)
     often = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     return seen.join(often, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
 
@@ -185,7 +189,7 @@ def bucketed_texts(rows: DataFrame) -> DataFrame:
 
     every = map_batches(rows.join(repeated_anchors(rows), "rid", "left").select("rid", "doc_id", "text", "anchors"), step, "rid long, doc_id long, n_words long, whole string, text string, anchors array<bigint>")
     name = f"gustfront_substring_{uuid.uuid4().hex}"
-    every.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").saveAsTable(name)
+    every.write.option("path", scratch_path(spark, "substring-texts")).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").saveAsTable(name)
     return spark.table(name)
 
 
@@ -213,7 +217,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
             "start": (starts - words.first[row]).astype(np.int32), "size": sizes.astype(np.int32), "own": several.astype(bool),
         }
 
-    return map_batches(texts.where("anchors is not null").select("rid", "doc_id", "text", "anchors"), step, "anchor long, content long, doc_id long, rid long, start int, size int, own boolean")
+    return map_batches(texts.where("anchors is not null").select("rid", "doc_id", "text", "anchors"), step, "anchor long, content long, doc_id long, rid long, start int, size int, own boolean", SLICE)
 
 
 def words_of(pieces: DataFrame, texts: DataFrame) -> DataFrame:
@@ -235,7 +239,7 @@ def words_of(pieces: DataFrame, texts: DataFrame) -> DataFrame:
         return {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}
 
     joined = texts.select("rid", "doc_id", "text").join(wanted, "rid")
-    return map_batches(joined, step, "shard long, many boolean, doc_id long, rid long, start int, words binary")
+    return map_batches(joined, step, "shard long, many boolean, doc_id long, rid long, start int, words binary", SLICE)
 
 
 def matched(ordered: DataFrame) -> DataFrame:
@@ -258,6 +262,43 @@ def matched(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "rid long, start int, size int")
 
 
+def not_first(windows: DataFrame, parts: int) -> DataFrame:
+    """The windows that another one of their shard precedes, without a group per shard.
+
+    Windows are range-partitioned by shard and corpus order, so that a shard of any size is spread over ranges; a window is a
+    repeat if the one before it is of its shard. For the first window of a range that is the last one of a range before;
+    one row per range reaches the driver to tell.
+    """
+    order = ["shard", "doc_id", "rid", "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last = TaskContext.get().partitionId(), None, None
+        columns = [("part", pa.int32()), ("shard", pa.int64()), ("last", pa.int64()), ("rid", pa.int64()), ("start", pa.int32())]
+        empty = {n: t for n, t in columns}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard = batch["shard"].to_numpy()
+            if first is None:
+                first = {c: batch[c][0].as_py() for c in ("shard", "rid", "start")}
+            again = np.concatenate([[last is not None and shard[0] == last], shard[1:] == shard[:-1]])
+            last = int(shard[-1])
+            take = pa.array(np.flatnonzero(again))
+            none = pa.nulls(len(take))
+            yield pa.RecordBatch.from_arrays([none.cast(empty["part"]), none.cast(empty["shard"]), none.cast(empty["last"]), batch["rid"].take(take), batch["start"].take(take)], names=list(empty))
+        if first is not None:
+            row = {"part": part, "last": last, **first}
+            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in columns], names=list(empty))
+
+    walked = stored(windows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "part int, shard long, last long, rid long, start int"), "windows")
+    before, more = None, []
+    for r in sorted(walked.where("part is not null").collect(), key=lambda r: r["part"]):  # one row per range
+        if before == r["shard"]:
+            more.append((r["rid"], r["start"]))
+        before = r["last"]
+    return walked.where("part is null").select("rid", "start").union(walked.sparkSession.createDataFrame(more, "rid long, start int"))
+
+
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(rid, start, size): stretches of windows that also start earlier."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -269,15 +310,14 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     pieces = firsts.join(kinds, "anchor", "left").where((F.col("kinds") > 1) | F.col("first.own")).select("first.rid", "anchor", "first.start", "first.size", (F.coalesce("kinds", F.lit(1)) > MANY_RUNS).alias("many"))
     words = stored(words_of(pieces, texts), "pieces")
     shards = words.where("not many").select("shard", "doc_id", "rid", "start", "words").repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "rid", "start")
-    single = words.where("many").select("shard", "doc_id", "rid", "start")
-    leading = single.groupBy("shard").agg(F.min(place).alias("first"))
-    later = single.join(leading, "shard").where(~place.eqNullSafe(F.col("first"))).select("rid", "start", F.lit(1).alias("size"))
-    return copies.union(matched(shards)).union(later)
+    later = not_first(words.where("many").select("shard", "doc_id", "rid", "start"), parts)
+    return copies.union(matched(shards)).union(later.select("rid", "start", F.lit(1).alias("size")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: rid, doc_id, n_words, n_removed, kept_sha256, and kept (the words that stay, joined; null if all stay)."""
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named, row = with_row_id(docs)
+    rows = numbered(named, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid=row)
     texts = bucketed_texts(rows)
     spans = repeated_windows(texts).groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
