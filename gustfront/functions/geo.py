@@ -20,12 +20,6 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(h), F.sqrt(F.greatest(F.lit(0.0), 1 - h)))
 
 
-def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
-    """Point on the unit sphere."""
-    flat = F.cos(F.radians(lat))
-    return flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat))
-
-
 def lat_cell(lat: Column, degrees: float) -> Column:
     return F.floor(lat / F.lit(degrees)).cast("long")
 

@@ -122,6 +122,33 @@ def test_nearest_station_brute_force_and_ties(spark, row_by_row):
     assert found == want and found[900][0] == "ATIE" and found[901][0] == found[902][0] == "DATE"
 
 
+@pytest.mark.parametrize("row_by_row", [False, True])
+def test_dense_sites_meet_few_events_each(spark, row_by_row):
+    rng = random.Random(2)
+    sites = [(f"S{n:04d}", rng.uniform(30, 33), rng.uniform(-1, 2)) for n in range(400)] + [(f"T{n:04d}", 31.2 + rng.random() / 5, 0.1 + rng.random() / 5) for n in range(100)]
+    sites += [("ZTIE", 31.0, 0.5), ("ATIE", 31.0, 0.5)]
+    events = [(n, rng.uniform(28, 35), rng.uniform(-3, 4)) for n in range(1000)] + [(n, 31.2 + rng.random() / 4, 0.1 + rng.random() / 4) for n in range(1000, 1300)] + [(2000, 31.0, 0.5)]
+    events_df = spark.createDataFrame(events, "report_id long, lat double, lon double")
+    sites_df = spark.createDataFrame(sites, "station string, lat double, lon double")
+    tree, depth, crowded = proximity._site_tree(sites_df, 150.0)
+    assert depth > 1 and not crowded
+    assert tree.groupBy("level", "cell_y", "cell_x").count().agg(F.max("count")).first()[0] <= proximity.CROWDED
+    found = {r.report_id: (r.station, round(r.dist_km, 6)) for r in proximity.nearest_station(events_df, sites_df, row_by_row=row_by_row).collect()}
+    want = {}
+    for n, lat, lon in events:
+        d, s = min((km(lat, lon, a, b), s) for s, a, b in sites)
+        if d <= 150:
+            want[n] = (s, round(d, 6))
+    assert found == want and found[2000][0] == "ATIE"
+
+
+def test_sites_too_close_for_cells(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "DEEPEST", 2)
+    sites = [(f"S{n:02d}", 35.0 + n * 1e-6, -97.0) for n in range(40)]
+    got = proximity.nearest_station(spark.createDataFrame([(1, 35.1, -97.0), (2, 34.9, -97.0)], "report_id long, lat double, lon double"), spark.createDataFrame(sites, "station string, lat double, lon double"))
+    assert {r.report_id: r.station for r in got.collect()} == {1: "S39", 2: "S00"}
+
+
 def test_exclusion_bounds_are_inclusive(spark):
     warn = [(1, at(), 35.0, -97.0), (2, at(), 40.0, -97.0), (3, at(), 35.0, -90.0)]
     torn = [(at(45), 35.0, -97.0), (at(45.01), 40.0, -97.0), (at(), 35.0, -90.0 + math.degrees(30.01 / 6371 / math.cos(math.radians(35))))]
