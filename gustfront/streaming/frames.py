@@ -39,12 +39,14 @@ def nearest_values(colours: np.ndarray, palette: np.ndarray, values: np.ndarray,
 def frame_grids(images: DataFrame, palettes: dict[str, DataFrame], sample_rate: int) -> DataFrame:
     """One row per picture: its value grid, or the reason for none.
 
-    A picture is decoded once and looked up where it lies: its distinct colours meet the palette, which travels as one
-    array per type, and no pixel is shuffled or joined. An unreadable picture, or one without a palette, fails alone.
+    A picture is decoded once and looked up where it lies: its distinct colours meet the palette, which travels as flat
+    arrays per type (a row object for each entry would cost Python a hundred times the picture), and no pixel is shuffled or joined. An unreadable picture, or one without a palette, fails alone.
     """
     table = None
     for kind, palette in palettes.items():
-        one = palette.agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "value"))).alias("palette")).withColumn("radar_type", F.lit(kind))
+        entries = palette.agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "value"))).alias("e"))
+        rgb = F.flatten(F.transform("e", lambda p: F.array(p["r"], p["g"], p["b"])))
+        one = entries.select(rgb.cast("array<int>").alias("rgb"), F.col("e.value").cast("array<double>").alias("scale"), F.lit(kind).alias("radar_type"))
         table = one if table is None else table.unionByName(one)
     typed = type_of_frames(images, "origin").select("origin", "radar_type", "height", "width", "nChannels", "data").join(table, "radar_type", "left")
 
@@ -52,10 +54,10 @@ def frame_grids(images: DataFrame, palettes: dict[str, DataFrame], sample_rate:
         height, width, channels = int(row.height), int(row.width), int(row.nChannels)
         if row.data is None or height <= 0 or width <= 0 or len(row.data) != height * width * channels:
             return None, "not a readable picture"
-        if row.palette is None or not len(row.palette):
+        if row.rgb is None or not len(row.rgb):
             return None, "no palette for this type"
         if row.radar_type not in known:
-            known[row.radar_type] = np.array([[p["r"], p["g"], p["b"]] for p in row.palette]), np.array([p["value"] for p in row.palette])
+            known[row.radar_type] = np.asarray(row.rgb, dtype=np.int64).reshape(-1, 3), np.asarray(row.scale, dtype=np.float64)
         raster = np.frombuffer(row.data, dtype=np.uint8).reshape(height, width, channels)[::sample_rate, ::sample_rate].astype(np.int64)
         blue, green, red = raster[:, :, [0, 0, 0] if channels == 1 else [0, 1, 2]].transpose(2, 0, 1)
         colours, place = np.unique((red << 16) | (green << 8) | blue, return_inverse=True)

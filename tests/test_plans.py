@@ -74,3 +74,14 @@ def test_rasters_are_exchanged_once(spark, name):
 
 def test_differences_need_no_window(spark):
     assert "Window" not in plan(RUNS["w02_w03_neighbour_differences"](spark, FOLDER))
+
+
+def test_palette_reaches_python_as_flat_arrays(spark, monkeypatch):
+    from gustfront.streaming import frames
+
+    images = spark.createDataFrame([("radar_base_velocity_1.png", 1, 1, 3, bytearray(3))], "origin string, height int, width int, nChannels int, data binary")
+    palette = spark.createDataFrame([(1, 9, 9, 9, 7.0), (0, 1, 2, 3, 4.0)], "x int, r int, g int, b int, value double")
+    seen, plain = [], type(images).mapInPandas
+    monkeypatch.setattr(type(images), "mapInPandas", lambda self, *a, **k: seen.append(self.schema.simpleString()) or plain(self, *a, **k))
+    assert frames.frame_grids(images, {"velocity": palette}, 1).first()["data"] == [[4.0]]
+    assert seen and "array<struct" not in seen[0]
