@@ -10,7 +10,7 @@ from gustfront.catalog.raster import FOUND
 from gustfront.catalog.registry import query, rnd, sql_rnd, sql_stamp, stamp
 from gustfront.operators import palette, service
 from gustfront.schemas import ALERT_COLLECTION, OBSERVATION, SERVICE_STATUS, STATION_COLLECTION
-from gustfront.session import scratch_path
+from gustfront.session import materialise, scratch_path
 from gustfront.sinks import tables
 from gustfront.sources import feeds, frames, reports
 
@@ -187,7 +187,7 @@ def _(i):
 @query("k01_committed_append", MANIFEST_SQL)
 def _(i):
     path = scratch_path(i.spark, "manifest")
-    rows = manifest_rows(i)
+    rows = materialise(manifest_rows(i), "manifest-rows")  # three runs deliver the same rows
     half = rows.where(F.crc32("event_id") % 2 == 0)
     for part in (half, rows, rows):  # a broken-off run, its resumption, and a run with nothing to do
         tables.append_events(part, path, partition="class")

@@ -85,3 +85,12 @@ def test_palette_reaches_python_as_flat_arrays(spark, monkeypatch):
     monkeypatch.setattr(type(images), "mapInPandas", lambda self, *a, **k: seen.append(self.schema.simpleString()) or plain(self, *a, **k))
     assert frames.frame_grids(images, {"velocity": palette}, 1).first()["data"] == [[4.0]]
     assert seen and "array<struct" not in seen[0]
+
+
+def test_appended_manifest_is_computed_once(spark, monkeypatch):
+    from gustfront.sinks import tables
+
+    read, plain = [], tables.append_events
+    monkeypatch.setattr(tables, "append_events", lambda part, *a, **k: read.extend(part.inputFiles()) or plain(part, *a, **k))
+    RUNS["k01_committed_append"](spark, FOLDER)
+    assert read and not any("orders.parquet" in f for f in read)
