@@ -16,7 +16,8 @@ chosen by content, and each automaton is built and streamed in the task that own
    automaton; its matching statistic at each word (length of the longest suffix that occurred before) marks windows of
    ``WINDOW`` words that started earlier; then the run itself becomes part of the automaton.
 5. An anchor with very many distinct runs (a passage in much of the corpus) would make one shard large: its runs are cut into
-   single windows, each its own shard; these are range-partitioned in corpus order, where all but the first of a shard follow one of it.
+   single windows, each its own shard, of which only the first of each slice of texts is passed on; a run is then repeated but for
+   the windows that are the first of their shard in the corpus.
 6. Covered words of all windows are united per row and removed.
 
 Defined cases: null and empty texts have no words; texts of fewer than ``WINDOW`` words lose none; rows that share a ``doc_id`` are ordered
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,25 +221,46 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
 
 
 def words_of(pieces: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pieces`` (rid, anchor, start, size, many) with their word hashes; cut into single windows where ``many``."""
+    """``pieces`` (rid, anchor, start, size, many) with their word hashes; where ``many``, cut into single windows.
+
+    Of equal windows of a slice of texts only the first is given, so a passage of much of the corpus gives a row a slice.
+    """
     wanted = pieces.groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "size", "many")).alias("pieces"))
 
     def step(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("shard", "many", "doc_id", "rid", "start", "words")}
+        out: dict[str, list] = {k: [] for k in ("shard", "many", "doc_id", "rid", "start", "piece", "words")}
         words_ = Words(texts_as_bytes(batch["text"]))
         every = signed(rolled(words_.hashes, WINDOW))
-        for at, end, rid, doc_id, pieces_ in zip(words_.first[:-1].tolist(), words_.first[1:].tolist(), batch["rid"].to_pylist(), batch["doc_id"].to_pylist(), batch["pieces"].to_pylist(), strict=True):
-            hashes, windows = words_.hashes[at:end], every[at:end]
-            for p in pieces_:
-                cut = [(int(windows[k]), k, b"") for k in range(p["start"], p["start"] + p["size"])] if p["many"] else [(p["anchor"], p["start"], hashes[p["start"] : p["start"] + p["size"] + WINDOW - 1].tobytes())]
-                for shard, start, words in cut:
-                    for name, value in (("shard", shard), ("many", p["many"]), ("doc_id", doc_id), ("rid", rid), ("start", start), ("words", words)):
-                        out[name].append(value)
-        types = {"many": pa.bool_(), "start": pa.int32(), "words": pa.binary()}
+        docs, rids = batch["doc_id"].to_pylist(), batch["rid"].to_pylist()
+        order = sorted(range(batch.num_rows), key=lambda k: (docs[k] is not None, docs[k] or 0, rids[k]))
+        cut: list[tuple[int, int, int]] = []  # row, first word and size of the pieces that are cut, in corpus order
+        for k, pieces_ in ((k, batch["pieces"][k].as_py()) for k in order):
+            at = int(words_.first[k])
+            for p in sorted(pieces_, key=lambda p: p["start"]):
+                if p["many"]:
+                    cut.append((k, p["start"], p["size"]))
+                    continue
+                words = words_.hashes[at + p["start"] : at + p["start"] + p["size"] + WINDOW - 1].tobytes()
+                for name, value in (("shard", p["anchor"]), ("many", False), ("doc_id", docs[k]), ("rid", rids[k]), ("start", p["start"]), ("piece", p["start"]), ("words", words)):
+                    out[name].append(value)
+        if cut:
+            row, start, size = (np.array(x, dtype=np.int64) for x in zip(*cut, strict=True))
+            of = np.repeat(np.arange(len(cut)), size)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of]
+            shards, first = np.unique(every[words_.first[row[of]] + place], return_index=True)
+            kept, places = row[of[first]].tolist(), place[first].tolist()
+            out["shard"] += shards.tolist()
+            out["many"] += [True] * len(first)
+            out["doc_id"] += [docs[k] for k in kept]
+            out["rid"] += [rids[k] for k in kept]
+            out["start"] += places
+            out["piece"] += start[of[first]].tolist()
+            out["words"] += [b""] * len(first)
+        types = {"many": pa.bool_(), "start": pa.int32(), "piece": pa.int32(), "words": pa.binary()}
         return {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}
 
     joined = texts.select("rid", "doc_id", "text").join(wanted, "rid")
-    return map_batches(joined, step, "shard long, many boolean, doc_id long, rid long, start int, words binary", SLICE)
+    return map_batches(joined, step, "shard long, many boolean, doc_id long, rid long, start int, piece int, words binary", SLICE)
 
 
 def matched(ordered: DataFrame) -> DataFrame:
@@ -263,40 +284,26 @@ def matched(ordered: DataFrame) -> DataFrame:
 
 
 def not_first(windows: DataFrame, parts: int) -> DataFrame:
-    """The windows that another one of their shard precedes, without a group per shard.
+    """The windows (rid, start) that another one of their shard precedes, dealt into ``parts``; ``after_first`` gives them as stretches.
 
-    Windows are range-partitioned by shard and corpus order, so that a shard of any size is spread over ranges; a window is a
-    repeat if the one before it is of its shard. For the first window of a range that is the last one of a range before;
-    one row per range reaches the driver to tell.
+    The first windows are partial minima before anything moves, so a shard of any size is no group in one task.
     """
-    order = ["shard", "doc_id", "rid", "start"]
+    firsts = windows.groupBy("shard").agg(F.min(F.struct("doc_id", "rid", "start")).alias("w")).select("shard", "w.rid", "w.start")
+    return windows.select("shard", "rid", "start").repartition(parts, "shard", "rid", "start").join(firsts, ["shard", "rid", "start"], "left_anti").select("rid", "start")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, last = TaskContext.get().partitionId(), None, None
-        columns = [("part", pa.int32()), ("shard", pa.int64()), ("last", pa.int64()), ("rid", pa.int64()), ("start", pa.int32())]
-        empty = {n: t for n, t in columns}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = batch["shard"].to_numpy()
-            if first is None:
-                first = {c: batch[c][0].as_py() for c in ("shard", "rid", "start")}
-            again = np.concatenate([[last is not None and shard[0] == last], shard[1:] == shard[:-1]])
-            last = int(shard[-1])
-            take = pa.array(np.flatnonzero(again))
-            none = pa.nulls(len(take))
-            yield pa.RecordBatch.from_arrays([none.cast(empty["part"]), none.cast(empty["shard"]), none.cast(empty["last"]), batch["rid"].take(take), batch["start"].take(take)], names=list(empty))
-        if first is not None:
-            row = {"part": part, "last": last, **first}
-            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in columns], names=list(empty))
-
-    walked = stored(windows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "part int, shard long, last long, rid long, start int"), "windows")
-    before, more = None, []
-    for r in sorted(walked.where("part is not null").collect(), key=lambda r: r["part"]):  # one row per range
-        if before == r["shard"]:
-            more.append((r["rid"], r["start"]))
-        before = r["last"]
-    return walked.where("part is null").select("rid", "start").union(walked.sparkSession.createDataFrame(more, "rid long, start int"))
+
+def after_first(pieces: DataFrame, windows: DataFrame) -> DataFrame:
+    """(rid, start, size): stretches of ``pieces`` (rid, start, size) without the windows that are the first of their shard.
+
+    ``windows`` (shard, doc_id, rid, start, piece) holds at least the first window of every shard, so the rest of a piece
+    is told by what it leaves out and no repeated window is a row of its own.
+    """
+    firsts = windows.groupBy("shard").agg(F.min(F.struct("doc_id", "rid", "start", "piece")).alias("w"))
+    left_out = firsts.groupBy(F.col("w.rid").alias("rid"), F.col("w.piece").alias("start")).agg(F.sort_array(F.collect_list("w.start")).alias("out"))
+    met = pieces.join(left_out, ["rid", "start"], "left").withColumn("end", F.col("start") + F.col("size"))
+    edges = F.concat(F.array(F.col("start") - 1), F.coalesce("out", F.array().cast("array<int>")), F.array("end"))
+    gaps = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("size")))
+    return met.select("rid", F.explode(F.filter(gaps, lambda g: g["size"] > 0)).alias("g")).select("rid", F.col("g.start").cast("int").alias("start"), F.col("g.size").cast("int").alias("size"))
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -308,10 +315,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     copies = every.join(firsts.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(~place.eqNullSafe(F.struct("first.doc_id", "first.rid", "first.start"))).select("rid", "start", "size")
     kinds = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     pieces = firsts.join(kinds, "anchor", "left").where((F.col("kinds") > 1) | F.col("first.own")).select("first.rid", "anchor", "first.start", "first.size", (F.coalesce("kinds", F.lit(1)) > MANY_RUNS).alias("many"))
+    pieces = stored(pieces, "chosen")
     words = stored(words_of(pieces, texts), "pieces")
     shards = words.where("not many").select("shard", "doc_id", "rid", "start", "words").repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "rid", "start")
-    later = not_first(words.where("many").select("shard", "doc_id", "rid", "start"), parts)
-    return copies.union(matched(shards)).union(later.select("rid", "start", F.lit(1).alias("size")))
+    later = after_first(pieces.where("many").select("rid", "start", "size"), words.where("many"))
+    return copies.union(matched(shards)).union(later)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

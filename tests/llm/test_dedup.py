@@ -190,6 +190,17 @@ def test_substring_dedup(spark, tmp_path, monkeypatch, seed, many):
     assert got == plain_repeats(rows)
 
 
+def test_repeated_windows_of_a_common_passage_are_stretches(spark, tmp_path, monkeypatch):
+    """A passage of every text, in as many distinct runs, gives a row for each stretch and not one for each window."""
+    monkeypatch.setattr(substring_dedup, "MANY_RUNS", 20)
+    rng, size = random.Random(8), 200
+    passage = " ".join(f"p{n}" for n in range(80))
+    df = saved(spark, tmp_path / "d", spark.createDataFrame([(n, f"{prose(rng, 9)} u{n} {passage} v{n} {prose(rng, 9)}") for n in range(size)], "doc_id long, text string").coalesce(2))
+    rows = common.numbered(df, "doc_id", "text", rid="doc_id")
+    spans = substring_dedup.repeated_windows(substring_dedup.bucketed_texts(rows)).collect()
+    assert sum(r["size"] for r in spans) == 61 * (size - 1) and len(spans) < 15 * size
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(9)
     automaton, before = substring_dedup.SuffixAutomaton(), []
