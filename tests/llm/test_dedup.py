@@ -99,6 +99,38 @@ def test_crowd_with_a_shared_core_is_not_listed_as_pairs(spark, tmp_path, monkey
     assert sum(asked[2:]) < 4 * sum(asked[:2]) and sum(asked) < 5 * 400
 
 
+def test_strays_beside_a_crowd_are_not_listed_as_pairs(spark, monkeypatch):
+    """A crowd that lies in two components and strays that come close to it: the walk joins what is similar, a row for each joined component."""
+    rng = random.Random(4)
+    core = [rng.getrandbits(63) for _ in range(100)]
+    sets = [sorted(core[:95] + [rng.getrandbits(63) for _ in range(5)]) for _ in range(120)] + [sorted(core[:88] + [rng.getrandbits(63) for _ in range(12)]) for _ in range(4)]
+    sets += [sorted(core[:60] + [rng.getrandbits(63) for _ in range(40)]) for _ in range(20)]
+    near = [(a, b) for a, b in combinations(range(len(sets)), 2) if near_copies.similar(*(near_copies.np.array(sets[k], dtype="uint64") for k in (a, b)))]
+    known = {n: 0 if n < 60 else 60 if n < 120 else n for n in range(len(sets))}
+    held = spark.createDataFrame([(n, near_copies.np.array(s, dtype="uint64").tobytes()) for n, s in enumerate(sets)], "node long, shingles binary")
+    nodes = spark.createDataFrame(list(known.items()), "node long, root long")
+    for block in (2000, 7):
+        monkeypatch.setattr(near_copies, "BLOCK_NODES", block)
+        got = [tuple(r) for r in near_copies.walked(near_copies.mixed_lists(near_copies.prefixes(nodes, held)), held).collect()]
+        assert {tuple(sorted(p)) for p in got} <= set(near)
+        classes = lambda pairs: components_of_pairs(len(sets), [*pairs, *known.items()])
+        assert classes(got) == classes(near) != classes([])
+        assert block == 7 or len(got) < len(sets)  # thousands of pairs lie across the components
+
+
+def components_of_pairs(n, pairs):
+    root = list(range(n))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(k) for k in range(n)]
+
+
 def plain_fingerprint(text):
     words = WORD.findall((text or "").translate(LOWER))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
