@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -27,74 +28,109 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 class SuppressionProcessor(StatefulProcessor):
     """The policy's memory of one scope: ids seen, last send per type, last send of all.
 
+    A call to the state store costs far more than a decision, so none is made for a single id. A scope of at most ``INLINE`` ids is one value,
+    read and written once a batch. The ids of a larger one lie in ``BUCKETS`` hashed buckets, of which a batch touches those of its ids.
+
     Ids older than the ledger span go by poll time, not wall clock, so a replay of old polls decides as the live run
-    did. Every handled id is also noted under the hour it was handled in; when an hour has left the span, the ids
-    noted there are removed, so no sweep reads the ids that stay.
+    did. The buckets that take ids are also noted under the hour these were handled in; when an hour has left the span, the
+    buckets noted there are cleared of old ids, so no sweep reads the buckets that stay.
     """
 
+    INLINE, BUCKETS = 1000, 256
+
     def __init__(self, policy: Policy = Policy()):
         self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "alert_id string", "at bigint")
-        self.noted = handle.getMapState("noted", "hour bigint, part int", "ids array<string>")
+        self.seen = handle.getMapState("seen", "bucket int", "ids array<string>, ats array<bigint>")
+        self.noted = handle.getMapState("noted", "hour bigint, part int", "buckets array<int>")
         self.hours = handle.getMapState("hours", "hour bigint", "parts int")
-        self.types = handle.getMapState("types", "event string", "at bigint")
-        self.head = handle.getValueState("head", "last bigint, cycle bigint, sent int")
+        self.head = handle.getValueState("head", "last bigint, cycle bigint, sent int, events array<string>, sends array<bigint>, ids array<string>, ats array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         """One micro-batch of one scope, bounded by the files of a trigger."""
         polls = pd.concat(list(rows), ignore_index=True).sort_values(["cycle_us", "feed_pos"])
         state = self.load(polls["alert_id"].unique())
-        known, before = dict(state.seen), dict(state.by_type)
+        known = dict(state.seen)
         out = []
         for alert_id, event, now, pos, delivered in zip(polls["alert_id"], polls["event"], polls["cycle_us"].tolist(), polls["feed_pos"].tolist(), polls["delivered"].tolist()):
             state.enter(now, self.policy)
             outcome = state.decide(alert_id, event, now, delivered, self.policy)
             if outcome:
                 out.append((key[0], alert_id, now, pos, outcome))
-        self.store(state, known, before)
+        self.store(state, known)
         yield _decisions(out)
 
+    def bucket(self, alert_id: str) -> int:
+        return zlib.crc32(alert_id.encode()) % self.BUCKETS
+
     def load(self, ids: Iterable[str]) -> ScopeState:
         """The state as far as decisions about ``ids`` need it."""
-        state = ScopeState()
-        if self.head.exists():
-            state.last, state.cycle, state.sent_in_cycle = self.head.get()
-        held = {a: self.seen.getValue((a,))[0] for a in ids if a is not None and self.seen.containsKey((a,))}
+        state, held, self.inline = ScopeState(), {}, True
+        head = self.head.get()
+        if head:
+            state.last, state.cycle, state.sent_in_cycle, events, sends, inline, ats = head
+            state.by_type = dict(zip(events, sends, strict=True))
+            self.inline = inline is not None
+            held = dict(zip(inline, ats, strict=True)) if self.inline else self.stored_ids({self.bucket(a) for a in ids if isinstance(a, str)})
         state.seen = dict(sorted(held.items(), key=lambda x: x[1]))
-        state.by_type = {k[0]: v[0] for k, v in self.types.iterator()}
         return state
 
-    def store(self, state: ScopeState, known: dict[str, int], before: dict[str, int]) -> None:
-        fresh: dict[int, list[str]] = {}
-        for alert_id, at in state.seen.items():
+    def stored_ids(self, buckets: set[int]) -> dict[str, int]:
+        if 4 * len(buckets) > self.BUCKETS:
+            values = (v for (k,), v in self.seen.iterator() if k in buckets)
+        else:
+            values = (self.seen.getValue((k,)) for k in sorted(buckets) if self.seen.containsKey((k,)))
+        return {a: at for ids, ats in values for a, at in zip(ids, ats, strict=True)}
+
+    def store(self, state: ScopeState, known: dict[str, int]) -> None:
+        cutoff = None if state.cycle is None else state.cycle - self.policy.keep_seconds * 1_000_000
+        seen = state.seen if cutoff is None else {a: at for a, at in state.seen.items() if at >= cutoff}
+        inline = self.inline and len(seen) <= self.INLINE
+        if not inline:
+            self.store_ids(seen, {} if self.inline else known)
+            if cutoff is not None:
+                self.forget(cutoff)
+        ids = (list(seen), list(seen.values())) if inline else (None, None)
+        self.head.update((state.last, state.cycle, state.sent_in_cycle, list(state.by_type), list(state.by_type.values()), *ids))
+
+    def store_ids(self, seen: dict[str, int], known: dict[str, int]) -> None:
+        """Write the buckets in which ids are new; all ids of these have been read."""
+        fresh: dict[int, set[int]] = {}
+        for alert_id, at in seen.items():
             if known.get(alert_id) != at:
-                self.seen.updateValue((alert_id,), (at,))
-                fresh.setdefault(at // HOUR, []).append(alert_id)
-        for hour, ids in fresh.items():
+                fresh.setdefault(at // HOUR, set()).add(self.bucket(alert_id))
+        touched = set().union(*fresh.values())
+        held: dict[int, list[tuple[str, int]]] = {}
+        for alert_id, at in seen.items():
+            if (k := self.bucket(alert_id)) in touched:
+                held.setdefault(k, []).append((alert_id, at))
+        for k, pairs in held.items():
+            self.seen.updateValue((k,), ([a for a, _ in pairs], [at for _, at in pairs]))
+        for hour, buckets in fresh.items():
             part = self.hours.getValue((hour,))[0] if self.hours.containsKey((hour,)) else 0
-            self.noted.updateValue((hour, part), (ids,))
+            self.noted.updateValue((hour, part), (sorted(buckets),))
             self.hours.updateValue((hour,), (part + 1,))
-        for event, at in state.by_type.items():
-            if before.get(event) != at:
-                self.types.updateValue((event,), (at,))
-        self.head.update((state.last, state.cycle, state.sent_in_cycle))
-        if state.cycle is not None:
-            self.forget(state.cycle - self.policy.keep_seconds * 1_000_000)
 
     def forget(self, cutoff: int) -> None:
         """Remove the ids handled before ``cutoff`` of hours that have wholly passed it."""
+        old: set[int] = set()
         for (hour,), (parts,) in list(self.hours.iterator()):  # one entry per hour of the span
             if (hour + 1) * HOUR > cutoff:
                 continue
             for part in range(parts):
-                for alert_id in self.noted.getValue((hour, part))[0]:
-                    if self.seen.containsKey((alert_id,)) and self.seen.getValue((alert_id,))[0] < cutoff:
-                        self.seen.removeKey((alert_id,))
+                old.update(self.noted.getValue((hour, part))[0])
                 self.noted.removeKey((hour, part))
             self.hours.removeKey((hour,))
+        for k in sorted(old):
+            if self.seen.containsKey((k,)):
+                ids, ats = self.seen.getValue((k,))
+                stay = [(a, at) for a, at in zip(ids, ats, strict=True) if at >= cutoff]
+                if not stay:
+                    self.seen.removeKey((k,))
+                elif len(stay) < len(ids):
+                    self.seen.updateValue((k,), ([a for a, _ in stay], [at for _, at in stay]))
 
     def close(self) -> None:
         pass
@@ -144,7 +180,7 @@ class PendingProcessor(SuppressionProcessor):
         was = {k[0]: tuple(v) for k, v in self.waiting.iterator()}
         waiting = {a: list(v) for a, v in was.items()}
         state = self.load({x[2] for x in arrived} | set(waiting))
-        known, before = dict(state.seen), dict(state.by_type)
+        known = dict(state.seen)
         out, at = [], 0
         while True:
             now = min([w[4] for w in waiting.values()] + ([arrived[at][0]] if at < len(arrived) else []), default=self.FAR)
@@ -177,7 +213,7 @@ class PendingProcessor(SuppressionProcessor):
                                 heapq.heappush(offers, (w[1], other))
                             else:
                                 w[4] = min(w[4], self.after(now))
-        self.store(state, known, before)
+        self.store(state, known)
         for alert_id in was.keys() - waiting.keys():
             self.waiting.removeKey((alert_id,))
         for alert_id, w in waiting.items():
@@ -341,6 +377,7 @@ class AsOfProcessor(StatefulProcessor):
         self.timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        first = self.LAST
         for part in rows:  # in pieces, whatever their order
             told = part.loc[part["row"].isna(), ["at_us", "score_id", "score", "status"]]
             if len(told):
@@ -348,7 +385,14 @@ class AsOfProcessor(StatefulProcessor):
             asked = part.loc[part["row"].notna(), ["at_us", "row"]]
             if len(asked):
                 self.waiting.appendList([(int(at), row) for at, row in asked.itertuples(index=False)])
-        yield self.answer(timer_values.getCurrentWatermarkInMs() * 1000)
+                first = min(int(asked["at_us"].min()), first)
+        passed, standing = timer_values.getCurrentWatermarkInMs(), self.timer.get() if self.timer.exists() else None
+        due = min(self.due(first), standing[0]) if standing else self.due(first) if first < self.LAST else None
+        if due is None or due <= passed:
+            yield self.answer(passed * 1000)
+        else:  # nothing that waits can be answered yet, so nothing that is kept is read
+            self.set_timer(due)
+            yield self.answers([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.timer.clear()
@@ -371,17 +415,28 @@ class AsOfProcessor(StatefulProcessor):
         old = max(0, bisect.bisect_left(times, (passed,)) - 1)
         if old:
             self.scores.put(known[old:])
-        due = -(-waiting[ready][0] // 1000) + 1 if waiting[ready:] else None
+        self.set_timer(self.due(waiting[ready][0]) if waiting[ready:] else None)
+        return self.answers(out)
+
+    @staticmethod
+    def answers(rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["row", "score_us", "score_id", "score", "status"])
+        return made.astype({"score_us": "Int64", "score_id": "Int64", "score": "float64"})
+
+    LAST = (1 << 63) - 1
+
+    @staticmethod
+    def due(at: int) -> int:
+        """The watermark (milliseconds) at which an alert of ``at`` (microseconds) can be answered."""
+        return -(-at // 1000) + 1
+
+    def set_timer(self, due: int | None) -> None:
         standing = self.timer.get()[0] if self.timer.exists() else None
         if due is not None and standing != due:
             if standing in list(self.handle.listTimers()):
                 self.handle.deleteTimer(standing)
             self.handle.registerTimer(due)
             self.timer.update((due,))
-        made = pd.DataFrame(out, columns=["row", "score_us", "score_id", "score", "status"])
-        return made.astype({"score_us": "Int64", "score_id": "Int64", "score": "float64"})
-
-    LAST = (1 << 63) - 1
 
     def close(self) -> None:
         pass

@@ -325,6 +325,36 @@ def test_ids_are_forgotten_by_the_hour():
     assert len(p.seen) <= 2 * 3 * 50 and len(p.hours) <= 50 and len(p.noted) <= 150
 
 
+@pytest.mark.parametrize("inline", [1000, 8])
+def test_state_is_called_by_batch_and_not_by_id(monkeypatch, inline):
+    import pandas as pd
+
+    calls = []
+    counted = lambda kind, name: lambda *a: (calls.append(name), getattr(kind, name)(*a))[1]
+    spied = lambda kind, *names: type("Spy", (kind,), {n: counted(kind, n) for n in names})
+    handle = Handle()
+    handle.getMapState = lambda *a: spied(MapState, "containsKey", "removeKey", "updateValue", "getValue", "iterator")()
+    handle.getValueState = lambda *a: spied(ValueState, "exists", "get", "update")()
+    monkeypatch.setattr(stateful.SuppressionProcessor, "INLINE", inline)
+    monkeypatch.setattr(stateful.SuppressionProcessor, "BUCKETS", 16)
+    policy = suppression.Policy(cap_seconds=3600, cool_off_seconds=600)
+    p, whole, rng, got, want = stateful.SuppressionProcessor(policy), suppression.ScopeState(), np.random.default_rng(3), [], []
+    p.init(handle)
+    for hours in range(0, 400, 8):
+        at = np.sort(rng.integers(hours * 60, (hours + 8) * 60, 200)) * 60_000_000
+        rows = pd.DataFrame({"alert_id": [f"a{n}" for n in rng.integers(0, 900, 200)], "event": rng.choice(["E", "F", "G"], 200), "cycle_us": at, "feed_pos": np.arange(200), "delivered": rng.random(200) < 0.8})
+        before = len(calls)
+        made = next(iter(p.handleInputRows(("s",), iter([rows]), None)))
+        got += list(zip(made["cycle_us"].tolist(), made["feed_pos"].tolist(), made["outcome"]))
+        assert len(calls) - before <= (2 if inline == 1000 else 150)
+        for r in rows.itertuples():
+            whole.enter(r.cycle_us, policy)
+            outcome = whole.decide(r.alert_id, r.event, r.cycle_us, r.delivered, policy)
+            want += [(r.cycle_us, r.feed_pos, outcome)] if outcome else []
+    assert got == want and len(p.seen) <= 16 and len(p.hours) <= 50
+    assert bool(p.seen) == (inline == 8)
+
+
 def test_frame_stream_from_pictures(spark, tmp_path):
     scale = [(x, 10 * x, 255 - 10 * x, 5 * x) for x in range(25)]
     pal = spark.createDataFrame([(x, r, g, b, -20 + 90 * x / 25) for x, r, g, b in scale], "x int, r int, g int, b int, value double")
