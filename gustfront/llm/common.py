@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -58,7 +57,7 @@ def only_rows(named: DataFrame, row: str, stay: DataFrame, columns: list[str]) -
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str, limit: int | None = None) -> DataFrame:
-    """Apply ``step`` (batch to columns) to every Arrow batch, in slices of about ``limit`` bytes (else those of ``bounded``)."""
+    """Apply ``step`` (batch to columns) to every Arrow batch, in slices of at most ``limit`` bytes (else those of ``bounded``)."""
     names = StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +71,13 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], sc
 
 
 def bounded(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``limit`` bytes, so that a batch of very long texts needs no more memory than others."""
-    parts = max(1, min(batch.num_rows, math.ceil(batch.nbytes / limit)))
-    size = math.ceil(batch.num_rows / parts) if batch.num_rows else 1
-    for start in range(0, batch.num_rows, size):
-        yield batch.slice(start, size)
+    """Slices of at most ``limit`` bytes (or one row), so that a batch needs no more memory where very long texts lie side by side."""
+    if batch.num_rows > 1 and batch.nbytes > limit:
+        half = batch.num_rows // 2
+        yield from bounded(batch.slice(0, half), limit)
+        yield from bounded(batch.slice(half), limit)
+    elif batch.num_rows:
+        yield batch
 
 
 def kept_in_worker(kind: str, key, make: Callable):

@@ -41,7 +41,7 @@ from gustfront.session import scratch_path
 WINDOW, GRAM = 20, 6
 LONGEST_RUN, MANY_RUNS = 1 << 10, 500
 #: Bytes of text whose words and runs are held as arrays at once; the arrays take about thirty times as much.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -187,7 +187,7 @@ def bucketed_texts(rows: DataFrame) -> DataFrame:
         needed = pa.array([t if has else None for t, has in zip(texts, batch["anchors"].is_valid().to_pylist(), strict=True)], pa.binary())
         return {"rid": batch["rid"], "doc_id": batch["doc_id"], "n_words": pa.array(map(len, words), pa.int64()), "whole": whole, "text": needed.cast(pa.string()), "anchors": batch["anchors"]}
 
-    every = map_batches(rows.join(repeated_anchors(rows), "rid", "left").select("rid", "doc_id", "text", "anchors"), step, "rid long, doc_id long, n_words long, whole string, text string, anchors array<bigint>")
+    every = map_batches(rows.join(repeated_anchors(rows), "rid", "left").select("rid", "doc_id", "text", "anchors"), step, "rid long, doc_id long, n_words long, whole string, text string, anchors array<bigint>", SLICE)
     name = f"gustfront_substring_{uuid.uuid4().hex}"
     every.write.option("path", scratch_path(spark, "substring-texts")).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").saveAsTable(name)
     return spark.table(name)
@@ -345,4 +345,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return {"rid": batch["rid"], "doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.string())}
 
     joined = texts.drop("anchors").join(spans, "rid", "left")
-    return map_batches(joined, step, "rid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return map_batches(joined, step, "rid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", SLICE)

@@ -5,6 +5,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -366,3 +368,12 @@ def test_splits_may_change_between_the_passes(spark, tmp_path, monkeypatch, stag
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == want
+
+
+def test_slices_are_bounded_where_long_texts_lie_side_by_side():
+    texts = ["x" * 50_000] * 60 + ["y"] * 6000 + ["z" * 300_000]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "n": list(range(len(texts)))})
+    pieces = list(common.bounded(batch, 1 << 18))
+    assert [x for p in pieces for x in p["n"].to_pylist()] == list(range(len(texts)))
+    assert all(p.nbytes <= 1 << 18 or p.num_rows == 1 for p in pieces)
+    assert list(common.bounded(batch.slice(0, 0))) == []
