@@ -377,3 +377,20 @@ def test_slices_are_bounded_where_long_texts_lie_side_by_side():
     assert [x for p in pieces for x in p["n"].to_pylist()] == list(range(len(texts)))
     assert all(p.nbytes <= 1 << 18 or p.num_rows == 1 for p in pieces)
     assert list(common.bounded(batch.slice(0, 0))) == []
+
+
+def test_bands_follow_the_formula_on_hashes_that_are_multiples():
+    # a factor alone is no random order: zero is the least of every set, and of 0, d, 2d, ... the same few are least again and again
+    u64, rng = near_copies.U64, np.random.default_rng(5)
+    one, other = np.array([0, 3, 5, 7, 11, 13, 17, 19, 23], dtype=u64), np.array([0, *range(100, 108)], dtype=u64)
+    assert not (near_copies.band_keys(one) == near_copies.band_keys(other)).all()
+    least = near_copies.permuted(np.arange(16, dtype=u64)).argmin(axis=1)
+    assert np.bincount(least, minlength=16).max() < 30  # 160 permutations, 10 each on average
+    shared = []
+    for _ in range(150):  # a similarity of 0.6: a band agrees with probability 0.6**5
+        step, names = u64(rng.integers(1, 1 << 62)), rng.permutation(400).astype(u64)
+        a, b = names[:80] * step, names[20:100] * step
+        shared.append((near_copies.band_keys(np.sort(a)) == near_copies.band_keys(np.sort(b))).mean())
+    assert abs(np.mean(shared) - 0.6**5) < 0.01
+    whole = near_copies.permuted(np.arange(5000, dtype=u64))
+    assert all(len(np.unique(row)) == 5000 for row in whole)
