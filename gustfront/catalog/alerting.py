@@ -8,6 +8,7 @@ from gustfront.catalog.registry import query, sql_stamp, stamp
 from gustfront.constants import ALLOWED_EVENTS, EVENT_CODES
 from gustfront.functions import text
 from gustfront.operators import service, suppression, timeline
+from gustfront.session import dealt_alike
 
 ALLOWED = "event in (" + ", ".join(f"'{e}'" for e in ALLOWED_EVENTS) + ")"
 
@@ -156,9 +157,8 @@ SCOPED = f"""sc as (select cast(e.user_id as string) as scope, 'u' || cast(e.eve
 
 
 def scoped_alerts(i):
-    joined = i.alerts.join(i.events.select(F.col("event_id").alias("feed_pos"), "user_id"), "feed_pos")
-    allowed = joined.where(F.col("event").isin(*ALLOWED_EVENTS))
-    return allowed.select(
+    alerts, users = dealt_alike(i.alerts.where(F.col("event").isin(*ALLOWED_EVENTS)), i.events.select(F.col("event_id").alias("feed_pos"), "user_id"), "feed_pos")
+    return alerts.join(users, "feed_pos").select(
         F.col("user_id").cast("string").alias("scope"), F.concat(F.lit("u"), (F.col("feed_pos") % 3000).cast("string")).alias("alert_id"), "event", "cycle_ts", "feed_pos",
         (F.col("feed_pos") % 6 != 0).alias("delivered"),
     )

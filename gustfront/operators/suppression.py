@@ -99,6 +99,8 @@ DECISIONS = "scope string, alert_id string, cycle_us bigint, feed_pos bigint, ou
 
 #: Polls of one scope that a chunk of its replay holds, about: seconds of work, so that a round's fixed cost is small beside it.
 CHUNK_POLLS = 500_000
+#: Polls for which a step of the replay has a task of its own, about; the number of tasks grows with the input, not what one holds.
+TASK_POLLS = 50_000
 EMPTY_STATE = "[[], [], null]"
 _KEYS = ["scope", "segment", "chunk"]
 _REPLAYED = "scope string, segment bigint, chunk bigint, alert_id string, cycle_us bigint, feed_pos bigint, outcome string, exit string"
@@ -129,13 +131,13 @@ def _slim(alerts: DataFrame) -> DataFrame:
     )
 
 
-def _chunks(slim: DataFrame, policy: Policy, chunk_polls: int) -> DataFrame:
+def _chunks(slim: DataFrame, policy: Policy, chunk_polls: int, parts: int) -> DataFrame:
     """Segment and chunk of every scope-hour. Only scope-hours are ordered.
 
     Segments are stretches of a scope separated by so many quiet hours that nothing survives the gap. A long segment is cut
     into chunks at full hours; an hour is never cut.
     """
-    hours = slim.groupBy("scope", "hour").agg(F.count(F.lit(1)).alias("n"))
+    hours = slim.repartition(parts, "scope", "hour").groupBy("scope", "hour").agg(F.count(F.lit(1)).alias("n")).repartition(parts, "scope")
     order = Window.partitionBy("scope").orderBy("hour")
     longest = max(policy.keep_seconds, policy.cap_seconds, policy.cool_off_seconds)
     fresh = (F.col("hour") - F.lag("hour").over(order) >= longest // 3600 + 2).cast("int")
@@ -146,12 +148,12 @@ def _chunks(slim: DataFrame, policy: Policy, chunk_polls: int) -> DataFrame:
     return filled.select("scope", "hour", "segment", number.cast("long").alias("chunk"))
 
 
-def _replayed(polls: DataFrame, policy: Policy) -> DataFrame:
+def _replayed(polls: DataFrame, policy: Policy, parts: int) -> DataFrame:
     """Decisions of every chunk, from its ``entry`` row's state or an empty one, and one row with the state it ends in.
 
     A chunk is streamed from the sorted shuffle in Arrow batches; its entry row sorts before its polls.
     """
-    ordered = polls.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "cycle_us", "feed_pos")
+    ordered = polls.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS, "cycle_us", "feed_pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, current = ScopeState(), None
@@ -187,15 +189,18 @@ def replay_in_rounds(alerts: DataFrame, policy: Policy = Policy(), chunk_polls:
     empty state, then, again at once, each chunk whose predecessor ended in another state than the chunk began with, until none
     is left. A chunk is right once all before it are, so there are at most as many rounds as a segment has chunks, and
     few where types or ids pause now and then. States and decisions stay in tables of the shared folder; the
-    driver sees counts only.
+    driver sees counts only. The number of tasks follows the number of polls (``TASK_POLLS``), as adaptive coalescing would let a task
+    grow with the input.
     """
     spark = alerts.sparkSession
-    slim = _slim(alerts)
-    chunks = materialise(_chunks(slim, policy, chunk_polls), "replay-chunks")
-    placed = slim.join(chunks, ["scope", "hour"]).drop("hour").withColumn("entry", F.lit(None).cast("string"))
+    slim = materialise(_slim(alerts), "replay-slim")
+    parts = max(1, -(-slim.count() // TASK_POLLS))
+    chunks = materialise(_chunks(slim, policy, chunk_polls, parts), "replay-chunks")
+    hourly = ["scope", "hour"]
+    placed = slim.repartition(parts, *hourly).join(chunks.repartition(parts, *hourly), hourly).drop("hour").withColumn("entry", F.lit(None).cast("string"))
     long = chunks.where("chunk > 0").select("scope", "segment").distinct()
     if long.isEmpty():
-        return _replayed(placed, policy), [chunks.select(*_KEYS).distinct().count()]
+        return _replayed(placed, policy, parts), [chunks.select(*_KEYS).distinct().count()]
     polls = materialise(placed.join(long, ["scope", "segment"], "left_semi"), "replay-polls")
     known = chunks.join(long, ["scope", "segment"], "left_semi").select(*_KEYS).distinct()
     done, entered = scratch_path(spark, "replay-rounds"), scratch_path(spark, "replay-entries")
@@ -208,7 +213,7 @@ def replay_in_rounds(alerts: DataFrame, policy: Policy = Policy(), chunk_polls:
         rows = spark.read.schema(f"{schema}, round int").option("basePath", path).parquet(path)
         return rows.where(F.col(value).isNotNull()).groupBy(*_KEYS).agg(F.max_by(value, "round").alias(value))
 
-    written(_replayed(polls, policy), done, 1)
+    written(_replayed(polls, policy, parts), done, 1)
     written(known.withColumn("entry", F.lit(EMPTY_STATE)), entered, 1)
     rounds = [known.count()]
     while True:
@@ -223,10 +228,10 @@ def replay_in_rounds(alerts: DataFrame, policy: Policy = Policy(), chunk_polls:
         rounds.append(count)
         given = {c: F.col(c) for c in (*_KEYS, "entry")} | {"cycle_us": F.lit(_BEFORE_ALL), "feed_pos": F.lit(0)}
         first = again.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in polls.dtypes))
-        written(_replayed(polls.join(again.select(*_KEYS), _KEYS, "left_semi").unionByName(first), policy), done, number)
+        written(_replayed(polls.join(again.select(*_KEYS), _KEYS, "left_semi").unionByName(first), policy, parts), done, number)
     last = spark.read.schema(f"{entry_schema}, round int").option("basePath", entered).parquet(entered).groupBy(*_KEYS).agg(F.max("round").alias("round"))
     final = spark.read.schema(f"{_REPLAYED}, round int").option("basePath", done).parquet(done).join(last, [*_KEYS, "round"]).select(*_names(_REPLAYED))
-    return final.unionByName(_replayed(placed.join(long, ["scope", "segment"], "left_anti"), policy)), rounds
+    return final.unionByName(_replayed(placed.join(long, ["scope", "segment"], "left_anti"), policy, parts)), rounds
 
 
 def _names(schema: str) -> list[str]:

@@ -72,3 +72,18 @@ def deal_out(df: DataFrame) -> DataFrame:
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= ONE_SPLIT else df
+
+
+#: Bytes of a large input, by the engine's estimate of its files, that one task of a join takes.
+JOIN_SPLIT = 4 * 1024 * 1024
+
+
+def dealt_alike(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``key``, in a number of parts that grows with the larger one.
+
+    Adaptive coalescing merges well compressed parts up to its advised size, so the rows that a task sorts would grow with the
+    input; a given number of parts stays. Inputs of at most ``ONE_SPLIT`` bytes are left to the engine.
+    """
+    size = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in (left, right))
+    parts = -(-size // JOIN_SPLIT)
+    return (left.repartition(parts, key), right.repartition(parts, key)) if size > ONE_SPLIT else (left, right)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from gustfront import session
 from gustfront.constants import REFLECTIVITY_CODES
 from gustfront.functions import health, numbers, radar, text
 from gustfront.functions.geo import haversine_km
@@ -551,3 +552,22 @@ def test_heavy_colours_in_two_passes(spark, most, monkeypatch):
 def test_haversine_symmetry(spark):
     a = one(spark, haversine_km(F.lit(35.0), F.lit(-97.0), F.lit(36.0), F.lit(-98.0)))
     assert a == pytest.approx(km(35, -97, 36, -98)) and one(spark, haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(math.pi * 6371)
+
+
+def test_tasks_of_a_replay_follow_its_polls(spark, monkeypatch):
+    polls = alerts_of(spark, [r for n in range(6) for r in random_polls(n, f"s{n}", 40)])
+    want = sorted(map(tuple, suppression.replay_suppression(polls).collect()))
+    monkeypatch.setattr(suppression, "TASK_POLLS", 10)
+    decided, _ = suppression.replay_in_rounds(polls)
+    assert decided.rdd.getNumPartitions() == -(-polls.count() // 10)  # adaptive coalescing would leave one
+    assert sorted(map(tuple, suppression.replay_suppression(polls).collect())) == want
+
+
+def test_sides_of_a_large_join_are_dealt_by_size(spark, monkeypatch):
+    left, right = spark.range(1000).withColumnRenamed("id", "k"), spark.range(500).select(F.col("id").alias("k"), F.lit("x" * 20).alias("v"))
+    assert session.dealt_alike(left, right, "k") == (left, right)
+    monkeypatch.setattr(session, "ONE_SPLIT", 1000)
+    monkeypatch.setattr(session, "JOIN_SPLIT", 1000)
+    one, other = session.dealt_alike(left, right, "k")
+    assert one.rdd.getNumPartitions() == other.rdd.getNumPartitions() > 8
+    assert one.join(other, "k").count() == 500
