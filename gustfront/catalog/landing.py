@@ -10,7 +10,7 @@ from gustfront.catalog.raster import FOUND
 from gustfront.catalog.registry import query, rnd, sql_rnd, sql_stamp, stamp
 from gustfront.operators import palette, service
 from gustfront.schemas import ALERT_COLLECTION, OBSERVATION, SERVICE_STATUS, STATION_COLLECTION
-from gustfront.session import materialise, scratch_path
+from gustfront.session import dealt, materialise, parts_of, scratch_path
 from gustfront.sinks import tables
 from gustfront.sources import feeds, frames, reports
 
@@ -197,8 +197,11 @@ def _(i):
 @query("k02_grid_sink", f"with {FOUND} select scan_id, 'reflectivity' as radar_type, count(*) as cells, {sql_rnd('sum(round_even(value * 100, 0) / 1e2)', 4)} as total from found group by 1")
 def _(i):
     path = scratch_path(i.spark, "grids")
-    cells = palette.convert_frames(i.pixels, i.palette)
-    tables.write_grids(tables.grid_documents(cells, "reflectivity", 1), path)
+    # lines lie by scan before they are grouped to pixels, so grouping, lookup and assembly share one exchange
+    parts = parts_of(i.lineitem)
+    pixels = i.over("pixels", lineitem=dealt(i.lineitem, "l_orderkey", parts))
+    cells = palette.convert_frames(pixels, i.palette)
+    tables.write_grids(tables.grid_documents(cells, "reflectivity", 1, parts=parts), path)
     back = i.spark.read.parquet(path)
     values = F.flatten("data")
     total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)

@@ -144,3 +144,7 @@ class Inputs:
                 raise AttributeError(name)
             self._seen[name] = df
         return self._seen[name]
+
+    def over(self, name: str, **tables: DataFrame) -> DataFrame:
+        """A view over the given tables instead of those it would read."""
+        return self.spark.sql(VIEWS[name], **{dep: tables[dep] if dep in tables else getattr(self, dep) for dep in _DEPS[name]})

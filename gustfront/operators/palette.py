@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from gustfront.constants import VALUE_RANGE
 from gustfront.functions.numbers import round_even
 from gustfront.operators.timeline import neighbours
-from gustfront.session import deal_out
+from gustfront.session import deal_out, materialise
 
 CUBE = 16
 _PLACE_BITS = 31
+#: Lists of candidates up to this length are compared entry by entry in compiled code.
+SHORT_LIST = 8
 
 
 def build_palette(scale: DataFrame, radar_type: str, by: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
@@ -49,17 +51,21 @@ def _cube_id(r: Column, g: Column, b: Column) -> Column:
 
 def _can_be_nearest(entries: DataFrame, side: int) -> DataFrame:
     """Cut each cube (corner ``lr, lg, lb``) into cubes of ``side``, four per axis, and keep per cube
-    the entries whose smallest distance to it is within the best guaranteed (largest) distance of any."""
+    the entries that are somewhere in it no farther than the entry nearest to its middle.
+
+    The difference of two squared distances is linear in the colour, so its least value in the cube is exact.
+    """
     part = F.col("part")
     cut = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
     cut = cut.withColumn("lr", F.col("lr") + F.shiftright(part, 4) * side).withColumn("lg", F.col("lg") + F.shiftright(part, 2) % 4 * side).withColumn("lb", F.col("lb") + part % 4 * side)
-    nearest = farthest = F.lit(0)
+    twice = {c: 2 * F.col(f"l{c}") + (side - 1) for c in "rgb"}  # the middle, doubled to stay whole
+    from_middle = sum(((2 * F.col(c) - twice[c]) * (2 * F.col(c) - twice[c]) for c in "rgb"), F.lit(0))
+    best = F.min_by(F.struct("r", "g", "b"), from_middle).over(Window.partitionBy("lr", "lg", "lb"))
+    farther = F.lit(0)
     for c in "rgb":
-        low, high = F.col(f"l{c}"), F.col(f"l{c}") + (side - 1)
-        inside, outside = F.greatest(low - F.col(c), F.col(c) - high, F.lit(0)), F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - high))
-        nearest, farthest = nearest + inside * inside, farthest + outside * outside
-    bounded = cut.withColumn("near", nearest).withColumn("limit", F.min(farthest).over(Window.partitionBy("lr", "lg", "lb")))
-    return bounded.where("near <= limit").drop("part", "near", "limit")
+        step = F.col(c) - F.col(f"best.{c}")
+        farther = farther + step * (F.col(c) + F.col(f"best.{c}") - twice[c]) - F.abs(step) * (side - 1)
+    return cut.withColumn("best", best).where(farther <= 0).drop("part", "best")
 
 
 def cube_candidates(palette: DataFrame) -> DataFrame:
@@ -83,17 +89,20 @@ def palette_lookup(pixels: DataFrame, palette: DataFrame, by_colour: bool = Fals
     """Add ``value``, ``palette_x`` and ``colour_d2`` of the nearest palette colour to every pixel.
 
     The candidates of each cube are one array, joined on the cube without a hint: while statistics say
-    the table is small the engine broadcasts it and pixels are only mapped. ``by_colour`` reduces
+    the table is small the engine broadcasts it and pixels are only mapped. The palette is stored first, so its
+    size is known before the pixels' exchange by cube could begin. ``by_colour`` reduces
     pixels to distinct colours (at most 2**24) first and joins the answers back, for frames drawn in
     few colours. Equal distances go to the smallest x.
     """
     if not by_colour:
-        candidates = cube_candidates(palette)
+        candidates = cube_candidates(materialise(palette.select("x", "r", "g", "b", "value"), "palette"))
         table = candidates.groupBy("cube").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "value"))).alias("near"))
         found = pixels.withColumn("cube", _cube_id(F.col("r"), F.col("g"), F.col("b"))).join(table, "cube")
-        # squared distance and place in the x-ordered list share one integer
-        code = F.array_min(F.transform("near", lambda p, n: _squared(p, F.col("r"), F.col("g"), F.col("b")) * (1 << _PLACE_BITS) + n))
-        found = found.withColumn("code", code)
+        # squared distance and place in the x-ordered list share one integer; a function over an array is interpreted
+        # for each entry, so short lists are spelled out (what lies past their end is NULL, which least passes over)
+        code = lambda p, n: _squared(p, F.col("r"), F.col("g"), F.col("b")) * (1 << _PLACE_BITS) + n
+        short = F.least(*[code(F.get("near", F.lit(n)), n) for n in range(SHORT_LIST)])
+        found = found.withColumn("code", F.when(F.size("near") <= SHORT_LIST, short).otherwise(F.array_min(F.transform("near", code))))
         best = F.get("near", (F.col("code") % (1 << _PLACE_BITS)).cast("int"))
         found = found.withColumn("best", best)
         return found.select(*pixels.columns, F.col("best.value").alias("value"), F.col("best.x").alias("palette_x"), F.shiftright("code", _PLACE_BITS).alias("colour_d2"))

@@ -78,12 +78,22 @@ def deal_out(df: DataFrame) -> DataFrame:
 JOIN_SPLIT = 4 * 1024 * 1024
 
 
-def dealt_alike(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join on ``key``, in a number of parts that grows with the larger one.
+def parts_of(*inputs: DataFrame) -> int | None:
+    """A number of parts that grows with the largest input; none up to ``ONE_SPLIT`` bytes, which are left to the engine.
 
     Adaptive coalescing merges well compressed parts up to its advised size, so the rows that a task sorts would grow with the
-    input; a given number of parts stays. Inputs of at most ``ONE_SPLIT`` bytes are left to the engine.
+    input; a given number of parts stays.
     """
-    size = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in (left, right))
-    parts = -(-size // JOIN_SPLIT)
-    return (left.repartition(parts, key), right.repartition(parts, key)) if size > ONE_SPLIT else (left, right)
+    size = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in inputs)
+    return -(-size // JOIN_SPLIT) if size > ONE_SPLIT else None
+
+
+def dealt(df: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """Rows brought together by ``key``, in ``parts`` parts or as many as the engine takes."""
+    return df.repartition(parts, key) if parts else df.repartition(key)
+
+
+def dealt_alike(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``key``, in a number of parts that grows with the larger one; small ones are left as they are."""
+    parts = parts_of(left, right)
+    return (left.repartition(parts, key), right.repartition(parts, key)) if parts else (left, right)

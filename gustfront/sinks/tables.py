@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustfront.constants import LEDGER_HOURS, UNITS, VALUE_RANGE
 from gustfront.operators.timeline import global_rank
+from gustfront.session import dealt
 from gustfront.sinks.log import TransactionLog
 
 
@@ -37,13 +42,48 @@ def append_events(rows: DataFrame, path: str, key: str = "event_id", partition:
     return TransactionLog(rows.sparkSession, path).append_new(rows, key, partition)
 
 
-def grid_documents(cells: DataFrame, radar_type: str, sample_rate: int, source: str | Column = "frame") -> DataFrame:
+def _starts(column: pa.Array) -> np.ndarray:
+    """Whether each entry differs from the one before; NULL is a value of its own."""
+    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.concatenate([[True], codes[1:] != codes[:-1]])
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per scan of cells (scan, line, value) that come in raster order."""
+    held: list[pa.RecordBatch] = []  # the scan that is still open, in as many pieces as batches brought it
+
+    def cut(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        scans, lines, values = (pa.concat_arrays([p.column(n) for p in pieces]) for n in range(3))
+        first = _starts(scans)
+        line_at = np.flatnonzero(first | _starts(lines))
+        scan_at = np.flatnonzero(first)
+        rows = pa.ListArray.from_arrays(pa.array(np.append(line_at, len(values)), pa.int32()), values)
+        data = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(line_at, scan_at), len(line_at)), pa.int32()), rows)
+        return pa.RecordBatch.from_arrays([scans.take(pa.array(scan_at)), data], names=["scan_id", "data"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(np.flatnonzero(_starts(batch.column(0)))[-1])
+        same = not held or not _starts(pa.concat_arrays([p.column(0).slice(0, 1) for p in (held[-1], batch)]))[1]
+        if last or not same:
+            yield cut([*held, batch.slice(0, last)] if last else held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield cut(held)
+
+
+def grid_documents(cells: DataFrame, radar_type: str, sample_rate: int, source: str | Column = "frame", parts: int | None = None) -> DataFrame:
     """Grid documents from cells: one row per scan with metadata and the value matrix.
 
-    Assembly is two-level, row by row and then by scan, so a task holds one raster row list at a time.
+    Cells are exchanged once, by scan into ``parts`` (not at all where they already lie so), and stream through in raster
+    order; Python holds the cells of one scan beside a batch, and cuts them into lines without touching single values.
     """
-    lines = cells.groupBy("scan_id", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "value"))), lambda c: c["value"]).alias("line"))
-    grids = lines.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda r: r["line"]).alias("data"))
+    keys = ["scan_id", "row_no"]
+    kind = dict(cells.dtypes)
+    ordered = dealt(cells.select(*keys, "col_no", "value"), "scan_id", parts).sortWithinPartitions(*keys, "col_no", "value").select(*keys, "value")
+    grids = ordered.mapInArrow(_matrices, f"scan_id {kind['scan_id']}, data array<array<{kind['value']}>>")
     width, height = F.size(F.get("data", F.lit(0))), F.size("data")
     meta = grid_metadata(radar_type, sample_rate, width * sample_rate, height * sample_rate, F.lit(source) if isinstance(source, str) else source)
     return grids.select("scan_id", F.lit(radar_type).alias("radar_type"), meta.alias("metadata"), "data")

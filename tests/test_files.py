@@ -120,6 +120,28 @@ def test_grid_documents(spark, tmp_path):
     assert {(r.row_no, r.col_no): r.value for r in cells}[(1, 2)] == 6.0
 
 
+@pytest.mark.parametrize(("batch", "parts"), [("10000", None), ("7", 3)])
+def test_grid_documents_from_cells(spark, batch, parts):
+    """Ragged lines, gaps, repeated cells and NULLs, with scans that end in a batch, on its edge or many batches later."""
+    rng = random.Random(3)
+    cells = [(s, row, col, rng.choice([None, round(rng.uniform(-20, 70), 2)])) for s in [*(f"s{n}" for n in range(30)), None] for row in [None, *rng.sample(range(9), rng.randrange(1, 6))][s != "s3" :] for col in rng.sample([None, 0, 1, 2, 2, 5], rng.randrange(1, 6))]
+    cells += [("long", row, col, row * 100.0 + col) for row in range(4) for col in range(40)] + [("one", 3, 3, 1.5)]
+    rng.shuffle(cells)
+    low = lambda v: (v is not None, v or 0)
+    want: dict = {}
+    for scan, row, _, value in sorted(cells, key=lambda c: (low(c[1]), low(c[2]), low(c[3]))):
+        want.setdefault(scan, {}).setdefault(row, []).append(value)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        got = tables.grid_documents(spark.createDataFrame(cells, "scan_id string, row_no int, col_no int, value double"), "reflectivity", 2, parts=parts).collect()
+    finally:
+        spark.conf.set(key, old)
+    assert len(got) == len(want) and {r.scan_id: r.data for r in got} == {s: list(lines.values()) for s, lines in want.items()}
+    assert all((r.metadata.sampled_dimensions.height, r.metadata.original_dimensions.width) == (len(r.data), 2 * len(r.data[0])) for r in got)
+
+
 def test_alert_feed_and_status(spark, tmp_path):
     feature = lambda i, expires: {"properties": {"id": i, "event": "Tornado Warning", "expires": expires, "areaDesc": "X"}, "geometry": None}
     put(tmp_path, "f/poll1.json", json.dumps({"features": [feature("a", "2030-05-27T19:00:00-05:00"), feature("b", "soon")]}))

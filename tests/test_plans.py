@@ -94,3 +94,27 @@ def test_appended_manifest_is_computed_once(spark, monkeypatch):
     monkeypatch.setattr(tables, "append_events", lambda part, *a, **k: read.extend(part.inputFiles()) or plain(part, *a, **k))
     RUNS["k01_committed_append"](spark, FOLDER)
     assert read and not any("orders.parquet" in f for f in read)
+
+
+def test_grid_sink_exchanges_pixels_once(spark, monkeypatch):
+    from gustfront.sinks import tables
+
+    plans, plain = [], tables.write_grids
+    monkeypatch.setattr(tables, "write_grids", lambda grids, *a, **k: plans.append(plan(grids)) or plain(grids, *a, **k))
+    RUNS["k02_grid_sink"](spark, FOLDER)
+    assert sum(plans[0].count(f"Exchange hashpartitioning({key}") for key in ("l_orderkey", "scan_id")) == 1
+
+
+def test_lookup_knows_the_size_of_its_palette(spark):
+    """A palette drawn from a large table must not send the pixels over the network by colour cube."""
+    from gustfront.catalog.views import Inputs
+    from gustfront.operators import palette
+
+    inputs, key = Inputs(spark, FOLDER), "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10000")  # between the estimates for the stored palette and for one drawn from lineitem
+    try:
+        text = plan(palette.palette_lookup(inputs.pixels, inputs.palette))
+    finally:
+        spark.conf.set(key, old)
+    assert text.count("Exchange hashpartitioning(cube") == 1  # the candidates are grouped; pixels stay where they are

@@ -236,6 +236,27 @@ def test_value_to_colour_brute_force(spark, by_value):
         assert r.r == int(np.abs(scale - min(70, max(-20, values[r.id]))).argmin())
 
 
+def test_palette_lookup_of_crowded_cubes(spark):
+    """Lists of candidates on both sides of the length up to which they are spelled out, with repeated colours and ties."""
+    rng = random.Random(7)
+    crowd = [(rng.randrange(64, 96), rng.randrange(64, 80), rng.randrange(64, 80)) for _ in range(60)]
+    colours = crowd + crowd[:9] + [(rng.randrange(256), rng.randrange(256), rng.randrange(256)) for _ in range(25)] + [(None, 70, 70)]
+    pal = spark.createDataFrame([(x, *c, x / 4) for x, c in enumerate(colours)], "x int, r int, g int, b int, value double")
+    asked = [(n, *(rng.randrange(60, 100) if n % 2 else rng.randrange(256) for _ in range(3))) for n in range(1500)]
+    got = {r.id: (r.palette_x, r.colour_d2, r.value) for r in palette.palette_lookup(spark.createDataFrame(asked, "id int, r int, g int, b int"), pal).collect()}
+    sizes = [r["count"] for r in palette.cube_candidates(pal).groupBy("cube").count().collect()]
+    assert len(sizes) == 4096 and min(sizes) <= palette.SHORT_LIST < max(sizes)
+    for n, *c in asked:
+        d2, x = min((sum((p - q) ** 2 for p, q in zip(c, known)), x) for x, known in enumerate(colours) if None not in known)
+        assert got[n] == (x, d2, x / 4)
+
+
+def test_few_palette_entries_are_left_in_a_cube(spark):
+    """Entries that another one beats all over a cube are not compared there."""
+    pal = spark.range(350).selectExpr("cast(id as int) x", "cast(id * 37 % 256 as int) r", "cast(id * 91 % 256 as int) g", "cast(id * 151 % 256 as int) b", "id / 4d value")
+    assert palette.cube_candidates(pal).count() < 5 * 4096
+
+
 def test_palette_never_reaches_top(spark):
     scale = spark.createDataFrame([(y, x, x, y, 0) for y in range(3) for x in range(10)], "row_no int, col_no int, r int, g int, b int")
     got = sorted(palette.build_palette(scale, "velocity").collect(), key=lambda r: r.x)
