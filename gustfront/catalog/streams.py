@@ -156,22 +156,17 @@ def _(i):
 @query("t06_as_of_join_of_streams", f"with {KNOWN} select feed_pos, shown as score, age as score_age, state as model_state from z")
 def _(i):
     # both feeds land half by half, the scores behind the alerts; later markers let both watermarks pass all
-    spark, (alerts_in, scores_in, checkpoint, out) = i.spark, (scratch_path(i.spark, f"as-of-{part}") for part in ("alerts", "scores", "cp", "out"))
+    spark, (alerts_in, scores_in, checkpoint, state, out) = i.spark, (scratch_path(i.spark, f"as-of-{part}") for part in ("alerts", "scores", "cp", "state", "out"))
     alerts, scores = i.alerts.select("feed_pos", "alert_id", "cycle_ts"), i.scores.select("score_id", "score_ts", "score", "status")
     end = F.greatest(alerts.select(F.max("cycle_ts")).scalar(), scores.select(F.max("score_ts")).scalar())
     mark_a = alerts.limit(1).select(F.lit(-1).cast(dict(alerts.dtypes)["feed_pos"]).alias("feed_pos"), "alert_id", (end + F.expr("interval 1 day")).alias("cycle_ts"))
     mark_s = scores.limit(1).select(F.lit(-1).cast(dict(scores.dtypes)["score_id"]).alias("score_id"), (end + F.expr("interval 1 day")).alias("score_ts"), "score", "status")
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    feeds.prepare(spark, spark.sparkContext.defaultParallelism)
-    try:
-        for asked, told in zip([*halves(alerts, "cycle_ts"), mark_a], [*halves(scores, "score_ts"), mark_s]):
-            asked.write.mode("append").parquet(alerts_in)
-            told.write.mode("append").parquet(scores_in)
-            met = stateful.as_of_scores(feeds.stream_files(spark, alerts_in, alerts.schema), feeds.stream_files(spark, scores_in, scores.schema))
-            feeds.start(met, checkpoint, path=out).awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    for asked, told in zip([*halves(alerts, "cycle_ts"), mark_a], [*halves(scores, "score_ts"), mark_s]):
+        asked.write.mode("append").parquet(alerts_in)
+        told.write.mode("append").parquet(scores_in)
+        both = feeds.as_of_rows(feeds.stream_files(spark, alerts_in, alerts.schema), feeds.stream_files(spark, scores_in, scores.schema))
+        feeds.start(both, checkpoint, batch=feeds.as_of_batch(state, keep)).awaitTermination()
     return spark.read.parquet(out).where("feed_pos >= 0").select("feed_pos", "score", "score_age", "model_state")
 
 

@@ -123,6 +123,17 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(max(versions, key=lambda p: int(p.rsplit("=", 1)[1])))
 
 
+def snapshot_before(spark: SparkSession, path: str, version: int) -> DataFrame | None:
+    """Newest committed version below ``version``, from which a batch of that number carries on."""
+    earlier = [p for p in committed_folders(spark, path, "version") if int(p.rsplit("=", 1)[1]) < version]
+    return spark.read.parquet(max(earlier, key=lambda p: int(p.rsplit("=", 1)[1]))) if earlier else None
+
+
+def drop_versions(spark: SparkSession, path: str, version: int) -> None:
+    """Remove the committed versions below ``version``."""
+    _delete(spark, [p for p in committed_folders(spark, path, "version") if int(p.rsplit("=", 1)[1]) < version])
+
+
 def save_ledger(rows: DataFrame, path: str, now: Column, hours: int = LEDGER_HOURS) -> None:
     """Replace the stored ledger by the rows of the last 48 hours, in one commit; readers see the old or the new one."""
     TransactionLog(rows.sparkSession, path).replace(rows.where(F.col("sent_at") >= now - F.make_dt_interval(hours=F.lit(hours))))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from gustfront.constants import LEDGER_HOURS, RISK_THRESHOLD, VELOCITY_TOLERANCE_MIN
 from gustfront.operators.suppression import annotate_with_score
-from gustfront.sinks.tables import read_snapshot
+from gustfront.sinks.tables import drop_versions, read_snapshot, snapshot_before, write_snapshot
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -98,3 +98,49 @@ def annotate_batch(score_snapshot: str, handle: Callable[[DataFrame, int], None]
         handle(annotate_with_score(batch, scores, threshold), batch_id)
 
     return run
+
+
+def as_of_rows(alerts: DataFrame, scores: DataFrame) -> DataFrame:
+    """Two feeds as the one stream that ``as_of_batch`` reads: a row holds an ``alert`` or a ``fact``."""
+    facts = scores.select("score_id", "score_ts", "score", "status")
+    asked = alerts.select(F.struct(*alerts.columns).alias("alert"), F.lit(None).cast(facts.schema).alias("fact"))
+    return asked.union(facts.select(F.lit(None).cast(alerts.schema).alias("alert"), F.struct(*facts.columns).alias("fact")))
+
+
+def as_of_batch(state: str, handle: Callable[[DataFrame, int], None], threshold: float = RISK_THRESHOLD, late: str = "10 minutes") -> Callable[[DataFrame, int], None]:
+    """Batch function over ``as_of_rows``: alerts (cycle_ts, ...) with the last score at or before their cycle, once no earlier score can come any more.
+
+    An alert is handed on when both feeds have passed its time by ``late``, which is also how late a row of either may be; later ones are dropped.
+    What waits, the last score before that mark and the scores from it on are a snapshot below ``state``, numbered by batch. A replayed batch starts from
+    the snapshot before it and writes its own again, so nothing is answered twice. Rows meet by slots of time, so no task holds all scores.
+    """
+
+    def passed_by(marks: DataFrame) -> int | None:
+        """The time (microseconds) that both feeds have passed by ``late``."""
+        return marks.select(F.unix_micros(F.when(F.col("asked").isNotNull() & F.col("told").isNotNull(), F.least("asked", "told") - F.expr(f"interval {late}")))).first()[0]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks_at, waiting_at, scores_at = (f"{state}/{name}" for name in ("marks", "waiting", "scores"))
+        earlier = snapshot_before(spark, marks_at, batch_id)
+        highest = lambda df, asked, told: df.agg(F.max(asked).alias("asked"), F.max(told).alias("told"))
+        marks = highest(batch, "alert.cycle_ts", "fact.score_ts")
+        write_snapshot(marks if earlier is None else highest(marks.union(earlier), "asked", "told"), marks_at, batch_id)
+        old, passed = (None if m is None else passed_by(m) for m in (earlier, snapshot_before(spark, marks_at, batch_id + 1)))
+
+        def held(kind: str, ts: str, path: str) -> DataFrame:
+            """Rows of a feed that are not late, and those kept from earlier batches."""
+            fresh = batch.where(F.col(kind).isNotNull()).select(f"{kind}.*").where(F.col(ts).isNotNull() if old is None else F.unix_micros(ts) >= old)
+            kept = snapshot_before(spark, path, batch_id)
+            return fresh if kept is None else fresh.unionByName(kept)
+
+        asked, told = held("alert", "cycle_ts", waiting_at), held("fact", "score_ts", scores_at)
+        is_past = lambda ts: F.lit(False) if passed is None else F.unix_micros(ts) < passed
+        handle(annotate_with_score(asked.where(is_past("cycle_ts")), told.where(is_past("score_ts")), threshold), batch_id)
+        write_snapshot(asked.where(~is_past("cycle_ts")), waiting_at, batch_id)
+        last = told.where(is_past("score_ts")).orderBy(F.desc("score_ts"), F.desc("score_id")).limit(1)
+        write_snapshot(last.union(told.where(~is_past("score_ts"))), scores_at, batch_id)
+        for path in (marks_at, waiting_at, scores_at):
+            drop_versions(spark, path, batch_id - 1)  # a replay of this batch needs the one before it
+
+    return run

@@ -445,8 +445,8 @@ class AsOfProcessor(StatefulProcessor):
 def as_of_scores(alerts: DataFrame, scores: DataFrame, threshold: float = RISK_THRESHOLD, late: str = "10 minutes", buckets: int = 8) -> DataFrame:
     """``alerts`` (cycle_ts, feed_pos, ...) with the score known at their cycle, over two streams.
 
-    Alerts are dealt into ``buckets``; the few scores (score_id, score_ts, score, status) go to every bucket. An alert comes out when both
-    streams have passed its time by ``late``, which is also how late a row of either may be.
+    Alerts are dealt into ``buckets``; the scores (score_id, score_ts, score, status) go to every bucket, so they must be few: feeds of any
+    size meet in ``feeds.as_of_batch``. An alert comes out when both streams have passed its time by ``late``, which is also how late a row of either may be.
     """
     none = lambda t: F.lit(None).cast(t)
     asked = alerts.withWatermark("cycle_ts", late).where("cycle_ts is not null").select(

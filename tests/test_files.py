@@ -336,6 +336,39 @@ def test_answers_wait_for_the_watermark_and_stay(tmp_path):
     assert later["row"].tolist() == ["c"] and later["score_id"].tolist() == [4] and not p.waiting
 
 
+def test_alerts_meet_scores_by_slot_and_batch(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=int(minute))
+    alert_type, score_type = "feed_pos long, cycle_ts timestamp", "score_id long, score_ts timestamp, score double, status string"
+    asked, told, batches = [], [], []
+    for n, low in enumerate(range(0, 300, 100)):  # every batch repeats its first minutes: ties, and rows that are not late yet
+        a = [(1000 * n + k, at(m)) for k, m in enumerate(rng.integers(max(0, low - 5), low + 100, 40))]
+        s = [(1000 * n + k, at(m), float(k), "running") for k, m in enumerate(rng.integers(max(3, low - 5), low + 95, 30))]
+        batches.append((a + [(-2, None)], s + [(-2, None, 0.0, "running")]))
+        asked, told = asked + a, told + s
+    batches[2][0].append((-1, at(20)))  # both are far too late
+    batches[2][1].append((-1, at(150), 0.0, "running"))
+    batches.append(([(-9, at(900))], [(-9, at(900), 1.0, "running")]))
+
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    run = live.as_of_batch(state, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    for n, (a, s) in enumerate(batches):
+        batch = live.as_of_rows(spark.createDataFrame(a, alert_type), spark.createDataFrame(s, score_type))
+        run(batch, n)
+        if n == 2:  # taken to be broken off before the engine's commit
+            run(batch, n)
+        kept = spark.read.parquet(f"{state}/scores/version={n}").collect()
+        mark = min(max(x[1] for x in part if x[1]) for part in (a, s)) - timedelta(minutes=10)
+        assert sum(r.score_ts < mark for r in kept) == 1 and len(kept) == len({r.score_id for r in kept}) < 40
+        assert len(list((tmp_path / "state" / "waiting").glob("version=*"))) <= 2
+    got = {r.feed_pos: (r.score, r.score_age) for r in spark.read.parquet(out).collect()}
+    want = {}
+    for pos, t in asked:
+        best = max((x for x in told if x[1] <= t), key=lambda x: (x[1], x[0]), default=None)
+        want[pos] = (best[2], int((t - best[1]).total_seconds())) if best else (None, None)
+    assert spark.read.parquet(out).count() == len(got) and got == want
+
+
 def test_ids_are_forgotten_by_the_hour():
     import pandas as pd
 
