@@ -1,12 +1,12 @@
 """Toxicity scores from a learned lexicon, misspelling-tolerant matching and context windows.
 
-**Fit.** From labelled rows (at most ``FIT_ROWS`` of each class, those with the smallest hash of their id; this bound is the
-one sample taken) Spark counts in how many texts of either class each word occurs. Words with high log-odds that appear in
-several distinct contexts (word before, word after) form the lexicon; distinct contexts keep copies of one text from
-promoting its words, and the number asked for rises with the texts read. A second pass over the same rows reads the window around each hit: its words get log-odds of their own,
-so that surroundings typical of quotation weaken a hit and those typical of abuse strengthen it, and hits between
+**Fit.** All labelled rows outside the held-out third are read; nothing is sampled. Spark counts in how many texts of either class each word
+occurs. Words with high log-odds that appear in several distinct contexts (word before, word after) form the lexicon, all of them, if chance
+does not explain them: the evidence asked for is the least at which, had texts been toxic by lot, one in ten of the words taken up would be there by chance (``evidence_asked``),
+so it does not grow with the texts read. Copies of a text repeat its contexts, so the evidence of a word counts only as far as its contexts differ. A second pass over the same rows stores the window around each hit: its
+words get log-odds of their own under the same test, so that surroundings typical of quotation weaken a hit and those typical of abuse strengthen it, and hits between
 quotation marks are counted apart. A small logistic model over the document features (exact hits, misspelled hits, quoted
-hits, context) is fitted on counts per feature cell, weighted to the true shares of the classes.
+hits, context) is fitted on counts per feature cell.
 
 **Match.** The lexicon is a trie. A word within one edit of a term (two for long terms) is found by walking the intersection of
 the terms' Levenshtein automata with the trie; reached state sets are remembered, which makes it one deterministic
@@ -29,14 +29,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustfront.llm.common import bounded, kept_in_worker, map_batches, stored
 
-FIT_ROWS = 10_000
-LEXICON_SIZE, MIN_CONTEXTS, MIN_ODDS = 2048, 4, 2.5
-CONTEXT_SIZE, WINDOW = 4096, 5
+MIN_CONTEXTS, MIN_ODDS = 4, 2.5
+MIN_AROUND, AROUND_ODDS, WINDOW = 5, 0.7, 5
+#: Share of the words taken up that may be there by chance.
+BY_CHANCE = 0.1
 CUT = 0.7
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _QUOTES = "\"“”«»„"
@@ -183,16 +184,21 @@ def window(words: list[str], place: int) -> list[str]:
 def features(text: str, model: Model, lexicon: FuzzyLexicon) -> tuple[float, float, float, float]:
     """Exact, misspelled and quoted evidence and mean context, each rounded to its cell."""
     words, hits = find_hits(text, lexicon)
+    return weighed([(h.term, h.edits, h.quoted, window(words, h.place)) for h in hits], model)
+
+
+def weighed(hits: list[tuple[str, int, bool, list[str]]], model: Model) -> tuple[float, float, float, float]:
+    """The features of a text from its hits: term, edits, whether quoted, words around."""
     exact = fuzzy = quoted = context = 0.0
-    for hit in hits:
-        weight = model.terms[hit.term]
-        around = max(-1.0, min(1.0, sum(model.context.get(w, 0.0) for w in window(words, hit.place)) / 2))
+    for term, edits, in_quotes, near in hits:
+        weight = model.terms[term]
+        around = max(-1.0, min(1.0, sum(model.context.get(w, 0.0) for w in near) / 2))
         context += around
         weight *= 1 + 0.5 * around
-        if hit.quoted:
+        if in_quotes:
             quoted += weight
-        elif hit.edits:
-            fuzzy += weight / (1 + hit.edits)
+        elif edits:
+            fuzzy += weight / (1 + edits)
         else:
             exact += weight
     context = context / len(hits) if hits else 0.0
@@ -259,30 +265,44 @@ def _occurrences(sample: DataFrame, words: set[str]) -> DataFrame:
     return map_batches(sample.where("toxic = 1").select("text"), step, "word string, around string")
 
 
-def _windows(sample: DataFrame, terms: list[str]) -> DataFrame:
-    """Texts of either class in which a word stands in the window of a hit."""
+def _hits(sample: DataFrame, terms: list[str]) -> DataFrame:
+    """(toxic, hits) of the texts with hits."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("around", pa.list_(pa.string()))]))
 
     def step(batch: pa.RecordBatch) -> dict:
         lexicon = lexicon_of(terms)
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        marks, found = [], []
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             words, hits = find_hits(text or "", lexicon)
-            counts[toxic].update({w for h in hits for w in window(words, h.place)} - {h.term for h in hits})
-            counts[toxic].update([""] * bool(hits))
-        words = list(counts[0].keys() | counts[1].keys())
-        return {"word": pa.array(words, pa.string()), "clean": pa.array([counts[0][w] for w in words], pa.int64()), "toxic": pa.array([counts[1][w] for w in words], pa.int64())}
+            if hits:
+                marks.append(toxic)
+                found.append([{"term": h.term, "edits": h.edits, "quoted": h.quoted, "around": window(words, h.place)} for h in hits])
+        return {"toxic": pa.array(marks, pa.int32()), "hits": pa.array(found, kind)}
+
+    return map_batches(sample.select("text", "toxic"), step, "toxic int, hits array<struct<term:string,edits:int,quoted:boolean,around:array<string>>>")
 
-    return map_batches(sample.select("text", "toxic"), step, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
+def _around(hits: DataFrame) -> DataFrame:
+    """Texts of either class in which a word stands in the window of a hit and is no term hit there."""
+    words = F.array_except(F.flatten("hits.around"), "hits.term")  # each once
+    return hits.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def _cells(hits: DataFrame, model: Model) -> DataFrame:
+    """Texts with hits by feature cell and class."""
 
-def _cells(sample: DataFrame, model: Model) -> DataFrame:
     def step(batch: pa.RecordBatch) -> dict:
-        lexicon = lexicon_of(model.terms)
-        counts = Counter((*features(text or "", model, lexicon), toxic) for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True))
-        rows = list(counts.items())
+        found = [[(h["term"], h["edits"], h["quoted"], h["around"]) for h in row] for row in batch["hits"].to_pylist()]
+        rows = list(Counter((*weighed(h, model), toxic) for h, toxic in zip(found, batch["toxic"].to_pylist(), strict=True)).items())
         return {"cell": pa.array([list(r[0][:4]) for r in rows], pa.list_(pa.float64())), "toxic": pa.array([r[0][4] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int64())}
 
-    return map_batches(sample.select("text", "toxic"), step, "cell array<double>, toxic int, n long").groupBy("cell", "toxic").agg(F.sum("n").alias("n"))
+    return map_batches(hits, step, "cell array<double>, toxic int, n long").groupBy("cell", "toxic").agg(F.sum("n").alias("n"))
+
+
+def surprise(clean: Column, toxic: Column, share: float) -> Column:
+    """Negative logarithm of a bound (Chernoff) on the chance that so many of a word's texts are of one class, if ``share`` of all are toxic by lot."""
+    part = lambda k, p: F.when(k > 0, k * F.log(k / ((clean + toxic) * F.lit(p)))).otherwise(0.0)
+    return part(toxic, share) + part(clean, 1 - share)
 
 
 def held_out(doc_id="doc_id"):
@@ -290,8 +310,19 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Learn lexicon, context weights and model from labelled rows outside the held-out third."""
+def evidence_asked(words: DataFrame, tested: int) -> float:
+    """The least ``evidence`` at which no more than ``BY_CHANCE`` of the words that have it are expected of chance among ``tested`` words (Benjamini-Hochberg)."""
+    step = F.floor(16 * F.least(F.col("evidence"), F.lit(64.0))).cast("int")
+    taken, asked = 0, math.inf
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # 1,025 steps at most
+        taken += r["n"]
+        if tested * math.exp(-r["step"] / 16) <= BY_CHANCE * taken:
+            asked = r["step"] / 16
+    return asked
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn lexicon, context weights and model from all labelled rows outside the held-out third."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marked = marked.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -299,34 +330,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if not shares.get(0) or not shares.get(1):
         model.bias = 20.0 if shares.get(1) else -20.0
         return model
-    order = F.xxhash64("doc_id")
-    chosen = [marked.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(rows).collect() for t in (0, 1)]  # at most ``rows`` ids each
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for part in chosen for r in part], "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = stored(texts.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxicity-fit")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out())
+    sample = stored(texts.join(marked, "doc_id").select("text", "toxic"), "toxicity-fit")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         model.bias = 20.0 if sizes.get(1) else -20.0
         return model
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    least = max(MIN_CONTEXTS, math.ceil(sizes[1] / 1000))  # chance words grow with the texts read
-    likely = _word_counts(sample).where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    likely = {r["word"]: r["odds"] for r in likely.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(8 * LEXICON_SIZE).collect()}
-    support = _occurrences(sample, set(likely)).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    support = {r["word"]: r["n"] for r in support.collect()}  # words of ``likely`` only
-    best = sorted(support, key=lambda w: (-likely[w] * math.sqrt(support[w]), w))[:LEXICON_SIZE]
-    model.terms = {w: min(6.0, likely[w]) * min(1.0, math.log1p(support[w]) / math.log(20)) for w in best}
+    clean, toxic = F.col("clean"), F.col("toxic")
+    counts = stored(_word_counts(sample).where(clean + toxic >= MIN_CONTEXTS), "toxicity-words")
+    odds = F.log((toxic + 0.5) / (sizes[1] + 1)) - F.log((clean + 0.5) / (sizes[0] + 1))
+    likely = counts.withColumn("odds", odds).withColumn("evidence", surprise(clean, toxic, sizes[1] / (sizes[0] + sizes[1]))).where((toxic >= MIN_CONTEXTS) & (F.col("odds") >= MIN_ODDS))
+    least = evidence_asked(likely, counts.count())
+    likely = {r["word"]: r for r in likely.where(F.col("evidence") >= least).collect()}  # words that chance does not explain
+    support = _occurrences(sample, set(likely)).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_CONTEXTS)
+    for word, n in sorted((r["word"], r["n"]) for r in support.collect()):  # words of ``likely`` only
+        found = likely[word]
+        if found["evidence"] * min(1.0, n / found["toxic"]) >= least:
+            model.terms[word] = min(6.0, found["odds"]) * min(1.0, math.log1p(n) / math.log(20))
     if model.terms:
-        around = _windows(sample, sorted(model.terms))
-        total = around.where("word = ''").first()
-        if total is not None and total["clean"] and total["toxic"]:
-            odds = F.log((F.col("toxic") + 2) / (total["toxic"] + 4)) - F.log((F.col("clean") + 2) / (total["clean"] + 4))
-            useful = around.where("word <> '' and clean + toxic >= 5").withColumn("odds", odds).where(F.abs("odds") >= 0.7)
-            model.context = {r["word"]: r["odds"] for r in useful.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("clean") + F.col("toxic"))), "word").limit(CONTEXT_SIZE).collect()}
-    cells = _cells(sample, model).collect()  # bounded by the number of feature cells
-    x, y = np.array([r["cell"] for r in cells]).reshape(-1, 4), np.array([r["toxic"] for r in cells], dtype=float)
-    scale = np.array([shares[r["toxic"]] / sizes[r["toxic"]] * r["n"] for r in cells])
-    model.weights, model.bias = fit_logistic(x, y, scale)
+        hits = stored(_hits(sample, sorted(model.terms)), "toxicity-hits")
+        hit = {r["toxic"]: r["n"] for r in hits.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if hit.get(0) and hit.get(1):
+            around = stored(_around(hits).where(clean + toxic >= MIN_AROUND), "toxicity-around")
+            odds = F.log((toxic + 2) / (hit[1] + 4)) - F.log((clean + 2) / (hit[0] + 4))
+            useful = around.withColumn("odds", odds).withColumn("evidence", surprise(clean, toxic, hit[1] / (hit[0] + hit[1]))).where(F.abs("odds") >= AROUND_ODDS)
+            useful = useful.where(F.col("evidence") >= evidence_asked(useful, around.count()))
+            model.context = {r["word"]: r["odds"] for r in useful.collect()}  # words that chance does not explain
+        cells = [(r["cell"], r["toxic"], r["n"]) for r in _cells(hits, model).collect()]  # bounded by the number of feature cells
+        sizes = {t: sizes[t] - hit.get(t, 0) for t in sizes}
+    else:
+        cells = []
+    cells += [([0.0] * 4, t, n) for t, n in sizes.items() if n]  # texts without hits
+    x, y, n = np.array([c for c, _, _ in cells]).reshape(-1, 4), np.array([t for _, t, _ in cells], dtype=float), np.array([n for _, _, n in cells], dtype=float)
+    model.weights, model.bias = fit_logistic(x, y, n)
     return model
 
 

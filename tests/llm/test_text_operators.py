@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -263,6 +265,26 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == sum(not r["predicted"] for r in got)
 
 
+def test_toxicity_reads_all_labelled_rows(spark, tmp_path, monkeypatch):
+    # 40,000 rows, a fifth of them toxic; five of these hold a term of their own, which has to be learned however many texts are read
+    word = lambda k: f"element_at(array({', '.join(repr(w) for w in prose(random.Random(5), 60).split())}), 1 + cast(pmod(xxhash64(id, {k}), 50) as int))"
+    rows = spark.range(40_000).selectExpr("id as doc_id", f"concat_ws(' ', {', '.join(word(k) for k in range(8))}) as text", "cast(id % 5 = 0 as int) as toxic")
+    learned = [r.doc_id for r in rows.where((F.col("toxic") == 1) & ~toxicity.held_out()).orderBy(F.xxhash64("doc_id", F.lit(3))).limit(5).collect()]
+    rows = rows.withColumn("text", F.when(F.col("doc_id").isin(learned), F.concat("text", F.lit(" glorpish "), "text")).otherwise(F.col("text")))
+    docs, labels = saved(spark, tmp_path / "documents", rows.select("doc_id", "text")), saved(spark, tmp_path / "labels", rows.select("doc_id", "toxic"))
+    read, store = {}, toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: read.setdefault(name, store(df, name)))
+    model = toxicity.fit(docs, labels)
+    assert read["toxicity-fit"].count() == docs.where(~toxicity.held_out()).count() > 20_000
+    assert set(model.terms) == {"glorpish"}
+
+
+def test_evidence_asked_of_words(spark):
+    words = spark.createDataFrame([(20.0,)] * 9 + [(7.0,), (6.5,), (6.0,), (3.0,)] + [(1.0,)] * 87, "evidence double")
+    assert toxicity.evidence_asked(words, 1000) == 7.0  # 0.9 of 10 by chance; 1.5 of 11 would be too many
+    assert toxicity.evidence_asked(words, 100) == 6.0 and toxicity.evidence_asked(words.limit(0), 100) == math.inf
+
+
 def test_toxicity_without_both_classes(spark, tmp_path, nothing):
     docs, labels = labelled(spark, tmp_path, 20)
     for part, want in ((labels.where("toxic = 0"), 0), (labels.where("toxic = 1"), 1), (labels.limit(0), 0)):
