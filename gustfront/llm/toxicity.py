@@ -331,7 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         model.bias = 20.0 if shares.get(1) else -20.0
         return model
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out())
-    sample = stored(texts.join(marked, "doc_id").select("text", "toxic"), "toxicity-fit")
+    # texts are dealt by id at any size: labels grow with them, so they are no table to broadcast, and a merge would sort the texts
+    sample = stored(texts.join(marked.hint("shuffle_hash"), "doc_id").select("text", "toxic"), "toxicity-fit")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         model.bias = 20.0 if sizes.get(1) else -20.0
